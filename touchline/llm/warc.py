@@ -27,7 +27,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 REVISIT_FROM = 1000
 #: Fixed value: the archive's date field; nothing in the result depends on the clock.
@@ -35,7 +34,6 @@ WARC_DATE = "2000-01-01T00:00:00Z"
 CRLF = b"\r\n"
 
 PAYLOADS = "sha256 string, n_bytes long, zstd binary"
-DIGESTS = T.StructType.fromDDL("page_id long, url string, n_bytes long, sha1 string, sha256 string")
 
 
 def uri(page_id: int | None, n: int) -> str:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from touchline.llm import url_rules, warc
+from touchline.llm import simhash, url_rules, warc
 
 QUERIES = {
     "op3_warc_archive": warc.op3_warc_archive,
     "op7_url_rules": url_rules.op7_url_rules,
+    "op10_simhash_golay": simhash.op10_simhash_golay,
 }
 
 ORACLE_SQL = {

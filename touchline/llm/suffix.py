@@ -46,7 +46,9 @@ LENGTH, GRAM = 200, 48
 #: The most bytes on either side of an anchor that a window with it can reach.
 REACH = LENGTH - GRAM
 #: A long text is read in pieces of so many window starts; a block of texts has about BLOCK bytes.
-PIECE, BLOCK, POSITIONS = 1 << 19, 1 << 20, 22
+PIECE, BLOCK, POSITIONS = 1 << 17, 1 << 18, 22
+#: Rows of a batch that are Python objects at a time.
+ROWS = 512
 HOT_ANCHOR = 4000
 
 
@@ -134,9 +136,14 @@ def _pieces(texts: list[bytes]) -> Iterator[list[tuple[int, int, int, bytes]]]:
         yield block
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, ROWS):
+        yield batch.slice(at, ROWS)
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     h = hashes(2)
-    for b in batches:
+    for b in (part for whole in batches for part in slices(whole)):
         texts = b.column("body").to_pylist()
         did, th = (b.column(c).to_numpy(zero_copy_only=False) for c in ("did", "th"))
         for block in _pieces(texts):
@@ -220,7 +227,7 @@ def _mergesort(buf, starts, sizes, group, h: Hashes):
     return order, common
 
 
-def _verified(buf, starts, sizes, order, common, step: int = 4096) -> bool:
+def _verified(buf, starts, sizes, order, common, step: int = 512) -> bool:
     """Every extension byte by byte, and that the order is right at its end."""
     padded = np.append(buf, 0)
     inner = np.flatnonzero(common >= 0)
@@ -292,7 +299,7 @@ def _sorted_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         if not b.num_rows:
             continue
         held.append(b)
-        if sum(x.num_rows for x in held) < 4 * HOT_ANCHOR:
+        if sum(x.num_rows for x in held) < HOT_ANCHOR:
             continue
         table = pa.Table.from_batches(held)
         anchor = table.column("anchor").to_numpy()
@@ -305,7 +312,7 @@ def _sorted_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (part for whole in batches for part in slices(whole)):
         for body, did, th, marks in zip(*(b.column(c).to_pylist() for c in ("body", "did", "th", "marks")), strict=True):
             for at in range(0, len(marks), 8192):
                 part = marks[at : at + 8192]
@@ -320,8 +327,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _window_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     one, two = hashes(3), hashes(4)
     for b in batches:
-        for at in range(0, b.num_rows, 2048):
-            part = b.slice(at, 2048)
+        for part in slices(b):
             context = part.column("context").to_pylist()
             sizes = np.fromiter(map(len, context), np.int64, len(context))
             starts = np.cumsum(sizes) - sizes
@@ -348,9 +354,12 @@ def spans(docs: DataFrame) -> DataFrame:
     bodies = keyed(docs)
     found = bodies.where(F.octet_length("body") >= LENGTH).mapInArrow(_scan, "anchor long, full long, did long, th long, pos long")
     often = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("full").alias("low"), F.max("full").alias("high")).where("n > 1")
-    hits = written(found.join(often.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "anchor"), "anchors")
+    # written, so that the joins below have an exchange of their own on both sides and adaptive execution can split a hot anchor's rows
+    often = written(often.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "often")
+    hits = written(found.join(often, "anchor"), "anchors")
     span = lambda df: df.select("did", "th", F.greatest(F.lit(0), F.col("pos") - REACH).alias("start"), (F.col("pos") + LENGTH).alias("end"))
     classes = hits.where("mixed").groupBy("anchor", "full").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "pos")).alias("one"))
+    classes = written(classes, "classes")
     sizes = classes.groupBy("anchor").agg((F.count("*") > HOT_ANCHOR).alias("hot"))
     marks = classes.join(sizes, "anchor").select("one.*", F.struct("anchor", "one.pos", (F.col("n") == 1).alias("single"), "hot").alias("mark"))
     marked = marks.groupBy("did", "th").agg(F.collect_list("mark").alias("marks"))
@@ -397,7 +406,7 @@ def cut(body: bytes, cover: list[dict] | None) -> tuple[bytes, list[tuple[int, i
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (part for whole in batches for part in slices(whole)):
         rows = [(did if did != -(2**63) else None, body, *cut(body, cover)) for did, body, cover in zip(*(b.column(c).to_pylist() for c in ("did", "body", "cover")), strict=True)]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int64()), pa.array([len(r[1]) - len(r[2]) for r in rows], pa.int64()), pa.array([len(r[3]) for r in rows], pa.int64()), pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows], pa.string()), pa.array([[{"start": a, "end": e} for a, e in r[3]] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],

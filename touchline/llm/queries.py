@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from touchline.llm import bpe, langid, simhash, suffix, url_rules, warc
+from touchline.llm import bpe, fingerprint, langid, simhash, suffix, url_rules, warc
 
 QUERIES = {
+    "op9_iblt_fingerprints": fingerprint.op9_iblt_fingerprints,
     "op2_suffix_repeats": suffix.op2_suffix_repeats,
     "op4_bpe_transducer": bpe.op4_bpe_transducer,
     "op6_language_mixture": langid.op6_language_mixture,

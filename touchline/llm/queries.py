@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from touchline.llm import bpe, fingerprint, langid, simhash, suffix, url_rules, warc
+from touchline.llm import bpe, fingerprint, langid, mixing, simhash, suffix, toxicity, url_rules, warc
 
 QUERIES = {
+    "op5_budget_mixing": mixing.op5_budget_mixing,
+    "op8_weak_toxicity": toxicity.op8_weak_toxicity,
     "op9_iblt_fingerprints": fingerprint.op9_iblt_fingerprints,
     "op2_suffix_repeats": suffix.op2_suffix_repeats,
     "op4_bpe_transducer": bpe.op4_bpe_transducer,
@@ -15,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_budget_mixing": mixing.ORACLE,
     "op3_warc_archive": warc.ORACLE,
     "op7_url_rules": url_rules.ORACLE,
 }

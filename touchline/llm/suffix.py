@@ -36,6 +36,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -423,3 +424,29 @@ def op2_suffix_repeats(spark, sf_dir):
     from touchline.llm.common import table
 
     return repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def without_repeats(spark, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
+    """The documents with repeated strings cut out of text and n_chars set anew, other columns
+    unchanged. Half a character at the edge of a cut is dropped with it; a document of which
+    nothing but white space is left goes, unless it was such before."""
+    @F.pandas_udf("string")
+    def remaining(body: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
+        out = []
+        for b, s, e in zip(body, start, end, strict=True):
+            kept, at = [], 0
+            for first, last in zip(*map(np.ndarray.tolist, merged(np.asarray(s, np.int64), np.asarray(e, np.int64), len(b))), strict=True):
+                kept.append(b[at:first])
+                at = last
+            out.append((b"".join(kept) + b[at:]).decode("utf-8", "ignore"))
+        return pd.Series(out, dtype=object)
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_th": F.xxhash64(text)})
+    cover = spans(docs).select(F.col("did").alias("_did"), F.col("th").alias("_th"), "start", "end").groupBy("_did", "_th").agg(F.collect_list("start").alias("_start"), F.collect_list("end").alias("_end"))
+    joined = rows.join(cover, ["_did", "_th"], "left")
+    touched = F.col("_start").isNotNull()
+    # untouched rows don't go through Python
+    new = F.when(touched, remaining(F.when(touched, F.col("text").cast("string").cast("binary")).otherwise(F.lit(b"")), F.coalesce("_start", F.array().cast("array<bigint>")), F.coalesce("_end", F.array().cast("array<bigint>")))).otherwise(F.col("text"))
+    out = joined.withColumn("_new", new).where(~touched | (F.trim(F.regexp_replace("_new", r"\s+", " ")) != ""))
+    return out.select(*[F.col("_new").alias(c) if c == "text" else F.when(touched, F.char_length("_new")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])

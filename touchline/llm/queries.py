@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from touchline.llm import bpe, fingerprint, langid, mixing, simhash, suffix, toxicity, url_rules, warc
+from touchline.llm import ann, bpe, fingerprint, langid, mixing, simhash, suffix, toxicity, url_rules, warc
 
 QUERIES = {
+    "op1_learned_partitions": ann.op1_learned_partitions,
     "op5_budget_mixing": mixing.op5_budget_mixing,
     "op8_weak_toxicity": toxicity.op8_weak_toxicity,
     "op9_iblt_fingerprints": fingerprint.op9_iblt_fingerprints,

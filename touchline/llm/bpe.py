@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 #: Bytes of a window beyond the lookahead.
 CHUNK = 256
 #: Pieces of at most this many characters are kept in the cache of at most CACHE pieces.
-CACHED_CHARS, CACHE = 48, 400_000
+CACHED_CHARS, CACHE = 48, 200_000
 DEFAULT_FILE = "byte_bpe_50k.json"
 
 
@@ -214,11 +214,11 @@ class Transducer:
 
     def learn(self, texts: list[list[str]]) -> None:
         """Put what the texts' short pieces need in the cache."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
         met: set[str] = set()
         for pieces in texts:
             met.update(pieces)
+        if len(self.cache) > CACHE:  # what these texts need stays, and with it all frequent pieces
+            self.cache = {p: self.cache[p] for p in met & self.cache.keys()}
         new = [p for p in met if p not in self.cache and len(p) <= CACHED_CHARS]
         for p, tokens in zip(new, self.long_pieces([p.encode("utf-8", "replace") for p in new]), strict=True):
             self.cache[p] = (",".join(map(str, tokens)), len(tokens), b"".join(map(self.token_bytes.__getitem__, tokens)))
@@ -337,6 +337,7 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 part = b.slice(at, TEXTS)
                 n, ids, decoded = zip(*machine.digests([t or "" for t in part.column("text").to_pylist()]), strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        machine.cache.clear()  # workers live on; what they keep counts against the executor's next stage
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -12,8 +12,9 @@ from touchline.sources import adapters as src
 
 S, P = src.SETTLED, src.PREDICTIONS
 SCORED = f"{S}, {P}, e AS (SELECT preds.*, home_score, away_score, league_id, match_date, (home_score > away_score)::INT::DOUBLE AS y_h, (home_score = away_score)::INT::DOUBLE AS y_d, (home_score < away_score)::INT::DOUBLE AS y_a FROM preds JOIN settled USING (match_id))"
-H, D, A = (F.col(f"p_{k}") for k in "hda")
-YH, YD, YA = (F.col(f"y_{k}") for k in "hda")
+# columns are made when a query is, since that needs a session
+H, D, A = (lambda: F.col("p_h")), (lambda: F.col("p_d")), (lambda: F.col("p_a"))
+YH, YD, YA = (lambda: F.col("y_h")), (lambda: F.col("y_d")), (lambda: F.col("y_a"))
 
 
 def r6(c):
@@ -32,15 +33,15 @@ BRIER = "((p_h - y_h) * (p_h - y_h) + (p_d - y_d) * (p_d - y_d) + (p_a - y_a) *
 
 
 def rps():
-    return ((H - YH) * (H - YH) + (H + D - YH - YD) * (H + D - YH - YD)) / 2
+    return ((H() - YH()) * (H() - YH()) + (H() + D() - YH() - YD()) * (H() + D() - YH() - YD())) / 2
 
 
 def brier():
-    return (H - YH) * (H - YH) + (D - YD) * (D - YD) + (A - YA) * (A - YA)
+    return (H() - YH()) * (H() - YH()) + (D() - YD()) * (D() - YD()) + (A() - YA()) * (A() - YA())
 
 
 def log_loss():
-    return -F.ln(F.greatest(F.lit(1e-15), H * YH + D * YD + A * YA))
+    return -F.ln(F.greatest(F.lit(1e-15), H() * YH() + D() * YD() + A() * YA()))
 
 
 HIT = "(CASE WHEN p_h >= p_d AND p_h >= p_a THEN y_h WHEN p_d >= p_a THEN y_d ELSE y_a END)"
@@ -48,7 +49,7 @@ HIT = "(CASE WHEN p_h >= p_d AND p_h >= p_a THEN y_h WHEN p_d >= p_a THEN y_d EL
 
 def hit():
     """Whether the first largest probability is the outcome's."""
-    return F.when((H >= D) & (H >= A), YH).when(D >= A, YD).otherwise(YA)
+    return F.when((H() >= D()) & (H() >= A()), YH()).when(D() >= A(), YD()).otherwise(YA())
 
 
 @query("evl_01_rps", f"WITH {SCORED} SELECT model_version, count(*) AS n, round(avg({RPS}), 6) AS rps FROM e GROUP BY 1")
@@ -58,7 +59,7 @@ def evl_01(spark, d):
 
 @query("evl_02_brier", f"WITH {SCORED} SELECT model_version, round(avg({BRIER}), 6) AS brier_sum, round(avg({BRIER} / 3), 6) AS brier_mean, round(avg((p_h - y_h) * (p_h - y_h)), 6) AS brier_home FROM e GROUP BY 1")
 def evl_02(spark, d):
-    return scored(spark, d).groupBy("model_version").agg(r6(F.avg(brier())).alias("brier_sum"), r6(F.avg(brier() / 3)).alias("brier_mean"), r6(F.avg((H - YH) * (H - YH))).alias("brier_home"))
+    return scored(spark, d).groupBy("model_version").agg(r6(F.avg(brier())).alias("brier_sum"), r6(F.avg(brier() / 3)).alias("brier_mean"), r6(F.avg((H() - YH()) * (H() - YH()))).alias("brier_home"))
 
 
 LONG = f"{SCORED}, l AS (SELECT model_version, 'h' AS class, p_h AS p, y_h AS y FROM e UNION ALL SELECT model_version, 'd', p_d, y_d FROM e UNION ALL SELECT model_version, 'a', p_a, y_a FROM e)"
@@ -93,14 +94,14 @@ def evl_05(spark, d):
 @query("evl_06_walk_forward", f"WITH {SCORED}, k AS (SELECT *, row_number() OVER (PARTITION BY league_id ORDER BY match_date, match_id, snap_no, part_no, supp_no) - 1 AS i, count(*) OVER (PARTITION BY league_id) // 6 AS size FROM e WHERE abs(p_h + p_d + p_a - 1) <= 1e-6) SELECT league_id, CAST(i // size AS BIGINT) AS fold, count(*) AS n, round(avg({RPS}), 6) AS rps, round(avg({BRIER}), 6) AS brier, round(avg({HIT}), 6) AS accuracy, CAST(min(match_date) AS DATE) AS from_day, CAST(max(match_date) AS DATE) AS to_day FROM k WHERE i // size BETWEEN 1 AND 5 GROUP BY ALL")
 def evl_06(spark, d, folds=5):
     w = Window.partitionBy("league_id")
-    k = scored(spark, d).where(F.abs(H + D + A - 1) <= 1e-6)
+    k = scored(spark, d).where(F.abs(H() + D() + A() - 1) <= 1e-6)
     k = k.withColumn("fold", F.floor((F.row_number().over(w.orderBy("match_date", "match_id", "snap_no", "part_no", "supp_no")) - 1) / F.floor(F.count("*").over(w) / (folds + 1))))
     return k.where(F.col("fold").between(1, folds)).groupBy("league_id", "fold").agg(F.count("*").alias("n"), r6(F.avg(rps())).alias("rps"), r6(F.avg(brier())).alias("brier"), r6(F.avg(hit())).alias("accuracy"), F.to_date(F.min("match_date")).alias("from_day"), F.to_date(F.max("match_date")).alias("to_day"))
 
 
 @query("evl_07_league_breakdown", f"WITH {SCORED} SELECT league_id, round(avg({HIT}), 6) AS accuracy, round(avg(-ln(greatest(1e-15, p_h * y_h + p_d * y_d + p_a * y_a))), 6) AS log_loss, round(avg({RPS}), 6) AS rps, round(avg(y_d), 6) AS draw_rate FROM e GROUP BY 1")
 def evl_07(spark, d):
-    return scored(spark, d).groupBy("league_id").agg(r6(F.avg(hit())).alias("accuracy"), r6(F.avg(log_loss())).alias("log_loss"), r6(F.avg(rps())).alias("rps"), r6(F.avg(YD)).alias("draw_rate"))
+    return scored(spark, d).groupBy("league_id").agg(r6(F.avg(hit())).alias("accuracy"), r6(F.avg(log_loss())).alias("log_loss"), r6(F.avg(rps())).alias("rps"), r6(F.avg(YD())).alias("draw_rate"))
 
 
 CALLED = "CASE WHEN p_h >= p_d AND p_h >= p_a THEN 'h' WHEN p_d >= p_a THEN 'd' ELSE 'a' END"
@@ -108,49 +109,49 @@ CALLED = "CASE WHEN p_h >= p_d AND p_h >= p_a THEN 'h' WHEN p_d >= p_a THEN 'd'
 
 @query("evl_08_confusion", f"WITH {SCORED} SELECT {CALLED} AS called, count(*) FILTER (y_h = 1) AS h, count(*) FILTER (y_d = 1) AS d, count(*) FILTER (y_a = 1) AS a FROM e GROUP BY 1")
 def evl_08(spark, d):
-    called = F.when((H >= D) & (H >= A), "h").when(D >= A, "d").otherwise("a")
+    called = F.when((H() >= D()) & (H() >= A()), "h").when(D() >= A(), "d").otherwise("a")
     return scored(spark, d).groupBy(called.alias("called")).agg(*[F.count_if(F.col(f"y_{k}") == 1).alias(k) for k in "hda"])
 
 
 @query("evl_10_simplex", f"WITH {P} SELECT model_version, count(*) FILTER (least(p_h, p_d, p_a) >= 0 AND abs(p_h + p_d + p_a - 1) <= 1e-6) AS ok, count(*) AS n FROM preds GROUP BY 1")
 def evl_10(spark, d):
-    ok = (F.least(H, D, A) >= 0) & (F.abs(H + D + A - 1) <= 1e-6)
+    ok = (F.least(H(), D(), A()) >= 0) & (F.abs(H() + D() + A() - 1) <= 1e-6)
     return src.predictions(spark, d).groupBy("model_version").agg(F.count_if(ok).alias("ok"), F.count("*").alias("n"))
 
 
 @query("cal_02_temperature", f"WITH {SCORED}, g AS (SELECT i / 10.0::DOUBLE AS t FROM range(5, 31) AS r(i)), z AS (SELECT p_h, p_d, p_a, p_h * y_h + p_d * y_d + p_a * y_a AS q, count(*) AS n FROM e GROUP BY ALL), l AS (SELECT t, sum(-n * ln(pow(q, 1 / t) / (pow(p_h, 1 / t) + pow(p_d, 1 / t) + pow(p_a, 1 / t)))) / sum(n) AS nll FROM z, g GROUP BY 1) SELECT t, round(nll, 6) AS nll FROM l ORDER BY round(nll, 9), t LIMIT 1")
 def cal_02(spark, d):
     """Grid search for the softmax temperature: rows are summed up before the grid of 26 is laid over them."""
-    z = scored(spark, d).groupBy("p_h", "p_d", "p_a", (H * YH + D * YD + A * YA).alias("q")).agg(F.count("*").alias("n"))
+    z = scored(spark, d).groupBy("p_h", "p_d", "p_a", (H() * YH() + D() * YD() + A() * YA()).alias("q")).agg(F.count("*").alias("n"))
     g = z.withColumn("t", F.explode(F.array(*[F.lit(i / 10.0) for i in range(5, 31)])))
     inv = 1 / F.col("t")
-    nll = -F.ln(F.pow("q", inv) / (F.pow(H, inv) + F.pow(D, inv) + F.pow(A, inv)))
+    nll = -F.ln(F.pow("q", inv) / (F.pow(H(), inv) + F.pow(D(), inv) + F.pow(A(), inv)))
     best = g.groupBy("t").agg((F.sum(F.col("n") * nll) / F.sum("n")).alias("nll"))
     return best.orderBy(F.round("nll", 9), "t").limit(1).select("t", r6("nll").alias("nll"))
 
 
 @query("cal_05_draw_inflation", f"WITH {SCORED}, f AS (SELECT league_id, avg(y_d) / avg(p_d) AS factor FROM e GROUP BY 1) SELECT league_id, round(factor, 6) AS factor, round(least(0.6, avg(p_d) * max(factor)), 6) AS draw FROM e JOIN f USING (league_id) GROUP BY league_id, factor")
 def cal_05(spark, d):
-    return scored(spark, d).groupBy("league_id").agg(r6(F.avg(YD) / F.avg(D)).alias("factor"), r6(F.least(F.lit(0.6), F.avg(D) * (F.avg(YD) / F.avg(D)))).alias("draw"))
+    return scored(spark, d).groupBy("league_id").agg(r6(F.avg(YD()) / F.avg(D())).alias("factor"), r6(F.least(F.lit(0.6), F.avg(D()) * (F.avg(YD()) / F.avg(D())))).alias("draw"))
 
 
 @query("cal_08_draw_policy", f"WITH {SCORED}, z AS (SELECT p_h, p_d, p_a, y_h, y_d, y_a, count(*) AS n FROM e GROUP BY ALL), g AS (SELECT i / 100.0::DOUBLE AS threshold FROM range(20, 41) AS r(i)) SELECT threshold, round(sum(n * CASE WHEN p_d >= threshold THEN y_d WHEN p_h >= p_a THEN y_h ELSE y_a END) / sum(n), 6) AS accuracy FROM z, g GROUP BY 1")
 def cal_08(spark, d):
     z = scored(spark, d).groupBy("p_h", "p_d", "p_a", "y_h", "y_d", "y_a").agg(F.count("*").alias("n"))
     g = z.withColumn("threshold", F.explode(F.array(*[F.lit(i / 100.0) for i in range(20, 41)])))
-    right = F.when(D >= F.col("threshold"), YD).when(H >= A, YH).otherwise(YA)
+    right = F.when(D() >= F.col("threshold"), YD()).when(H() >= A(), YH()).otherwise(YA())
     return g.groupBy("threshold").agg(r6(F.sum(F.col("n") * right) / F.sum("n")).alias("accuracy"))
 
 
 @query("cal_10_draw_blend", f"WITH {P} SELECT match_id, snap_no, part_no, supp_no, round(sqrt(p_d * 0.28::DOUBLE) / (p_h + p_a + sqrt(p_d * 0.28::DOUBLE)), 6) AS draw FROM preds")
 def cal_10(spark, d, q=0.28):
-    b = F.sqrt(D * q)
-    return src.predictions(spark, d).select("match_id", "snap_no", "part_no", "supp_no", r6(b / (H + A + b)).alias("draw"))
+    b = F.sqrt(D() * q)
+    return src.predictions(spark, d).select("match_id", "snap_no", "part_no", "supp_no", r6(b / (H() + A() + b)).alias("draw"))
 
 
 @query("cal_11_diversity", f"WITH {P}, m AS (SELECT match_id, avg(p_h) FILTER (model_version = 'F') AS f, avg(p_h) FILTER (model_version = 'O') AS o FROM preds GROUP BY 1) SELECT count(*) AS n, round(corr(f, o), 6) AS r, round(avg(abs(f - o)), 6) AS disagreement FROM m WHERE f IS NOT NULL AND o IS NOT NULL")
 def cal_11(spark, d):
-    m = src.predictions(spark, d).groupBy("match_id").agg(*[F.avg(F.when(F.col("model_version") == v, H)).alias(v.lower()) for v in "FO"]).where("f IS NOT NULL AND o IS NOT NULL")
+    m = src.predictions(spark, d).groupBy("match_id").agg(*[F.avg(F.when(F.col("model_version") == v, H())).alias(v.lower()) for v in "FO"]).where("f IS NOT NULL AND o IS NOT NULL")
     return m.agg(F.count("*").alias("n"), r6(F.corr("f", "o")).alias("r"), r6(F.avg(F.abs(F.col("f") - F.col("o")))).alias("disagreement"))
 
 
@@ -184,7 +185,7 @@ def drf_05(spark, d):
 
 @query("unc_01_entropy", f"WITH {P} SELECT match_id, snap_no, part_no, supp_no, round(-(p_h * ln(p_h) + p_d * ln(p_d) + p_a * ln(p_a)) / ln(3), 6) AS aleatoric, round(1 - confidence, 6) AS epistemic FROM preds")
 def unc_01(spark, d):
-    return src.predictions(spark, d).select("match_id", "snap_no", "part_no", "supp_no", r6(mk.entropy(H, D, A) / F.ln(F.lit(3.0))).alias("aleatoric"), r6(1 - F.col("confidence")).alias("epistemic"))
+    return src.predictions(spark, d).select("match_id", "snap_no", "part_no", "supp_no", r6(mk.entropy(H(), D(), A()) / F.ln(F.lit(3.0))).alias("aleatoric"), r6(1 - F.col("confidence")).alias("epistemic"))
 
 
 LAMBDAS = f"{S}, t AS (SELECT league_id, round(avg(home_score), 6) AS lh, round(avg(away_score), 6) AS la FROM settled GROUP BY 1)"

@@ -13,7 +13,8 @@ from touchline.sources import adapters as src
 S, M, N, P = src.SETTLED, src.MATCHES, src.SNAPSHOTS, src.PREDICTIONS
 IDS = ["match_id", "snap_no", "part_no", "supp_no"]
 IDS_SQL = "match_id, snap_no, part_no, supp_no"
-H, D, A = F.col("odds_h"), F.col("odds_d"), F.col("odds_a")
+# columns are made when a query is, since that needs a session
+H, D, A = (lambda: F.col("odds_h")), (lambda: F.col("odds_d")), (lambda: F.col("odds_a"))
 TOTAL = "(1 / odds_h + 1 / odds_d + 1 / odds_a)"
 BOTH = f"{N}, {P}, j AS (SELECT * FROM snaps JOIN preds USING ({IDS_SQL}))"
 
@@ -29,22 +30,22 @@ def joined(spark, d):
 
 @query("mkt_01_price_filter", f"WITH {N} SELECT {IDS_SQL} FROM snaps WHERE odds_h > 1.5 AND isfinite(odds_h)")
 def mkt_01(spark, d):
-    return src.snapshots(spark, d).where(mk.priced(H, 1.5)).select(*IDS)
+    return src.snapshots(spark, d).where(mk.priced(H(), 1.5)).select(*IDS)
 
 
 @query("mkt_02_complete_market", f"WITH {N} SELECT {IDS_SQL}, odds_h > 1.3 AND odds_d > 3 AND odds_a > 1.5 AS complete FROM snaps")
 def mkt_02(spark, d):
-    return src.snapshots(spark, d).select(*IDS, (mk.priced(H, 1.3) & mk.priced(D, 3.0) & mk.priced(A, 1.5)).alias("complete"))
+    return src.snapshots(spark, d).select(*IDS, (mk.priced(H(), 1.3) & mk.priced(D(), 3.0) & mk.priced(A(), 1.5)).alias("complete"))
 
 
 @query("mkt_03_margin", f"WITH {N} SELECT {IDS_SQL}, round({TOTAL} - 1, 6) AS margin FROM snaps")
 def mkt_03(spark, d):
-    return src.snapshots(spark, d).select(*IDS, r6(mk.margin(H, D, A)).alias("margin"))
+    return src.snapshots(spark, d).select(*IDS, r6(mk.margin(H(), D(), A())).alias("margin"))
 
 
-@query("mkt_04_proportional_devig", f"WITH {N} SELECT {IDS_SQL}, round(1 / odds_h / {TOTAL}, 6) AS p_h, round(1 / odds_d / {TOTAL}, 6) AS p_d, round(1 / odds_a / {TOTAL}, 6) AS p_a FROM snaps")
+@query("mkt_04_proportional_devig", f"WITH {N} SELECT {IDS_SQL}, round(1 / odds_h / {TOTAL}, 8) AS p_h, round(1 / odds_d / {TOTAL}, 8) AS p_d, round(1 / odds_a / {TOTAL}, 8) AS p_a FROM snaps")
 def mkt_04(spark, d):
-    return src.snapshots(spark, d).select(*IDS, *[r6(p).alias(f"p_{k}") for k, p in zip("hda", mk.proportional(H, D, A))])
+    return src.snapshots(spark, d).select(*IDS, *[F.round(p, 8).alias(f"p_{k}") for k, p in zip("hda", mk.proportional(H(), D(), A()))])
 
 
 _MID = "(s.lo + s.hi) / 2"
@@ -59,7 +60,7 @@ FROM (SELECT *, pow(1 / odds_h, 2 / (lo + hi)) + pow(1 / odds_d, 2 / (lo + hi))
 def mkt_05(spark, d):
     """Each different price triple once; equal markets have equal probabilities."""
     g = src.snapshots(spark, d).select("odds_h", "odds_d", "odds_a").distinct()
-    return g.select("odds_h", "odds_d", "odds_a", *[F.round(p, 5).alias(f"p_{k}") for k, p in zip("hda", mk.power([H, D, A]))])
+    return g.select("odds_h", "odds_d", "odds_a", *[F.round(p, 5).alias(f"p_{k}") for k, p in zip("hda", mk.power([H(), D(), A()]))])
 
 
 @query("mkt_06_feature_pack", f"""WITH {BOTH}, o AS (SELECT *, first_value(odds_h) OVER (PARTITION BY match_id, bookmaker ORDER BY captured_at, snap_no, part_no, supp_no) AS opening FROM j)
@@ -67,20 +68,20 @@ SELECT {IDS_SQL}, round(p_h * odds_h - 1, 6) AS ev_h, round(p_h - 1 / odds_h / {
 def mkt_06(spark, d):
     w = Window.partitionBy("match_id", "bookmaker").orderBy("captured_at", "snap_no", "part_no", "supp_no")
     j = joined(spark, d).withColumn("opening", F.first("odds_h").over(w))
-    ev = [mk.ev(F.col(f"p_{k}"), o) for k, o in zip("hda", (H, D, A))]
-    return j.select(*IDS, r6(ev[0]).alias("ev_h"), r6(F.col("p_h") - mk.proportional(H, D, A)[0]).alias("edge_h"), r6(F.ln(H / F.col("opening"))).alias("drift_h"), r6(F.greatest(*ev)).alias("max_ev"))
+    ev = [mk.ev(F.col(f"p_{k}"), o) for k, o in zip("hda", (H(), D(), A()))]
+    return j.select(*IDS, r6(ev[0]).alias("ev_h"), r6(F.col("p_h") - mk.proportional(H(), D(), A())[0]).alias("edge_h"), r6(F.ln(H() / F.col("opening"))).alias("drift_h"), r6(F.greatest(*ev)).alias("max_ev"))
 
 
 @query("mkt_07_efficiency", f"WITH {N} SELECT bookmaker, count(*) AS n, round(avg({TOTAL} - 1), 6) AS mean_margin, round(avg(({TOTAL} - 1 < 0.04)::INT), 6) AS sharp_share FROM snaps GROUP BY 1")
 def mkt_07(spark, d):
-    m = mk.margin(H, D, A)
+    m = mk.margin(H(), D(), A())
     return src.snapshots(spark, d).groupBy("bookmaker").agg(F.count("*").alias("n"), r6(F.avg(m)).alias("mean_margin"), r6(F.avg((m < 0.04).cast("int"))).alias("sharp_share"))
 
 
 @query("mkt_10_entropy_block", f"WITH {N}, q AS (SELECT *, 1 / odds_h / {TOTAL} AS a, 1 / odds_d / {TOTAL} AS b, 1 / odds_a / {TOTAL} AS c FROM snaps WHERE {TOTAL} BETWEEN 1 AND 1.25) SELECT {IDS_SQL}, round(-(a * ln(a) + b * ln(b) + c * ln(c)) / ln(3), 6) AS entropy, round(greatest(a, b, c) - (a + b + c - greatest(a, b, c) - least(a, b, c)), 6) AS top_gap FROM q")
 def mkt_10(spark, d):
-    s = src.snapshots(spark, d).where((1 + mk.margin(H, D, A)).between(1, 1.25))
-    p = mk.proportional(H, D, A)
+    s = src.snapshots(spark, d).where((1 + mk.margin(H(), D(), A())).between(1, 1.25))
+    p = mk.proportional(H(), D(), A())
     middle = p[0] + p[1] + p[2] - F.greatest(*p) - F.least(*p)
     return s.select(*IDS, r6(mk.entropy(*p) / F.ln(F.lit(3.0))).alias("entropy"), r6(F.greatest(*p) - middle).alias("top_gap"))
 
@@ -88,7 +89,7 @@ def mkt_10(spark, d):
 @query("mkt_11_fallback_median", f"WITH {N}, w AS (SELECT match_id, max(odds_h) FILTER (bookmaker = 0) AS b0, max(odds_h) FILTER (bookmaker = 1) AS b1, max(odds_h) FILTER (bookmaker = 2) AS b2 FROM snaps GROUP BY 1), c AS (SELECT match_id, coalesce(b0, b1, b2) AS o FROM w) SELECT match_id, round(coalesce(o, (SELECT quantile_cont(o, 0.5) FROM c)), 6) AS odds_h FROM c")
 def mkt_11(spark, d):
     """Column fallback, then the exact median over all matches (one value)."""
-    w = src.snapshots(spark, d).groupBy("match_id").agg(*[F.max(F.when(F.col("bookmaker") == k, H)).alias(f"b{k}") for k in range(3)])
+    w = src.snapshots(spark, d).groupBy("match_id").agg(*[F.max(F.when(F.col("bookmaker") == k, H())).alias(f"b{k}") for k in range(3)])
     c = w.select("match_id", F.coalesce("b0", "b1", "b2").alias("o"))
     return c.join(F.broadcast(c.agg(F.median("o").alias("m"))), F.lit(True)).select("match_id", r6(F.coalesce("o", "m")).alias("odds_h"))
 
@@ -96,23 +97,23 @@ def mkt_11(spark, d):
 @query("mkt_13_kelly", f"WITH {BOTH} SELECT {IDS_SQL}, round(least(1, greatest(0, ((odds_h - 1) * p_h - (1 - p_h)) / (odds_h - 1))), 6) AS kelly, round(least(0.05, least(1, greatest(0, ((odds_h - 1) * p_h - (1 - p_h)) / (odds_h - 1))) / 4), 6) AS quarter FROM j")
 def mkt_13(spark, d):
     p = F.col("p_h")
-    return joined(spark, d).select(*IDS, r6(mk.kelly(p, H)).alias("kelly"), r6(mk.kelly(p, H, 0.25, 0.05)).alias("quarter"))
+    return joined(spark, d).select(*IDS, r6(mk.kelly(p, H())).alias("kelly"), r6(mk.kelly(p, H(), 0.25, 0.05)).alias("quarter"))
 
 
 @query("mkt_14_weighted_edge", f"WITH {BOTH} SELECT {IDS_SQL}, round((p_h - 1 / odds_h) * (odds_h - 1) * (part_no % 10) / 10.0::DOUBLE, 4) AS edge FROM j")
 def mkt_14(spark, d):
-    return joined(spark, d).select(*IDS, F.round((F.col("p_h") - 1 / H) * (H - 1) * (F.col("part_no") % 10) / 10.0, 4).alias("edge"))
+    return joined(spark, d).select(*IDS, F.round((F.col("p_h") - 1 / H()) * (H() - 1) * (F.col("part_no") % 10) / 10.0, 4).alias("edge"))
 
 
 @query("mkt_15_value_bets", f"WITH {BOTH} SELECT match_id, count(*) AS bets, round(max(p_h - 1 / odds_h), 6) AS best_edge, arg_max(bookmaker, {{'e': p_h - 1 / odds_h, 'b': -bookmaker}}) AS book FROM j WHERE odds_h BETWEEN 1.5 AND 10 AND p_h - 1 / odds_h > 0.042 GROUP BY 1")
 def mkt_15(spark, d):
-    e = F.col("p_h") - 1 / H
-    return joined(spark, d).where(H.between(1.5, 10) & (e > 0.042)).groupBy("match_id").agg(F.count("*").alias("bets"), r6(F.max(e)).alias("best_edge"), F.max_by("bookmaker", F.struct(e, -F.col("bookmaker"))).alias("book"))
+    e = F.col("p_h") - 1 / H()
+    return joined(spark, d).where(H().between(1.5, 10) & (e > 0.042)).groupBy("match_id").agg(F.count("*").alias("bets"), r6(F.max(e)).alias("best_edge"), F.max_by("bookmaker", F.struct(e, -F.col("bookmaker"))).alias("book"))
 
 
 @query("mkt_16_compare_books", f"WITH {BOTH} SELECT {IDS_SQL}, row_number() OVER (PARTITION BY match_id ORDER BY p_h - 1 / odds_h DESC, bookmaker, snap_no, part_no, supp_no) AS place FROM j")
 def mkt_16(spark, d):
-    w = Window.partitionBy("match_id").orderBy(F.desc(F.col("p_h") - 1 / H), "bookmaker", "snap_no", "part_no", "supp_no")
+    w = Window.partitionBy("match_id").orderBy(F.desc(F.col("p_h") - 1 / H()), "bookmaker", "snap_no", "part_no", "supp_no")
     return joined(spark, d).select(*IDS, F.row_number().over(w).cast("long").alias("place"))
 
 
@@ -120,12 +121,12 @@ def mkt_16(spark, d):
 def mkt_17(spark, d):
     s = src.snapshots(spark, d)
     c = s.where("is_closing").groupBy("match_id").agg(F.max_by("odds_h", F.struct("captured_at", "snap_no", "part_no", "supp_no")).alias("closing"))
-    return s.join(c, "match_id").select(*IDS, r6((1 / H - 1 / F.col("closing")) * 100).alias("cents"), r6((H / F.col("closing") - 1) * 100).alias("pct"))
+    return s.join(c, "match_id").select(*IDS, r6((1 / H() - 1 / F.col("closing")) * 100).alias("cents"), r6((H() / F.col("closing") - 1) * 100).alias("pct"))
 
 
 @query("mkt_18_clv_summary", f"WITH {BOTH}, k AS (SELECT model_version, CASE WHEN p_h >= p_d AND p_h >= p_a THEN p_h - 1 / odds_h / {TOTAL} WHEN p_d >= p_a THEN p_d - 1 / odds_d / {TOTAL} ELSE p_a - 1 / odds_a / {TOTAL} END AS clv FROM j WHERE abs(p_h + p_d + p_a - 1) <= 1e-6) SELECT model_version, count(*) AS n, round(CASE WHEN count(*) >= 10 THEN avg(clv) END, 6) AS mean_clv, round(CASE WHEN count(*) >= 10 THEN avg((clv > 0)::INT) END, 6) AS positive_rate FROM k GROUP BY 1")
 def mkt_18(spark, d):
-    p, q = [F.col(f"p_{k}") for k in "hda"], mk.proportional(H, D, A)
+    p, q = [F.col(f"p_{k}") for k in "hda"], mk.proportional(H(), D(), A())
     clv = F.when((p[0] >= p[1]) & (p[0] >= p[2]), p[0] - q[0]).when(p[1] >= p[2], p[1] - q[1]).otherwise(p[2] - q[2])
     k = joined(spark, d).where(F.abs(p[0] + p[1] + p[2] - 1) <= 1e-6).withColumn("clv", clv)
     enough = F.count("*") >= 10
@@ -142,7 +143,7 @@ g AS (SELECT *, count(*) OVER (PARTITION BY league_id, day) AS n FROM b), h AS (
 SELECT match_id, n AS group_size, round(adjusted, 6) AS adjusted, round(sum(adjusted) OVER (PARTITION BY day ORDER BY edge DESC, match_id), 6) AS running, sum(adjusted) OVER (PARTITION BY day ORDER BY edge DESC, match_id) > 0.15 AS exceeds FROM h""")
 def mkt_20(spark, d):
     j = joined(spark, d).join(src.matches(spark, d).select("match_id", "league_id", F.to_date("match_date").alias("day")), "match_id")
-    b = j.groupBy("match_id", "league_id", "day").agg(F.max(F.col("p_h") - 1 / H).alias("edge"), F.max(mk.kelly(F.col("p_h"), H, 0.25, 0.05)).alias("stake")).where("edge > 0.042")
+    b = j.groupBy("match_id", "league_id", "day").agg(F.max(F.col("p_h") - 1 / H()).alias("edge"), F.max(mk.kelly(F.col("p_h"), H(), 0.25, 0.05)).alias("stake")).where("edge > 0.042")
     g = b.withColumn("n", F.count("*").over(Window.partitionBy("league_id", "day")))
     g = g.withColumn("adjusted", F.col("stake") * F.greatest(F.lit(0.5), 1 - 0.1 * (F.col("n") - 1)))
     run = F.sum("adjusted").over(Window.partitionBy("day").orderBy(F.desc("edge"), "match_id").rowsBetween(Window.unboundedPreceding, 0))
@@ -151,7 +152,7 @@ def mkt_20(spark, d):
 
 @query("mkt_21_quality_tiers", f"WITH {BOTH} SELECT CASE WHEN p_h * odds_h - 1 > 0.5 AND confidence > 0.5 THEN 'A' WHEN p_h * odds_h - 1 > 0.1 THEN 'B' WHEN p_h * odds_h - 1 > 0 THEN 'C' ELSE 'D' END AS tier, count(*) AS n FROM j GROUP BY 1")
 def mkt_21(spark, d):
-    e = mk.ev(F.col("p_h"), H)
+    e = mk.ev(F.col("p_h"), H())
     return joined(spark, d).groupBy(F.when((e > 0.5) & (F.col("confidence") > 0.5), "A").when(e > 0.1, "B").when(e > 0, "C").otherwise("D").alias("tier")).agg(F.count("*").alias("n"))
 
 
@@ -194,7 +195,7 @@ def mkt_27(spark, d):
 
 @query("mkt_28_board_capture", f"WITH {N} SELECT match_id, min(bookmaker) AS bookmaker, count(*) AS coherent FROM snaps WHERE {TOTAL} BETWEEN 1 AND 1.25 GROUP BY 1")
 def mkt_28(spark, d):
-    return src.snapshots(spark, d).where((1 + mk.margin(H, D, A)).between(1, 1.25)).groupBy("match_id").agg(F.min("bookmaker").alias("bookmaker"), F.count("*").alias("coherent"))
+    return src.snapshots(spark, d).where((1 + mk.margin(H(), D(), A())).between(1, 1.25)).groupBy("match_id").agg(F.min("bookmaker").alias("bookmaker"), F.count("*").alias("coherent"))
 
 
 VERDICT = "CASE WHEN margin > 0.6 THEN 'PARTIAL' WHEN ev <= 0 THEN 'NO_BET' WHEN edge < 0.02 THEN 'HOLD' WHEN confidence < 0.4 THEN 'SPECULATIVE' WHEN edge > 0.15 AND confidence >= 0.5 THEN 'HIGH_CONVICTION' ELSE 'ACTIONABLE' END"
@@ -202,7 +203,7 @@ VERDICT = "CASE WHEN margin > 0.6 THEN 'PARTIAL' WHEN ev <= 0 THEN 'NO_BET' WHEN
 
 def decided(spark, d):
     """The ordered verdict gate over each outcome's best reading."""
-    j = joined(spark, d).withColumns({"margin": mk.margin(H, D, A), "ev": mk.ev(F.col("p_h"), H), "edge": F.col("p_h") - mk.proportional(H, D, A)[0]})
+    j = joined(spark, d).withColumns({"margin": mk.margin(H(), D(), A()), "ev": mk.ev(F.col("p_h"), H()), "edge": F.col("p_h") - mk.proportional(H(), D(), A())[0]})
     verdict = F.when(F.col("margin") > 0.6, "PARTIAL").when(F.col("ev") <= 0, "NO_BET").when(F.col("edge") < 0.02, "HOLD").when(F.col("confidence") < 0.4, "SPECULATIVE").when((F.col("edge") > 0.15) & (F.col("confidence") >= 0.5), "HIGH_CONVICTION").otherwise("ACTIONABLE")
     return j.withColumn("verdict", verdict)
 
@@ -237,5 +238,5 @@ def mkt_38(spark, d):
 @query("seq_08_bankroll", f"WITH {S}, {BOTH} SELECT model_version, round(sum(CASE WHEN home_score > away_score THEN odds_h - 1 ELSE -1 END), 4) AS flat, round(sum(CASE WHEN p_h - 1 / odds_h > 0.02 THEN CASE WHEN home_score > away_score THEN odds_h - 1 ELSE -1 END ELSE 0 END), 4) AS value FROM j JOIN settled USING (match_id) GROUP BY 1")
 def seq_08(spark, d):
     j = joined(spark, d).join(ops.settled(src.matches(spark, d)).select("match_id", "home_score", "away_score"), "match_id")
-    win = F.when(F.col("home_score") > F.col("away_score"), H - 1).otherwise(-1.0)
-    return j.groupBy("model_version").agg(F.round(F.sum(win), 4).alias("flat"), F.round(F.sum(F.when(F.col("p_h") - 1 / H > 0.02, win).otherwise(0.0)), 4).alias("value"))
+    win = F.when(F.col("home_score") > F.col("away_score"), H() - 1).otherwise(-1.0)
+    return j.groupBy("model_version").agg(F.round(F.sum(win), 4).alias("flat"), F.round(F.sum(F.when(F.col("p_h") - 1 / H() > 0.02, win).otherwise(0.0)), 4).alias("value"))

@@ -11,7 +11,7 @@ from touchline.sources import adapters as src
 
 M, S, T, N, P, SH = src.MATCHES, src.SETTLED, src.TEAM_ROWS, src.SNAPSHOTS, src.PREDICTIONS, src.SHOTS
 CUT, DAY = "1996-01-01", "CAST(match_date AS DATE)"
-pred_order = [F.desc("created_at"), F.desc("snap_no"), F.desc("part_no"), F.desc("supp_no")]
+pred_order = lambda: [F.desc("created_at"), F.desc("snap_no"), F.desc("part_no"), F.desc("supp_no")]  # noqa: E731  made when a query is, since that needs a session
 PRED_ORDER = "created_at DESC, snap_no DESC, part_no DESC, supp_no DESC"
 
 
@@ -104,7 +104,7 @@ def jon_04(spark, d):
 
 @query("jon_05_latest_row_number", f"WITH {P} SELECT match_id, model_version, snap_no, part_no, supp_no FROM preds QUALIFY row_number() OVER (PARTITION BY match_id, model_version ORDER BY {PRED_ORDER}) = 1")
 def jon_05(spark, d):
-    return ops.latest(src.predictions(spark, d), ["match_id", "model_version"], pred_order).select("match_id", "model_version", "snap_no", "part_no", "supp_no")
+    return ops.latest(src.predictions(spark, d), ["match_id", "model_version"], pred_order()).select("match_id", "model_version", "snap_no", "part_no", "supp_no")
 
 
 @query("jon_06_clv_records", f"""WITH {S}, {N}, {P},
@@ -121,7 +121,7 @@ def jon_06(spark, d):
     closing = ops.latest(s.where("is_closing").join(m, "match_id").where("captured_at < match_date"), ["match_id"], [F.desc("captured_at"), F.desc("snap_no"), F.desc("part_no"), F.desc("supp_no")])
     p = src.predictions(spark, d).join(closing.select("match_id", "captured_at", "odds_h", "odds_d", "odds_a"), "match_id").where("created_at < captured_at")
     q = mk.proportional(*map(F.col, ("odds_h", "odds_d", "odds_a")))
-    return ops.latest(p, ["match_id"], pred_order).select("match_id", *[F.round(c, 6).alias(c) for c in ("p_h", "p_d", "p_a")], *[F.round(x, 6).alias(f"q_{k}") for k, x in zip("hda", q)])
+    return ops.latest(p, ["match_id"], pred_order()).select("match_id", *[F.round(c, 6).alias(c) for c in ("p_h", "p_d", "p_a")], *[F.round(x, 6).alias(f"q_{k}") for k, x in zip("hda", q)])
 
 
 @query("jon_07_asof_points", f"""WITH {T}, r AS (SELECT *, sum(points) OVER (PARTITION BY league_id, team ORDER BY match_date, match_id) AS total FROM team_rows)

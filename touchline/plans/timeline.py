@@ -25,21 +25,21 @@ def r6(c):
     return F.round(c, 6)
 
 
-SIDE = by("league_id", "team", "is_home")
-TEAM = by("league_id", "team")
+# windows are made when a query is, since that needs a session
+SIDE, TEAM = (lambda: by("league_id", "team", "is_home")), (lambda: by("league_id", "team"))
 W_SIDE = "PARTITION BY league_id, team, is_home ORDER BY match_date, match_id"
 W_TEAM = "PARTITION BY league_id, team ORDER BY match_date, match_id"
 
 
 @query("win_02_venue_form", f"WITH {T} SELECT match_id, team, round(coalesce(avg(points) OVER w, 1.5), 6) AS form, count(*) FILTER (points = 3) OVER w AS wins, count(*) FILTER (points = 1) OVER w AS draws, count(*) FILTER (points = 0) OVER w AS losses FROM team_rows WINDOW w AS ({W_SIDE} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")
 def win_02(spark, d):
-    w = SIDE.rowsBetween(-5, -1)
+    w = SIDE().rowsBetween(-5, -1)
     return rows_of(spark, d).select("match_id", "team", r6(F.coalesce(F.avg("points").over(w), F.lit(1.5))).alias("form"), *[F.count_if(F.col("points") == v).over(w).alias(k) for k, v in (("wins", 3), ("draws", 1), ("losses", 0))])
 
 
 @query("win_03_venue_goals", f"WITH {T} SELECT match_id, team, round(coalesce(avg(gf) OVER w, CASE WHEN is_home THEN 1.5 ELSE 1.0 END), 6) AS gf_avg, round(coalesce(avg(ga) OVER w, 1.5), 6) AS ga_avg FROM team_rows WINDOW w AS ({W_SIDE} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")
 def win_03(spark, d):
-    w = SIDE.rowsBetween(-5, -1)
+    w = SIDE().rowsBetween(-5, -1)
     return rows_of(spark, d).select("match_id", "team", r6(F.coalesce(F.avg("gf").over(w), F.when(F.col("is_home"), 1.5).otherwise(1.0))).alias("gf_avg"), r6(F.coalesce(F.avg("ga").over(w), F.lit(1.5))).alias("ga_avg"))
 
 
@@ -66,7 +66,7 @@ def win_04(spark, d):
 
 @query("win_05_venue_record", f"WITH {T} SELECT match_id, team, round(coalesce(avg((points = 3)::INT) OVER w, 0.46), 6) AS win_rate, round(coalesce(avg((points = 1)::INT) OVER w, 0.26), 6) AS draw_rate, round(coalesce(avg((points = 0)::INT) OVER w, 0.28), 6) AS loss_rate FROM team_rows WHERE is_home WINDOW w AS ({W_SIDE} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)")
 def win_05(spark, d):
-    w = SIDE.rowsBetween(-10, -1)
+    w = SIDE().rowsBetween(-10, -1)
     rate = lambda v, default: r6(F.coalesce(F.avg((F.col("points") == v).cast("int")).over(w), F.lit(default)))
     return rows_of(spark, d).where("is_home").select("match_id", "team", rate(3, 0.46).alias("win_rate"), rate(1, 0.26).alias("draw_rate"), rate(0, 0.28).alias("loss_rate"))
 
@@ -75,7 +75,7 @@ def rolling(parity):
     last = 0 if parity else -1
     cols = []
     for n in (3, 5, 10):
-        w = TEAM.rowsBetween(last - n + 1, last)
+        w = TEAM().rowsBetween(last - n + 1, last)
         cols += [r6(F.avg("gf").over(w)).alias(f"avg_{n}"), r6(F.coalesce(F.stddev_samp("gf").over(w), F.lit(0.0))).alias(f"std_{n}"), F.max("gf").over(w).alias(f"max_{n}"), F.min("gf").over(w).alias(f"min_{n}")]
     return cols
 
@@ -99,8 +99,8 @@ def win_06_parity(spark, d):
 @query("win_07_points_trend", f"WITH {T}, k AS (SELECT *, row_number() OVER ({W_TEAM}) AS i FROM team_rows) SELECT match_id, team, round(avg(points) OVER w, 6) AS mean_5, round(CASE WHEN count(*) OVER w >= 2 THEN regr_slope(points, i) OVER w ELSE 0 END, 6) AS slope_5 FROM k WINDOW w AS ({W_TEAM} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
 def win_07(spark, d):
     """The reference includes the current match here."""
-    w = TEAM.rowsBetween(-4, 0)
-    k = rows_of(spark, d).withColumn("i", F.row_number().over(TEAM))
+    w = TEAM().rowsBetween(-4, 0)
+    k = rows_of(spark, d).withColumn("i", F.row_number().over(TEAM()))
     return k.select("match_id", "team", r6(F.avg("points").over(w)).alias("mean_5"), r6(F.when(F.count("*").over(w) >= 2, F.regr_slope("points", "i").over(w)).otherwise(0.0)).alias("slope_5"))
 
 
@@ -112,7 +112,7 @@ def win_08(spark, d):
 
 @query("win_09_rest", f"WITH {T} SELECT match_id, team, coalesce(date_diff('day', lag(match_date) OVER w, match_date), 7) AS rest_days FROM team_rows WINDOW w AS ({W_TEAM})")
 def win_09(spark, d):
-    rest = F.datediff("match_date", F.lag("match_date").over(TEAM))
+    rest = F.datediff("match_date", F.lag("match_date").over(TEAM()))
     return rows_of(spark, d).select("match_id", "team", F.coalesce(rest, F.lit(7)).cast("long").alias("rest_days"))
 
 
@@ -126,8 +126,8 @@ def win_10(spark, d):
 def win_11(spark, d):
     """Signed length of the current run of wins or losses, at most 10: gaps and islands."""
     s = F.when(F.col("points") == 3, 1).when(F.col("points") == 1, 0).otherwise(-1)
-    k = rows_of(spark, d).withColumn("s", s).withColumn("new", (~F.col("s").eqNullSafe(F.lag("s").over(TEAM))).cast("int"))
-    k = k.withColumn("island", F.sum("new").over(TEAM))
+    k = rows_of(spark, d).withColumn("s", s).withColumn("new", (~F.col("s").eqNullSafe(F.lag("s").over(TEAM()))).cast("int"))
+    k = k.withColumn("island", F.sum("new").over(TEAM()))
     return k.select("match_id", "team", (F.col("s") * F.least(F.lit(10), F.row_number().over(by("league_id", "team", "island")))).cast("long").alias("streak"))
 
 
@@ -139,14 +139,14 @@ def win_12(spark, d):
 
 @query("win_13_rolling_xg", f"WITH {T} SELECT match_id, team, row_number() OVER ({W_TEAM}) AS match_order, round(CASE WHEN count(gf) OVER w >= 2 THEN avg(gf) OVER w END, 6) AS rolling_for, round(CASE WHEN count(ga) OVER w >= 2 THEN avg(ga) OVER w END, 6) AS rolling_against FROM team_rows WINDOW w AS ({W_TEAM} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")
 def win_13(spark, d):
-    w = TEAM.rowsBetween(-5, -1)
+    w = TEAM().rowsBetween(-5, -1)
     mean = lambda c: r6(F.when(F.count(c).over(w) >= 2, F.avg(c).over(w)))
-    return rows_of(spark, d).select("match_id", "team", F.row_number().over(TEAM).cast("long").alias("match_order"), mean("gf").alias("rolling_for"), mean("ga").alias("rolling_against"))
+    return rows_of(spark, d).select("match_id", "team", F.row_number().over(TEAM()).cast("long").alias("match_order"), mean("gf").alias("rolling_for"), mean("ga").alias("rolling_against"))
 
 
 @query("win_14_form_pack", f"WITH {T} SELECT match_id, team, round(coalesce(sum(points) OVER w5 / 15.0::DOUBLE, 0.5), 6) AS form_5, round(coalesce(sum(points) OVER w10 / 30.0::DOUBLE, 0.5), 6) AS form_10, round(coalesce(sum(points) OVER w20 / 60.0::DOUBLE, 0.5), 6) AS form_20, count(*) FILTER (ga = 0) OVER w10 AS clean_sheets, round(coalesce(stddev_pop(gf) OVER w10, 1.0), 6) AS scoring_std FROM team_rows WINDOW w5 AS ({W_TEAM} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), w10 AS ({W_TEAM} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), w20 AS ({W_TEAM} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)")
 def win_14(spark, d):
-    w = {n: TEAM.rowsBetween(-n, -1) for n in (5, 10, 20)}
+    w = {n: TEAM().rowsBetween(-n, -1) for n in (5, 10, 20)}
     form = lambda n: r6(F.coalesce(F.sum("points").over(w[n]) / (3.0 * n), F.lit(0.5))).alias(f"form_{n}")
     return rows_of(spark, d).select("match_id", "team", form(5), form(10), form(20), F.count_if(F.col("ga") == 0).over(w[10]).alias("clean_sheets"), r6(F.coalesce(F.stddev_pop("gf").over(w[10]), F.lit(1.0))).alias("scoring_std"))
 
@@ -154,21 +154,21 @@ def win_14(spark, d):
 @query("win_15_gd_trend", f"WITH {T}, k AS (SELECT *, -row_number() OVER ({W_TEAM}) AS i, gf - ga AS gd FROM team_rows) SELECT match_id, team, round(CASE WHEN count(*) OVER w >= 3 THEN regr_slope(gd, i) OVER w ELSE 0 END, 6) AS gd_trend FROM k WINDOW w AS ({W_TEAM} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)")
 def win_15(spark, d):
     """The index runs from the newest match back, as in the reference, so the sign is inverted in time."""
-    w = TEAM.rowsBetween(-10, -1)
-    k = rows_of(spark, d).withColumns({"i": -F.row_number().over(TEAM), "gd": F.col("gf") - F.col("ga")})
+    w = TEAM().rowsBetween(-10, -1)
+    k = rows_of(spark, d).withColumns({"i": -F.row_number().over(TEAM()), "gd": F.col("gf") - F.col("ga")})
     return k.select("match_id", "team", r6(F.when(F.count("*").over(w) >= 3, F.regr_slope("gd", "i").over(w)).otherwise(0.0)).alias("gd_trend"))
 
 
 @query("win_17_fatigue", f"WITH {T} SELECT match_id, team, round(greatest(0, 1 - coalesce(date_diff('day', lag(match_date) OVER w, match_date), 7) / 7.0::DOUBLE), 6) AS fatigue, round(least(1.0, (count(*) OVER (PARTITION BY league_id, team ORDER BY match_date RANGE BETWEEN INTERVAL 14 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)) / 5.0::DOUBLE), 6) AS congestion FROM team_rows WINDOW w AS ({W_TEAM})")
 def win_17(spark, d):
     day = Window.partitionBy("league_id", "team").orderBy(F.unix_date(F.to_date("match_date"))).rangeBetween(-14, -1)
-    rest = F.coalesce(F.datediff("match_date", F.lag("match_date").over(TEAM)), F.lit(7))
+    rest = F.coalesce(F.datediff("match_date", F.lag("match_date").over(TEAM())), F.lit(7))
     return rows_of(spark, d).select("match_id", "team", r6(F.greatest(F.lit(0.0), 1 - rest / 7.0)).alias("fatigue"), r6(F.least(F.lit(1.0), F.count("*").over(day) / 5.0)).alias("congestion"))
 
 
 @query("win_18_side_record", f"WITH {T} SELECT match_id, team, round(coalesce(avg((points = 3)::INT) OVER (PARTITION BY league_id, team, is_home ORDER BY match_date, match_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), CASE WHEN is_home THEN 0.5 ELSE 0.3 END), 6) AS win_rate FROM team_rows")
 def win_18(spark, d):
-    w = SIDE.rowsBetween(-10, -1)
+    w = SIDE().rowsBetween(-10, -1)
     return rows_of(spark, d).select("match_id", "team", r6(F.coalesce(F.avg((F.col("points") == 3).cast("int")).over(w), F.when(F.col("is_home"), 0.5).otherwise(0.3))).alias("win_rate"))
 
 
@@ -177,7 +177,7 @@ MOMENTUM = [0.4, 0.3, 0.15, 0.1, 0.05]
 
 def lagged(column, weights, k=""):
     """Weighted mean over the rows before, newest first, weights renormalised over those that exist."""
-    terms = [(F.lag(column, i + 1).over(TEAM), w) for i, w in enumerate(weights)]
+    terms = [(F.lag(column, i + 1).over(TEAM()), w) for i, w in enumerate(weights)]
     total = sum((F.when(v.isNotNull(), F.lit(w)).otherwise(0.0) for v, w in terms), F.lit(0.0))
     return F.when(total > 0, sum((F.coalesce(v * w, F.lit(0.0)) for v, w in terms), F.lit(0.0)) / total)
 
@@ -211,7 +211,7 @@ def win_21(spark, d):
 
 @query("win_23_last5_totals", f"WITH {T} SELECT match_id, team, CAST(sum(points) OVER w AS BIGINT) AS points_5, CAST(sum(gf) OVER w AS BIGINT) AS gf_5, CAST(sum(ga) OVER w AS BIGINT) AS ga_5, round(avg(points) OVER w, 6) AS ppg_5 FROM team_rows WINDOW w AS ({W_TEAM} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")
 def win_23(spark, d):
-    w = TEAM.rowsBetween(-5, -1)
+    w = TEAM().rowsBetween(-5, -1)
     return rows_of(spark, d).select("match_id", "team", F.sum("points").over(w).alias("points_5"), F.sum("gf").over(w).alias("gf_5"), F.sum("ga").over(w).alias("ga_5"), r6(F.avg("points").over(w)).alias("ppg_5"))
 
 
@@ -225,7 +225,7 @@ def win_24(spark, d):
 @query("win_27_training_rows", f"WITH {T}, h AS (SELECT match_id, team, count(*) OVER w AS n, avg(points) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS form FROM team_rows WINDOW w AS ({W_TEAM})), k AS (SELECT match_id, team, n - 1 AS seen, form FROM h) SELECT m.match_id, round(a.form, 6) AS home_form, round(b.form, 6) AS away_form FROM settled m JOIN k a ON a.match_id = m.match_id AND a.team = home_id JOIN k b ON b.match_id = m.match_id AND b.team = away_id WHERE a.seen >= 5 AND b.seen >= 5")
 def win_27(spark, d):
     """Both sides' history back on one row a match: one aggregation by match, no join back."""
-    k = rows_of(spark, d).withColumns({"seen": F.row_number().over(TEAM) - 1, "form": F.avg("points").over(TEAM.rowsBetween(-5, -1))})
+    k = rows_of(spark, d).withColumns({"seen": F.row_number().over(TEAM()) - 1, "form": F.avg("points").over(TEAM().rowsBetween(-5, -1))})
     g = k.groupBy("match_id").agg(F.min("seen").alias("seen"), *[r6(F.max(F.when(F.col("is_home") == home, F.col("form")))).alias(c) for home, c in ((True, "home_form"), (False, "away_form"))])
     return g.where("seen >= 5").drop("seen")
 

@@ -34,7 +34,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_ROWS, VOTERS, FEATURES = 12_000, 240, 6000
+from touchline.llm.common import written
+
+MAX_ROWS, VOTERS, FEATURES, TRAINING_PARTS = 12_000, 240, 6000, 96
 LABEL_PRIOR = 200
 LEAST_DOCS, BEGINNINGS, SEVERAL = 4, (3, 4, 5, 6), 3
 WORD = re.compile(r"[^\W\d_]+")
@@ -129,6 +131,7 @@ def logistic(rows: np.ndarray, cols: np.ndarray, n: int, width: int, target: np.
 def fit(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, max_rows: int = MAX_ROWS) -> dict:
     """The model: weights by feature, pattern weights, intercept and the label model's estimates."""
     rows = training_rows(docs, labels, F.lit(True) if trainable is None else trainable, max_rows)
+    rows = written(rows.repartition(TRAINING_PARTS, "doc_id"), "training")  # read three times; small parts, as each row is much work
     totals = {r["toxic"] > 0: r["count"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect()}
     pos, neg = totals.get(True, 0), totals.get(False, 0)
     if not pos or not neg:

@@ -430,3 +430,104 @@ def ent_05(spark, d):
 
 
 
+
+
+@query("unc_02_dirichlet", f"WITH {P}, k AS (SELECT {IDS_SQL}, 20 * p_h AS a, 20 * p_d AS b, 20 * p_a AS g FROM preds) SELECT {IDS_SQL}, round((a * (20 - a) + b * (20 - b) + g * (20 - g)) / (20 * 20 * 21.0::DOUBLE), 8) AS variance FROM k")
+def unc_02(spark, d, total=20.0):
+    """Sum of the variances of a Dirichlet with the given concentration, in closed form."""
+    parts = sum((c(f"p_{k}") * total * (total - c(f"p_{k}") * total) for k in "hda"), F.lit(0.0))
+    return src.predictions(spark, d).select(*IDS, F.round(parts / (total * total * (total + 1)), 8).alias("variance"))
+
+
+@query("siml_03_outliers", "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 8), s AS (SELECT query_id, list_distance(e, embedding::DOUBLE[]) AS d FROM q JOIN embeddings ON vec_id <> query_id) SELECT query_id, round(min(d), 5) AS nearest, round(avg(d), 5) AS mean, (min(d) - avg(d)) / stddev_pop(d) > 2 AS outlier FROM s GROUP BY 1")
+def siml_03(spark, d):
+    e = src.table(spark, d, "embeddings").select("vec_id", c("embedding").cast("array<double>").alias("e"))
+    q = e.where("vec_id < 8").select(c("vec_id").alias("query_id"), c("e").alias("q"))  # eight stated queries
+    far = F.sqrt(F.aggregate(F.zip_with("e", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    s = e.join(F.broadcast(q), c("vec_id") != c("query_id")).select("query_id", far.alias("d"))
+    return s.groupBy("query_id").agg(F.round(F.min("d"), 5).alias("nearest"), F.round(F.avg("d"), 5).alias("mean"), ((F.min("d") - F.avg("d")) / F.stddev_pop("d") > 2).alias("outlier"))
+
+
+@query("txt_06_narrative", f"WITH {T}, k AS (SELECT team, league_id, count(*) FILTER (points = 3) AS w, count(*) AS n FROM team_rows GROUP BY ALL) SELECT league_id, team, printf('Team %d won %d of %d', team, w, n) || CASE WHEN w * 2 > n THEN ', a strong side.' ELSE '.' END AS text FROM k")
+def txt_06(spark, d):
+    k = rows_of(spark, d).groupBy("league_id", "team").agg(F.count_if(c("points") == 3).alias("w"), F.count("*").alias("n"))
+    return k.select("league_id", "team", F.concat(F.format_string("Team %d won %d of %d", "team", "w", "n"), F.when(c("w") * 2 > c("n"), ", a strong side.").otherwise(".")).alias("text"))
+
+
+@query("aud_05_repair_manifest", f"WITH {M}, b AS (SELECT league_id, count(*) AS n, string_agg(CAST(match_id AS VARCHAR), ',' ORDER BY match_id) AS ids FROM matches WHERE status = 'postponed' GROUP BY 1) SELECT league_id, n, sha256(ids) AS plan_hash FROM b")
+def aud_05(spark, d):
+    """A league's pending repairs and the hash of their ordered ids (the few postponed matches)."""
+    b = src.matches(spark, d).where("status = 'postponed'").groupBy("league_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("match_id")).alias("ids"))
+    return b.select("league_id", "n", F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), 256).alias("plan_hash"))
+
+
+CONTRACT = [("gf_avg", "form", "team", "required"), ("rest_days", "fatigue", "team", "default"), ("odds_h", "market", "match", "required"), ("attack_diff", "rating", "match", "default")]
+
+
+@query("aud_10_feature_contract", "SELECT name, grp, scope, disposition, sha256(name || '|' || grp || '|' || scope || '|' || disposition) AS row_hash FROM (VALUES " + ", ".join(str(r) for r in CONTRACT) + ") AS t(name, grp, scope, disposition)")
+def aud_10(spark, d):
+    rows = spark.createDataFrame(CONTRACT, "name string, grp string, scope string, disposition string")
+    return rows.withColumn("row_hash", F.sha2(F.concat_ws("|", "name", "grp", "scope", "disposition"), 256))
+
+
+PACK = {"1-URGENT": (60000.0, 4), "2-HIGH": (100.0, 3), "3-MEDIUM": (30.0, 5)}
+
+
+@query("fn_13_league_pack", f"WITH {M}, k(league_id, scale, rest) AS (VALUES " + ", ".join(f"('{k}', {s}::DOUBLE, {r})" for k, (s, r) in PACK.items()) + ") SELECT match_id, round((match_id % 50000) / scale, 6) AS scaled, match_id % 7 < rest AS short_rest FROM matches JOIN k USING (league_id)")
+def fn_13(spark, d):
+    """A league's constants come from one small parameter table."""
+    k = spark.createDataFrame([(n, s, r) for n, (s, r) in PACK.items()], "league_id string, scale double, rest int")
+    j = src.matches(spark, d).join(F.broadcast(k), "league_id")
+    return j.select("match_id", r6(c("match_id") % 50000 / c("scale")).alias("scaled"), (c("match_id") % 7 < c("rest")).alias("short_rest"))
+
+
+@query("fn_16_team_table", "SELECT n_nationkey AS team, round(50 + n_nationkey * 1.5::DOUBLE, 4) AS attack, round(80 - n_nationkey * 0.75::DOUBLE, 4) AS defence, n_nationkey > 12 AS top_half FROM nation")
+def fn_16(spark, d):
+    k = c("n_nationkey")
+    return src.table(spark, d, "nation").select(k.alias("team"), F.round(50 + k * 1.5, 4).alias("attack"), F.round(80 - k * 0.75, 4).alias("defence"), (k > 12).alias("top_half"))
+
+
+@query("src_13_read_through", "SELECT o_orderkey AS id, coalesce(l.q, o_totalprice) AS v, CASE WHEN l.q IS NULL THEN 'remote' ELSE 'local' END AS origin FROM orders LEFT JOIN (SELECT l_orderkey, max(l_quantity) AS q FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey")
+def src_13(spark, d):
+    """Local rows take precedence over remote ones."""
+    local = src.table(spark, d, "lineitem").groupBy(c("l_orderkey").alias("id")).agg(F.max("l_quantity").alias("q"))
+    o = src.table(spark, d, "orders").select(c("o_orderkey").alias("id"), "o_totalprice")
+    return o.join(local, "id", "left").select("id", F.coalesce("q", "o_totalprice").alias("v"), F.when(c("q").isNull(), "remote").otherwise("local").alias("origin"))
+
+
+@query("snk_01_sorted_write", f"WITH {S} SELECT match_id, league_id FROM settled")
+def snk_01(spark, d):
+    from touchline.sources.files import write_sorted
+    from touchline.sources.scratch import scratch
+
+    path = scratch(spark, "sorted")
+    write_sorted(ops.settled(src.matches(spark, d)).select("match_id", "league_id"), path, "league_id", ["match_id"])
+    return spark.read.parquet(path).select("match_id", "league_id")
+
+
+@query("snk_02_baseline_manifest", f"WITH {S} SELECT league_id, count(*) AS n, sha256('league_id:string,match_id:bigint') AS schema_hash FROM settled GROUP BY 1")
+def snk_02(spark, d):
+    m = ops.settled(src.matches(spark, d)).select("league_id", "match_id")
+    shape = ",".join(f"{n}:{t}" for n, t in m.dtypes)
+    return m.groupBy("league_id").agg(F.count("*").alias("n")).withColumn("schema_hash", F.sha2(F.lit(shape), 256))
+
+
+@query("str_09_clv_pass", f"WITH {S}, {N} SELECT match_id, count(*) AS captured FROM snaps JOIN settled USING (match_id) WHERE is_closing AND captured_at < match_date AND captured_at >= match_date - INTERVAL 10 DAY GROUP BY 1")
+def str_09(spark, d):
+    """Due closings, streamed against the static fixtures."""
+    from touchline.streaming import live
+
+    m = ops.settled(src.matches(spark, d)).select("match_id", "match_date")
+    s = live.event_stream(spark, f"{d}/lineitem.parquet").where("l_returnflag = 'R'").select(c("l_orderkey").alias("match_id"), "l_shipdate")
+    due = live.on_time(s, m, "match_id", "l_shipdate", "match_date").where(c("l_shipdate") >= c("match_date") - F.expr("INTERVAL 10 DAYS"))
+    return live.run_once(due.groupBy("match_id").agg(F.count("*").alias("captured")), "complete", "clv")
+
+
+@query("str_10_settlement", f"WITH {S} SELECT league_id, count(*) AS settled, CAST(sum(home_score + away_score) AS BIGINT) AS goals FROM settled GROUP BY 1")
+def str_10(spark, d):
+    """Results streamed in, settled and summed by league."""
+    from touchline.streaming import live
+
+    o = live.event_stream(spark, f"{d}/orders.parquet").where("o_orderstatus = 'F'")
+    goals = (F.floor("o_totalprice") % 5 + F.floor(c("o_totalprice") / 7) % 4).cast("long")
+    return live.run_once(o.groupBy(c("o_orderpriority").alias("league_id")).agg(F.count("*").alias("settled"), F.sum(goals).alias("goals")), "complete", "settlement")

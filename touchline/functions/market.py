@@ -31,14 +31,14 @@ def power(odds: list[Column], steps: int = 60) -> list[Column]:
     renormalised. The bisection is an aggregate over a sequence, inside the expression."""
     p = [1 / o for o in odds]
     at = lambda k: sum((F.pow(x, 1 / k) for x in p), F.lit(0.0))
+    low, high = 0.1, 10.0
 
-    def halve(s: Column, _: Column) -> Column:
-        mid = (s["lo"] + s["hi"]) / 2
-        # the sum grows with k
-        return F.struct(F.when(at(mid) > 1, s["lo"]).otherwise(mid).alias("lo"), F.when(at(mid) > 1, mid).otherwise(s["hi"]).alias("hi"))
+    def halve(lo: Column, step: Column) -> Column:
+        # the interval's width is known from the step, so its lower end is all the state; the sum grows with k
+        width = (high - low) / F.pow(F.lit(2.0), step)
+        return lo + F.when(at(lo + width) > 1, 0.0).otherwise(width)
 
-    ends = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0.1).alias("lo"), F.lit(10.0).alias("hi")), halve)
-    k = (ends["lo"] + ends["hi"]) / 2
+    k = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(low), halve)
     raw = [F.pow(x, 1 / k) for x in p]
     total = sum(raw, F.lit(0.0))
     return [r / total for r in raw]

@@ -101,3 +101,9 @@ def test_empty_repeats_and_nulls(spark):
     assert got == [("5", 5), ("5", 5), ("7", 7), ("8", 7), ("None", 5)]
     kept = m.one_of_each(spark, docs)
     assert kept.columns == ["doc_id", "text", "component_id"] and sorted(r["doc_id"] for r in kept.collect()) == [5, 7]
+
+
+def test_long_text_is_hashed_whole():
+    rnd = random.Random(5)
+    long = " ".join(rnd.choice("abcdefgh") * rnd.randint(1, 4) for _ in range(m.BLOCK + 900))
+    assert m.simhash(long) == brute([long])[0][0] and m.simhash(long) != m.simhash(long[: len(long) // 3])

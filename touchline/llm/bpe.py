@@ -39,6 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm.common import small_batches
+
 #: Bytes of a window beyond the lookahead.
 CHUNK = 256
 #: Pieces of at most this many characters are kept in the cache of at most CACHE pieces.
@@ -329,6 +331,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256; ids aren't kept, so a text of any length
     passes with its pieces alone in memory."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path or default_file())

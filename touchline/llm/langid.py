@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm.common import small_batches
+
 BUCKETS, GRAM, BLOCK = 1 << 16, 4, 1 << 20
 PER_LANGUAGE = 1500
 ROUNDS, SMOOTH = 12, 0.05
@@ -89,6 +91,7 @@ def fit(docs: DataFrame, trainable: Column | None = None, per_language: int = PE
     """(languages in order, natural log-probabilities [languages, BUCKETS])."""
     from pyspark.sql import Window
 
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("doc_id").cast("string"), F.col("lang").cast("string"), F.col("text").cast("string"), (trainable if trainable is not None else F.lit(True)).alias("ok")).where("ok")
     # a threshold on the hash keeps about twice the bound, so that few rows are ranked in one window
     keyed = rows.withColumn("h", F.xxhash64("doc_id", "text"))

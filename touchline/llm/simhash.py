@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import checkpointed, written
+from touchline.llm.common import checkpointed, small_batches, written
 
 SEED, SHINGLE_WORDS, MAX_BITS = 42, 3, 2
 #: Generator polynomial of the binary Golay code (fixed value): x^11+x^10+x^6+x^5+x^4+x^2+1.
@@ -45,7 +45,9 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Members of one key that a task links in memory; larger keys go through an aggregation.
 HOT_KEY = 20_000
 #: Shingles whose bits are counted at a time.
-BLOCK = 1 << 16
+BLOCK = 1 << 14
+#: Fingerprints whose keys (up to 18 each) are made at a time.
+KEYED = 4096
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -80,6 +82,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long)."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
@@ -150,9 +153,9 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-        for at in range(0, len(fps), BLOCK):
-            rows, keys = fuzzy_keys(fps[at : at + BLOCK])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[at : at + BLOCK][rows].view(np.int64))], ["key", "fp"])
+        for at in range(0, len(fps), KEYED):
+            rows, keys = fuzzy_keys(fps[at : at + KEYED])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[at : at + KEYED][rows].view(np.int64))], ["key", "fp"])
 
 
 def midpoint_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

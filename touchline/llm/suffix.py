@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import written
+from touchline.llm.common import small_batches, written
 
 LENGTH, GRAM = 200, 48
 #: The most bytes on either side of an anchor that a window with it can reach.
@@ -160,7 +160,20 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left, right = np.minimum(REACH, pos), np.minimum(REACH, whole - pos - GRAM)
             prefix = h.prefix(buf)
             full = mix(h.of(prefix, at - left, left + GRAM + right) + (left * 1024 + right).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(full.view(np.int64)), pa.array(did[text[piece]]), pa.array(th[text[piece]]), pa.array(pos)], ["anchor", "full", "did", "th", "pos"])
+            head, last, n = runs(text[piece], gram, full, pos)
+            owner = text[piece[head]]
+            columns = [gram[head].view(np.int64), full[head].view(np.int64), did[owner], th[owner], pos[head], last, n]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "full", "did", "th", "pos", "last", "n"])
+
+
+def runs(owner: np.ndarray, gram: np.ndarray, full: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first row, last position, rows) of runs of one anchor with one context that follow each
+    other in a text so closely that their contexts touch. A text that repeats a
+    short line thousands of times gives few rows, not thousands of equal ones."""
+    same = (owner[1:] == owner[:-1]) & (gram[1:] == gram[:-1]) & (full[1:] == full[:-1]) & (pos[1:] - pos[:-1] <= LENGTH + REACH)
+    head = np.flatnonzero(np.append(True, ~same)) if len(pos) else np.empty(0, np.int64)
+    n = np.diff(np.append(head, len(pos)))
+    return head, pos[head + n - 1], n
 
 
 def suffix_sort(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -346,6 +359,7 @@ def _window_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def keyed(docs: DataFrame) -> DataFrame:
     """did, th and body: what tells a row from others, and its bytes."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64(text).alias("th"), text.cast("binary").alias("body"))
 
@@ -353,13 +367,13 @@ def keyed(docs: DataFrame) -> DataFrame:
 def spans(docs: DataFrame) -> DataFrame:
     """did, th, start, end: byte spans of repeated strings. They may overlap and repeat."""
     bodies = keyed(docs)
-    found = bodies.where(F.octet_length("body") >= LENGTH).mapInArrow(_scan, "anchor long, full long, did long, th long, pos long")
-    often = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("full").alias("low"), F.max("full").alias("high")).where("n > 1")
+    found = bodies.where(F.octet_length("body") >= LENGTH).mapInArrow(_scan, "anchor long, full long, did long, th long, pos long, last long, n long")
+    often = found.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("full").alias("low"), F.max("full").alias("high")).where("n > 1")
     # written, so that the joins below have an exchange of their own on both sides and adaptive execution can split a hot anchor's rows
     often = written(often.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "often")
     hits = written(found.join(often, "anchor"), "anchors")
-    span = lambda df: df.select("did", "th", F.greatest(F.lit(0), F.col("pos") - REACH).alias("start"), (F.col("pos") + LENGTH).alias("end"))
-    classes = hits.where("mixed").groupBy("anchor", "full").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "pos")).alias("one"))
+    span = lambda df: df.select("did", "th", F.greatest(F.lit(0), F.col("pos") - REACH).alias("start"), (F.col("last") + LENGTH).alias("end"))
+    classes = hits.where("mixed").groupBy("anchor", "full").agg(F.sum("n").alias("n"), F.min(F.struct("did", "th", "pos")).alias("one"))
     classes = written(classes, "classes")
     sizes = classes.groupBy("anchor").agg((F.count("*") > HOT_ANCHOR).alias("hot"))
     marks = classes.join(sizes, "anchor").select("one.*", F.struct("anchor", "one.pos", (F.col("n") == 1).alias("single"), "hot").alias("mark"))

@@ -56,6 +56,48 @@ def perturbed(rows: DataFrame, key: str, columns: list[str], spread: float = 0.0
     return rows.join(F.broadcast(stats), F.lit(True)).withColumns(noisy).drop(*[f"_{c}" for c in columns])
 
 
+#: What an injury, the weather and a referee change.
+INJURY = {"attack": -0.15, "defense": -0.12}
+WEATHER_XG = {"rain": -0.08, "wind": -0.03, "snow": -0.25, "heat": 0.0}
+REFEREES = ("strict", "lenient", "home_biased")
+
+
+def picked(options: tuple[str, ...], seed: int, *key: str) -> Column:
+    """One of the options, by the row's key."""
+    return F.element_at(F.array(*[F.lit(x) for x in options]), (F.floor(uniform(seed, *key) * len(options)) + 1).cast("int"))
+
+
+def injured(rows: DataFrame, key: str, target: str, seed: int = 21) -> DataFrame:
+    """A side loses a player of one position: that side's columns of the position shrink, the target moves with it."""
+    drawn = rows.withColumns({"side": picked(("home", "away"), seed, key), "position": picked(("attack", "midfield", "defense"), seed + 1, key)})
+    factor = lambda name, part: F.when(F.lit(part in name) & (F.col("position") == part) & F.lit(name).contains(F.col("side")), 1 + INJURY[part])
+    changed = {n: F.col(n) * F.coalesce(*[factor(n, p) for p in INJURY], F.lit(1.0)) for n in rows.columns if n not in (key, target)}
+    return drawn.withColumns(changed | {target: F.when(F.col("side") == "home", F.col(target) * 0.85).otherwise(F.least(F.lit(1.0), F.col(target) * 1.15))})
+
+
+def weathered(rows: DataFrame, key: str, target: str, seed: int = 23) -> DataFrame:
+    """Weather of the row's key: expected-goals columns and the target move with it."""
+    drawn = rows.withColumn("weather", picked(tuple(WEATHER_XG), seed, key))
+    scale = 1 + F.create_map(*[F.lit(x) for kv in WEATHER_XG.items() for x in kv])[F.col("weather")]
+    return drawn.withColumns({n: F.col(n) * scale for n in rows.columns if "xg" in n} | {target: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(target) * scale))})
+
+
+def refereed(rows: DataFrame, key: str, seed: int = 25) -> DataFrame:
+    """A referee's profile beside each row; features and target stay."""
+    return rows.withColumn("referee", picked(REFEREES, seed, key))
+
+
+def augmented(rows: DataFrame, key: str, target: str) -> DataFrame:
+    """The originals and a perturbed, an injury and a weather row for each, told by ``origin``."""
+    numbers = [n for n in rows.columns if n not in (key, target)]
+    made = {"original": rows, "perturbed": perturbed(rows, key, numbers), "injury": injured(rows, key, target).drop("side", "position"), "weather": weathered(rows, key, target).drop("weather")}
+    out = None
+    for name, df in made.items():
+        one = df.withColumn("origin", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def mixup(rows: DataFrame, key: str, columns: list[str], parts: int = 64, seed: int = 9) -> DataFrame:
     """Each row mixed with the next of its part in a seeded order: no pairs beyond n, no global sort."""
     w = Window.partitionBy("_part").orderBy("_u", key)

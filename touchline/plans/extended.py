@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import market as mk
 from touchline.operators import matches as ops
+from touchline.operators import similarity as sim
 from touchline.plans.evaluation import SCORED, brier, hit, scored
 from touchline.plans.market import BOTH, IDS, IDS_SQL, TOTAL, joined
 from touchline.plans.registry import query
@@ -403,12 +404,10 @@ def str_12(spark, d):
     return j.groupBy("match_id").agg(F.count_if(ok).alias("fresh"))
 
 
-@query("siml_02_analog_blend", "WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 8), s AS (SELECT query_id, label, list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]) AS s FROM q JOIN embeddings ON vec_id <> query_id) SELECT query_id, count(*) FILTER (s >= 0.3) AS analogs, round(sum(s * label) FILTER (s >= 0.3) / nullif(sum(s) FILTER (s >= 0.3), 0), 5) AS weighted, count(*) FILTER (s >= 0.3) = 0 AS novel FROM s GROUP BY 1")
+@query("siml_02_analog_blend", "WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, label, list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]) AS s FROM q JOIN embeddings ON vec_id <> query_id) SELECT query_id, count(*) FILTER (s >= 0.3) AS analogs, round(sum(s * label) FILTER (s >= 0.3) / nullif(sum(s) FILTER (s >= 0.3), 0), 5) AS weighted, count(*) FILTER (s >= 0.3) = 0 AS novel FROM s GROUP BY 1")
 def siml_02(spark, d, least=0.3):
     e = src.table(spark, d, "embeddings").select("vec_id", "label", c("embedding").cast("array<double>").alias("e"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    q = e.where("vec_id < 8").select(c("vec_id").alias("query_id"), c("e").alias("q"))  # eight stated queries
-    s = e.join(F.broadcast(q), c("vec_id") != c("query_id")).select("query_id", "label", (dot("e", "q") / F.sqrt(dot("e", "e")) / F.sqrt(dot("q", "q"))).alias("s"))
+    s = sim.query_pairs(e, e.where("vec_id % 100 = 0"), "vec_id", "e").select("query_id", "label", sim.cosine("e", "q").alias("s"))
     near = c("s") >= least
     g = s.groupBy("query_id").agg(F.count_if(near).alias("analogs"), F.sum(F.when(near, c("s") * c("label"))).alias("a"), F.sum(F.when(near, c("s"))).alias("b"))
     return g.select("query_id", "analogs", F.round(F.try_divide("a", "b"), 5).alias("weighted"), (c("analogs") == 0).alias("novel"))
@@ -439,12 +438,11 @@ def unc_02(spark, d, total=20.0):
     return src.predictions(spark, d).select(*IDS, F.round(parts / (total * total * (total + 1)), 8).alias("variance"))
 
 
-@query("siml_03_outliers", "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 8), s AS (SELECT query_id, list_distance(e, embedding::DOUBLE[]) AS d FROM q JOIN embeddings ON vec_id <> query_id) SELECT query_id, round(min(d), 5) AS nearest, round(avg(d), 5) AS mean, (min(d) - avg(d)) / stddev_pop(d) > 2 AS outlier FROM s GROUP BY 1")
+@query("siml_03_outliers", "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, list_distance(e, embedding::DOUBLE[]) AS d FROM q JOIN embeddings ON vec_id <> query_id) SELECT query_id, round(min(d), 5) AS nearest, round(avg(d), 5) AS mean, (min(d) - avg(d)) / stddev_pop(d) > 2 AS outlier FROM s GROUP BY 1")
 def siml_03(spark, d):
     e = src.table(spark, d, "embeddings").select("vec_id", c("embedding").cast("array<double>").alias("e"))
-    q = e.where("vec_id < 8").select(c("vec_id").alias("query_id"), c("e").alias("q"))  # eight stated queries
     far = F.sqrt(F.aggregate(F.zip_with("e", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    s = e.join(F.broadcast(q), c("vec_id") != c("query_id")).select("query_id", far.alias("d"))
+    s = sim.query_pairs(e, e.where("vec_id % 100 = 0"), "vec_id", "e").select("query_id", far.alias("d"))
     return s.groupBy("query_id").agg(F.round(F.min("d"), 5).alias("nearest"), F.round(F.avg("d"), 5).alias("mean"), ((F.min("d") - F.avg("d")) / F.stddev_pop("d") > 2).alias("outlier"))
 
 

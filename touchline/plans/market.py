@@ -52,11 +52,11 @@ _MID = "(s.lo + s.hi) / 2"
 _SUM = "pow(1 / odds_h, 1 / ((x.lo + x.hi) / 2)) + pow(1 / odds_d, 1 / ((x.lo + x.hi) / 2)) + pow(1 / odds_a, 1 / ((x.lo + x.hi) / 2))"
 
 
-@query("mkt_05_power_devig", f"""WITH RECURSIVE {N}, g AS (SELECT DISTINCT odds_h, odds_d, odds_a FROM snaps WHERE match_id % 50 = 0),
+@query("mkt_05_power_devig", f"""WITH RECURSIVE {N}, g AS (SELECT DISTINCT odds_h, odds_d, odds_a FROM snaps),
 b(odds_h, odds_d, odds_a, i, lo, hi) AS (SELECT odds_h, odds_d, odds_a, 0, 0.1::DOUBLE, 10.0::DOUBLE FROM g
   UNION ALL SELECT odds_h, odds_d, odds_a, i + 1, CASE WHEN {_SUM.replace('x.', '')} > 1 THEN lo ELSE (lo + hi) / 2 END, CASE WHEN {_SUM.replace('x.', '')} > 1 THEN (lo + hi) / 2 ELSE hi END FROM b WHERE i < 60)
 SELECT odds_h, odds_d, odds_a, round(pow(1 / odds_h, 2 / (lo + hi)) / t, 5) AS p_h, round(pow(1 / odds_d, 2 / (lo + hi)) / t, 5) AS p_d, round(pow(1 / odds_a, 2 / (lo + hi)) / t, 5) AS p_a
-FROM (SELECT *, pow(1 / odds_h, 2 / (lo + hi)) + pow(1 / odds_d, 2 / (lo + hi)) + pow(1 / odds_a, 2 / (lo + hi)) AS t FROM b WHERE i = 60)""".replace(" WHERE match_id % 50 = 0", ""))
+FROM (SELECT *, pow(1 / odds_h, 2 / (lo + hi)) + pow(1 / odds_d, 2 / (lo + hi)) + pow(1 / odds_a, 2 / (lo + hi)) AS t FROM b WHERE i = 60)""")
 def mkt_05(spark, d):
     """Each different price triple once; equal markets have equal probabilities."""
     g = src.snapshots(spark, d).select("odds_h", "odds_d", "odds_a").distinct()

@@ -21,5 +21,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-for _module in ("relational", "timeline", "market", "evaluation", "ratings", "text", "integrity", "live", "extended", "models"):
+for _module in ("relational", "timeline", "market", "evaluation", "ratings", "text", "integrity", "live", "extended", "models", "scenarios"):
     import_module(f"touchline.plans.{_module}")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline.functions import text as tx
+from touchline.operators import similarity as sim
 from touchline.plans.registry import query
 from touchline.sources import adapters as src
 
@@ -43,14 +44,11 @@ def ent_09(spark, d):
     return src.table(spark, d, "supplier").select("s_suppkey", tx.stable_id(F.lower("s_name"), F.col("s_nationkey").cast("string")).alias("id"))
 
 
-@query("siml_01_cosine_topk", "WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 8), s AS (SELECT query_id, vec_id, list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]) AS s FROM q JOIN embeddings ON vec_id <> query_id) SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS place, round(s, 5) AS similarity FROM s QUALIFY place <= 10")
+@query("siml_01_cosine_topk", "WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]) AS s FROM q JOIN embeddings ON vec_id <> query_id) SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS place, round(s, 5) AS similarity FROM s QUALIFY place <= 10")
 def siml_01(spark, d, k=10):
-    """Eight stated queries against all rows: the queries are broadcast, the rows stay where they are."""
+    """Every hundredth vector against all rows, in blocks; ranks are limited before the shuffle."""
     e = src.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    q = e.where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
-    pairs = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
-    s = pairs.select("query_id", "vec_id", (dot("e", "q") / F.sqrt(dot("e", "e")) / F.sqrt(dot("q", "q"))).alias("s"))
+    s = sim.query_pairs(e, e.where("vec_id % 100 = 0"), "vec_id", "e").select("query_id", "vec_id", sim.cosine("e", "q").alias("s"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("s", 9)), "vec_id"))
     return s.withColumn("place", place.cast("long")).where(F.col("place") <= k).select("query_id", "vec_id", "place", F.round("s", 5).alias("similarity"))
 

@@ -45,14 +45,38 @@ def derived(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"total_goals": h + a, "goal_diff": h - a, "over_2_5": h + a > 2, "over_3_5": h + a > 3, "btts": (h > 0) & (a > 0), "result": F.when(h > a, 0).when(h == a, 1).otherwise(2)})
 
 
-def event_json(spark: SparkSession, path: str, shots_only: bool = True) -> DataFrame:
+def event_json(spark: SparkSession, path: str, shots_only: bool = True, multi_line: bool = True) -> DataFrame:
     """Nested event files to flat rows: type, team, x, y, timestamp, xg, is_goal."""
     schema = "id string, minute int, timestamp string, type struct<name:string>, team struct<name:string>, location array<double>, shot struct<statsbomb_xg:double,outcome:struct<name:string>>"
-    e = spark.read.schema(schema).option("multiLine", True).json(path)
+    e = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     e = e.select("id", "minute", "timestamp", F.col("type.name").alias("type"), F.col("team.name").alias("team"), F.get("location", 0).alias("x"), F.get("location", 1).alias("y"), F.col("shot.statsbomb_xg").alias("xg"), F.coalesce(F.col("shot.outcome.name") == "Goal", F.lit(False)).alias("is_goal"))
     return e.where("type = 'Shot'") if shots_only else e
 
 
+def history_json(spark: SparkSession, path: str, home: str, away: str) -> DataFrame:
+    """``matches[]`` of history files with ``score.ft``, where both names contain what is asked for."""
+    schema = "matches array<struct<id:long,team1:string,team2:string,score:struct<ft:array<long>>>>"
+    m = spark.read.schema(schema).json(path).select(F.explode("matches").alias("m")).select("m.*")
+    asked = F.contains(F.lower("team1"), F.lit(home.lower())) & F.contains(F.lower("team2"), F.lit(away.lower()))
+    return m.where(asked & (F.size("score.ft") == 2)).select("id", "team1", "team2", F.col("score.ft")[0].alias("home_score"), F.col("score.ft")[1].alias("away_score"))
+
+
+def tree(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Parquet folders of several generations, united by name; missing columns are null."""
+    from functools import reduce
+
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [spark.read.parquet(p) for p in paths])
+
+
+def by_candidates(df: DataFrame, names: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Columns under their canonical names: the first candidate there is, whatever its case."""
+    have = {c.lower(): c for c in df.columns}
+    found = {k: next((have[a.lower()] for a in options if a.lower() in have), None) for k, options in names.items()}
+    if missing := [k for k, v in found.items() if v is None]:
+        raise ValueError(f"no column for {', '.join(missing)} among {', '.join(df.columns)}")
+    return df.select(*[F.col(f"`{v}`").alias(k) for k, v in found.items()])
+
+
 def valuation(text: Column) -> Column:
     """'€12.5m' -> 12,500,000; '€300k' -> 300,000; plain digits; anything else 0."""
     bare = F.lower(F.regexp_replace(text, "[^0-9.,mkMK]", ""))

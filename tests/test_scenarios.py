@@ -87,3 +87,14 @@ def test_candidates_and_generations(spark, tmp_path):
     (tmp_path / "h.json").write_text('{"matches": [{"id": 1, "team1": "Big Club FC", "team2": "Other", "score": {"ft": [2, 1]}}, {"id": 2, "team1": "Big Club FC", "team2": "Other", "score": {}}]}')
     got = files.history_json(spark, str(tmp_path / "h.json"), "big club", "OTHER").collect()
     assert [(r["id"], r["home_score"], r["away_score"]) for r in got] == [(1, 2, 1)]
+
+
+def test_dropout_draws_follow_the_key(spark):
+    rows = spark.range(1200).select("id", F.lit(1.0).alias("h"), F.lit(0.0).alias("d"), F.lit(-1.0).alias("a"))
+    draw = lambda df, **k: {r["id"]: r["u"].asDict() for r in df.select("id", lr.dropout_passes(F.xxhash64("id"), F.col("h"), F.col("d"), F.col("a"), **k).alias("u")).collect()}
+    one, two = draw(rows), draw(rows.repartition(5))
+    assert one == two and one[1] != one[2]
+    whole = draw(rows, keep=1.0)[7]
+    e = np.exp([1.0, 0.0, -1.0])
+    assert whole["mean"] == pytest.approx(e / e.sum()) and whole["epistemic"] == pytest.approx(0, abs=1e-12)
+    assert all(u["ci_lower"][0] <= u["mean"][0] <= u["ci_upper"][0] for u in one.values())

@@ -236,22 +236,9 @@ def cal_06(spark, d):
 
 @query("unc_03_dropout")
 def unc_03(spark, d, passes=50, keep=0.8):
-    """Mean, spread and entropy of ``passes`` keyed passes in which inputs drop out; the passes are a sequence
-    inside the row, so no rows multiply and a repeated task draws the same."""
-    logit = lambda k: F.ln(c(f"p_{k}")) * 1.2
-    unit = lambda t, k: F.pmod(F.xxhash64(F.lit(17), *IDS, t, F.lit(k)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    each = F.transform(F.sequence(F.lit(1), F.lit(passes)), lambda t: F.struct(*[F.exp(F.when(unit(t, k) < keep, logit(k) / keep).otherwise(0.0)).alias(k) for k in "hda"]))
-    share = lambda x: [x[k] / (x["h"] + x["d"] + x["a"]) for k in "hda"]
-    probs = F.transform("_e", lambda x: F.array(*share(x)))
-    mean = lambda f: F.aggregate(f, F.lit(0.0), lambda s, x: s + x) / passes
-    column = lambda i: F.transform("_p", lambda x: x[i])
-    squares = lambda k, i: F.aggregate(column(i), F.lit(0.0), lambda s, x: s + (x - c(f"m_{k}")) * (x - c(f"m_{k}")))
-    rows = src.predictions(spark, d).withColumn("_e", each).withColumn("_p", probs)
-    rows = rows.withColumns({f"m_{k}": mean(column(i)) for i, k in enumerate("hda")})
-    spread = sum((squares(k, i) / (passes - 1) for i, k in enumerate("hda")), F.lit(0.0))
-    entropy = mean(F.transform("_p", lambda x: -(x[0] * F.ln(x[0] + 1e-8) + x[1] * F.ln(x[1] + 1e-8) + x[2] * F.ln(x[2] + 1e-8))))
-    low, high = [F.array(*[F.element_at(F.array_sort(column(i)), max(1, round(q * passes))) for i in range(3)]) for q in (0.025, 0.975)]
-    return rows.select(*IDS, *[f"m_{k}" for k in "hda"], spread.alias("epistemic"), entropy.alias("aleatoric"), low.alias("ci_lower"), high.alias("ci_upper"))
+    key = F.xxhash64(F.lit(17), *IDS)
+    out = lr.dropout_passes(key, *[F.ln(f"p_{k}") * 1.2 for k in "hda"], passes=passes, keep=keep)
+    return src.predictions(spark, d).select(*IDS, out.alias("u")).select(*IDS, "u.*")
 
 
 STEP = 0.1

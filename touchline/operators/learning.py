@@ -3,6 +3,8 @@ augmentation, Monte Carlo. Seeded; results depend on the seed, not on row order.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,9 +125,6 @@ def smote(rows: DataFrame, key: str, vector: str, cells: int = 64, k: int = 5, s
 def dropout_passes(key: Column, *logits: Column, passes: int = 50, keep: float = 0.8) -> Column:
     """Mean probabilities, epistemic spread, mean entropy and 95 % interval of softmax passes in which inputs
     drop out. Which ones follows from the row's key, so a repeated task draws the same; 512 rows at a time."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("mean array<double>, epistemic double, aleatoric double, ci_lower array<double>, ci_upper array<double>")
     def run(seed: pd.Series, h: pd.Series, d: pd.Series, a: pd.Series) -> pd.DataFrame:
         z, keys = np.column_stack((h, d, a)), seed.to_numpy(np.int64).view(np.uint64)

@@ -17,15 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: Rows of a batch between Spark and Python. Texts are thousands of bytes, so Spark's default of
 #: 10,000 rows holds tens of megabytes several times over in each task.
 BATCH_ROWS = 1000
+#: Rows that the Parquet reader decodes at a time; at Spark's 4,096 a text column's buffer doubles up to tens of megabytes.
+READER_ROWS = 512
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to BATCH_ROWS unless it is lower already. The
-    setting is read when a query is planned, so it stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower the session's Arrow batch size to BATCH_ROWS and the Parquet reader's to READER_ROWS unless they
+    are lower already. The settings are read when a query is planned, so they stay."""
+    for key, most, usual in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS, "10000"), ("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS, "4096")):
+        now = int(spark.conf.get(key, usual))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:

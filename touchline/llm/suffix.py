@@ -47,7 +47,7 @@ LENGTH, GRAM = 200, 48
 #: The most bytes on either side of an anchor that a window with it can reach.
 REACH = LENGTH - GRAM
 #: A long text is read in pieces of so many window starts; a block of texts has about BLOCK bytes.
-PIECE, BLOCK, POSITIONS = 1 << 17, 1 << 18, 22
+PIECE, BLOCK, POSITIONS = 1 << 16, 1 << 17, 22
 #: Rows of a batch that are Python objects at a time.
 ROWS = 512
 HOT_ANCHOR = 4000

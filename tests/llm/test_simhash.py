@@ -107,3 +107,58 @@ def test_long_text_is_hashed_whole():
     rnd = random.Random(5)
     long = " ".join(rnd.choice("abcdefgh") * rnd.randint(1, 4) for _ in range(m.BLOCK + 900))
     assert m.simhash(long) == brute([long])[0][0] and m.simhash(long) != m.simhash(long[: len(long) // 3])
+
+
+def jaccard_groups(texts):
+    """The stage's groups by the definition: five words, likeness of 0.8 and more, all pairs."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root, pairs = list(range(len(sets))), []
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or 5 * common >= 4 * len(sets[i] | sets[j]):
+                pairs.append((j, i))
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root, pairs, sets
+
+
+def near_copies():
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghijkl") for _ in range(rnd.randint(2, 7)))
+    out = []
+    for _ in range(6):
+        base = [word() for _ in range(rnd.randint(60, 400))]
+        out.append(" ".join(base))
+        for edits in (1, 1, 2, 2, 3, 3, 4, 5, 6, 8) * 3:
+            v = list(base)
+            at = rnd.randrange(len(v) - 1)
+            for k in range(edits * len(v) // 100 + 1):
+                v[(at + k * 31) % len(v)] = word()
+            out.append(" ".join(v))
+    return out + ["one two three four five six", "one two three four five", "", None]
+
+
+def test_stage_links_at_its_own_likeness(spark):
+    t = near_copies()
+    root, pairs, _ = jaccard_groups(t)
+    assert sum(bin(m.simhash(t[i]) ^ m.simhash(t[j])).count("1") > m.MAX_BITS for i, j in pairs) > 50
+    docs = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in m.one_of_each(spark, docs).collect()) == sorted(set(root))
+
+
+def test_large_keys_are_compared_whole():
+    """Star pairs inside a large key, then all pairs that are still apart."""
+    rng = np.random.default_rng(4)
+    n = 60
+    keys, sids, sizes = np.zeros(n, np.int64), np.arange(n), np.full(n, 100)
+    fps = np.where(np.arange(n) % 2, np.uint64(0), np.uint64(0xFFFFFFFFFFFF)) ^ rng.integers(0, 4, n, np.uint64)
+    found = list(m.key_pairs(keys, sids, sizes, fps))
+    stars = {(int(x), int(y)) for a, b, kind in found if not kind for x, y in zip(a, b)}
+    assert 0 < len(stars) <= 2 * n and sum(len(a) for a, _, kind in found if kind) == n
+    roots = np.sort(sids // 20)
+    rest = {(int(x), int(y)) for a, b, _ in m.apart_pairs(keys, roots, sids, sizes, fps) for x, y in zip(a, b)}
+    assert rest == {(i, j) for i in range(n) for j in range(i + 1, n) if roots[i] != roots[j] and (i - j) % 2 == 0}

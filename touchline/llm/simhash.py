@@ -25,11 +25,19 @@ do the same as a Spark aggregation over midpoints instead of in one task.
 Defined results: null and empty texts have fingerprint 0 and are linked like others; a null
 doc_id takes part in links but never names a component unless it is alone in it; repeated
 rows appear repeatedly with equal results; an empty table gives no rows; other columns are ignored.
+
+The pipeline's stage (``one_of_each``) has a rule of its own: two texts are linked where the sets
+of their runs of STAGE_WORDS words have a Jaccard likeness of LIKENESS or more. At 0.8 two
+fingerprints differ in about 10 bits, which no Golay key reaches, so candidates also meet in BANDS
+keys of BAND_ROWS minima each: a pair at 0.8 shares none with a probability of 7e-5. Candidates
+that differ in more than SIEVE_BITS bits (of fingerprints over the distinct shingles) or whose
+sizes rule the likeness out are dropped; all others are decided by their whole sets of 64-bit
+shingle hashes. Texts with equal sets are one class beforehand.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +52,11 @@ GOLAY_POLY = 0b110001110101
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Members of one key that a task links in memory; larger keys go through an aggregation.
 HOT_KEY = 20_000
+#: The stage's shingle width and least likeness (as a fraction).
+STAGE_WORDS, LIKENESS = 5, (4, 5)
+BANDS, BAND_ROWS, SIEVE_BITS = 24, 5, 26
+#: Members of one key that the stage compares all with all at once; in larger keys only those that are still apart.
+SMALL_KEY = 8
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 14
 #: Fingerprints whose keys (up to 18 each) are made at a time.
@@ -55,25 +68,37 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def simhash(text: str | None, words: int = SHINGLE_WORDS) -> int:
+def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of every run of ``words`` words (all of fewer words is one run), BLOCK at a time."""
     import xxhash
 
     found = words_of((text or "").encode("utf-8", "surrogatepass"))
     if not found:
-        return 0
+        return
     joined = memoryview(b" ".join(found))
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(found) - words + 1)
     last = ends[min(words, len(found)) - 1 :].tolist()
     first = starts[:n].tolist()
-    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, BLOCK):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(first[at : at + BLOCK], last[at : at + BLOCK], strict=True)], np.uint64)
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(first[at : at + BLOCK], last[at : at + BLOCK], strict=True)], np.uint64)
+
+
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """The bits that are set in more than half of the hashes."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in blocks:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
+def simhash(text: str | None, words: int = SHINGLE_WORDS) -> int:
+    return majority(shingle_hashes(text, words))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = np.fromiter((simhash(t.as_py()) for t in b.column("text")), np.uint64, b.num_rows)
@@ -272,11 +297,183 @@ def op10_simhash_golay(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(spark, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
-    """The documents that name their component: of each group of near-duplicates the one
-    with the smallest doc_id. Repeated rows of one doc_id are cut to one; a null doc_id stays
-    only where nothing else is in its group."""
-    keep = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep_id")).distinct()
+def shingle_set(text: str | None, words: int = STAGE_WORDS) -> np.ndarray:
+    """The distinct shingle hashes, ascending."""
+    blocks = list(shingle_hashes(text, words))
+    return np.unique(np.concatenate(blocks)) if blocks else np.empty(0, np.uint64)
+
+
+_spread = np.random.default_rng(7)
+FLIPS, FACTORS = (_spread.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) for _ in range(2))
+FACTORS |= np.uint64(1)
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """A key for each band: BAND_ROWS minima of the set under different hash functions."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 512):
+        np.minimum(least, ((found[at : at + 512, None] ^ FLIPS) * FACTORS).min(axis=0), out=least)
+    rows = least.reshape(BANDS, BAND_ROWS)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for j in range(BAND_ROWS):
+        key = (key ^ rows[:, j]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(32)
+    return key
+
+
+def _shingled(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            sids, sizes, fps, bands = [], [], [], []
+            for t in b.column("text"):
+                found = shingle_set(t.as_py(), words)
+                sids.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+                sizes.append(len(found))
+                fps.append(majority(found[at : at + BLOCK] for at in range(0, len(found), BLOCK)))
+                bands.append(band_keys(found).view(np.int64))
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([np.empty(0, np.int64), *bands])))
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), signed(sids), pa.array(sizes, pa.int64()), signed(fps), lists], ["row", "doc_id", "sid", "n", "fp", "bands"])
+
+    return run
+
+
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in zip(b.column("sid").to_pylist(), b.column("text"), strict=True):
+                found = shingle_set(t.as_py(), words).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.array(found))], ["sid", "s"])
+
+    return run
+
+
+def _stage_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The Golay keys and the bands of every class."""
+    for b in batches:
+        for at in range(0, b.num_rows, KEYED):
+            part = b.slice(at, KEYED)
+            sid, n, fp = (part.column(c).to_numpy(zero_copy_only=False) for c in ("sid", "n", "fp"))
+            rows, keys = fuzzy_keys(fp.view(np.uint64))
+            bands = part.column("bands").flatten().to_numpy(zero_copy_only=False)
+            rows = np.concatenate((rows, np.repeat(np.arange(len(sid)), BANDS)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((keys, bands))), pa.array(sid[rows]), pa.array(n[rows]), pa.array(fp[rows])], ["key", "sid", "n", "fp"])
+
+
+def sieved(fps: np.ndarray, n: np.ndarray, i, j) -> np.ndarray:
+    """Whether the pairs (i, j) may be alike."""
+    up, down = LIKENESS
+    return (np.bitwise_count(fps[i] ^ fps[j]) <= SIEVE_BITS) & (down * np.minimum(n[i], n[j]) >= up * np.maximum(n[i], n[j]))
+
+
+def key_pairs(keys: np.ndarray, sids: np.ndarray, n: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(a, b, 0): candidates inside each key; keys ascending, sids different within a key. A key
+    with more than SMALL_KEY members gives its members' pairs with the first one and with the one
+    in the middle, and itself as (sid, key, 1)."""
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    sizes = np.diff(np.append(starts, len(keys)))
+    size = np.repeat(sizes, sizes)
+    for shift in range(1, min(SMALL_KEY, int(sizes.max(initial=1))) if len(keys) else 0):
+        i = np.flatnonzero((keys[:-shift] == keys[shift:]) & (size[:-shift] <= SMALL_KEY))
+        i = i[sieved(fps, n, i, i + shift)]
+        yield sids[i], sids[i + shift], 0
+    for k in np.flatnonzero(sizes > SMALL_KEY):
+        at = np.arange(starts[k], starts[k] + sizes[k])
+        ones = np.unpackbits(fps[at].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        centre = np.packbits(2 * ones > len(at), bitorder="little").view(np.uint64)[0]
+        for pivot in {int(at[0]), int(at[np.argmin(np.bitwise_count(fps[at] ^ centre))])}:
+            near = at[(at != pivot) & sieved(fps, n, at, pivot)]
+            yield np.minimum(sids[near], sids[pivot]), np.maximum(sids[near], sids[pivot]), 0
+        yield sids[at], keys[at], 1
+
+
+def apart_pairs(keys: np.ndarray, roots: np.ndarray, sids: np.ndarray, n: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """All candidates inside each key that have different roots; sorted by key and root."""
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    for start, end in zip(starts, np.append(starts[1:], len(keys))):
+        if roots[start] == roots[end - 1]:
+            continue
+        for i in range(start, end):
+            near = np.arange(i + 1 + np.searchsorted(roots[i + 1 : end], roots[i], "right"), end)
+            near = near[sieved(fps, n, near, i)]
+            if len(near):
+                yield np.minimum(sids[near], sids[i]), np.maximum(sids[near], sids[i]), 0
+
+
+def _by_key(columns: list[str], pairs):
+    """``pairs`` over whole keys of an input sorted by key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            found = [np.concatenate(x) for x in zip(*held)]
+            found[-1] = found[-1].view(np.uint64)
+            for a, b, kind in pairs(*found):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), kind, np.int32))], ["a", "b", "kind"])
+
+        for batch in batches:
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+            if not len(now[0]):
+                continue
+            cut = int(np.searchsorted(now[0], now[0][-1]))
+            if cut or held and held[-1][0][-1] != now[0][0]:
+                held.append([x[:cut] for x in now])
+                yield from out()
+                held = []
+            held.append([x[cut:] for x in now])
+        if held:
+            yield from out()
+
+    return run
+
+
+def alike(pairs: DataFrame, sources: Callable[[DataFrame], DataFrame], words: int) -> DataFrame:
+    """a, b: the pairs (sids) whose shingle sets have at least LIKENESS; sources: sids -> sid, text."""
+    pairs = written(pairs.select("a", "b").distinct(), "pairs")
+    asked = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    sets = written(sources(asked).mapInArrow(_sets(words), "sid long, s array<long>"), "sets")
+    both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b")
+    common, (up, down) = F.size(F.array_intersect("sa", "sb")), LIKENESS
+    return both.where(down * common >= up * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
+def alike_roots(classes: DataFrame, sources: Callable[[DataFrame], DataFrame], words: int = STAGE_WORDS) -> DataFrame:
+    """node, root of every sid that is linked; classes: sid, n, fp, bands; sources: sids -> sid, text."""
+    some = classes.where("n > 0")
+    keyed = some.select("sid", "n", "fp", "bands").mapInArrow(_stage_keys, "key long, sid long, n long, fp long")
+    columns = ["key", "sid", "n", "fp"]
+    met = written(keyed.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_by_key(columns, key_pairs), "a long, b long, kind int"), "met")
+    links = written(alike(met.where("kind = 0"), sources, words), "alike")
+    roots = components(links)
+    large = met.where("kind = 1").select(F.col("a").alias("sid"), F.col("b").alias("key"))
+    if not large.limit(1).count():
+        return roots
+    placed = large.join(some.select("sid", "n", "fp"), "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    columns = ["key", "root", "sid", "n", "fp"]
+    apart = placed.select(columns).repartition("key").sortWithinPartitions("key", "root", "sid").mapInArrow(_by_key(columns, apart_pairs), "a long, b long, kind int")
+    more = written(alike(apart, sources, words), "alike")
+    return components(links.unionByName(more)) if more.limit(1).count() else roots
+
+
+def one_of_each(spark, docs: DataFrame, sf_dir: str | None = None, words: int = STAGE_WORDS) -> DataFrame:
+    """The documents that name their component: of each group of texts linked at LIKENESS (over ``words``-word
+    shingles) the one with the smallest doc_id. Repeated rows of one doc_id are cut to one; a null
+    doc_id stays only where nothing else is in its group."""
+    small_batches(spark)
     columns = docs.columns
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["keep_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*columns)
+    slim = docs.select(F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text").alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    marked = written(slim.mapInArrow(_shingled(words), "row long, doc_id long, sid long, n long, fp long, bands array<long>"), "shingles")
+    classes = written(marked.groupBy("sid").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min("row").alias("row")), "classes")
+
+    def sources(sids: DataFrame) -> DataFrame:
+        rows = classes.select("sid", "row").join(sids, "sid", "left_semi")
+        return slim.select("row", "text").join(rows, "row").select("sid", "text").dropDuplicates(["sid"])
+
+    roots = alike_roots(classes, sources, words)
+    placed = marked.select("doc_id", "sid").join(roots, F.col("sid") == F.col("node"), "left")
+    keep = placed.groupBy(F.coalesce("root", "sid").alias("group")).agg(F.min("doc_id").alias("keep_id")).select("keep_id").distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["keep_id"]), "left_semi").dropDuplicates(["doc_id"]).select(*columns)

@@ -162,3 +162,13 @@ def test_large_keys_are_compared_whole():
     roots = np.sort(sids // 20)
     rest = {(int(x), int(y)) for a, b, _ in m.apart_pairs(keys, roots, sids, sizes, fps) for x, y in zip(a, b)}
     assert rest == {(i, j) for i in range(n) for j in range(i + 1, n) if roots[i] != roots[j] and (i - j) % 2 == 0}
+
+
+def test_null_ids_and_one_id_with_two_texts(spark):
+    schema = "doc_id long, text string, tag string"
+    a, b, c, d, e = ("alpha beta gamma delta one", "red green blue white black grey", "sun moon star sky cloud", "cat dog cow pig hen", "oak elm ash fir yew")
+    rows = [(None, a, "x"), (None, b, "x"), (None, c, "x"), (None, c, "x"), (4, c, "x"), (9, d, "x"), (9, e, "x"), (9, e, "x"), (None, None, "x"), (11, d.upper(), "x")]
+    kept = m.one_of_each(spark, spark.createDataFrame(rows, schema)).collect()
+    want = [(None, a), (None, b), (4, c), (9, d), (9, e), (None, None)]
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept) == sorted((str(i), str(t)) for i, t in want)
+    assert m.one_of_each(spark, spark.createDataFrame([(None, a, "y"), (None, a, "x")], schema)).count() == 1

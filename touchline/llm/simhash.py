@@ -460,12 +460,15 @@ def alike_roots(classes: DataFrame, sources: Callable[[DataFrame], DataFrame], w
 
 
 def one_of_each(spark, docs: DataFrame, sf_dir: str | None = None, words: int = STAGE_WORDS) -> DataFrame:
-    """The documents that name their component: of each group of texts linked at LIKENESS (over ``words``-word
-    shingles) the one with the smallest doc_id. Repeated rows of one doc_id are cut to one; a null
-    doc_id stays only where nothing else is in its group."""
+    """Of each group of texts linked at LIKENESS (over ``words``-word shingles) the row with the
+    smallest doc_id; ids that are null come last, and of equal ids the smallest row hash decides. Other
+    rows of the same id are judged by their own text. A row that is there several times stays once."""
     small_batches(spark)
     columns = docs.columns
-    slim = docs.select(F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text").alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rest = F.to_json(F.struct(F.lit(0).alias("_"), *[F.col(c) for c in columns if c not in ("doc_id", "text")]))
+    # the hash skips nulls, so they are told apart by flags
+    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text", rest))
+    slim = keyed.select(F.col("_row").alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     marked = written(slim.mapInArrow(_shingled(words), "row long, doc_id long, sid long, n long, fp long, bands array<long>"), "shingles")
     classes = written(marked.groupBy("sid").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min("row").alias("row")), "classes")
 
@@ -474,6 +477,7 @@ def one_of_each(spark, docs: DataFrame, sf_dir: str | None = None, words: int =
         return slim.select("row", "text").join(rows, "row").select("sid", "text").dropDuplicates(["sid"])
 
     roots = alike_roots(classes, sources, words)
-    placed = marked.select("doc_id", "sid").join(roots, F.col("sid") == F.col("node"), "left")
-    keep = placed.groupBy(F.coalesce("root", "sid").alias("group")).agg(F.min("doc_id").alias("keep_id")).select("keep_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["keep_id"]), "left_semi").dropDuplicates(["doc_id"]).select(*columns)
+    placed = marked.select("row", "doc_id", "sid").join(roots, F.col("sid") == F.col("node"), "left")
+    first = placed.groupBy(F.coalesce("root", "sid").alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"))
+    keep = first.select(F.col("least.row").alias("_row"))
+    return keyed.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).select(*columns)

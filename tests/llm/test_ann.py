@@ -73,3 +73,27 @@ def test_bad_vectors_few_rows_and_none(spark):
     assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 2] == [4, 3, 1, 0]
     assert m.top_k(df.where("vec_id > 99"), df).count() in (0, 1)
     assert m.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_repeated_rows_leave_room_for_k(spark):
+    x = vectors(90)
+    df = frame(spark, x)
+    got = {}
+    for r in m.top_k(df.unionByName(df).unionByName(df), df.where("vec_id in (0, 20)")).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: [i for i, _ in exact(x, list(range(90)), q, 20)] for q in (0, 20)}
+
+
+def test_a_query_short_of_k_visits_all_parts(spark):
+    x = vectors(300, 8, 3)
+    x[:, 0] = np.abs(x[:, 0]) + 1
+    far = [-1.0] + [0.0] * 7
+    df = frame(spark, x, [(1000, far, 0)] * 300)  # its part holds hardly more than its own repeats
+    model = m.fit(df, 4)
+    asks = df.where("vec_id in (7, 1000)")
+    assert m.search(df, asks, model, 5, 1).where("query_id = 1000").count() < 5
+    got = {}
+    for r in m.top_k(df, asks, k=5, parts=4, probes=1).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    s = x.astype(float) @ np.array(far)
+    assert got[1000] == sorted(range(300), key=lambda j: (-s[j], j))[:5] and len(got[7]) == 5

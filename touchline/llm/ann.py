@@ -17,8 +17,8 @@ are dealt to blocks of about BLOCK, every block of queries meets every block of
 blocks' best are merged. No task holds more than two blocks.
 
 Defined results: vectors that are null, zero, of another length than most of the sample or
-with null or non-finite components take no part; with fewer than k other rows in the
-visited parts all parts are visited; repeated rows (same vec_id) are candidates for others,
+with null or non-finite components take no part; a query that finds fewer than k others
+in its parts visits all parts, and in small tables every query does (``top_k``); repeated rows (same vec_id) are candidates for others,
 not for each other; without valid rows there are none; other columns are ignored.
 """
 
@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm.common import written
+
 SAMPLE, NEIGHBOURS, HIDDEN, BLOCK = 6000, 15, 128, 4096
 PARTS, PROBES, K = 16, 13, 20
 TIE = 1e-9
@@ -179,11 +181,15 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_id
     """(query_id, vec_id, score): each query's k best, a query's own id left out. Scores are
     summed anew row by row, so that equal vectors have equal scores wherever they stand."""
     q_out, r_out, s_out = [], [], []
+    order = np.argsort(row_ids, kind="stable")
+    starts = np.flatnonzero(np.concatenate(([True], np.diff(row_ids[order]) != 0))[: len(order)])
     for at in range(0, len(queries), 256):
         q, own = queries[at : at + 256], query_ids[at : at + 256]
         s = q @ rows.T
         s[own[:, None] == row_ids] = -np.inf
-        cut = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)] if s.shape[1] > k else np.full(len(q), -np.inf)
+        # the k-th best is sought among ids, not rows
+        each = s if len(starts) == len(order) else np.maximum.reduceat(s[:, order], starts, axis=1)
+        cut = np.partition(each, each.shape[1] - k, axis=1)[:, each.shape[1] - k] if each.shape[1] > k else np.full(len(q), -np.inf)
         room = TIE * np.maximum(1.0, np.abs(np.where(np.isfinite(cut), cut, 0)))
         for i in range(len(q)):
             near = np.flatnonzero((s[i] >= cut[i] - room[i]) & np.isfinite(s[i]))
@@ -234,14 +240,21 @@ def _sizes(vectors: DataFrame, queries: DataFrame, shared, probes: int) -> DataF
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, parts: int = PARTS, probes: int = PROBES) -> DataFrame:
-    """Fit, index and search. Small tables (fewer valid rows than ten times k a part) have fewer parts."""
+    """Fit, index and search. In small tables (fewer valid rows than ten times k a part) all parts are
+    visited; elsewhere by the queries that find fewer than k others in their ``probes`` parts."""
     model = fit(vectors, parts)
     if model is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = valid(vectors).count()
-    if rows < 10 * k * model["w2"].shape[1]:
-        probes = int(model["w2"].shape[1])  # too few rows a part for k of them to be sure: all are visited
-    return search(vectors, queries, model, k, probes)
+    every = int(model["w2"].shape[1])
+    if probes >= every or valid(vectors).count() < 10 * k * every:
+        return search(vectors, queries, model, k, every)
+    found = written(search(vectors, queries, model, k, probes), "nearest")
+    enough = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
+    short = written(queries.join(enough, queries["vec_id"].cast("long") == enough["vec_id"], "left_anti"), "short")
+    if not valid(short).limit(1).count():
+        return found
+    full = found.join(enough.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").select(found.columns)
+    return full.unionByName(search(vectors, short, model, k, every))
 
 
 def brute_force(vectors: DataFrame, ids: list[int], k: int = K) -> dict[int, list[int]]:

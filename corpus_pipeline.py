@@ -1,7 +1,7 @@
 """Corpus cleaning as a chain of stages; each stage's rows are written and read again as
 the next one's documents.
 
-1. language ID: documents in which no language can be told go;
+1. language ID: documents in which no language can be told (without a letter) go;
 2. SimHash near-dedup: of each group of near-duplicates the smallest doc_id stays;
 3. suffix-array dedup: byte strings of 200 and more that repeat are cut out of the texts;
 4. mixing: whole documents are taken by target weights within 90 % of the tokens, each once;

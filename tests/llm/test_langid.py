@@ -58,3 +58,11 @@ def test_no_training_rows(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert m.identify(docs).first()["lang_pred"] == "und"
     assert m.identify(docs.limit(0)).count() == 0
+
+
+def test_stage_without_training_rows_keeps_texts_with_a_letter(spark):
+    rows = [(1, "abc", None), (2, "12 !", None), (3, None, None), (4, "", None), (5, "é", None), (5, "7", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r["text"] for r in m.drop_und(spark, docs).collect()) == ["abc", "é"]
+    held = spark.createDataFrame([(i, "some words", "aa") for i in range(300) if zlib.crc32(str(i).encode()) % 3 == 1], "doc_id long, text string, lang string")
+    assert m.drop_und(spark, held).count() == held.count() > 0

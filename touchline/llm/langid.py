@@ -189,18 +189,13 @@ def op6_language_mixture(spark, sf_dir):
 
 
 def drop_und(spark, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
-    """Documents in which no language can be told go; rows and columns otherwise stay. The
-    decision is made on each row, so repeated ids are kept or dropped by their own text."""
-    languages, log_p = fit(docs, ~held_out(F.col("doc_id")))
-    model = spark.sparkContext.broadcast((languages, log_p))
+    """The stage's whole rule: texts that are null or hold no letter go. Those are the rows that ``predict``
+    calls ``und`` with any model, so none is learned; without training rows texts with a letter stay too.
+    Rows and columns otherwise stay, and repeated ids are kept or dropped by their own text."""
 
     @F.pandas_udf("boolean")
     def spoken(text: pd.Series) -> pd.Series:
-        names, table = model.value
-        out = []
-        for t in text:
-            at, counts = gram_counts(t) if names and has_letter(t) else ((), ())
-            out.append(bool(len(at)) and bool(mixture(table, at, counts)) or bool(names) and has_letter(t))
-        return pd.Series(out, dtype=bool)
+        return text.map(has_letter).astype(bool)
 
-    return docs.where(spoken(F.col("text").cast("string"))) if languages else docs.where(F.lit(False))
+    small_batches(spark)
+    return docs.where(spoken(F.col("text").cast("string")))

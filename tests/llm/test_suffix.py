@@ -115,3 +115,65 @@ def test_empty_table_and_null_ids(spark):
     t = "".join(rnd.choice("abc ") for _ in range(400))
     got = run(spark, [(None, t), (2, t + "tail")])
     assert got[None][1] == 400 and got[2][1] == 400
+
+
+def colliding(h):
+    """Two different blocks of 128 letters with one hash: a Thue-Morse pattern of two words whose
+    hashes agree in 34 bits, and its complement."""
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGH", np.uint8)
+    words = np.array(np.meshgrid(*[letters] * 4)).reshape(4, -1).T
+    low = (h.values[words] * m._powers(h.base, 4)).sum(axis=1, dtype=np.uint64) & np.uint64((1 << 34) - 1)
+    order = np.argsort(low, kind="stable")
+    at = np.flatnonzero(low[order][1:] == low[order][:-1])[0]
+    pair = [bytes(words[order[at + k]]) for k in (0, 1)]
+    pattern = [bin(i).count("1") % 2 for i in range(32)]
+    blocks = [b"".join(pair[t ^ k] for t in pattern) for k in (0, 1)]
+    prefix = h.prefix(np.frombuffer(blocks[0] + blocks[1], np.uint8))
+    assert blocks[0] != blocks[1] and h.of(prefix, np.array([0]), 128) == h.of(prefix, np.array([128]), 128)
+    return blocks
+
+
+def test_patterns_that_collide_in_the_hash_are_sorted_and_kept(spark):
+    rnd = random.Random(31)
+    words = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    for seed in (2, 3, 11):
+        one, two = colliding(m.hashes(seed))
+        tails = [words(40).encode() for _ in range(6)]
+        cut = [b + t for t in tails for b in (one, two)]
+        buf, sizes = np.frombuffer(b"".join(cut), np.uint8), np.full(len(cut), 168)
+        order, _ = m.suffix_sort(buf, np.arange(len(cut)) * 168, sizes, np.zeros(len(cut), np.int64))
+        assert [cut[i] for i in order] == sorted(cut)
+        # equal tails after blocks that only look equal
+        near, tail = words(24), words(552)
+        t = [words(300) + b.decode() + near + tail for b in (one, two)] + [words(300) + b.decode() + near + words(500) for b in (one, two, one)]
+        assert [run(spark, enumerate(t))[i] for i in range(len(t))] == brute(t)
+
+
+def test_the_prime_and_the_bytes_sort_alike(monkeypatch):
+    rnd = random.Random(9)
+    buf = np.frombuffer("".join(rnd.choice("ab") for _ in range(3000)).encode(), np.uint8)
+    starts, sizes, group = np.array([rnd.randrange(2800) for _ in range(200)]), np.array([rnd.randint(0, 150) for _ in range(200)]), np.sort(np.array([rnd.randrange(9) for _ in range(200)]))
+    by_prime, by_bytes = m._mergesort(buf, starts, sizes, group, m.PrimeHashes(12)), m._sorted_by_bytes(buf, starts, sizes, group)
+    cut = [bytes(buf[a : a + n]) for a, n in zip(starts, sizes)]
+    for order, common in (by_prime, by_bytes):
+        assert [(group[i], cut[i]) for i in order] == sorted(zip(group, cut)) and m._verified(buf, starts, sizes, order, common)
+    assert (by_prime[1] == by_bytes[1]).all()
+    h = m.PrimeHashes(12)
+    prefix = h.prefix(buf)
+    value = sum(int(h.values[b]) * pow(h.base, i, m.PRIME) for i, b in enumerate(buf[7:90].tolist())) % m.PRIME
+    assert int(h.of(prefix, np.array([7]), 83)[0]) == value
+
+
+def test_many_copies_and_clashing_names(spark):
+    rnd = random.Random(3)
+    t = "".join(rnd.choice("abc ") for _ in range(900))
+    docs = spark.createDataFrame([(5, t)] * 300 + [(6, t[:500])], "doc_id long, text string")
+    found = m.spans(docs).groupBy("did", "th", "start", "end").count()
+    assert m.with_spans(docs).selectExpr("max(size(cover))").first()[0] <= found.count()
+    assert {tuple(r) for r in m.repeats(docs).select("doc_id", "n_removed", "n_spans").collect()} == {(5, 900, 1), (6, 500, 1)}
+    names = ["_new", "_did", "_th", "_start", "_end", "did", "th", "row", "cover", "touched", "new", "body"]
+    table = spark.createDataFrame([(i, x, i, *[f"own {k}" for k in names]) for i, x in enumerate([t + "one", "other", t + "two", None])], f"doc_id long, text string, n_chars long, {', '.join(f'`{k}` string' for k in names)}")
+    out = m.without_repeats(spark, table)
+    assert out.columns == table.columns
+    assert {tuple(r)[:3] for r in out.collect()} == {(0, "one", 3), (1, "other", 1), (2, "two", 3), (3, None, 3)}
+    assert all(list(r)[3:] == [f"own {k}" for k in names] for r in out.collect())

@@ -8,21 +8,23 @@ is removed. Strings are judged on the input; they never cross documents.
    offset. About one position in 65 is an anchor; only anchors are shuffled.
 2. Anchors that occur once end here: their windows are unique. Where all occurrences of an
    anchor agree on the whole context (every byte of every window around it), or several do,
-   those are covered entirely, without any sort; a context is told by two independent
-   64-bit polynomial hashes. What is left are different contexts of one anchor, one
-   representative each.
+   those are covered entirely, without any sort. Contexts count as equal by a strong digest of
+   their bytes (BLAKE2b, 128 bits), never by a polynomial hash: patterns that collide in
+   those can be written down, for BLAKE2b none are known. What is left are different
+   contexts of one anchor, one representative each.
 3. Suffix sort. Within an anchor, the suffixes that begin at it, and the reversed prefixes
    that end at it, are mergesorted. Two suffixes are compared through their longest
    common extension, found by binary search on prefix polynomial hashes: logarithmically many
    steps, then one byte. Every neighbouring extension is then verified byte by byte; should
-   a hash have lied, the sort is repeated with another base. From the two orders and their
-   extension lengths, windows with L bytes left of the anchor are equal exactly where both
-   orders keep their suffixes together down to that length.
+   a hash have lied, the sort is repeated modulo the prime 2^61 - 1, and should that lie
+   too, by comparing the bytes themselves. From the two orders and their extension lengths,
+   windows with L bytes left of the anchor are equal exactly where both orders keep their
+   suffixes together down to that length.
 4. The covered spans meet their document again by id, and the bytes are cut.
 
 An anchor with more than HOT_ANCHOR different contexts (a line in a third of all documents)
-isn't sorted in one task: its windows are compared as 128-bit digests in an aggregation.
-Both ways are exact and cover all rows.
+isn't sorted in one task: its windows are compared by their strong digests in an aggregation.
+Both ways cover all rows.
 
 Defined results: null and empty texts have no bytes; repeated rows are each other's
 repeats (a row is told by doc_id and a hash of its text); a null doc_id is a value like
@@ -84,11 +86,61 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+PRIME = (1 << 61) - 1
+
+
+class PrimeHashes:
+    """The same modulo the prime 2^61 - 1, where no pattern collides for every base."""
+
+    def __init__(self, seed: int):
+        rng = np.random.Generator(np.random.PCG64(seed))
+        self.values = rng.integers(0, PRIME, 256, dtype=np.uint64)
+        self.base = int(rng.integers(2, PRIME - 1))
+        self.power, self.inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def prefix(self, buf: np.ndarray) -> np.ndarray:
+        if len(self.power) <= len(buf):
+            n = 1 << (len(buf) + 1).bit_length()
+            self.power, self.inverse = _prime_powers(self.base, n), _prime_powers(pow(self.base, -1, PRIME), n)
+        terms = times(self.values[buf], self.power[: len(buf)])
+        # sums of the upper and the lower 30 bits stay within 64 bits
+        upper, lower = (np.cumsum(x) % np.uint64(PRIME) for x in (terms >> np.uint64(30), terms & np.uint64((1 << 30) - 1)))
+        return np.append(np.uint64(0), (times(upper, np.uint64(1 << 30)) + lower) % np.uint64(PRIME))
+
+    def of(self, prefix: np.ndarray, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        return times((prefix[at + size] + np.uint64(PRIME) - prefix[at]) % np.uint64(PRIME), self.inverse[at])
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME for a, b below it; 2^61 is 1 there."""
+    a1, a0, b1, b0 = a >> np.uint64(31), a & np.uint64((1 << 31) - 1), b >> np.uint64(31), b & np.uint64((1 << 31) - 1)
+    middle = a1 * b0 + a0 * b1
+    out = ((a1 * b1) << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << np.uint64(31)) + a0 * b0
+    out = (out & np.uint64(PRIME)) + (out >> np.uint64(61))
+    return np.where(out >= PRIME, out - np.uint64(PRIME), out)
+
+
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    k = 1
+    while k < n:
+        m = min(k, n - k)
+        out[k : k + m] = times(out[:m], np.uint64(pow(base, k, PRIME)))
+        k += m
+    return out
+
+
 @cache
 def hashes(seed: int) -> Hashes:
     return Hashes(seed)
 
 
+def strong(data: bytes, first: list[int], last: list[int]) -> np.ndarray:
+    """[n, 2]: 128-bit digests of data[first:last]."""
+    made = b"".join([hashlib.blake2b(data[a:e], digest_size=16).digest() for a, e in zip(first, last, strict=True)])
+    return np.frombuffer(made, np.int64).reshape(-1, 2)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
@@ -143,7 +195,6 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    h = hashes(2)
     for b in (part for whole in batches for part in slices(whole)):
         texts = b.column("body").to_pylist()
         did, th = (b.column(c).to_numpy(zero_copy_only=False) for c in ("did", "th"))
@@ -152,25 +203,26 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.fromiter(map(len, part), np.int64, len(part))
             ends = np.cumsum(sizes)
             starts = ends - sizes
-            buf = np.frombuffer(b"".join(part), np.uint8)
+            data = b"".join(part)
+            buf = np.frombuffer(data, np.uint8)
             begin = starts + own - low
             piece, at, gram = anchors(buf, starts, ends, begin, begin + PIECE)
             pos = at - starts[piece] + low[piece]
             whole = np.fromiter((len(texts[i]) for i in text), np.int64, len(text))[piece]
             left, right = np.minimum(REACH, pos), np.minimum(REACH, whole - pos - GRAM)
-            prefix = h.prefix(buf)
-            full = mix(h.of(prefix, at - left, left + GRAM + right) + (left * 1024 + right).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-            head, last, n = runs(text[piece], gram, full, pos)
+            full, rest = strong(data, (at - left).tolist(), (at + GRAM + right).tolist()).T
+            full = full ^ (left * 1024 + right) * 0x165667B19E3779F9  # where the anchor stands is part of a context
+            head, last, n = runs(text[piece], gram, full, rest, pos)
             owner = text[piece[head]]
-            columns = [gram[head].view(np.int64), full[head].view(np.int64), did[owner], th[owner], pos[head], last, n]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "full", "did", "th", "pos", "last", "n"])
+            columns = [gram[head].view(np.int64), full[head], rest[head], did[owner], th[owner], pos[head], last, n]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "full", "rest", "did", "th", "pos", "last", "n"])
 
 
-def runs(owner: np.ndarray, gram: np.ndarray, full: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs(owner: np.ndarray, gram: np.ndarray, full: np.ndarray, rest: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first row, last position, rows) of runs of one anchor with one context that follow each
     other in a text so closely that their contexts touch. A text that repeats a
     short line thousands of times gives few rows, not thousands of equal ones."""
-    same = (owner[1:] == owner[:-1]) & (gram[1:] == gram[:-1]) & (full[1:] == full[:-1]) & (pos[1:] - pos[:-1] <= LENGTH + REACH)
+    same = (owner[1:] == owner[:-1]) & (gram[1:] == gram[:-1]) & (full[1:] == full[:-1]) & (rest[1:] == rest[:-1]) & (pos[1:] - pos[:-1] <= LENGTH + REACH)
     head = np.flatnonzero(np.append(True, ~same)) if len(pos) else np.empty(0, np.int64)
     n = np.diff(np.append(head, len(pos)))
     return head, pos[head + n - 1], n
@@ -180,11 +232,25 @@ def suffix_sort(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, group: n
     """(order, extension): the suffixes buf[start : start + size] sorted within each group
     (groups ascending), and each one's common extension with the one before it in the order
     (-1 at the head of a group)."""
-    for seed in range(11, 31):
-        order, common = _mergesort(buf, starts, sizes, group, hashes(seed))
+    for h in (hashes(11), PrimeHashes(12)):
+        order, common = _mergesort(buf, starts, sizes, group, h)
         if _verified(buf, starts, sizes, order, common):
             return order, common
-    raise ArithmeticError("twenty hash bases collided")
+    return _sorted_by_bytes(buf, starts, sizes, group)
+
+
+def _sorted_by_bytes(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What ``suffix_sort`` returns, without hashes."""
+    cut = [buf[a : a + n].tobytes() for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    order = sorted(range(len(cut)), key=lambda i: (group[i], cut[i]))
+    common = [-1] * len(order)
+    for k in range(1, len(order)):
+        x, y = cut[order[k - 1]], cut[order[k]]
+        if group[order[k - 1]] == group[order[k]]:
+            n = min(len(x), len(y))
+            unlike = np.flatnonzero(np.frombuffer(x, np.uint8, n) != np.frombuffer(y, np.uint8, n))
+            common[k] = int(unlike[0]) if len(unlike) else n
+    return np.array(order, np.int64), np.array(common, np.int64)
 
 
 def _extension(h: Hashes, prefix, a, b, most) -> np.ndarray:
@@ -339,20 +405,19 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _window_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    one, two = hashes(3), hashes(4)
     for b in batches:
         for part in slices(b):
             context = part.column("context").to_pylist()
             sizes = np.fromiter(map(len, context), np.int64, len(context))
             starts = np.cumsum(sizes) - sizes
-            buf = np.frombuffer(b"".join(context), np.uint8)
             count = np.maximum(sizes - LENGTH + 1, 0)
             row = np.repeat(np.arange(len(context)), count)
             offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             where = starts[row] + offset
             begin = (part.column("pos").to_numpy() - part.column("left").to_numpy())[row] + offset
+            found = strong(b"".join(context), where.tolist(), (where + LENGTH).tolist())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.of(h.prefix(buf), where, LENGTH).view(np.int64)) for h in (one, two)] + [pa.array(part.column(c).to_numpy()[row]) for c in ("did", "th")] + [pa.array(begin)],
+                [pa.array(x) for x in found.T] + [pa.array(part.column(c).to_numpy()[row]) for c in ("did", "th")] + [pa.array(begin)],
                 ["w", "v", "did", "th", "start"],
             )
 
@@ -365,15 +430,18 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """did, th, start, end: byte spans of repeated strings. They may overlap and repeat."""
+    """did, th, start, end: byte spans of repeated strings. They may overlap, and a row that is
+    there several times gives each of its spans as often."""
     bodies = keyed(docs)
-    found = bodies.where(F.octet_length("body") >= LENGTH).mapInArrow(_scan, "anchor long, full long, did long, th long, pos long, last long, n long")
-    often = found.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("full").alias("low"), F.max("full").alias("high")).where("n > 1")
+    found = bodies.where(F.octet_length("body") >= LENGTH).mapInArrow(_scan, "anchor long, full long, rest long, did long, th long, pos long, last long, n long")
+    unlike = lambda *columns: F.expr(" or ".join(f"min({c}) <> max({c})" for c in columns))
+    often = found.groupBy("anchor").agg(F.sum("n").alias("n"), unlike("full", "rest").alias("mixed")).where("n > 1")
     # written, so that the joins below have an exchange of their own on both sides and adaptive execution can split a hot anchor's rows
-    often = written(often.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "often")
+    often = written(often.select("anchor", "mixed"), "often")
     hits = written(found.join(often, "anchor"), "anchors")
     span = lambda df: df.select("did", "th", F.greatest(F.lit(0), F.col("pos") - REACH).alias("start"), (F.col("last") + LENGTH).alias("end"))
-    classes = hits.where("mixed").groupBy("anchor", "full").agg(F.sum("n").alias("n"), F.min(F.struct("did", "th", "pos")).alias("one"))
+    same = ["anchor", "full", "rest"]
+    classes = hits.where("mixed").groupBy(*same).agg(F.sum("n").alias("n"), F.min(F.struct("did", "th", "pos")).alias("one"))
     classes = written(classes, "classes")
     sizes = classes.groupBy("anchor").agg((F.count("*") > HOT_ANCHOR).alias("hot"))
     marks = classes.join(sizes, "anchor").select("one.*", F.struct("anchor", "one.pos", (F.col("n") == 1).alias("single"), "hot").alias("mark"))
@@ -384,12 +452,23 @@ def spans(docs: DataFrame) -> DataFrame:
     contexts = written(contexts.mapInArrow(_contexts, columns), "contexts")
     sorted_ = contexts.where("not hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_contexts, "did long, th long, start long, end long")
     digests = contexts.where("hot").mapInArrow(_window_digests, "w long, v long, did long, th long, start long")
-    twice = digests.groupBy("w", "v").agg(F.countDistinct("did", "th", "start").alias("n")).where("n > 1").select("w", "v")
-    windows = digests.join(twice, ["w", "v"]).select("did", "th", "start", (F.col("start") + LENGTH).alias("end"))
-    several = hits.where("mixed").join(classes.where("n > 1").select("anchor", "full"), ["anchor", "full"])
+    twice = digests.groupBy("w", "v").agg(unlike("did", "th", "start").alias("several")).where("several").select("w", "v")
+    windows = salted(digests, twice, ["w", "v"], ["did", "start"]).select("did", "th", "start", (F.col("start") + LENGTH).alias("end"))
+    several = salted(hits.where("mixed"), classes.where("n > 1").select(*same), same, ["did", "pos"])
     return span(hits.where("not mixed")).unionByName(span(several)).unionByName(sorted_).unionByName(windows)
 
 
+#: Tasks that a key's rows are dealt to where only its presence on the other side counts.
+SALTS = 8
+
+
+def salted(rows: DataFrame, keys: DataFrame, on: list[str], by: list[str]) -> DataFrame:
+    """The rows whose ``on`` is among ``keys`` (each there once). A key may hold a third of the
+    rows, so they are dealt to SALTS tasks and each key is repeated for them."""
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+    return dealt.join(keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "salt"], "left_semi").drop("salt")
+
+
 def merged(starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of covered bytes."""
     if not len(starts):
@@ -402,7 +481,7 @@ def merged(starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray,
 
 def with_spans(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with did, th, body and cover (array of start, end; null: none)."""
-    cover = spans(docs).groupBy("did", "th").agg(F.collect_list(F.struct("start", "end")).alias("cover"))
+    cover = spans(docs).groupBy("did", "th").agg(F.collect_set(F.struct("start", "end")).alias("cover"))
     return keyed(docs).join(cover, ["did", "th"], "left")
 
 
@@ -456,11 +535,15 @@ def without_repeats(spark, docs: DataFrame, sf_dir: str | None = None) -> DataFr
         return pd.Series(out, dtype=object)
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_th": F.xxhash64(text)})
-    cover = spans(docs).select(F.col("did").alias("_did"), F.col("th").alias("_th"), "start", "end").groupBy("_did", "_th").agg(F.collect_list("start").alias("_start"), F.collect_list("end").alias("_end"))
-    joined = rows.join(cover, ["_did", "_th"], "left")
-    touched = F.col("_start").isNotNull()
+    # the row is wrapped, so that its columns can have any names
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64(text).alias("th"))
+    cover = spans(docs).groupBy("did", "th").agg(F.collect_set(F.struct("start", "end")).alias("cover"))
+    joined = rows.join(cover, ["did", "th"], "left")
+    touched, old = F.col("cover").isNotNull(), F.col("row.text").cast("string")
+    bounds = lambda side: F.coalesce(F.col(f"cover.{side}"), F.array().cast("array<bigint>"))
     # untouched rows don't go through Python
-    new = F.when(touched, remaining(F.when(touched, F.col("text").cast("string").cast("binary")).otherwise(F.lit(b"")), F.coalesce("_start", F.array().cast("array<bigint>")), F.coalesce("_end", F.array().cast("array<bigint>")))).otherwise(F.col("text"))
-    out = joined.withColumn("_new", new).where(~touched | (F.trim(F.regexp_replace("_new", r"\s+", " ")) != ""))
-    return out.select(*[F.col("_new").alias(c) if c == "text" else F.when(touched, F.char_length("_new")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    new = F.when(touched, remaining(F.when(touched, old.cast("binary")).otherwise(F.lit(b"")), bounds("start"), bounds("end"))).otherwise(old)
+    out = joined.select("row", touched.alias("touched"), new.alias("new")).where(F.expr(r"not touched or trim(regexp_replace(new, '\\s+', ' ')) <> ''"))
+    own = lambda c: F.col("row").getField(c)
+    value = lambda c: F.col("new") if c == "text" else F.when(F.col("touched"), F.char_length("new")).otherwise(own(c)) if c == "n_chars" else own(c)
+    return out.select(*[value(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

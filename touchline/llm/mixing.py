@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.llm.common import written
+
 SEED, EPOCHS = 17, 2
 #: Domain by source: the first is one large crawl; nothing known: 'other'.
 DOMAINS = {"crawl": ("src0",), "reference": tuple(f"src{i}" for i in range(1, 10)), "forum": tuple(f"src{i}" for i in range(10, 20))}
@@ -50,15 +52,21 @@ def domain_of(source: Column) -> Column:
     return F.coalesce(*[F.when(source.isin(list(s)), F.lit(d)) for d, s in DOMAINS.items()], F.lit("other"))
 
 
-def leaves(docs: DataFrame) -> DataFrame:
-    """domain, lang, source, tokens, rows: the tree's leaves, of bounded number."""
-    return tagged(docs).groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
+def leaves(tags: DataFrame) -> DataFrame:
+    """domain, lang, source, tokens, rows: the leaves of the tree over ``tagged`` rows, of bounded number."""
+    return tags.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
+
+
+def levels_of() -> tuple[Column, Column, Column]:
+    """domain, language and source of a row of documents."""
+    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    return domain_of(source), F.coalesce(F.col("lang").cast("string"), F.lit("")), source
 
 
 def tagged(docs: DataFrame) -> DataFrame:
     """doc_id, text digest, the tree's levels and n_tokens."""
-    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), domain_of(source).alias("domain"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), source.alias("source")).withColumn("n_tokens", token_count(F.col("text"))).withColumn("text", F.md5(F.col("text").cast("binary")))
+    levels = [c.alias(k) for k, c in zip(LEVELS, levels_of(), strict=True)]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *levels).withColumn("n_tokens", token_count(F.col("text"))).withColumn("text", F.md5(F.col("text").cast("binary")))
 
 
 def poured(nodes: DataFrame, above: list[str], budget: str, capacity: str, weight: str, out: str) -> DataFrame:
@@ -78,9 +86,14 @@ def poured(nodes: DataFrame, above: list[str], budget: str, capacity: str, weigh
     return steps.withColumn(out, F.least(F.col(capacity), F.greatest(F.lit(0.0), given))).drop("_fill", "_full", "_open", "_level")
 
 
-def budgets(docs: DataFrame, total: float | None = None, share: float = SHARE, epochs: int = EPOCHS, domain_weights=None, lang_weights=None, source_weights=None) -> DataFrame:
-    """domain, lang, source, tokens, budget of each leaf."""
-    leaf = leaves(docs).withColumn("capacity", (F.col("tokens") * epochs).cast("double"))
+def budgets(docs: DataFrame, **options) -> DataFrame:
+    """domain, lang, source, tokens, rows, budget of each leaf of documents; options: those of ``shared_out``."""
+    return shared_out(tagged(docs), **options)
+
+
+def shared_out(tags: DataFrame, total: float | None = None, share: float = SHARE, epochs: int = EPOCHS, domain_weights=None, lang_weights=None, source_weights=None) -> DataFrame:
+    """domain, lang, source, tokens, budget of each leaf of ``tagged`` rows."""
+    leaf = leaves(tags).withColumn("capacity", (F.col("tokens") * epochs).cast("double"))
     langs = leaf.groupBy("domain", "lang").agg(F.sum("capacity").alias("capacity"))
     domains = langs.groupBy("domain").agg(F.sum("capacity").alias("capacity"))
     whole = Window.partitionBy(F.lit(0))
@@ -95,11 +108,12 @@ def budgets(docs: DataFrame, total: float | None = None, share: float = SHARE, e
 
 def selection(docs: DataFrame, epochs: int = EPOCHS, seed: int = SEED, ranges: int | None = None, **options) -> DataFrame:
     """doc_id, text (its MD5), epoch, domain, lang, source, n_tokens of the chosen documents."""
-    plan = budgets(docs, epochs=epochs, **options)
-    each = tagged(docs).withColumn("epoch", F.explode(F.array(*map(F.lit, range(epochs)))))
+    tags = written(tagged(docs), "tagged")  # texts are read once; what follows needs a few short columns
+    plan = shared_out(tags, epochs=epochs, **options)
+    each = tags.withColumn("epoch", F.explode(F.array(*map(F.lit, range(epochs)))))
     each = each.withColumn("place", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")))
     if ranges is None:
-        ranges = max(1, docs.count() // ROWS_A_RANGE)
+        ranges = max(1, tags.count() // ROWS_A_RANGE)
     # the first 8 hex digits of the order fall into equal ranges
     width = -(-(1 << 32) // ranges)
     each = each.withColumn("range", F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("long") / F.lit(width)))
@@ -120,12 +134,19 @@ def op5_budget_mixing(spark, sf_dir):
 
 
 def mixed(spark, docs: DataFrame, sf_dir: str | None = None, epochs: int = 1, share: float = SHARE) -> DataFrame:
-    """The chosen rows of ``docs``, with its columns; each is taken at most ``epochs`` times."""
-    chosen = selection(docs, epochs=epochs, share=share).groupBy("doc_id", "text").agg(F.count("*").alias("takes"))
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("text").alias("_md5"), (F.col("takes")).alias("_takes"))
-    marked = docs.withColumn("_own", F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
-    joined = marked.join(chosen, marked["doc_id"].eqNullSafe(chosen["_id"]) & (F.col("_own") == F.col("_md5")))
-    return joined.select(*docs.columns)
+    """The chosen rows of ``docs``, with its columns, as often as the selection takes them (at most
+    ``epochs`` times each). Of a row that is there several times as many copies are taken as the
+    prefix holds; if the copies differ in other columns, it isn't defined which."""
+    key = ["id", "md5", *LEVELS]
+    chosen = selection(docs, epochs=epochs, share=share).groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.col("text").alias("md5"), *LEVELS).agg(F.count("*").alias("takes"))
+    tags = [c.alias(k) for k, c in zip(LEVELS, levels_of(), strict=True)]
+    # the row is wrapped, so that its columns can have any names
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    marked = docs.select(row, F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("id"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("md5"), *tags)
+    copies = Window.partitionBy(*key)
+    joined = marked.join(chosen, key).withColumns({"copy": F.row_number().over(copies.orderBy("id")), "copies": F.count("*").over(copies)})
+    times = (F.floor(F.col("takes") / F.col("copies")) + (F.col("copy") <= F.col("takes") % F.col("copies")).cast("long")).cast("int")
+    return joined.withColumn("again", F.explode(F.array_repeat(F.lit(True), times))).select("row.*")
 
 
 ORACLE = r"""

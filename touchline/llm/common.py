@@ -31,9 +31,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``). Where the
-    session names none, as in tests on one machine, a local one is set."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Where a session on
+    one machine names none, as in tests, a local one is set; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         found = getattr(spark, "_touchline_scratch", None) or tempfile.mkdtemp(prefix="touchline-")
         spark._touchline_scratch = found

@@ -465,10 +465,12 @@ def one_of_each(spark, docs: DataFrame, sf_dir: str | None = None, words: int =
     rows of the same id are judged by their own text. A row that is there several times stays once."""
     small_batches(spark)
     columns = docs.columns
-    rest = F.to_json(F.struct(F.lit(0).alias("_"), *[F.col(c) for c in columns if c not in ("doc_id", "text")]))
+    rest = F.to_json(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in columns if c not in ("doc_id", "text")]))
     # the hash skips nulls, so they are told apart by flags
-    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text", rest))
-    slim = keyed.select(F.col("_row").alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    hash_ = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text", rest).alias("row")
+    # the row is wrapped, so that its columns can have any names
+    keyed = docs.select(hash_, F.struct(*[F.col(f"`{c}`") for c in columns]).alias("own"))
+    slim = docs.select(hash_, F.col("doc_id").cast("long"), F.col("text").cast("string"))
     marked = written(slim.mapInArrow(_shingled(words), "row long, doc_id long, sid long, n long, fp long, bands array<long>"), "shingles")
     classes = written(marked.groupBy("sid").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min("row").alias("row")), "classes")
 
@@ -479,5 +481,5 @@ def one_of_each(spark, docs: DataFrame, sf_dir: str | None = None, words: int =
     roots = alike_roots(classes, sources, words)
     placed = marked.select("row", "doc_id", "sid").join(roots, F.col("sid") == F.col("node"), "left")
     first = placed.groupBy(F.coalesce("root", "sid").alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"))
-    keep = first.select(F.col("least.row").alias("_row"))
-    return keyed.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).select(*columns)
+    keep = first.select("least.row")
+    return keyed.join(keep, "row", "left_semi").dropDuplicates(["row"]).select("own.*")

@@ -1,8 +1,8 @@
 """Language ID by multilingual mixture inference.
 
 Model: for every language the smoothed probabilities of hashed byte 4-grams (of
-lower-cased words, with a space at both ends), counted by Spark over the labelled
-training texts. A document is a mixture: each of its n-grams comes from language l with
+lower-cased words, with a space at both ends; a word of one byte is a 3-gram), counted by
+Spark over the labelled training texts. A document is a mixture: each of its n-grams comes from language l with
 probability pi_l. Expectation-maximisation estimates pi; languages are then taken out one
 by one, smallest share first, as long as the penalised likelihood
 
@@ -10,6 +10,10 @@ by one, smallest share first, as long as the penalised likelihood
 
 doesn't fall. The prediction is the language with the largest share, the score that share.
 
+The stage of the pipeline (``drop_foreign``) gives every document one component more: text of no
+learned language, a uniform distribution over the n-grams. A document goes if that
+component explains more than FOREIGN of its n-grams, or if it has no letter.
+
 Training rows: non-null text and lang, chosen by ``trainable``. Of each language the
 ``per_language`` different rows with the smallest hash of (doc_id, text) are used, whole texts
 (a documented bound on labelled rows; PER_LANGUAGE). The model is languages x 65,536 numbers.
@@ -34,6 +38,8 @@ from touchline.llm.common import small_batches
 BUCKETS, GRAM, BLOCK = 1 << 16, 4, 1 << 20
 PER_LANGUAGE = 1500
 ROUNDS, SMOOTH = 12, 0.05
+#: The stage's limit on the share of n-grams that no learned language explains.
+FOREIGN = 0.5
 UND = "und"
 
 
@@ -49,7 +55,7 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, counts) of the byte n-grams that hold no inner space."""
     import re
 
-    folded = b" " + re.sub(rb" +", b" ", text.lower().encode("utf-8", "replace").translate(FOLD)) + b" "
+    folded = b" " + re.sub(rb" +", b" ", text.lower().encode("utf-8", "replace").translate(FOLD)) + b"  "  # the second space lets the last word begin a window, whatever its length
     buf = np.frombuffer(folded, np.uint8)
     if len(buf) <= 16_384:
         return np.unique(gram_buckets(buf), return_counts=True)
@@ -67,7 +73,8 @@ def gram_buckets(buf: np.ndarray) -> np.ndarray:
     x = buf.astype(np.uint32)
     packed = x[:n] << 24 | x[1 : n + 1] << 16 | x[2 : n + 2] << 8 | x[3 : n + 3]
     inner = (buf[1 : n + 1] != 32) & (buf[2 : n + 2] != 32)
-    return ((packed[inner] * np.uint32(2654435761)) >> 16).astype(np.int64)
+    alone = x[1 : n + 1][(buf[:n] == 32) & (buf[1 : n + 1] != 32) & (buf[2 : n + 2] == 32)]
+    return ((np.concatenate((packed[inner], alone)) * np.uint32(2654435761)) >> 16).astype(np.int64)
 
 
 def has_letter(text: str | None) -> bool:
@@ -125,6 +132,13 @@ def shares(p: np.ndarray, counts: np.ndarray, pi: np.ndarray) -> tuple[np.ndarra
     return pi, float(counts @ np.log(p @ pi))
 
 
+def foreign_share(log_p: np.ndarray, at: np.ndarray, counts: np.ndarray) -> float:
+    """The proportion of the component that is no learned language, estimated beside all languages."""
+    logs = np.column_stack((log_p[:, at].T.astype(np.float64), np.full(len(at), -np.log(BUCKETS))))
+    p = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return float(shares(p, counts, np.full(p.shape[1], 1 / p.shape[1]))[0][-1])
+
+
 def mixture(log_p: np.ndarray, at: np.ndarray, counts: np.ndarray) -> dict[int, float]:
     """The chosen languages' proportions."""
     logs = log_p[:, at].T.astype(np.float64)
@@ -158,15 +172,12 @@ def predict(docs: DataFrame, languages: list[str], log_p: np.ndarray) -> DataFra
         for frame in batches:
             preds, scores, sets = [], [], []
             for text in frame["text"]:
-                at, counts = gram_counts(text) if names and has_letter(text) else ((), ())
-                if not len(at):
-                    # letters whose n-grams hold none still count as language: the prior's first name
-                    one = bool(names) and has_letter(text)
-                    preds.append(names[0] if one else UND)
-                    scores.append(1.0 / len(names) if one else 0.0)
+                if not names or not has_letter(text):
+                    preds.append(UND)
+                    scores.append(0.0)
                     sets.append({})
                     continue
-                found = mixture(table, at, counts)
+                found = mixture(table, *gram_counts(text))  # a letter makes a word, so there are n-grams
                 best = min(found, key=lambda k: (-found[k], k))
                 preds.append(names[best])
                 scores.append(min(1.0, max(0.0, found[best])))
@@ -188,14 +199,17 @@ def op6_language_mixture(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents")).drop("shares")
 
 
-def drop_und(spark, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
-    """The stage's whole rule: texts that are null or hold no letter go. Those are the rows that ``predict``
-    calls ``und`` with any model, so none is learned; without training rows texts with a letter stay too.
-    Rows and columns otherwise stay, and repeated ids are kept or dropped by their own text."""
+def drop_foreign(spark, docs: DataFrame, sf_dir: str | None = None, limit: float = FOREIGN, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """The documents in a learned language (learned from the rows that aren't held out): those go that have
+    no letter, or of whose n-grams more than ``limit`` belong to no learned language by the mixture. Without
+    training rows all texts with a letter stay. Rows and columns otherwise stay, and repeated ids are
+    kept or dropped by their own text."""
+    languages, log_p = fit(docs, ~held_out(F.col("doc_id")), per_language)
+    model = spark.sparkContext.broadcast((bool(languages), log_p))  # languages x 65,536 floats, whatever the corpus
 
     @F.pandas_udf("boolean")
-    def spoken(text: pd.Series) -> pd.Series:
-        return text.map(has_letter).astype(bool)
+    def native(text: pd.Series) -> pd.Series:
+        known, table = model.value
+        return text.map(lambda t: has_letter(t) and (not known or foreign_share(table, *gram_counts(t)) <= limit)).astype(bool)
 
-    small_batches(spark)
-    return docs.where(spoken(F.col("text").cast("string")))
+    return docs.where(native(F.col("text").cast("string")))

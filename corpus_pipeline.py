@@ -1,7 +1,8 @@
 """Corpus cleaning as a chain of stages; each stage's rows are written and read again as
 the next one's documents.
 
-1. language ID: documents in which no language can be told (without a letter) go;
+1. language ID: documents go that have no letter or are mostly in none of the languages that are
+   learned from the labelled ones;
 2. SimHash near-dedup: of each group of near-duplicates the smallest doc_id stays;
 3. suffix-array dedup: byte strings of 200 and more that repeat are cut out of the texts;
 4. mixing: whole documents are taken by target weights within 90 % of the tokens, each once;
@@ -19,7 +20,7 @@ from touchline.llm.common import table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.drop_und(spark, docs, sf_dir)
+    return langid.drop_foreign(spark, docs, sf_dir)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

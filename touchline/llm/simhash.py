@@ -57,6 +57,10 @@ STAGE_WORDS, LIKENESS = 5, (4, 5)
 BANDS, BAND_ROWS, SIEVE_BITS = 24, 5, 26
 #: Members of one key that the stage compares all with all at once; in larger keys only those that are still apart.
 SMALL_KEY = 8
+#: Members of a block of a large key.
+KEY_BLOCK = 4096
+#: Bits by which members may be farther from a key's middle than the nearest one and still stand for it.
+MIDDLE_BITS = 3
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 14
 #: Fingerprints whose keys (up to 18 each) are made at a time.
@@ -350,6 +354,17 @@ def _sets(words: int):
     return run
 
 
+def _short_sets(words: int):
+    """The sets as 32-bit hashes, ascending."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(shingle_set(t.as_py(), words).astype(np.uint32)).tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("sid"), pa.array(found, pa.binary())], ["sid", "s"])
+
+    return run
+
+
 def _stage_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The Golay keys and the bands of every class."""
     for b in batches:
@@ -370,8 +385,9 @@ def sieved(fps: np.ndarray, n: np.ndarray, i, j) -> np.ndarray:
 
 def key_pairs(keys: np.ndarray, sids: np.ndarray, n: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(a, b, 0): candidates inside each key; keys ascending, sids different within a key. A key
-    with more than SMALL_KEY members gives its members' pairs with the first one and with the one
-    in the middle, and itself as (sid, key, 1)."""
+    with more than SMALL_KEY members gives its members' pairs with the first one and with the first of
+    those in the middle, and itself as (sid, key, 1). Keys of one group have one middle and
+    mostly the same first ones, so a member meets few of them in all its keys together."""
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.append(starts, len(keys)))
     size = np.repeat(sizes, sizes)
@@ -383,21 +399,38 @@ def key_pairs(keys: np.ndarray, sids: np.ndarray, n: np.ndarray, fps: np.ndarray
         at = np.arange(starts[k], starts[k] + sizes[k])
         ones = np.unpackbits(fps[at].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         centre = np.packbits(2 * ones > len(at), bitorder="little").view(np.uint64)[0]
-        for pivot in {int(at[0]), int(at[np.argmin(np.bitwise_count(fps[at] ^ centre))])}:
+        apart = np.bitwise_count(fps[at] ^ centre)
+        for pivot in {int(at[0]), int(at[np.argmax(apart <= apart.min() + MIDDLE_BITS)])}:
             near = at[(at != pivot) & sieved(fps, n, at, pivot)]
             yield np.minimum(sids[near], sids[pivot]), np.maximum(sids[near], sids[pivot]), 0
         yield sids[at], keys[at], 1
 
 
-def apart_pairs(keys: np.ndarray, roots: np.ndarray, sids: np.ndarray, n: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """All candidates inside each key that have different roots; sorted by key and root."""
+def apart_pairs(keys: np.ndarray, roots: np.ndarray, sids: np.ndarray, n: np.ndarray, sets: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """The pairs inside each key that have different roots and whose sets may have LIKENESS, judged by their
+    32-bit hashes, which never make less of it; sorted by key and root."""
+    up, down = LIKENESS
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     for start, end in zip(starts, np.append(starts[1:], len(keys))):
         if roots[start] == roots[end - 1]:
             continue
+        values = np.frombuffer(b"".join(sets[start:end]), np.uint32)
+        size = np.fromiter(map(len, sets[start:end]), np.int64, end - start) // 4
+        edge, lost = np.cumsum(size) - size, n[start:end] - size
+        place = np.unique(values, return_inverse=True)[1]
+        there = np.zeros(int(place.max(initial=-1)) + 1, bool)
         for i in range(start, end):
             near = np.arange(i + 1 + np.searchsorted(roots[i + 1 : end], roots[i], "right"), end)
             near = near[sieved(fps, n, near, i)]
+            if not len(near):
+                continue
+            own = place[edge[i - start] : edge[i - start] + size[i - start]]
+            there[own] = True
+            from_ = edge[near[0] - start]
+            held = np.append(0, np.cumsum(there[place[from_:]]))
+            common = held[edge[near - start] + size[near - start] - from_] - held[edge[near - start] - from_] + np.minimum(lost[near - start], lost[i - start])
+            there[own] = False
+            near = near[down * common >= up * (n[near] + n[i] - common)]
             if len(near):
                 yield np.minimum(sids[near], sids[i]), np.maximum(sids[near], sids[i]), 0
 
@@ -452,9 +485,14 @@ def alike_roots(classes: DataFrame, sources: Callable[[DataFrame], DataFrame], w
     large = met.where("kind = 1").select(F.col("a").alias("sid"), F.col("b").alias("key"))
     if not large.limit(1).count():
         return roots
-    placed = large.join(some.select("sid", "n", "fp"), "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    columns = ["key", "root", "sid", "n", "fp"]
-    apart = placed.select(columns).repartition("key").sortWithinPartitions("key", "root", "sid").mapInArrow(_by_key(columns, apart_pairs), "a long, b long, kind int")
+    short = sources(large.select("sid").distinct()).mapInArrow(_short_sets(words), "sid long, s binary")
+    # keys of any size are compared in pairs of blocks of about KEY_BLOCK members
+    blocks = large.groupBy("key").agg(F.ceil(F.count("*") / KEY_BLOCK).cast("int").alias("blocks"))
+    dealt = large.join(blocks, "key").withColumns({"own": F.pmod(F.xxhash64("sid"), "blocks").cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    dealt = dealt.select("sid", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
+    members = some.select("sid", "n", "fp").join(short, "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    columns = ["key", "root", "sid", "n", "s", "fp"]
+    apart = dealt.join(members, "sid").select(columns).repartition("key").sortWithinPartitions("key", "root", "sid").mapInArrow(_by_key(columns, apart_pairs), "a long, b long, kind int")
     more = written(alike(apart, sources, words), "alike")
     return components(links.unionByName(more)) if more.limit(1).count() else roots
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from touchline.llm import ann as m
@@ -79,7 +80,7 @@ def test_repeated_rows_leave_room_for_k(spark):
     x = vectors(90)
     df = frame(spark, x)
     got = {}
-    for r in m.top_k(df.unionByName(df).unionByName(df), df.where("vec_id in (0, 20)")).orderBy("rank").collect():
+    for r in m.top_k(df.unionByName(df).unionByName(df), df.where("vec_id in (0, 20)"), probes=99).orderBy("rank").collect():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     assert got == {q: [i for i, _ in exact(x, list(range(90)), q, 20)] for q in (0, 20)}
 
@@ -89,11 +90,37 @@ def test_a_query_short_of_k_visits_all_parts(spark):
     x[:, 0] = np.abs(x[:, 0]) + 1
     far = [-1.0] + [0.0] * 7
     df = frame(spark, x, [(1000, far, 0)] * 300)  # its part holds hardly more than its own repeats
-    model = m.fit(df, 4)
+    model = spark.sparkContext.broadcast(m.fit(df, 4))
     asks = df.where("vec_id in (7, 1000)")
-    assert m.search(df, asks, model, 5, 1).where("query_id = 1000").count() < 5
+    assert m.search(m.routed(m.valid(df), model, 1), m.routed(m.valid(asks).dropDuplicates(["vec_id"]), model, 1), 4, 5).where("query_id = 1000").count() < 5
     got = {}
     for r in m.top_k(df, asks, k=5, parts=4, probes=1).orderBy("rank").collect():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     s = x.astype(float) @ np.array(far)
     assert got[1000] == sorted(range(300), key=lambda j: (-s[j], j))[:5] and len(got[7]) == 5
+
+
+@pytest.mark.parametrize(("n", "d", "centres"), [(20_000, 24, 60), (100_000, 16, 200)])
+def test_recall_while_visiting_under_a_third(spark, n, d, centres):
+    """Clustered vectors, tables in which queries visit few parts."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, d)) + 2.5 * rng.normal(size=(centres, d))[rng.integers(0, centres, n)]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)}), "vec_id long, embedding array<float>").repartition(8).cache()
+    step = n // 200
+    model = m.fit(df)
+    parts, probes = model["w2"].shape[1], int(model["probes"])
+    assert parts == m.parts_for(n) and probes < parts
+    asks = df.where(f"vec_id % {step} = 0")
+    got = m.top_k(df, asks).toPandas()
+    q = np.arange(0, n, step)
+    s = x[q].astype(float) @ x.T.astype(float)
+    s[np.arange(len(q)), q] = -np.inf
+    truth = np.argsort(-s, axis=1, kind="stable")[:, :20]
+    by = got.groupby("query_id")["vec_id"].apply(set)
+    assert np.mean([len(by[i] & set(row.tolist())) / 20 for i, row in zip(q.tolist(), truth)]) >= 0.9
+    home = m.probabilities(model, x.astype(float)).argmax(axis=1)
+    size = np.bincount(home, minlength=parts)
+    order = np.argsort(-m.probabilities(model, x[q].astype(float)), axis=1)[:, :probes]
+    assert size[order].sum(axis=1).mean() < n / 3
+    df.unpersist()

@@ -1,24 +1,29 @@
 """Approximate nearest neighbours by learned partitions.
 
-Fit, on a bounded sample (SAMPLE rows with the smallest hash of vec_id): a k-nearest-neighbour
-graph of the sample is cut into ``parts`` parts of equal size with few edges between them
-(seeded growth, then passes that move vertices to the part of most of their neighbours as
-long as the balance allows). A small classifier, a network with one hidden layer, then
-learns a vector's distribution over the parts, from where its neighbours lie.
-
-Index: every row, sampled or not, goes to its most probable part. Search: a query visits the
-``probes`` parts that the classifier finds most probable and is compared exactly, in double
-precision, with every row there; ties go to the smaller vec_id. Recall is a matter of
-probes; tests/llm/test_ann.py measures it against brute force, and ``recall`` measures it
-on any table.
+Fit, on a bounded sample (the rows with the smallest hash of vec_id, SAMPLE_A_PART a part, at most
+SAMPLE): a k-nearest-neighbour graph of the sample is cut into parts of equal size with few
+edges between them (seeded growth, then passes that move vertices to the part of most of
+their neighbours as long as the balance allows). A small classifier, a network with one
+hidden layer, then learns a vector's distribution over the parts, from where its neighbours
+lie. The number of parts grows with the square root of the number of rows, up to what the
+sample carries (``parts_for``).
+
+Index: every row, sampled or not, goes to its most probable part; the index is written once.
+Search: a query visits the ``probes`` parts that the classifier finds most probable and is
+compared exactly, in double precision, with every row there; ties go to the smaller vec_id.
+``probes`` is the fewest parts with which held-out rows reach TARGET, the aimed recall: of two
+held-out vectors, the chance that one lies in a part that the other visits, taken over those
+neighbours that are as near as the k-th of the whole table (its rank shrinks with the sample).
+A query that finds fewer than k others then visits all parts. tests/llm/test_ann.py
+measures recall against brute force.
 
 A part may hold a third of all rows (equal vectors lie together): rows and queries of a part
 are dealt to blocks of about BLOCK, every block of queries meets every block of rows, and the
 blocks' best are merged. No task holds more than two blocks.
 
 Defined results: vectors that are null, zero, of another length than most of the sample or
-with null or non-finite components take no part; a query that finds fewer than k others
-in its parts visits all parts, and in small tables every query does (``top_k``); repeated rows (same vec_id) are candidates for others,
+with null or non-finite components take no part; inner products beyond the range of a double are
+no candidates; repeated rows (same vec_id) are candidates for others,
 not for each other; without valid rows there are none; other columns are ignored.
 """
 
@@ -34,8 +39,10 @@ from pyspark.sql import functions as F
 
 from touchline.llm.common import written
 
-SAMPLE, NEIGHBOURS, HIDDEN, BLOCK = 6000, 15, 128, 4096
-PARTS, PROBES, K = 16, 13, 20
+SAMPLE, SAMPLE_A_PART, NEIGHBOURS, HIDDEN, BLOCK = 16_000, 100, 15, 128, 4096
+#: Rows held out for choosing the probes, as a share of the sample.
+HELD = 0.5
+TARGET, K = 0.93, 20
 TIE = 1e-9
 
 
@@ -142,39 +149,63 @@ def probabilities(w: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     return _softmax(np.maximum((x / w["scale"]) @ w["w1"] + w["b1"], 0) @ w["w2"] + w["b2"])
 
 
-def fit(vectors: DataFrame, parts: int = PARTS, sample: int = SAMPLE) -> dict[str, np.ndarray] | None:
-    """The classifier's weights (None: no valid rows). At most ``sample`` rows reach the driver."""
+def parts_for(rows: int) -> int:
+    """A quarter of the square root of the rows, up to what the sample carries."""
+    return max(1, min(round(rows**0.5 / 4), SAMPLE // SAMPLE_A_PART))
+
+
+def fit(vectors: DataFrame, parts: int | None = None, k: int = K, target: float = TARGET) -> dict[str, np.ndarray] | None:
+    """The classifier's weights and the probes (None: no valid rows). At most (1 + HELD) x SAMPLE rows reach the driver."""
     rows = valid(vectors)
-    taken = rows.withColumn("h", F.xxhash64("vec_id")).orderBy("h", "vec_id").limit(sample).select("v").toPandas()["v"]
+    n = rows.count()
+    parts = parts_for(n) if parts is None else parts
+    sample = min(SAMPLE, max(parts * SAMPLE_A_PART, 4000))
+    taken = rows.withColumn("h", F.xxhash64("vec_id")).orderBy("h", "vec_id").limit(int(sample * (1 + HELD))).select("v").toPandas()["v"]
     if not len(taken):
         return None
     d = int(taken.map(len).mode().iloc[0])
     x = np.array([v for v in taken if len(v) == d])
+    cut = len(x) - int(len(x) * HELD / (1 + HELD))
+    x, held = x[:cut], x[cut:]
     near = neighbour_lists(x, min(NEIGHBOURS, max(1, len(x) - 1))) if len(x) > 1 else np.zeros((1, 1), np.int64)
     parts = max(1, min(parts, len(x) // 8))
     part = balanced_parts(x, near, parts)
     # where a vector's neighbours lie, itself included
-    target = np.zeros((len(x), parts))
-    np.add.at(target, (np.arange(len(x)), part), 1.0)
-    np.add.at(target, (np.repeat(np.arange(len(x)), near.shape[1]), part[near.ravel()]), 1.0)
-    return train(x, target / target.sum(axis=1, keepdims=True)) | {"d": np.array(d)}
+    to = np.zeros((len(x), parts))
+    np.add.at(to, (np.arange(len(x)), part), 1.0)
+    np.add.at(to, (np.repeat(np.arange(len(x)), near.shape[1]), part[near.ravel()]), 1.0)
+    w = train(x, to / to.sum(axis=1, keepdims=True))
+    return w | {"d": np.array(d), "probes": np.array(probes_for(w, held, max(1, round(k * len(held) / n)), target))}
+
+
+def probes_for(w: dict[str, np.ndarray], held: np.ndarray, k: int, target: float) -> int:
+    """The fewest parts with which the k nearest among the held-out rows are met at ``target``, two standard
+    errors included; all parts where there are too few rows to tell."""
+    parts = w["w2"].shape[1]
+    if len(held) <= k:
+        return parts
+    near = neighbour_lists(held, k)
+    p = probabilities(w, held)
+    order = np.argsort(-p, axis=1, kind="stable")
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.broadcast_to(np.arange(parts), order.shape), 1)
+    met = np.cumsum(np.bincount(np.take_along_axis(rank, order[:, 0][near], 1).ravel(), minlength=parts)) / near.size
+    enough = np.flatnonzero(met - 2 * np.sqrt(met * (1 - met) / near.size) - 1 / near.size >= target)
+    return int(enough[0]) + 1 if len(enough) else parts
 
 
 def routed(rows: DataFrame, model, probes: int) -> DataFrame:
-    """vec_id, v, part: a row for each of the ``probes`` most probable parts."""
+    """vec_id, v, parts: the ``probes`` most probable parts, the best first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = model.value
         for frame in batches:
             frame = frame[frame["v"].map(len) == int(w["d"])]
-            if not len(frame):
-                continue
-            p = probabilities(w, np.stack(frame["v"].to_numpy()))
-            best = np.argsort(-p, axis=1, kind="stable")[:, :probes]
-            take = np.repeat(np.arange(len(frame)), best.shape[1])
-            yield pd.DataFrame({"vec_id": frame["vec_id"].to_numpy()[take], "v": frame["v"].to_numpy()[take], "part": best.ravel()})
+            if len(frame):
+                p = probabilities(w, np.stack(frame["v"].to_numpy()))
+                yield frame.assign(parts=list(np.argsort(-p, axis=1, kind="stable")[:, :probes].astype(np.int32)))
 
-    return rows.mapInPandas(run, "vec_id long, v array<double>, part int")
+    return rows.mapInPandas(run, "vec_id long, v array<double>, parts array<int>")
 
 
 def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,17 +234,15 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_id
     return tuple(np.concatenate(x) if x else np.empty(0) for x in (q_out, r_out, s_out))
 
 
-def search(vectors: DataFrame, queries: DataFrame, model: dict, k: int = K, probes: int = PROBES) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of the visited parts."""
-    spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # a network whose size the parameters fix
-    parts = int(model["w2"].shape[1])
-    sizes = {r["part"]: (r["n"], r["q"]) for r in _sizes(vectors, queries, shared, probes).collect()}  # a row for each part
-    blocks = {p: (max(1, -(-n // BLOCK)), max(1, -(-q // BLOCK))) for p, (n, q) in sizes.items()}
-    lookup = lambda i: F.create_map(*[F.lit(x) for p in range(parts) for x in (p, blocks.get(p, (1, 1))[i])])[F.col("part")]
+def search(index: DataFrame, asks: DataFrame, parts: int, k: int = K) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best of the visited parts; index and asks are ``routed`` and written."""
+    sizes = lambda df: {r["part"]: r["count"] for r in df.select(F.explode("parts").alias("part")).groupBy("part").count().collect()}  # noqa: E731  a row for each part
+    rows_in, asks_in = sizes(index), sizes(asks)
+    blocks = [[max(1, -(-n.get(p, 0) // BLOCK)) for p in range(parts)] for n in (rows_in, asks_in)]
+    lookup = lambda i: F.element_at(F.array(*map(F.lit, blocks[i])), F.col("part") + 1)
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
-    rows = routed(valid(vectors), shared, 1).withColumns({"rb": deal(lookup(0)), "qb": F.explode(F.sequence(F.lit(0), lookup(1) - 1))}).withColumn("query", F.lit(False))
-    asks = routed(valid(queries).dropDuplicates(["vec_id"]), shared, probes).withColumns({"qb": deal(lookup(1)), "rb": F.explode(F.sequence(F.lit(0), lookup(0) - 1))}).withColumn("query", F.lit(True))
+    rows = index.select("vec_id", "v", F.explode("parts").alias("part")).withColumns({"rb": deal(lookup(0)), "qb": F.explode(F.sequence(F.lit(0), lookup(1) - 1))}).withColumn("query", F.lit(False))
+    asks = asks.select("vec_id", "v", F.explode("parts").alias("part")).withColumns({"qb": deal(lookup(1)), "rb": F.explode(F.sequence(F.lit(0), lookup(0) - 1))}).withColumn("query", F.lit(True))
 
     def compare(table: pa.Table) -> pa.Table:
         v = np.array(table.column("v").combine_chunks().flatten()).reshape(table.num_rows, -1)
@@ -233,28 +262,26 @@ def search(vectors: DataFrame, queries: DataFrame, model: dict, k: int = K, prob
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
-def _sizes(vectors: DataFrame, queries: DataFrame, shared, probes: int) -> DataFrame:
-    rows = routed(valid(vectors), shared, 1).groupBy("part").agg(F.count("*").alias("n"))
-    asks = routed(valid(queries), shared, probes).groupBy("part").agg(F.count("*").alias("q"))
-    return rows.join(asks, "part", "full").select("part", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("q", F.lit(0)).alias("q"))
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, parts: int = PARTS, probes: int = PROBES) -> DataFrame:
-    """Fit, index and search. In small tables (fewer valid rows than ten times k a part) all parts are
-    visited; elsewhere by the queries that find fewer than k others in their ``probes`` parts."""
-    model = fit(vectors, parts)
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, parts: int | None = None, probes: int | None = None, target: float = TARGET) -> DataFrame:
+    """Fit, index and search; then the queries that found fewer than k others visit all parts."""
+    model = fit(vectors, parts, k, target)
     if model is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    shared = vectors.sparkSession.sparkContext.broadcast(model)  # a network whose size the parameters fix
     every = int(model["w2"].shape[1])
-    if probes >= every or valid(vectors).count() < 10 * k * every:
-        return search(vectors, queries, model, k, every)
-    found = written(search(vectors, queries, model, k, probes), "nearest")
+    visited = min(every, int(model["probes"]) if probes is None else probes)
+    index = written(routed(valid(vectors), shared, 1), "index")
+    asks = written(routed(valid(queries).dropDuplicates(["vec_id"]), shared, visited), "asks")
+    found = search(index, asks, every, k)
+    if visited == every:
+        return found
+    found = written(found, "nearest")
     enough = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
-    short = written(queries.join(enough, queries["vec_id"].cast("long") == enough["vec_id"], "left_anti"), "short")
-    if not valid(short).limit(1).count():
+    short = written(asks.join(enough, "vec_id", "left_anti").withColumn("parts", F.sequence(F.lit(0), F.lit(every - 1))), "short")
+    if not short.limit(1).count():
         return found
     full = found.join(enough.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").select(found.columns)
-    return full.unionByName(search(vectors, short, model, k, every))
+    return full.unionByName(search(index, short, every, k))
 
 
 def brute_force(vectors: DataFrame, ids: list[int], k: int = K) -> dict[int, list[int]]:

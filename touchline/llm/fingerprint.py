@@ -1,47 +1,62 @@
 r"""Document fingerprints: invertible Bloom lookup sketches of paragraph digests. Native Spark
 SQL throughout.
 
-A paragraph piece is two consecutive sentences of a line (the last may be one); blank
-lines are dropped. The pieces' XXH64 digests form a set. A sketch has ``4 x 8`` cells a
-block: each digest goes into one cell of each of the four rows; a cell holds a count, the
-XOR of its digests and the XOR of their check sums. The fingerprint is a sketch of 4 x 4
-cells in base64, so equal texts have equal fingerprints.
-
-Two sketches are subtracted cell by cell; what both versions hold cancels out. Peeling then
+A paragraph is cut into pieces by content: after a word that ends in one of ``.!?``, at the end of
+a line, and after words whose hash is divisible by CUT, so that long sentences and text without
+any have pieces too and an edit changes the pieces around it only. The pieces' XXH64
+digests form a set. A sketch has four rows of cells: each digest goes into one cell of each row; a
+cell holds a count, the XOR of its digests and the XOR of their check sums. The fingerprint is a
+sketch of 4 x 4 cells in base64, so equal texts have equal fingerprints; a row's counts
+add up to the size of the set.
+
+Two fingerprints are subtracted cell by cell; what both versions hold cancels out. Peeling then
 takes digests out of cells that hold exactly one (count 1 or -1 and a fitting check sum)
-until all cells are empty, which recovers the digests that differ. If cells stay, it is
-tried again with four times as many blocks, digests being dealt to blocks by their upper
-bits. The first table has a block for every twelve digests; should the fourth fail too (two
-digests with equal hashes in every row), the sets themselves are compared.
+until all cells are empty, which recovers the digests that differ and on which side. Pairs whose
+cells stay get larger sketches, a cell a row for every LOAD digests of both: the cells of all such
+pairs are rows of one table, subtracted by an aggregation, and peeled row of cells after row of
+cells (a digest is in one cell of a row, so it is taken out once) by STEPS more. Pairs that
+still fail get twice as many cells. Should TRIES of them fail, the sets themselves are compared.
 
-Likeness is 1 - d / (a + b): d differing digests, a and b in the two sets (1 if both are empty).
+Likeness is 1 - d / (a + b): d recovered digests, a and b the sizes that the fingerprints
+tell (1 if both are 0).
 
 The next document (ascending doc_id, the first follows the last) is found without a global
-order of texts: ids are cut into ranges of WIDTH, a text moves once to its range, ranges
-hand their first row to the one before, and ranges themselves are chained in two levels.
+order of texts: the order is cut into ranges at rows of a sample (SAMPLED rows a range, as
+many ranges as RANGES times the shuffle partitions), a text moves once to its range, and
+ranges hand their first row to the one before.
 
 Defined results: null text is empty; null doc_id comes first; rows with equal doc_id follow
-each other by text; a single row is its own next; an empty table gives no rows; other
+each other by a hash of the text, then by text; a single row is its own next; an empty table gives no rows; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WIDTH, CHAIN = 256, 512
+from touchline.llm.common import written
+
 ROWS, SLOTS, ROUNDS = 4, 8, 12
-NULL_RANGE = -(2**60)
-SENTENCE_END = r"(?<=[.!?]) "
-LOAD, TRIES = 12, 4
+#: Slots a row in the fingerprint itself.
+SMALL = 4
+CUT, LOAD, TRIES = 16, 1.0, 6
+#: Peeling steps of an attempt with larger sketches, a row of cells each.
+STEPS = 8
+RANGES, SAMPLED = 4, 8
+#: Between pieces; a text that holds it is cut there, like any other text with it.
+MARK = "\\u001e"
 
 
 def digests(text: Column) -> Column:
     """The set of digests of the text's pieces."""
-    lines = F.transform(F.filter(F.split(text, "\n"), lambda line: F.trim(line) != ""), lambda line: F.split(line, SENTENCE_END))
-    pieces = F.transform(lines, lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / 2).cast("int")), lambda i: F.xxhash64(F.slice(s, 2 * i + 1, 2))))
-    return F.array_distinct(F.flatten(pieces))
+    words = F.split(text, r" |(?<=\n)")
+    ends = lambda w: (F.instr(F.lit(".!?\n"), F.right(w, F.lit(1))) > 0) | (F.pmod(F.xxhash64(w), F.lit(CUT)) == 0)
+    pieces = F.split(F.array_join(F.transform(words, lambda w: F.concat(w, F.when(ends(w), F.lit("\u001e")).otherwise(F.lit(" ")))), ""), MARK)
+    return F.array_distinct(F.transform(F.filter(pieces, lambda p: F.trim(p) != ""), lambda p: F.xxhash64(p)))
 
 
 def let(name: str, value: str, body: str) -> str:
@@ -71,60 +86,112 @@ def subtract(one: str, two: str) -> str:
     return f"zip_with({one}, {two}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'c', x.c ^ y.c))"
 
 
-def peel(cells: str) -> str:
-    """How many digests a block's difference holds; -1 if it can't be emptied. What is pure
-    is taken out of all cells at once, until nothing is."""
-    pure = f"array_distinct(transform(filter(s.cells, x -> abs(x.n) = 1 and {check_of('x.k')} = x.c), x -> named_struct('n', x.n, 'k', x.k)))"
-    fewer = f"transform(s.cells, (x, i) -> aggregate(filter(pure, p -> {slot_of('p.k', f'i div {SLOTS}')} = i % {SLOTS}), x, (y, p) -> named_struct('n', y.n - p.n, 'k', y.k ^ p.k, 'c', y.c ^ {check_of('p.k')})))"
-    step = let("pure", pure, f"if(size(pure) = 0, named_struct('cells', s.cells, 'd', s.d, 'on', false), named_struct('cells', {fewer}, 'd', s.d + size(pure), 'on', true))")
-    start = f"named_struct('cells', {cells}, 'd', 0, 'on', true)"
-    left = "exists(s.cells, x -> x.n <> 0 or x.k <> 0L or x.c <> 0L)"
-    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> if(s.on, {step}, s), s -> if({left}, -1, s.d))"
-
-
-def attempt(one: str, two: str, g: str) -> str:
-    """The differing digests with g x g blocks; -1 as soon as a block fails."""
-    upper = lambda d: f"(shiftrightunsigned({d}, 48) % {g})"
-    lower = lambda d: f"((shiftrightunsigned({d}, 32) & 65535L) % {g})"
-    block = peel(subtract(sketch(f"filter(aa, d -> {lower('d')} = v)"), sketch(f"filter(bb, d -> {lower('d')} = v)")))
-    inner = let("found", block, "if(found < 0, -1, t + found)")
-    row = let("aa", f"filter({one}, d -> {upper('d')} = u)", let("bb", f"filter({two}, d -> {upper('d')} = u)", f"aggregate(sequence(0L, {g} - 1L), w, (t, v) -> if(t < 0, -1, {inner}))"))
-    return f"aggregate(sequence(0L, {g} - 1L), 0, (w, u) -> if(w < 0, -1, {row}))"
-
+NONE = "cast(array() as array<struct<n:int,k:bigint>>)"
 
-def differing(one: str, two: str) -> str:
-    """Differing digests of two sets: sketches of four times as many blocks each time, until one can be emptied."""
-    first = f"greatest(0, cast(ceil(log(4.0D, (size({one}) + size({two})) / {LOAD}.0D)) as int))"
-    exact = f"size(array_except({one}, {two})) + size(array_except({two}, {one}))"
-    return f"aggregate(sequence({first}, {first} + {TRIES - 1}), -1, (d, z) -> if(d >= 0, d, {attempt(one, two, 'shiftleft(1L, z)')}), d -> if(d >= 0, d, {exact}))"
 
-
-def likeness(one: str, two: str) -> Column:
-    return F.expr(f"if({one} = {two}, 1.0D, 1.0D - ({differing(one, two)}) / cast(size({one}) + size({two}) as double))")
-
-
-def encoded(keys: str) -> Column:
+def peel(cells: str, slots: int = SLOTS) -> str:
+    """(ok, found): the digests that a difference holds, n = 1 for the first side's and -1 for the other's;
+    not ok if it can't be emptied. What is pure is taken out of all cells at once, until nothing is."""
+    pure = f"array_distinct(transform(filter(s.cells, x -> abs(x.n) = 1 and {check_of('x.k')} = x.c), x -> named_struct('n', x.n, 'k', x.k)))"
+    fewer = f"transform(s.cells, (x, i) -> aggregate(filter(pure, p -> {slot_of('p.k', f'i div {slots}', slots)} = i % {slots}), x, (y, p) -> named_struct('n', y.n - p.n, 'k', y.k ^ p.k, 'c', y.c ^ {check_of('p.k')})))"
+    step = let("pure", pure, f"if(size(pure) = 0, named_struct('cells', s.cells, 'found', s.found, 'on', false), named_struct('cells', {fewer}, 'found', concat(s.found, pure), 'on', true))")
+    start = f"named_struct('cells', {cells}, 'found', {NONE}, 'on', true)"
+    left = "exists(s.cells, x -> x.n <> 0 or x.k <> 0L or x.c <> 0L)"
+    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> if(s.on, {step}, s), s -> named_struct('ok', not {left}, 'found', s.found))"
+
+
+def size_of(cells: str) -> str:
+    """The number of digests in a set by its fingerprint."""
+    return f"aggregate(slice({cells}, 1, {SMALL}), 0, (t, x) -> t + x.n)"
+
+
+def check(key: Column) -> Column:
+    return F.xxhash64(key).bitwiseAND(F.lit(4294967295))
+
+
+def cell_of(key: Column, row: Column | int, slots: Column) -> Column:
+    row = F.lit(row) if isinstance(row, int) else row
+    return row * slots + F.pmod(F.xxhash64(key, row), slots)
+
+
+def attempt(pairs: DataFrame, scale: float) -> DataFrame:
+    """row, which, ok, found: the differing digests of each pair (row, which, one, two, n: their digests) from
+    sketches of ROWS x slots cells. All of a pair's rows stay in the partition that (row, which) deals them to."""
+    pair = ["row", "which", "slots"]
+    sided = lambda c, sign: F.transform(c, lambda d: F.struct(F.lit(sign).alias("n"), d.alias("k")))
+    slots = F.ceil(F.col("n") * scale / LOAD) + SMALL
+    items = pairs.repartition("row", "which").select("row", "which", slots.alias("slots"), F.explode(F.concat(sided("one", 1), sided("two", -1))).alias("d")).select(*pair, "d.n", "d.k")
+    cells = items.withColumn("r", F.explode(F.array(*map(F.lit, range(ROWS))))).select(*pair, F.lit(False).alias("found"), cell_of(F.col("k"), F.col("r"), F.col("slots")).alias("cell"), "n", "k", check(F.col("k")).alias("c"))
+    held = F.col("found") | (F.col("n") != 0) | (F.col("k") != 0) | (F.col("c") != 0)
+    summed = lambda df: df.groupBy(*pair, "found", "cell").agg(F.sum("n").cast("int").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c")).where(held)
+    cells = summed(cells)
+    entry = lambda found, cell, n: F.struct(F.lit(found).alias("found") if isinstance(found, bool) else found.alias("found"), cell.alias("cell"), n.alias("n"), F.col("k"), F.col("c"))
+    for step in range(STEPS):
+        row = step % ROWS
+        pure = ~F.col("found") & (F.floor(F.col("cell") / F.col("slots")) == row) & (F.abs("n") == 1) & (F.col("c") == check(F.col("k")))
+        # a pure cell becomes a found digest, which is taken out of its cells in the other rows
+        others = [entry(False, cell_of(F.col("k"), r, F.col("slots")), -F.col("n")) for r in range(ROWS) if r != row]
+        moved = F.when(pure, F.array(entry(True, F.col("k"), F.col("n")), *others)).otherwise(F.array(entry(F.col("found"), F.col("cell"), F.col("n"))))
+        cells = summed(cells.select(*pair, F.explode(moved).alias("e")).select(*pair, "e.*"))
+    ended = cells.groupBy("row", "which").agg(F.min("found").alias("ok"), F.collect_list(F.when(F.col("found"), F.struct("n", "k"))).alias("found"))
+    return ended
+
+
+def recovered(pairs: DataFrame) -> DataFrame:
+    """row, which, found of pairs (row, which, one, two, n) by ever larger sketches; pairs of equal sets have no row."""
+    done, todo = [], pairs
+    for k in range(TRIES):
+        tried = written(attempt(todo, 2.0**k), "tried")
+        done.append(tried.where("ok").select("row", "which", "found"))
+        failed = tried.where("not ok").select("row", "which")
+        if not failed.limit(1).count():
+            break
+        todo = written(todo.join(failed, ["row", "which"], "left_semi"), "failed")
+    else:
+        by_set = lambda x, y, n: F.transform(F.array_except(x, y), lambda k: F.struct(F.lit(n).alias("n"), k.alias("k")))
+        done.append(todo.select("row", "which", F.concat(by_set("one", "two", 1), by_set("two", "one", -1)).alias("found")))
+    return reduce(DataFrame.unionByName, done)
+
+
+def likeness(found: str, n: str) -> Column:
+    return F.when(F.col(n) == 0, F.lit(1.0)).otherwise(1.0 - F.size(found) / F.col(n).cast("double"))
+
+
+def encoded(cells: str) -> Column:
     """The fingerprint: of every cell 4 hex digits of the count, 16 of the digests, 8 of the check sums, as base64."""
     cell = "concat(lpad(hex(x.n), 4, '0'), lpad(hex(x.k), 16, '0'), lpad(hex(x.c), 8, '0'))"
-    return F.translate(F.expr(f"base64(unhex(array_join(transform({sketch(keys, 4)}, x -> {cell}), '')))"), "\r\n", "")
+    return F.translate(F.expr(f"base64(unhex(array_join(transform({cells}, x -> {cell}), '')))"), "\r\n", "")
+
+
+def place_in(bounds: list[tuple[bool, int, int]]) -> Column:
+    """How many of the ascending bounds are at most (known, id, th), by binary search."""
+    kind = "array<struct<known:boolean,id:long,th:long>>"
+    listed = F.from_json(F.lit(json.dumps([{"known": a, "id": b, "th": c} for a, b, c in bounds])), kind)
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    key = F.struct("known", "id", "th")
+    further = lambda at, step: F.when(at + step <= len(bounds), F.element_at(listed, at + step) <= key).otherwise(F.lit(False))
+    return F.aggregate(F.array(*map(F.lit, steps or [0])), F.lit(0), lambda at, step: F.when(further(at, step), at + step).otherwise(at)) if bounds else F.lit(0)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, next_text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.withColumn("part", F.coalesce(F.expr(f"floor(doc_id / {WIDTH}.0BD)").cast("long"), F.lit(NULL_RANGE)))
-    heads = rows.groupBy("part").agg(F.min(F.struct("doc_id", "text")).alias("head"))
-    # the range before each: within a run of CHAIN ranges by a window, from run to run by one over the runs
-    parts = rows.groupBy("part").agg(F.lit(1).alias("one")).select("part", F.expr(f"floor(part / {CHAIN}.0BD)").cast("long").alias("run"))
-    runs = parts.groupBy("run").agg(F.max("part").alias("closes"))
-    over_runs, all_runs = Window.orderBy("run"), Window.orderBy("run").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    runs = runs.select("run", F.coalesce(F.lag("closes").over(over_runs), F.last("closes").over(all_runs)).alias("previous"))
-    before = parts.withColumn("before", F.lag("part").over(Window.partitionBy("run").orderBy("part"))).join(runs, "run").select("part", F.coalesce("before", "previous").alias("before"))
-    guests = heads.join(before, "part").select(F.col("before").alias("part"), "head.doc_id", "head.text", F.lit(True).alias("guest"))
-    dealt = rows.withColumn("guest", F.lit(False)).select("part", "doc_id", "text", "guest").unionByName(guests).repartition("part")
-    order = Window.partitionBy("part").orderBy("guest", "doc_id", "text")
-    return dealt.withColumn("next_text", F.lead("text").over(order)).where("not guest").select("doc_id", "text", "next_text")
+    keys = rows.select(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("th"))
+    first = keys.agg(F.min(F.struct("known", "id", "th"))).first()[0]
+    ranges = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a fixed number of short rows for each range
+    sample = sorted(map(tuple, keys.orderBy(F.xxhash64("known", "id", "th")).limit(SAMPLED * ranges).collect()))
+    bounds = sorted({tuple(first), *sample[SAMPLED // 2 :: SAMPLED]}) if first else []
+    order = ["known", "id", "th", "text"]
+    placed = rows.withColumns({"known": F.col("doc_id").isNotNull(), "id": F.coalesce("doc_id", F.lit(0)), "th": F.xxhash64("text")}).withColumn("part", place_in(bounds))
+    # every bound is a row, so no range is empty
+    heads = placed.groupBy("part").agg(F.min(F.struct(*order)).alias("head"))
+    guests = heads.select(F.when(F.col("part") == 1, F.lit(len(bounds))).otherwise(F.col("part") - 1).alias("part"), F.lit(None).cast("long").alias("doc_id"), "head.*", F.lit(True).alias("guest"))
+    columns = ["part", "doc_id", *order, "guest"]
+    dealt = placed.withColumn("guest", F.lit(False)).select(columns).unionByName(guests.select(columns)).repartition("part")
+    window = Window.partitionBy("part").orderBy("guest", *order)
+    return dealt.withColumn("next_text", F.lead("text").over(window)).where("not guest").select("doc_id", "text", "next_text")
 
 
 def edited(text: Column, next_text: Column) -> Column:
@@ -135,13 +202,36 @@ def edited(text: Column, next_text: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and the recovered
+    digests of the pieces that differ: differs_edited, differs_next (n: 1 only here, -1 only there; k)."""
     both = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    sets = both.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("new"), digests(F.col("next_text")).alias("following"))
-    return sets.select("doc_id", "n_chars", "edited_sha256", encoded("own").alias("fingerprint"), encoded("new").alias("edited_fingerprint"), likeness("own", "new").alias("near_edited"), likeness("own", "following").alias("near_next"))
+    kept = ["row", "doc_id", "n_chars", "edited_sha256"]
+    sets = both.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("new"), digests(F.col("next_text")).alias("following"))
+    cells = sets.select("*", *[F.expr(sketch(x, SMALL)).alias(f"{x}_cells") for x in ("own", "new", "following")])
+    small = lambda x: F.expr(peel(subtract("own_cells", f"{x}_cells"), SMALL))
+    tried = cells.select(
+        *kept, encoded("own_cells").alias("fingerprint"), encoded("new_cells").alias("edited_fingerprint"), "own",
+        *[F.expr(f"{size_of('own_cells')} + {size_of(f'{x}_cells')}").alias(f"n_{x}") for x in ("new", "following")],
+        *[c for x in ("new", "following") for c in (small(x).alias(f"small_{x}"), F.col(x))],
+    )
+    # what the small sketches tell needs no sets any more; written, so that the row numbers stay
+    failed = lambda x: ~F.col(f"small_{x}.ok")
+    base = tried.select(
+        *kept, "fingerprint", "edited_fingerprint", "n_new", "n_following", F.when(failed("new") | failed("following"), F.col("own")).alias("own"),
+        *[c for x in ("new", "following") for c in (F.when(~failed(x), F.col(f"small_{x}.found")).alias(f"found_{x}"), F.when(failed(x), F.col(x)).alias(x))],
+    )
+    base = written(base, "sketches")
+    sides = [F.struct(F.lit(x).alias("which"), F.col(x).alias("two"), F.col(f"n_{x}").alias("n")) for x in ("new", "following")]
+    pairs = base.select("row", F.col("own").alias("one"), F.explode(F.array(*sides)).alias("p")).select("row", "one", "p.*").where("two is not null")
+    larger = written(recovered(pairs), "recovered")
+    none = F.array().cast("array<struct<n:int,k:bigint>>")
+    for x in ("new", "following"):
+        base = base.join(larger.where(F.col("which") == x).select("row", F.col("found").alias(f"larger_{x}")), "row", "left").withColumn(f"differs_{x}", F.coalesce(f"found_{x}", f"larger_{x}", none))
+    near = lambda x: likeness(f"differs_{x}", f"n_{x}")
+    return base.select(*kept[1:], "fingerprint", "edited_fingerprint", near("new").alias("near_edited"), near("following").alias("near_next"), F.col("differs_new").alias("differs_edited"), F.col("differs_following").alias("differs_next"))
 
 
 def op9_iblt_fingerprints(spark, sf_dir):
     from touchline.llm.common import table
 
-    return fingerprints(table(spark, sf_dir, "documents"))
+    return fingerprints(table(spark, sf_dir, "documents")).drop("differs_edited", "differs_next")

@@ -11,8 +11,8 @@ from touchline.llm import fingerprint as m
 
 
 def pieces(text):
-    end = lambda w: w[-1:] in ".!?\n" or xxhash.xxh64_intdigest(w.encode(), 42) % m.CUT == 0  # noqa: E731  '' ends too
-    marked = "".join(w + ("\x1e" if end(w) else " ") for w in re.split(r" |(?<=\n)", text))
+    rarity = lambda w, i: 1 if w[-1:] in "\n" else (1 if i < m.FINE else 2) if w[-1:] in ".!?" else m.CUT // 2 if i < m.FINE else m.CUT  # noqa: E731  '' ends too
+    marked = "".join(w + ("\x1e" if xxhash.xxh64_intdigest(w.encode(), 42) % rarity(w, i) == 0 else " ") for i, w in enumerate(re.split(r" |(?<=\n)", text)))
     return {p for p in marked.split("\x1e") if p.strip(" ")}
 
 
@@ -94,13 +94,14 @@ def test_published_fingerprints_tell_small_differences(spark):
 
 
 def pairs_of(spark, one, two):
-    return spark.createDataFrame([(7, "new", one, two, len(one) + len(two))], "row long, which string, one array<long>, two array<long>, n int")
+    return spark.createDataFrame([(7, one, [("new", two, len(one) + len(two))])], "row long, own array<long>, pairs array<struct<which:string,two:array<long>,n:int>>")
 
 
 def test_larger_sketches_recover_and_fall_back(spark, monkeypatch):
     a, b = [digest(str(i)) for i in range(900)], [digest(str(i)) for i in range(450, 1500)]
     for one, two in ((a, b), (a, []), (a[:3], b[:2])):
         found = m.recovered(pairs_of(spark, one, two)).first()["found"]
+        assert m.recovered(pairs_of(spark, one, two), listed=False).first()["found"] == len(found)
         assert {(d["n"], d["k"]) for d in found} == {(1, k) for k in set(one) - set(two)} | {(-1, k) for k in set(two) - set(one)}
     tried = m.attempt(pairs_of(spark, a, b), 0.05).first()  # far too few cells
     assert not tried["ok"]

@@ -1,9 +1,9 @@
 r"""Document fingerprints: invertible Bloom lookup sketches of paragraph digests. Native Spark
 SQL throughout.
 
-A paragraph is cut into pieces by content: after a word that ends in one of ``.!?``, at the end of
-a line, and after words whose hash is divisible by CUT, so that long sentences and text without
-any have pieces too and an edit changes the pieces around it only. The pieces' XXH64
+A paragraph is cut into pieces by content: at the end of a line, after every other word (by its
+hash) that ends in one of ``.!?``, and after words whose hash is divisible by CUT, so that long
+sentences and text without any have pieces too and an edit changes the pieces around it only. The pieces' XXH64
 digests form a set. A sketch has four rows of cells: each digest goes into one cell of each row; a
 cell holds a count, the XOR of its digests and the XOR of their check sums. The fingerprint is a
 sketch of 4 x 4 cells in base64, so equal texts have equal fingerprints; a row's counts
@@ -44,6 +44,8 @@ ROWS, SLOTS, ROUNDS = 4, 8, 12
 #: Slots a row in the fingerprint itself.
 SMALL = 4
 CUT, LOAD, TRIES = 16, 1.0, 6
+#: The first words of a text are cut twice as finely, so that short texts have several pieces.
+FINE = 40
 #: Peeling steps of an attempt with larger sketches, a row of cells each.
 STEPS = 8
 RANGES, SAMPLED = 4, 8
@@ -54,8 +56,10 @@ MARK = "\\u001e"
 def digests(text: Column) -> Column:
     """The set of digests of the text's pieces."""
     words = F.split(text, r" |(?<=\n)")
-    ends = lambda w: (F.instr(F.lit(".!?\n"), F.right(w, F.lit(1))) > 0) | (F.pmod(F.xxhash64(w), F.lit(CUT)) == 0)
-    pieces = F.split(F.array_join(F.transform(words, lambda w: F.concat(w, F.when(ends(w), F.lit("\u001e")).otherwise(F.lit(" ")))), ""), MARK)
+    last = lambda w, among: F.instr(F.lit(among), F.right(w, F.lit(1))) > 0
+    rarity = lambda w, i: F.when(last(w, "\n"), 1).when(last(w, ".!?"), F.when(i < FINE, 1).otherwise(2)).otherwise(F.when(i < FINE, CUT // 2).otherwise(CUT))
+    ends = lambda w, i: F.pmod(F.xxhash64(w), rarity(w, i)) == 0
+    pieces = F.split(F.array_join(F.transform(words, lambda w, i: F.concat(w, F.when(ends(w, i), F.lit("\u001e")).otherwise(F.lit(" ")))), ""), MARK)
     return F.array_distinct(F.transform(F.filter(pieces, lambda p: F.trim(p) != ""), lambda p: F.xxhash64(p)))
 
 
@@ -114,13 +118,15 @@ def cell_of(key: Column, row: Column | int, slots: Column) -> Column:
     return row * slots + F.pmod(F.xxhash64(key, row), slots)
 
 
-def attempt(pairs: DataFrame, scale: float) -> DataFrame:
-    """row, which, ok, found: the differing digests of each pair (row, which, one, two, n: their digests) from
-    sketches of ROWS x slots cells. All of a pair's rows stay in the partition that (row, which) deals them to."""
+def attempt(sets: DataFrame, scale: float, listed: bool = True) -> DataFrame:
+    """row, which, ok, found (a list, or the number if not ``listed``): the differing digests of each pair from
+    sketches of ROWS x slots cells. sets: row, own, pairs (array of which, two, n: the digests of both). All
+    that belongs to a row stays in the partition that it is dealt to."""
     pair = ["row", "which", "slots"]
     sided = lambda c, sign: F.transform(c, lambda d: F.struct(F.lit(sign).alias("n"), d.alias("k")))
     slots = F.ceil(F.col("n") * scale / LOAD) + SMALL
-    items = pairs.repartition("row", "which").select("row", "which", slots.alias("slots"), F.explode(F.concat(sided("one", 1), sided("two", -1))).alias("d")).select(*pair, "d.n", "d.k")
+    pairs = sets.repartition("row").select("row", F.col("own").alias("one"), F.explode("pairs").alias("p")).select("row", "one", "p.*")
+    items = pairs.select("row", "which", slots.alias("slots"), F.explode(F.concat(sided("one", 1), sided("two", -1))).alias("d")).select(*pair, "d.n", "d.k")
     cells = items.withColumn("r", F.explode(F.array(*map(F.lit, range(ROWS))))).select(*pair, F.lit(False).alias("found"), cell_of(F.col("k"), F.col("r"), F.col("slots")).alias("cell"), "n", "k", check(F.col("k")).alias("c"))
     held = F.col("found") | (F.col("n") != 0) | (F.col("k") != 0) | (F.col("c") != 0)
     summed = lambda df: df.groupBy(*pair, "found", "cell").agg(F.sum("n").cast("int").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c")).where(held)
@@ -133,28 +139,31 @@ def attempt(pairs: DataFrame, scale: float) -> DataFrame:
         others = [entry(False, cell_of(F.col("k"), r, F.col("slots")), -F.col("n")) for r in range(ROWS) if r != row]
         moved = F.when(pure, F.array(entry(True, F.col("k"), F.col("n")), *others)).otherwise(F.array(entry(F.col("found"), F.col("cell"), F.col("n"))))
         cells = summed(cells.select(*pair, F.explode(moved).alias("e")).select(*pair, "e.*"))
-    ended = cells.groupBy("row", "which").agg(F.min("found").alias("ok"), F.collect_list(F.when(F.col("found"), F.struct("n", "k"))).alias("found"))
-    return ended
+    found = F.collect_list(F.when(F.col("found"), F.struct("n", "k"))) if listed else F.count_if("found")
+    return cells.groupBy("row", "which").agg(F.min("found").alias("ok"), found.alias("found"))
 
 
-def recovered(pairs: DataFrame) -> DataFrame:
-    """row, which, found of pairs (row, which, one, two, n) by ever larger sketches; pairs of equal sets have no row."""
-    done, todo = [], pairs
+def recovered(sets: DataFrame, listed: bool = True) -> DataFrame:
+    """row, which, found of ``attempt``'s sets by ever larger sketches; pairs of equal sets have no row."""
+    done, todo = [], sets
     for k in range(TRIES):
-        tried = written(attempt(todo, 2.0**k), "tried")
+        tried = written(attempt(todo, 2.0**k, listed), "tried")
         done.append(tried.where("ok").select("row", "which", "found"))
         failed = tried.where("not ok").select("row", "which")
         if not failed.limit(1).count():
             break
-        todo = written(todo.join(failed, ["row", "which"], "left_semi"), "failed")
+        again = failed.groupBy("row").agg(F.collect_set("which").alias("again"))
+        todo = written(todo.join(again, "row").withColumn("pairs", F.filter("pairs", lambda p: F.array_contains("again", p["which"]))).drop("again"), "failed")
     else:
         by_set = lambda x, y, n: F.transform(F.array_except(x, y), lambda k: F.struct(F.lit(n).alias("n"), k.alias("k")))
-        done.append(todo.select("row", "which", F.concat(by_set("one", "two", 1), by_set("two", "one", -1)).alias("found")))
+        left = todo.select("row", F.col("own").alias("one"), F.explode("pairs").alias("p")).select("row", "one", "p.*")
+        exact = F.concat(by_set("one", "two", 1), by_set("two", "one", -1))
+        done.append(left.select("row", "which", (exact if listed else F.size(exact).cast("long")).alias("found")))
     return reduce(DataFrame.unionByName, done)
 
 
-def likeness(found: str, n: str) -> Column:
-    return F.when(F.col(n) == 0, F.lit(1.0)).otherwise(1.0 - F.size(found) / F.col(n).cast("double"))
+def likeness(found: Column, n: str) -> Column:
+    return F.when(F.col(n) == 0, F.lit(1.0)).otherwise(1.0 - found / F.col(n).cast("double"))
 
 
 def encoded(cells: str) -> Column:
@@ -201,9 +210,10 @@ def edited(text: Column, next_text: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - half), F.substring(next_text, F.lit(1), half))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, listed: bool = True) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and the recovered
-    digests of the pieces that differ: differs_edited, differs_next (n: 1 only here, -1 only there; k)."""
+    digests of the pieces that differ: differs_edited, differs_next (n: 1 only here, -1 only there; k), or
+    how many they are if not ``listed``."""
     both = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     kept = ["row", "doc_id", "n_chars", "edited_sha256"]
     sets = both.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("new"), digests(F.col("next_text")).alias("following"))
@@ -216,22 +226,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
     # what the small sketches tell needs no sets any more; written, so that the row numbers stay
     failed = lambda x: ~F.col(f"small_{x}.ok")
+    shown = lambda x: F.col(f"small_{x}.found") if listed else F.size(f"small_{x}.found").cast("long")
+    pair = lambda x: F.when(failed(x), F.struct(F.lit(x).alias("which"), F.col(x).alias("two"), F.col(f"n_{x}").alias("n")))
     base = tried.select(
-        *kept, "fingerprint", "edited_fingerprint", "n_new", "n_following", F.when(failed("new") | failed("following"), F.col("own")).alias("own"),
-        *[c for x in ("new", "following") for c in (F.when(~failed(x), F.col(f"small_{x}.found")).alias(f"found_{x}"), F.when(failed(x), F.col(x)).alias(x))],
+        *kept, "fingerprint", "edited_fingerprint", "n_new", "n_following", *[F.when(~failed(x), shown(x)).alias(f"found_{x}") for x in ("new", "following")],
+        F.when(failed("new") | failed("following"), F.col("own")).alias("own"), F.array_compact(F.array(pair("new"), pair("following"))).alias("pairs"),
     )
     base = written(base, "sketches")
-    sides = [F.struct(F.lit(x).alias("which"), F.col(x).alias("two"), F.col(f"n_{x}").alias("n")) for x in ("new", "following")]
-    pairs = base.select("row", F.col("own").alias("one"), F.explode(F.array(*sides)).alias("p")).select("row", "one", "p.*").where("two is not null")
-    larger = written(recovered(pairs), "recovered")
-    none = F.array().cast("array<struct<n:int,k:bigint>>")
+    larger = recovered(base.where("own is not null").select("row", "own", "pairs"), listed)
+    none = F.array().cast("array<struct<n:int,k:bigint>>") if listed else F.lit(0).cast("long")
     for x in ("new", "following"):
         base = base.join(larger.where(F.col("which") == x).select("row", F.col("found").alias(f"larger_{x}")), "row", "left").withColumn(f"differs_{x}", F.coalesce(f"found_{x}", f"larger_{x}", none))
-    near = lambda x: likeness(f"differs_{x}", f"n_{x}")
+    near = lambda x: likeness(F.size(f"differs_{x}") if listed else F.col(f"differs_{x}"), f"n_{x}")
     return base.select(*kept[1:], "fingerprint", "edited_fingerprint", near("new").alias("near_edited"), near("following").alias("near_next"), F.col("differs_new").alias("differs_edited"), F.col("differs_following").alias("differs_next"))
 
 
 def op9_iblt_fingerprints(spark, sf_dir):
     from touchline.llm.common import table
 
-    return fingerprints(table(spark, sf_dir, "documents")).drop("differs_edited", "differs_next")
+    return fingerprints(table(spark, sf_dir, "documents"), listed=False).drop("differs_edited", "differs_next")

@@ -35,8 +35,9 @@ def test_against_rules_by_hand(spark):
 
 def test_only_candidates_run_and_rarest_token_indexes(spark):
     rules = (m.host_rule("block", "common.rare.net/"), m.host_rule("allow", "common.net/"))
-    index = m.rule_index(rules, {"common": 50, "rare": 1, "net": 99})
-    assert [r["name"] for r in index["rare"]] == ["common.rare.net/"] and [r["name"] for r in index["common"]] == ["common.net/"]
+    tokens = spark.createDataFrame([("u", 50, "common"), ("v", 1, "rare"), ("u", 60, "net"), ("w", 39, "net")], "url string, n long, token string")
+    index = {r["name"]: r["token"] for r in m.rule_index(tokens, m.rules_table(spark, rules)).collect()}
+    assert index == {"common.rare.net/": "rare", "common.net/": "common"}
     docs = spark.createDataFrame([(1, "http://a.com/x", ""), (2, "http://common.net/x", "")], SCHEMA)
     assert {r["page_id"]: r["n_candidates"] for r in m.judge_urls(docs, rules).collect()} == {1: 0, 2: 1}
 
@@ -48,10 +49,27 @@ def test_partial_path_tokens_do_not_index():
     assert not re.match(m.host_rule("block", "net").regex, "network/x")
 
 
-def test_empty_table_no_rules_and_too_many(spark):
-    import pytest
-
+def test_empty_table_and_no_rules(spark):
     assert m.judge_urls(spark.createDataFrame([], SCHEMA)).count() == 0
     assert m.judge_urls(spark.createDataFrame([(None, "http://net/", "")], SCHEMA), ()).first()["verdict"] == "allow"
-    with pytest.raises(ValueError):
-        m.judge_urls(spark.createDataFrame([], SCHEMA), (m.HOST_RULES[0],) * (m.MAX_RULES + 1))
+
+
+def test_candidates_stay_few_with_many_rules(spark):
+    few, many = (tuple(m.host_rule("block", f"site{i}.example{i % 7}.com/") for i in range(n)) for n in (10, 20_000))
+    urls = spark.createDataFrame([(i, f"http://www.site{i}.example{i % 7}.com/page", "") for i in range(0, 200, 20)] + [(7, "http://www.site3.example4.com/", "")], SCHEMA)
+    for rules in (few, many):
+        got = {r["page_id"]: (r["rule"], r["n_candidates"]) for r in m.judge_urls(urls, rules).collect()}
+        assert max(n for _, n in got.values()) <= 2  # tokens of equally few URLs
+        assert all(name == (f"site{i}.example{i % 7}.com/" if i < len(rules) and i != 7 else None) for i, (name, _) in got.items())
+
+
+def test_ties_repeats_and_forms(spark):
+    rules = (m.host_rule("allow", "b.net/x"), m.host_rule("block", "b.net/"), m.pattern_rule("allow", "z two", "q", ()), m.pattern_rule("block", "a two", "q", ()))
+    docs = spark.createDataFrame([(1, "http://a.b.net/x/q", ""), (1, "http://a.b.net/x/q", ""), (2, "http://c.org/q", ""), (3, None, ""), (4, "http://c.org/" + "y" * 300_000 + "/q", "")], SCHEMA)
+    got = sorted((r["page_id"], r["rule"], r["verdict"], r["pattern"]) for r in m.judge_urls(docs, rules).where("page_id <> 3").collect())
+    assert got == [(1, "b.net/x", "allow", None), (1, "b.net/x", "allow", None), (2, None, "block", "a two"), (4, None, "block", "a two")]
+    urls = {"http://x.casino.com/": "label", "http://x.com/a/casino/b": "segment", "http://x.com/?q=casino&b": "parameter", "http://x.com/my-casino-2": "word", "http://x.com/casinos": None}
+    rows = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], SCHEMA)
+    shown = {r["page_id"]: r["pattern"] for r in m.judge_urls(rows, m.PATTERN_RULES).collect()}
+    assert [shown[i] and shown[i].split()[1] for i in range(len(urls))] == list(urls.values())
+    assert all(re.search(m.FORMS["word"].replace("{0}", "casino"), u) for u, form in urls.items() if form)

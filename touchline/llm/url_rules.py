@@ -1,8 +1,10 @@
 """URL filter: rules indexed by their rarest literal token.
 
 Every rule names literal tokens that a matching URL must contain. How often each of
-those tokens occurs is counted over all URLs; a rule is filed under the rarest. A
-URL's own tokens fetch candidate rules, and only the candidates' regular expressions run.
+those tokens occurs is counted over all URLs; a rule is filed under the rarest. The index is a
+table of (token, rule): a URL's own tokens fetch candidate rules by an equi-join, and only
+the candidates' regular expressions run. Neither side is broadcast by force, so rules may be as
+many as URLs; each different URL is judged once and the verdicts return by a join.
 
 Two kinds of rule:
 
@@ -10,7 +12,7 @@ Two kinds of rule:
   path starts with the rule's path; among those that fit, the longest wins (equal
   lengths: the smaller text);
 * pattern rules: a regular expression over the lower-cased URL. They decide only where no
-  host rule fits. No pattern either: allow.
+  host rule fits; of several that fit the longest name decides. No pattern either: allow.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, fits no
 host rule and is allowed unless a pattern fits; repeated rows are judged alike; an empty
@@ -19,8 +21,8 @@ table gives no rows; further columns of the input are ignored.
 
 from __future__ import annotations
 
-import json
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -28,8 +30,6 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL_PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: The index is part of the plan as a literal map; more rules than this are refused, so its size is bounded.
-MAX_RULES = 20_000
 
 
 @dataclass(frozen=True)
@@ -64,8 +64,31 @@ def pattern_rule(verdict: str, name: str, regex: str, tokens: tuple[str, ...]) -
 
 #: The host rules of the contract.
 HOST_RULES = (host_rule("block", "net/"), host_rule("allow", "example.net/en/"), host_rule("block", "example.com/de/"), host_rule("allow", "org/fr/"))
-#: Pages that carry no prose; every pattern's tokens are literals between separators.
-PATTERN_RULES = tuple(pattern_rule("block", f"path {t}", rf"(?s)(^|[^a-z0-9]){t}([^a-z0-9]|$)", (t,)) for t in ("casino", "doubleclick", "porn", "viagra", "xmlrpc"))
+#: Words of pages that carry no prose, by what they are; each gives the rules of ``FORMS``.
+WORDS = {
+    "adult": ("camgirl", "escorts", "hardcore", "milf", "nsfw", "porn", "porno", "sexcam", "xxx"),
+    "advertising": ("adserver", "adservice", "adsystem", "clickbank", "doubleclick", "popunder", "taboola"),
+    "gambling": ("bet365", "betting", "bingo", "blackjack", "casino", "jackpot", "poker", "roulette", "sportsbook"),
+    "machinery": ("cgi-bin", "phpmyadmin", "wp-admin", "wp-login", "xmlrpc"),
+    "pharmacy": ("cialis", "levitra", "tramadol", "viagra", "xanax"),
+    "piracy": ("keygen", "torrent", "warez"),
+}
+#: Where a word may stand, each between separators.
+FORMS = {
+    "word": r"(^|[^a-z0-9]){0}([^a-z0-9]|$)",
+    "label": r"://([^/?#]*\.)?{0}\.",
+    "segment": r"://[^/?#]*/([^?#]*/)?{0}(/|$|[?#.])",
+    "parameter": r"[?&]([^#]*[&=])?{0}(=|&|$|#)",
+}
+
+
+def pattern_rules(words: dict[str, tuple[str, ...]] | None = None) -> tuple[Rule, ...]:
+    """A blocking rule for each word and form."""
+    listed = WORDS if words is None else words
+    return tuple(pattern_rule("block", f"{kind} {form} {w}", "(?s)" + at.replace("{0}", re.escape(w)), tokens_of(w)) for kind, group in listed.items() for w in group for form, at in FORMS.items())
+
+
+PATTERN_RULES = pattern_rules()
 
 
 def host_of(url: Column) -> Column:
@@ -81,47 +104,46 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.split(F.translate(F.coalesce(url, F.lit("")), UPPER, LOWER), "[^a-z0-9]+"))
 
 
-def token_counts(urls: DataFrame, rules: tuple[Rule, ...]) -> dict[str, int]:
-    """Over all URLs, how many hold each token that a rule names. The result is bounded by the rules."""
-    wanted = sorted({t for r in rules for t in r.tokens})
-    seen = urls.select(F.explode(F.array_intersect(url_tokens(F.col("url")), F.array(*map(F.lit, wanted)))).alias("token"))
-    return {t: 0 for t in wanted} | {row["token"]: row["n"] for row in seen.groupBy("token").agg(F.count("*").alias("n")).collect()}
+def rules_table(spark, rules: Iterable[Rule]) -> DataFrame:
+    """rule_no, name, verdict, regex, kind, tokens."""
+    return spark.createDataFrame([(i, r.name, r.verdict, r.regex, r.kind, list(r.tokens) or [""]) for i, r in enumerate(rules)], "rule_no long, name string, verdict string, regex string, kind string, tokens array<string>")
+
+
+def rule_index(tokens: DataFrame, rules: DataFrame) -> DataFrame:
+    """token, rule_no, name, verdict, regex, kind: each rule under the rarest of its tokens over all URLs' ``tokens``
+    (url, n: how many there are, token); a rule without tokens is under the empty one, which every URL has."""
+    named = rules.select("rule_no", F.explode("tokens").alias("token"))
+    counts = tokens.join(named.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.sum("n").alias("urls"))
+    rarest = named.join(counts, "token", "left").groupBy("rule_no").agg(F.min(F.struct(F.coalesce("urls", F.lit(0)).alias("urls"), "token")).alias("best"))
+    return rules.join(rarest, "rule_no").select("best.token", "rule_no", "name", "verdict", "regex", "kind")
 
 
-def rule_index(rules: tuple[Rule, ...], counts: dict[str, int]) -> dict[str, list[dict]]:
-    """Each rule under its rarest token; rules without any token go under the empty one,
-    which every URL fetches."""
-    index: dict[str, list[dict]] = {}
-    for r in rules:
-        key = min(r.tokens, key=lambda t: (counts.get(t, 0), t)) if r.tokens else ""
-        index.setdefault(key, []).append({"size": len(r.name), "name": r.name, "verdict": r.verdict, "regex": r.regex, "kind": r.kind})
-    return index
+def candidates(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """url, rule_no, name, verdict, regex, kind: what each different URL's tokens fetch."""
+    tokens = urls.where("url is not null").groupBy("url").agg(F.count("*").alias("n")).select("url", "n", F.explode(F.array_union(url_tokens(F.col("url")), F.array(F.lit("")))).alias("token"))
+    return tokens.drop("n").join(rule_index(tokens, rules), "token").drop("token")
 
 
-def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + PATTERN_RULES) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Iterable[Rule] | DataFrame = HOST_RULES + PATTERN_RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, pattern (the pattern rule that decided, if one did)
-    and n_candidates (rules whose expression ran)."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; the index holds at most {MAX_RULES}")
-    urls = pages.select("page_id", "url")
-    index = rule_index(rules, token_counts(urls, rules)) if rules else {}
-    kind = "map<string,array<struct<size:int,name:string,verdict:string,regex:string,kind:string>>>"
-    by_token = F.from_json(F.lit(json.dumps(index)), kind)
-    held = F.array_intersect(F.concat(url_tokens(F.col("url")), F.array(F.lit(""))), F.map_keys(by_token))
-    frame = urls.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    frame = frame.withColumn("candidates", F.flatten(F.transform(held, lambda t: by_token[t])))
-    target, lowered = F.concat("host", "path"), F.translate(F.coalesce(F.col("url"), F.lit("")), UPPER, LOWER)
-    fits = F.filter("candidates", lambda r: F.regexp(F.when(r["kind"] == "host", target).otherwise(lowered), r["regex"]))
-    frame = frame.withColumn("fits", fits)
-    best = lambda kind: F.array_min(F.transform(F.filter("fits", lambda r: r["kind"] == kind), lambda r: F.struct((-r["size"]).alias("size"), r["name"].alias("name"), r["verdict"].alias("verdict"))))
-    frame = frame.withColumns({"hit": best("host"), "by_pattern": best("pattern")})
+    and n_candidates (rules whose expression ran). rules: ``Rule`` objects, or a ``rules_table``."""
+    urls = pages.select("page_id", F.col("url").cast("string"))
+    listed = rules if isinstance(rules, DataFrame) else rules_table(pages.sparkSession, rules)
+    target, lowered = F.concat(host_of(F.col("url")), path_of(F.col("url"))), F.translate("url", UPPER, LOWER)
+    fits = F.regexp(F.when(F.col("kind") == "host", target).otherwise(lowered), F.col("regex"))
+    tried = candidates(urls, listed).withColumn("fits", fits)
+    best = lambda kind: F.min(F.when(F.col("fits") & (F.col("kind") == kind), F.struct((-F.length("name")).alias("size"), "name", "verdict")))
+    judged = tried.groupBy("url").agg(best("host").alias("hit"), best("pattern").alias("by_pattern"), F.count("*").cast("int").alias("n_candidates"))
+    frame = urls.join(judged, "url", "left")
     return frame.select(
-        "page_id", "host", "path", F.col("hit.name").alias("rule"),
+        "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("hit.name").alias("rule"),
         F.coalesce("hit.verdict", "by_pattern.verdict", F.lit("allow")).alias("verdict"),
-        F.when(F.col("hit").isNull(), F.col("by_pattern.name")).alias("pattern"), F.size("candidates").alias("n_candidates"),
+        F.when(F.col("hit").isNull(), F.col("by_pattern.name")).alias("pattern"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"),
     )
 
 
+#: Every form of a word holds it between separators, so one expression says whether any rule of it fits.
+ANY_WORD = "|".join(w for group in WORDS.values() for w in group)
 ORACLE = rf"""
 WITH u AS (
   SELECT page_id, url,
@@ -133,7 +155,7 @@ r(verdict, rhost, rpath) AS (VALUES ('block', 'net', '/'), ('allow', 'example.ne
 k AS (
   SELECT u.*, (SELECT min({{'size': -len(rhost || rpath), 'name': rhost || rpath, 'verdict': verdict}}) FROM r
                WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS hit,
-         regexp_extract(low, '(^|[^a-z0-9])(casino|doubleclick|porn|viagra|xmlrpc)([^a-z0-9]|$)', 2) AS word
+         regexp_extract(low, '(^|[^a-z0-9])({ANY_WORD})([^a-z0-9]|$)', 2) AS word
   FROM u)
 SELECT page_id, host, path, hit.name AS rule,
        CASE WHEN hit IS NOT NULL THEN hit.verdict WHEN word <> '' THEN 'block' ELSE 'allow' END AS verdict

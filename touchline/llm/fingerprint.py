@@ -1,7 +1,7 @@
 r"""Document fingerprints: invertible Bloom lookup sketches of paragraph digests. Native Spark
 SQL throughout.
 
-A paragraph is cut into pieces by content: at the end of a line, after every other word (by its
+A paragraph is cut into pieces by content: at the end of a line, after every third word (by its
 hash) that ends in one of ``.!?``, and after words whose hash is divisible by CUT, so that long
 sentences and text without any have pieces too and an edit changes the pieces around it only. The pieces' XXH64
 digests form a set. A sketch has four rows of cells: each digest goes into one cell of each row; a
@@ -43,9 +43,11 @@ from touchline.llm.common import written
 ROWS, SLOTS, ROUNDS = 4, 8, 12
 #: Slots a row in the fingerprint itself.
 SMALL = 4
-CUT, LOAD, TRIES = 16, 1.0, 6
-#: The first words of a text are cut twice as finely, so that short texts have several pieces.
-FINE = 40
+CUT, SENTENCES, LOAD, TRIES = 32, 3, 1.0, 6
+#: The first words of a text are cut more finely (at every sentence and every eighth word), so that short texts have several pieces.
+FINE, FINE_CUT = 40, 8
+#: Tasks of an attempt for each shuffle partition: a digest becomes several rows there.
+SPREAD = 4
 #: Peeling steps of an attempt with larger sketches, a row of cells each.
 STEPS = 8
 RANGES, SAMPLED = 4, 8
@@ -57,7 +59,7 @@ def digests(text: Column) -> Column:
     """The set of digests of the text's pieces."""
     words = F.split(text, r" |(?<=\n)")
     last = lambda w, among: F.instr(F.lit(among), F.right(w, F.lit(1))) > 0
-    rarity = lambda w, i: F.when(last(w, "\n"), 1).when(last(w, ".!?"), F.when(i < FINE, 1).otherwise(2)).otherwise(F.when(i < FINE, CUT // 2).otherwise(CUT))
+    rarity = lambda w, i: F.when(last(w, "\n"), 1).when(last(w, ".!?"), F.when(i < FINE, 1).otherwise(SENTENCES)).otherwise(F.when(i < FINE, FINE_CUT).otherwise(CUT))
     ends = lambda w, i: F.pmod(F.xxhash64(w), rarity(w, i)) == 0
     pieces = F.split(F.array_join(F.transform(words, lambda w, i: F.concat(w, F.when(ends(w, i), F.lit("\u001e")).otherwise(F.lit(" ")))), ""), MARK)
     return F.array_distinct(F.transform(F.filter(pieces, lambda p: F.trim(p) != ""), lambda p: F.xxhash64(p)))
@@ -125,7 +127,8 @@ def attempt(sets: DataFrame, scale: float, listed: bool = True) -> DataFrame:
     pair = ["row", "which", "slots"]
     sided = lambda c, sign: F.transform(c, lambda d: F.struct(F.lit(sign).alias("n"), d.alias("k")))
     slots = F.ceil(F.col("n") * scale / LOAD) + SMALL
-    pairs = sets.repartition("row").select("row", F.col("own").alias("one"), F.explode("pairs").alias("p")).select("row", "one", "p.*")
+    tasks = SPREAD * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = sets.repartition(tasks, "row").select("row", F.col("own").alias("one"), F.explode("pairs").alias("p")).select("row", "one", "p.*")
     items = pairs.select("row", "which", slots.alias("slots"), F.explode(F.concat(sided("one", 1), sided("two", -1))).alias("d")).select(*pair, "d.n", "d.k")
     cells = items.withColumn("r", F.explode(F.array(*map(F.lit, range(ROWS))))).select(*pair, F.lit(False).alias("found"), cell_of(F.col("k"), F.col("r"), F.col("slots")).alias("cell"), "n", "k", check(F.col("k")).alias("c"))
     held = F.col("found") | (F.col("n") != 0) | (F.col("k") != 0) | (F.col("c") != 0)

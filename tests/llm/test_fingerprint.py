@@ -12,7 +12,7 @@ from touchline.llm import fingerprint as m
 
 def pieces(text):
     rarity = lambda w, i: 1 if w[-1:] in "\n" else (1 if i < m.FINE else m.SENTENCES) if w[-1:] in ".!?" else m.FINE_CUT if i < m.FINE else m.CUT  # noqa: E731  '' ends too
-    marked = "".join(w + ("\x1e" if xxhash.xxh64_intdigest(w.encode(), 42) % rarity(w, i) == 0 else " ") for i, w in enumerate(re.split(r" |(?<=\n)", text)))
+    marked = "".join(w + ("\x1e" if digest(w) % rarity(w, i) == 0 else " ") for i, w in enumerate(re.split(r" |(?<=\n)", text)))
     return {p for p in marked.split("\x1e") if p.strip(" ")}
 
 

@@ -10,6 +10,14 @@ ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinoooooouuuuyy"
 #: Club affixes that don't tell clubs apart.
 AFFIXES = ("fc", "afc", "cf", "sc", "ac")
+#: Words that don't tell teams of an index apart.
+NOISE = ("fc", "afc", "cf", "sc", "ac", "ca", "rc", "rcd", "ssc", "cfc", "us", "as", "ss", "ud", "sd", "cd", "bv", "sbv", "sv", "vv", "ogc", "aj", "es", "asc", "calcio", "balompie", "futbol", "fussball", "club", "de", "del", "der", "the", "and")
+#: Legal forms at either end of a name.
+LEGAL = ("ac", "acf", "afc", "as", "bc", "ca", "cf", "fc", "fsv", "osc", "rc", "sc", "sco", "ss", "ssc", "stade", "ud", "us", "vfb")
+#: Affixes before and after a name.
+AFFIX_PATTERN = r"(?i)^(afc|cf|1\.)\s+|\s+(fc|afc|cf|sc)$"
+#: Legal forms and numbers before the first other word of a normalised name, and after the last (years at most).
+LEADING, TRAILING = f"^(({'|'.join(LEGAL)}|[0-9]+)( |$))+", f"(( |^)({'|'.join(LEGAL)}|[0-9]{{1,4}}))+$"
 #: Sentiment keywords.
 POSITIVE = ("the", "and", "in")
 NEGATIVE = ("of", "on", "er")
@@ -25,6 +33,22 @@ def club_key(name: Column) -> Column:
     return F.array_join(words, "")
 
 
+def tokens(name: Column) -> Column:
+    """Words of a name but noise and numbers of up to four digits."""
+    return F.filter(F.split(normalised(name), " "), lambda w: ~w.isin(*NOISE) & ~w.rlike("^[0-9]{1,4}$") & (w != ""))
+
+
+def without_affixes(name: Column) -> Column:
+    """Lower case without a club affix at either end; a name of nothing else stays."""
+    cut = F.trim(F.regexp_replace(F.trim(name), AFFIX_PATTERN, ""))
+    return F.lower(F.when(cut == "", F.trim(name)).otherwise(cut))
+
+
+def identity_key(name: Column) -> Column:
+    """The normalised name without legal forms and founding years at its ends."""
+    return F.trim(F.regexp_replace(F.regexp_replace(normalised(name), LEADING, ""), TRAILING, ""))
+
+
 def stable_id(*parts: Column, length: int = 24) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, length)
 

@@ -419,18 +419,6 @@ def snk_03(spark, d):
     return src.table(spark, d, "orders").select(c("o_orderkey").alias("id")).join(have, "id", "left_anti")
 
 
-@query("ent_05_tiered_resolver", f"WITH s AS (SELECT s_suppkey AS id, lower(s_name) AS k FROM supplier), f AS (SELECT c_custkey AS q, lower(replace(c_name, 'Customer', 'Supplier')) AS k FROM customer), e AS (SELECT q, min(s.id) AS id FROM f JOIN s USING (k) GROUP BY 1 HAVING count(*) = 1) SELECT q, e.id, CASE WHEN e.id IS NOT NULL THEN 'exact' ELSE 'none' END AS tier FROM f LEFT JOIN e USING (q)")
-def ent_05(spark, d):
-    """Each tier must name one entity; here exact, then none."""
-    s = src.table(spark, d, "supplier").select(c("s_suppkey").alias("id"), F.lower("s_name").alias("k"))
-    f = src.table(spark, d, "customer").select(c("c_custkey").alias("q"), F.lower(F.replace("c_name", F.lit("Customer"), F.lit("Supplier"))).alias("k"))
-    e = f.join(s, "k").groupBy("q").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1").drop("n")
-    return f.join(e, "q", "left").select("q", "id", F.when(c("id").isNotNull(), "exact").otherwise("none").alias("tier"))
-
-
-
-
-
 @query("unc_02_dirichlet", f"WITH {P}, k AS (SELECT {IDS_SQL}, 20 * p_h AS a, 20 * p_d AS b, 20 * p_a AS g FROM preds) SELECT {IDS_SQL}, round((a * (20 - a) + b * (20 - b) + g * (20 - g)) / (20 * 20 * 21.0::DOUBLE), 8) AS variance FROM k")
 def unc_02(spark, d, total=20.0):
     """Sum of the variances of a Dirichlet with the given concentration, in closed form."""

@@ -23,14 +23,6 @@ def ent_02(spark, d):
     return src.table(spark, d, "customer").select("c_custkey", tx.club_key(F.col("c_name")).alias("key"))
 
 
-@query("ent_04_index_resolve", f"WITH n AS (SELECT n_nationkey AS id, substr({NORM.format('n_name')}, 1, 3) AS k FROM nation), u AS (SELECT k, min(id) AS id, count(*) AS n FROM n GROUP BY 1) SELECT r_regionkey, CASE WHEN u.n = 1 THEN u.id END AS nation FROM region LEFT JOIN u ON u.k = substr({NORM.format('r_name')}, 1, 3)")
-def ent_04(spark, d):
-    """A key that several entities share resolves to null."""
-    n = src.table(spark, d, "nation").groupBy(F.substring(tx.normalised(F.col("n_name")), 1, 3).alias("k")).agg(F.min("n_nationkey").alias("id"), F.count("*").alias("n"))
-    r = src.table(spark, d, "region").withColumn("k", F.substring(tx.normalised(F.col("r_name")), 1, 3))
-    return r.join(n, "k", "left").select("r_regionkey", F.when(F.col("n") == 1, F.col("id")).alias("nation"))
-
-
 @query("ent_06_edit_similarity", "SELECT a.n_nationkey AS a, b.n_nationkey AS b, levenshtein(a.n_name, b.n_name) AS distance FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 def ent_06(spark, d):
     """Candidates share a block (here the region), which bounds the pairs."""

@@ -99,18 +99,40 @@ def evl_06(spark, d, folds=5):
     return k.where(F.col("fold").between(1, folds)).groupBy("league_id", "fold").agg(F.count("*").alias("n"), r6(F.avg(rps())).alias("rps"), r6(F.avg(brier())).alias("brier"), r6(F.avg(hit())).alias("accuracy"), F.to_date(F.min("match_date")).alias("from_day"), F.to_date(F.max("match_date")).alias("to_day"))
 
 
-@query("evl_07_league_breakdown", f"WITH {SCORED} SELECT league_id, round(avg({HIT}), 6) AS accuracy, round(avg(-ln(greatest(1e-15, p_h * y_h + p_d * y_d + p_a * y_a))), 6) AS log_loss, round(avg({RPS}), 6) AS rps, round(avg(y_d), 6) AS draw_rate FROM e GROUP BY 1")
-def evl_07(spark, d):
-    return scored(spark, d).groupBy("league_id").agg(r6(F.avg(hit())).alias("accuracy"), r6(F.avg(log_loss())).alias("log_loss"), r6(F.avg(rps())).alias("rps"), r6(F.avg(YD())).alias("draw_rate"))
+CALLED = "CASE WHEN p_h >= p_d AND p_h >= p_a THEN 'h' WHEN p_d >= p_a THEN 'd' ELSE 'a' END"
 
 
-CALLED = "CASE WHEN p_h >= p_d AND p_h >= p_a THEN 'h' WHEN p_d >= p_a THEN 'd' ELSE 'a' END"
+def called():
+    """The class of the first largest probability."""
+    return F.when((H() >= D()) & (H() >= A()), "h").when(D() >= A(), "d").otherwise("a")
+
+
+# of each class: rows called and right, rows called, rows of the class
+COUNTS = ", ".join(f"(count(*) FILTER (y_{k} = 1 AND {CALLED} = '{k}'))::DOUBLE AS t_{k}, (count(*) FILTER ({CALLED} = '{k}'))::DOUBLE AS c_{k}, (count(*) FILTER (y_{k} = 1))::DOUBLE AS n_{k}" for k in "hda")
+MEAN_OF = "list_avg(list_filter([{}], lambda v: v IS NOT NULL))".format
+
+
+@query("evl_07_league_breakdown", f"""WITH {SCORED}, k AS (SELECT league_id, count(*) AS matches, avg({HIT}) AS accuracy, avg(-ln(greatest(1e-15, p_h * y_h + p_d * y_d + p_a * y_a))) AS log_loss, avg({RPS}) AS rps, avg({BRIER}) AS brier, avg(y_d) AS draw_rate, {COUNTS} FROM e GROUP BY 1)
+SELECT league_id, matches, round(accuracy, 6) AS accuracy, round(log_loss, 6) AS log_loss, round(rps, 6) AS rps, round(brier, 6) AS brier, round(draw_rate, 6) AS draw_rate, round({MEAN_OF(', '.join(f'2 * t_{k} / nullif(c_{k} + n_{k}, 0)' for k in 'hda'))}, 6) AS macro_f1,
+ round({MEAN_OF(', '.join(f't_{k} / nullif(n_{k}, 0)' for k in 'hda'))}, 6) AS balanced_accuracy, round(coalesce(t_d / nullif(c_d, 0), 0), 6) AS draw_precision, round(coalesce(t_d / nullif(n_d, 0), 0), 6) AS draw_recall, round(coalesce(2 * t_d / nullif(c_d + n_d, 0), 0), 4) AS draw_f1 FROM k""")
+def evl_07(spark, d):
+    """One pass: scores and the confusion counts a league. Macro-F1 is over classes that occur or are called, balanced accuracy over those that occur."""
+    count = lambda x: F.count_if(x).cast("double")
+    counts = [count(x).alias(n + k) for k in "hda" for n, x in (("t_", (F.col(f"y_{k}") == 1) & (called() == k)), ("c_", called() == k), ("n_", F.col(f"y_{k}") == 1))]
+    mean = {"accuracy": hit(), "log_loss": log_loss(), "rps": rps(), "brier": brier(), "draw_rate": YD()}
+    g = scored(spark, d).groupBy("league_id").agg(F.count("*").alias("matches"), *[F.avg(x).alias(n) for n, x in mean.items()], *counts)
+    t, c, n = ({k: F.col(f"{x}_{k}") for k in "hda"} for x in "tcn")
+    over = lambda xs: F.aggregate(F.array_compact(F.array(*xs)), F.lit(0.0), lambda s, x: s + x) / F.size(F.array_compact(F.array(*xs)))
+    part = lambda x, places=6: F.round(F.coalesce(x, F.lit(0.0)), places)
+    return g.select(
+        "league_id", "matches", *[r6(x).alias(x) for x in mean], r6(over([F.try_divide(2 * t[k], c[k] + n[k]) for k in "hda"])).alias("macro_f1"), r6(over([F.try_divide(t[k], n[k]) for k in "hda"])).alias("balanced_accuracy"),
+        part(F.try_divide(t["d"], c["d"])).alias("draw_precision"), part(F.try_divide(t["d"], n["d"])).alias("draw_recall"), part(F.try_divide(2 * t["d"], c["d"] + n["d"]), 4).alias("draw_f1"),
+    )
 
 
 @query("evl_08_confusion", f"WITH {SCORED} SELECT {CALLED} AS called, count(*) FILTER (y_h = 1) AS h, count(*) FILTER (y_d = 1) AS d, count(*) FILTER (y_a = 1) AS a FROM e GROUP BY 1")
 def evl_08(spark, d):
-    called = F.when((H() >= D()) & (H() >= A()), "h").when(D() >= A(), "d").otherwise("a")
-    return scored(spark, d).groupBy(called.alias("called")).agg(*[F.count_if(F.col(f"y_{k}") == 1).alias(k) for k in "hda"])
+    return scored(spark, d).groupBy(called().alias("called")).agg(*[F.count_if(F.col(f"y_{k}") == 1).alias(k) for k in "hda"])
 
 
 @query("evl_10_simplex", f"WITH {P} SELECT model_version, count(*) FILTER (least(p_h, p_d, p_a) >= 0 AND abs(p_h + p_d + p_a - 1) <= 1e-6) AS ok, count(*) AS n FROM preds GROUP BY 1")
@@ -119,15 +141,15 @@ def evl_10(spark, d):
     return src.predictions(spark, d).groupBy("model_version").agg(F.count_if(ok).alias("ok"), F.count("*").alias("n"))
 
 
-@query("cal_02_temperature", f"WITH {SCORED}, g AS (SELECT i / 10.0::DOUBLE AS t FROM range(5, 31) AS r(i)), z AS (SELECT p_h, p_d, p_a, p_h * y_h + p_d * y_d + p_a * y_a AS q, count(*) AS n FROM e GROUP BY ALL), l AS (SELECT t, sum(-n * ln(pow(q, 1 / t) / (pow(p_h, 1 / t) + pow(p_d, 1 / t) + pow(p_a, 1 / t)))) / sum(n) AS nll FROM z, g GROUP BY 1) SELECT t, round(nll, 6) AS nll FROM l ORDER BY round(nll, 9), t LIMIT 1")
+@query("cal_02_temperature", f"WITH {SCORED}, g AS (SELECT 0.1::DOUBLE + i * 9.9::DOUBLE / 199 AS t FROM range(200) AS r(i)), z AS (SELECT p_h, p_d, p_a, p_h * y_h + p_d * y_d + p_a * y_a AS q, count(*) AS n FROM e GROUP BY ALL), l AS (SELECT t, sum(-n * ln(pow(q, 1 / t) / (pow(p_h, 1 / t) + pow(p_d, 1 / t) + pow(p_a, 1 / t)))) / sum(n) AS nll FROM z, g GROUP BY 1) SELECT round(t, 6) AS t, round(nll, 6) AS nll FROM l ORDER BY round(nll, 9), t LIMIT 1")
 def cal_02(spark, d):
-    """Grid search for the softmax temperature: rows are summed up before the grid of 26 is laid over them."""
+    """Grid search for the softmax temperature, 200 from 0.1 to 10: equal rows are counted before the grid is laid over them."""
     z = scored(spark, d).groupBy("p_h", "p_d", "p_a", (H() * YH() + D() * YD() + A() * YA()).alias("q")).agg(F.count("*").alias("n"))
-    g = z.withColumn("t", F.explode(F.array(*[F.lit(i / 10.0) for i in range(5, 31)])))
+    g = z.withColumn("t", F.explode(F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: 0.1 + i * F.lit(9.9) / 199)))
     inv = 1 / F.col("t")
     nll = -F.ln(F.pow("q", inv) / (F.pow(H(), inv) + F.pow(D(), inv) + F.pow(A(), inv)))
     best = g.groupBy("t").agg((F.sum(F.col("n") * nll) / F.sum("n")).alias("nll"))
-    return best.orderBy(F.round("nll", 9), "t").limit(1).select("t", r6("nll").alias("nll"))
+    return best.orderBy(F.round("nll", 9), "t").limit(1).select(r6("t").alias("t"), r6("nll").alias("nll"))
 
 
 @query("cal_05_draw_inflation", f"WITH {SCORED}, f AS (SELECT league_id, avg(y_d) / avg(p_d) AS factor FROM e GROUP BY 1) SELECT league_id, round(factor, 6) AS factor, round(least(0.6, avg(p_d) * max(factor)), 6) AS draw FROM e JOIN f USING (league_id) GROUP BY league_id, factor")
@@ -135,12 +157,36 @@ def cal_05(spark, d):
     return scored(spark, d).groupBy("league_id").agg(r6(F.avg(YD()) / F.avg(D())).alias("factor"), r6(F.least(F.lit(0.6), F.avg(D()) * (F.avg(YD()) / F.avg(D())))).alias("draw"))
 
 
-@query("cal_08_draw_policy", f"WITH {SCORED}, z AS (SELECT p_h, p_d, p_a, y_h, y_d, y_a, count(*) AS n FROM e GROUP BY ALL), g AS (SELECT i / 100.0::DOUBLE AS threshold FROM range(20, 41) AS r(i)) SELECT threshold, round(sum(n * CASE WHEN p_d >= threshold THEN y_d WHEN p_h >= p_a THEN y_h ELSE y_a END) / sum(n), 6) AS accuracy FROM z, g GROUP BY 1")
+#: The share of draws that a ratio of one means, the least ratio, the weight of a shortfall.
+DRAWS, LEAST_RATIO, SHORTFALL = 0.246, 0.998, 2.0
+
+
+@query("cal_08_draw_policy", f"""WITH {SCORED}, z0 AS (SELECT p_h, p_d, p_a, y_h, y_d, y_a, count(*) AS n FROM e GROUP BY ALL), z AS (SELECT *, sum(n) OVER () AS total, sum(n) OVER (ORDER BY p_d DESC, p_h, p_a, y_h, y_d ROWS UNBOUNDED PRECEDING) - n AS before FROM z0),
+ r AS (SELECT i, j, p_d >= (5 + i) / 100.0::DOUBLE OR abs(p_h - p_a) <= j / 100.0::DOUBLE AS masked, (p_d > p_h AND p_d >= p_a) AS argmax, z.* FROM z, range(71) AS a(i), range(36) AS b(j)),
+ s AS (SELECT i, j, sum(CASE WHEN masked OR argmax THEN n ELSE 0 END) / max(total)::DOUBLE / {DRAWS}::DOUBLE AS ratio FROM r GROUP BY ALL),
+ k AS (SELECT r.*, CASE WHEN masked OR argmax THEN n WHEN s.ratio < {LEAST_RATIO}::DOUBLE THEN least(n, greatest(0, ceil({LEAST_RATIO}::DOUBLE * {DRAWS}::DOUBLE * total) - before)) ELSE 0 END AS drawn FROM r JOIN s USING (i, j)),
+ t AS (SELECT i, j, sum(drawn * y_d + (n - drawn) * CASE WHEN p_h >= p_a THEN y_h ELSE y_a END) / max(total) AS accuracy, sum(drawn) / max(total) / {DRAWS}::DOUBLE AS ratio FROM k GROUP BY ALL)
+SELECT round((5 + i) / 100.0::DOUBLE, 2) AS threshold, round(j / 100.0::DOUBLE, 2) AS margin, round(accuracy, 6) AS accuracy, round(ratio, 6) AS ratio FROM t ORDER BY round(accuracy - {SHORTFALL} * greatest(0, {LEAST_RATIO}::DOUBLE - ratio), 9) DESC, i, j LIMIT 1""")
 def cal_08(spark, d):
+    """The best of 71 thresholds and 36 margins. A row is called a draw if its draw probability reaches the threshold, home and
+    away are within the margin, or draw is largest; with too few draws those with the largest draw probability are added. Equal
+    rows are counted first, and the rank of a count is the rows before it; that one ordered pass is over different triples."""
     z = scored(spark, d).groupBy("p_h", "p_d", "p_a", "y_h", "y_d", "y_a").agg(F.count("*").alias("n"))
-    g = z.withColumn("threshold", F.explode(F.array(*[F.lit(i / 100.0) for i in range(20, 41)])))
-    right = F.when(D() >= F.col("threshold"), YD()).when(H() >= A(), YH()).otherwise(YA())
-    return g.groupBy("threshold").agg(r6(F.sum(F.col("n") * right) / F.sum("n")).alias("accuracy"))
+    first = Window.orderBy(F.desc("p_d"), "p_h", "p_a", "y_h", "y_d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    z = z.withColumns({"total": F.sum("n").over(Window.partitionBy(F.lit(0))), "before": F.sum("n").over(first) - F.col("n")})
+    n, total = F.col("n"), F.max("total")
+    r = z.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(70)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(35))))
+    masked = (D() >= (5 + F.col("i")) / 100.0) | (F.abs(H() - A()) <= F.col("j") / 100.0) | ((D() > H()) & (D() >= A()))
+    other = F.when(H() >= A(), YH()).otherwise(YA())
+    # both outcomes of the top-up in one aggregation: without it, and with it
+    target = F.ceil(F.lit(LEAST_RATIO) * F.lit(DRAWS) * F.col("total"))
+    plain, filled = F.when(masked, n).otherwise(0), F.when(masked, n).otherwise(F.least(n, F.greatest(F.lit(0), target - F.col("before"))))
+    right = lambda drawn: F.sum(drawn * YD() + (n - drawn) * other) / total
+    t = r.groupBy("i", "j").agg((F.sum(plain) / total / DRAWS).alias("r0"), right(plain).alias("a0"), (F.sum(filled) / total / DRAWS).alias("r1"), right(filled).alias("a1"))
+    few = F.col("r0") < LEAST_RATIO
+    t = t.select("i", "j", F.when(few, F.col("r1")).otherwise(F.col("r0")).alias("ratio"), F.when(few, F.col("a1")).otherwise(F.col("a0")).alias("accuracy"))
+    score = F.round(F.col("accuracy") - SHORTFALL * F.greatest(F.lit(0.0), LEAST_RATIO - F.col("ratio")), 9)
+    return t.orderBy(F.desc(score), "i", "j").limit(1).select(F.round((5 + F.col("i")) / 100.0, 2).alias("threshold"), F.round(F.col("j") / 100.0, 2).alias("margin"), r6("accuracy").alias("accuracy"), r6("ratio").alias("ratio"))
 
 
 @query("cal_10_draw_blend", f"WITH {P} SELECT match_id, snap_no, part_no, supp_no, round(sqrt(p_d * 0.28::DOUBLE) / (p_h + p_a + sqrt(p_d * 0.28::DOUBLE)), 6) AS draw FROM preds")

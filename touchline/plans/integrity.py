@@ -12,16 +12,34 @@ from touchline.sources import adapters as src
 M, S, T, N, P = src.MATCHES, src.SETTLED, src.TEAM_ROWS, src.SNAPSHOTS, src.PREDICTIONS
 
 
-@query("aud_01_structural", f"""WITH {M}, c AS (SELECT l_orderkey AS match_id, count(*) AS n, count(DISTINCT l_suppkey) AS d FROM lineitem GROUP BY 1)
-SELECT 'not_two_rows' AS counter, count(*) FILTER (n <> 2) AS value FROM c UNION ALL SELECT 'partial', count(*) FILTER (n = 1) FROM c UNION ALL SELECT 'duplicate_pair', count(*) FILTER (n > d) FROM c
-UNION ALL SELECT 'orphan', (SELECT count(*) FROM matches WHERE match_id NOT IN (SELECT match_id FROM c)) UNION ALL SELECT 'self_play', (SELECT count(*) FROM matches WHERE home_id = away_id)""")
+LEAGUES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+LEDGER = f"SELECT CASE WHEN l_partkey % 50 = 0 THEN -l_orderkey ELSE l_orderkey END AS match_id, l_suppkey % 22 AS team, l_shipdate AS day, CASE l_suppkey % 5 {' '.join(f'WHEN {i} THEN {n!r}' for i, n in enumerate(LEAGUES))} END AS league FROM lineitem"
+COUNTERS = ("not_two_rows", "partial", "duplicate_pair", "orphan_match", "orphan_team", "team_not_in_match", "date_mismatch", "league_mismatch", "self_play")
+
+
+@query("aud_01_structural", f"""WITH {S}, n AS ({LEDGER}), c AS (SELECT match_id, count(*) AS n, count(DISTINCT team) AS d FROM n GROUP BY 1), j AS (SELECT * FROM n JOIN matches USING (match_id)),
+v AS (SELECT 'not_two_rows' AS counter, (SELECT count(*) FROM settled JOIN c USING (match_id) WHERE n <> 2 OR d <> 2) AS value UNION ALL SELECT 'partial', (SELECT count(*) FROM c WHERE n = 1)
+ UNION ALL SELECT 'duplicate_pair', (SELECT count(*) FROM (SELECT match_id, team FROM n GROUP BY ALL HAVING count(*) > 1)) UNION ALL SELECT 'orphan_match', (SELECT count(*) FROM n WHERE match_id NOT IN (SELECT match_id FROM matches))
+ UNION ALL SELECT 'orphan_team', (SELECT count(*) FROM n WHERE team NOT IN (SELECT home_id FROM matches)) UNION ALL SELECT 'team_not_in_match', (SELECT count(*) FROM j WHERE team <> home_id AND team <> away_id)
+ UNION ALL SELECT 'date_mismatch', (SELECT count(*) FROM j WHERE day <> match_date) UNION ALL SELECT 'league_mismatch', (SELECT count(*) FROM j WHERE league <> league_id) UNION ALL SELECT 'self_play', (SELECT count(*) FROM matches WHERE home_id = away_id))
+SELECT counter, value, CASE WHEN value = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM v UNION ALL SELECT 'all', CAST(sum(value) AS BIGINT), CASE WHEN sum(value) = 0 THEN 'PASS' ELSE 'FAIL' END FROM v""")
 def aud_01(spark, d):
-    c = src.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("match_id")).agg(F.count("*").alias("n"), F.countDistinct("l_suppkey").alias("d"))
+    """Nine counters of a ledger of team rows against matches and teams, and their total. The ledger meets matches once; pairs and matches are counted in the same partitioning."""
+    src.table(spark, d, "lineitem").createOrReplaceTempView("lineitem")
+    n = spark.sql(LEDGER)
     m = src.matches(spark, d)
-    own = c.agg(F.count_if(F.col("n") != 2).alias("not_two_rows"), F.count_if(F.col("n") == 1).alias("partial"), F.count_if(F.col("n") > F.col("d")).alias("duplicate_pair"))
-    rows = own.select(F.explode(F.array(*[F.struct(F.lit(k).alias("counter"), F.col(k).alias("value")) for k in ("not_two_rows", "partial", "duplicate_pair")])).alias("s")).select("s.*")
-    orphan = m.join(c, "match_id", "left_anti").agg(F.lit("orphan").alias("counter"), F.count("*").alias("value"))
-    return rows.unionByName(orphan).unionByName(m.agg(F.lit("self_play").alias("counter"), F.count_if(F.col("home_id") == F.col("away_id")).alias("value")))
+    done = ops.settled(m).select("match_id", F.lit(True).alias("done"))
+    known = m.select(F.col("home_id").alias("team"), F.lit(True).alias("known")).distinct()
+    j = n.join(m.select("match_id", "home_id", "away_id", "match_date", "league_id"), "match_id", "left").join(done, "match_id", "left").join(known, "team", "left")
+    flags = {"orphan_match": F.col("home_id").isNull(), "orphan_team": F.col("known").isNull(), "team_not_in_match": (F.col("team") != F.col("home_id")) & (F.col("team") != F.col("away_id")), "date_mismatch": F.col("day") != F.col("match_date"), "league_mismatch": F.col("league") != F.col("league_id")}
+    pairs = j.groupBy("match_id", "team").agg(F.count("*").alias("n"), F.max("done").alias("done"), *[F.count_if(x).alias(k) for k, x in flags.items()])
+    each = pairs.groupBy("match_id").agg(F.sum("n").alias("n"), F.count("*").alias("d"), F.max("done").alias("done"), F.count_if(F.col("n") > 1).alias("pairs"), *[F.sum(k).alias(k) for k in flags])
+    own = each.agg(F.count_if(F.col("done") & ((F.col("n") != 2) | (F.col("d") != 2))).alias("not_two_rows"), F.count_if(F.col("n") == 1).alias("partial"), F.sum("pairs").alias("duplicate_pair"), *[F.sum(k).alias(k) for k in flags])
+    self_play = m.agg(F.count_if(F.col("home_id") == F.col("away_id")).alias("self_play"))
+    both = own.join(F.broadcast(self_play), F.lit(True)).select(*[F.coalesce(k, F.lit(0)).alias(k) for k in COUNTERS])
+    both = both.withColumn("all", sum((F.col(k) for k in COUNTERS), F.lit(0)))
+    rows = both.select(F.explode(F.array(*[F.struct(F.lit(k).alias("counter"), F.col(k).cast("long").alias("value")) for k in (*COUNTERS, "all")])).alias("s")).select("s.*")
+    return rows.withColumn("status", F.when(F.col("value") == 0, "PASS").otherwise("FAIL"))
 
 
 @query("aud_02_ownership", f"WITH {T}, h AS (SELECT team, count(DISTINCT league_id) AS leagues FROM team_rows GROUP BY 1) SELECT count(*) AS teams, count(*) FILTER (leagues > 1) AS several, CAST(max(leagues) AS BIGINT) AS most FROM h")

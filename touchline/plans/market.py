@@ -78,12 +78,37 @@ def mkt_07(spark, d):
     return src.snapshots(spark, d).groupBy("bookmaker").agg(F.count("*").alias("n"), r6(F.avg(m)).alias("mean_margin"), r6(F.avg((m < 0.04).cast("int"))).alias("sharp_share"))
 
 
-@query("mkt_10_entropy_block", f"WITH {N}, q AS (SELECT *, 1 / odds_h / {TOTAL} AS a, 1 / odds_d / {TOTAL} AS b, 1 / odds_a / {TOTAL} AS c FROM snaps WHERE {TOTAL} BETWEEN 1 AND 1.25) SELECT {IDS_SQL}, round(-(a * ln(a) + b * ln(b) + c * ln(c)) / ln(3), 6) AS entropy, round(greatest(a, b, c) - (a + b + c - greatest(a, b, c) - least(a, b, c)), 6) AS top_gap FROM q")
-def mkt_10(spark, d):
-    s = src.snapshots(spark, d).where((1 + mk.margin(H(), D(), A())).between(1, 1.25))
+FAVOURITE = "CASE WHEN odds_h <= odds_d AND odds_h <= odds_a THEN 0 WHEN odds_d <= odds_a THEN 1 ELSE 2 END"
+PRICED = f"q AS (SELECT *, {TOTAL} AS total, 1 / odds_h / {TOTAL} AS a, 1 / odds_d / {TOTAL} AS b, 1 / odds_a / {TOTAL} AS c, {FAVOURITE} AS favourite FROM snaps)"
+COMMON = {"p_h": "a", "p_d": "b", "p_a": "c", "log_h": "ln(odds_h)", "log_d": "ln(odds_d)", "log_a": "ln(odds_a)", "odds_ratio": "odds_h / odds_a"}
+# columns that both engines read from the same expressions; 1e-9 decides halves, which they round differently
+LEGACY = COMMON | {"edge_home": "a - c", "favourite": "favourite", "draw": "b", "confidence": "greatest(a, b, c)", "ev_h": "a * odds_h - 1", "ev_d": "b * odds_d - 1", "ev_a": "c * odds_a - 1"}
+APEX = COMMON | {"overround": "total", "favourite_h": "CAST(favourite = 0 AS INT)", "favourite_d": "CAST(favourite = 1 AS INT)", "favourite_a": "CAST(favourite = 2 AS INT)", "top_gap": "greatest(a, b, c) - (a + b + c - greatest(a, b, c) - least(a, b, c))", "entropy": "-(a * ln(a) + b * ln(b) + c * ln(c)) / ln(3)", "home_away": "a - c"}
+
+
+def _block(columns) -> str:
+    return ", ".join(f"round(CAST({x} AS DOUBLE) + 1e-9, 6) AS {n}" for n, x in columns.items())
+
+
+def priced(spark, d):
+    """Prices above one, with the total of their inverses, fair probabilities and the favourite."""
     p = mk.proportional(H(), D(), A())
-    middle = p[0] + p[1] + p[2] - F.greatest(*p) - F.least(*p)
-    return s.select(*IDS, r6(mk.entropy(*p) / F.ln(F.lit(3.0))).alias("entropy"), r6(F.greatest(*p) - middle).alias("top_gap"))
+    return src.snapshots(spark, d).where("least(odds_h, odds_d, odds_a) > 1").withColumns({"total": 1 + mk.margin(H(), D(), A()), "a": p[0], "b": p[1], "c": p[2], "favourite": F.expr(FAVOURITE)})
+
+
+def block(df, columns):
+    return df.select(*IDS, *[F.round(F.expr(f"CAST({x} AS DOUBLE) + 1e-9D"), 6).alias(n) for n, x in columns.items()])
+
+
+@query("mkt_09_legacy_block", f"WITH {N}, {PRICED} SELECT {IDS_SQL}, {_block(LEGACY)} FROM q WHERE least(odds_h, odds_d, odds_a) > 1")
+def mkt_09_block(spark, d):
+    return block(priced(spark, d), LEGACY)
+
+
+@query("mkt_10_entropy_block", f"WITH {N}, {PRICED} SELECT {IDS_SQL}, {_block(APEX)} FROM q WHERE least(odds_h, odds_d, odds_a) > 1 AND total BETWEEN 1 AND 1.25")
+def mkt_10(spark, d):
+    """Only prices whose total is from 1 to 1.25."""
+    return block(priced(spark, d).where("total BETWEEN 1 AND 1.25"), APEX)
 
 
 @query("mkt_11_fallback_median", f"WITH {N}, w AS (SELECT match_id, max(odds_h) FILTER (bookmaker = 0) AS b0, max(odds_h) FILTER (bookmaker = 1) AS b1, max(odds_h) FILTER (bookmaker = 2) AS b2 FROM snaps GROUP BY 1), c AS (SELECT match_id, coalesce(b0, b1, b2) AS o FROM w) SELECT match_id, round(coalesce(o, (SELECT quantile_cont(o, 0.5) FROM c)), 6) AS odds_h FROM c")

@@ -32,7 +32,8 @@ def season_july(date: pd.Timestamp) -> int:
 
 def ordered(frame: pd.DataFrame) -> pd.DataFrame:
     f = frame[(frame.home_id != frame.away_id) & frame.home_score.notna() & frame.away_score.notna()]
-    return f.drop_duplicates("match_id").sort_values(["match_date", "match_id"], kind="stable")
+    by = ["match_date", "match_id", "home_id", "away_id", "home_score", "away_score"]
+    return f.sort_values(by, kind="stable").drop_duplicates("match_id")
 
 
 def replay_elo(frame: pd.DataFrame, carry: bool = True) -> pd.DataFrame:

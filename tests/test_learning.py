@@ -28,5 +28,8 @@ def test_simulation_mixup_smote_perturb(spark):
     made = lr.smote(v, "id", "v")
     assert 100 < made.count() <= 200 and made.where(F.size("v") != 8).count() == 0
     x = spark.range(100).select("id", F.col("id").cast("double").alias("x"))
-    assert lr.mixup(x, "id", ["x"], 4).where("x < 0 OR x > 99").count() == 0
+    assert lr.mixup(x, "id", ["x"]).where("x < 0 OR x > 99").count() == 0
+    draws = [r["b"] for r in spark.range(4000).select(lr.beta(3, "id", 0.2).alias("b")).collect()]
+    assert 0 <= min(draws) and max(draws) <= 1 and abs(sum(draws) / 4000 - 0.5) < 0.03
+    assert abs(sum((b - 0.5) ** 2 for b in draws) / 4000 - 0.25 / 1.4) < 0.01
     assert lr.perturbed(x, "id", ["x"]).count() == 100

@@ -213,10 +213,12 @@ def drf_01(spark, d):
 
 @query("drf_02_benjamini_hochberg", "WITH p AS (SELECT p_partkey AS id, (p_partkey * 37 % 1000 + 1) / 1001.0::DOUBLE AS p FROM part), k AS (SELECT *, row_number() OVER (ORDER BY p, id) AS i, count(*) OVER () AS n FROM p) SELECT id, round(least(1, min(p * n / i) OVER (ORDER BY i DESC)), 6) AS adjusted FROM k")
 def drf_02(spark, d):
-    """One p-value a feature: thousands, not rows of data."""
+    """Equal p-values have one adjusted value, that of the last of them, so the ordered passes are over different p-values."""
     p = src.table(spark, d, "part").select(F.col("p_partkey").alias("id"), ((F.col("p_partkey") * 37 % 1000 + 1) / 1001.0).alias("p"))
-    k = p.withColumns({"i": F.row_number().over(Window.orderBy("p", "id")), "n": F.count("*").over(Window.partitionBy(F.lit(0)))})
-    return k.select("id", r6(F.least(F.lit(1.0), F.min(F.col("p") * F.col("n") / F.col("i")).over(Window.orderBy(F.desc("i"))))).alias("adjusted"))
+    g = p.groupBy("p").agg(F.count("*").alias("n"))
+    g = g.withColumns({"i": F.sum("n").over(Window.orderBy("p")), "total": F.sum("n").over(Window.partitionBy(F.lit(0)))})
+    adjusted = F.least(F.lit(1.0), F.min(F.col("p") * F.col("total") / F.col("i")).over(Window.orderBy(F.desc("p"))))
+    return p.join(g.select("p", r6(adjusted).alias("adjusted")), "p").select("id", "adjusted")
 
 
 @query("drf_05_causal_screen", "WITH m AS (SELECT quantile_cont(l_quantity, 0.5) AS m FROM lineitem), a AS (SELECT (l_quantity > m)::INT AS arm, l_extendedprice AS y FROM lineitem, m), s AS (SELECT count(*) FILTER (arm = 1) AS n1, count(*) FILTER (arm = 0) AS n0, avg(y) FILTER (arm = 1) AS m1, avg(y) FILTER (arm = 0) AS m0, var_samp(y) FILTER (arm = 1) AS v1, var_samp(y) FILTER (arm = 0) AS v0 FROM a) SELECT n1, n0, round(m1 - m0, 4) AS ate, round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 3) AS z FROM s")

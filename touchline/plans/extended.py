@@ -65,10 +65,13 @@ def agg_13(spark, d, days=7):
 BAND = "CASE WHEN confidence < 0.4 THEN 'low' WHEN confidence < 0.6 THEN 'medium' ELSE 'high' END"
 
 
-@query("agg_15_confidence_bands", f"WITH {SCORED} SELECT {BAND} AS band, count(*) AS n, round(avg({HIT}), 6) AS accuracy, round(abs(avg(confidence) - avg({HIT})), 6) AS gap FROM e GROUP BY 1")
+@query("agg_15_confidence_bands", f"WITH {SCORED}, k AS (SELECT {BAND} AS band, count(*) AS n, avg({HIT}) AS accuracy, abs(avg(confidence) - avg({HIT})) AS gap FROM e GROUP BY 1) SELECT band, n, round(accuracy, 6) AS accuracy, round(gap, 6) AS gap, round(sum(n * gap) OVER () / sum(n) OVER (), 6) AS error FROM k")
 def agg_15(spark, d):
+    """Accuracy of each band, and beside it the error of all bands weighted by their rows (a window over three rows)."""
     band = F.when(c("confidence") < 0.4, "low").when(c("confidence") < 0.6, "medium").otherwise("high")
-    return scored(spark, d).groupBy(band.alias("band")).agg(F.count("*").alias("n"), r6(F.avg(hit())).alias("accuracy"), r6(F.abs(F.avg("confidence") - F.avg(hit()))).alias("gap"))
+    k = scored(spark, d).groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.avg(hit()).alias("accuracy"), F.abs(F.avg("confidence") - F.avg(hit())).alias("gap"))
+    whole = Window.partitionBy(F.lit(0))
+    return k.select("band", "n", r6("accuracy").alias("accuracy"), r6("gap").alias("gap"), r6(F.sum(c("n") * c("gap")).over(whole) / F.sum("n").over(whole)).alias("error"))
 
 
 @query("agg_16_accuracy_by_outcome", f"WITH {SCORED} SELECT CASE WHEN y_h = 1 THEN 'h' WHEN y_d = 1 THEN 'd' ELSE 'a' END AS actual, count(*) AS n, round(avg({HIT}), 6) AS accuracy FROM e GROUP BY 1")
@@ -231,6 +234,32 @@ def cal_04(spark, d, terms=16):
     return t.select("league_id", r6(F.exp(-(c("lh") + c("la"))) * series).alias("draw"))
 
 
+GOALS, TERMS = 2.65, 16
+
+
+@query("cal_04_skellam_overlay", f"""WITH {SCORED}, z AS (SELECT p_h, p_d, p_a, y_h, y_d, y_a, count(*) AS n, {GOALS}::DOUBLE * p_h / (p_h + p_a) * {GOALS}::DOUBLE * p_a / (p_h + p_a) AS ab FROM e GROUP BY ALL),
+k AS (SELECT *, exp(-{GOALS}::DOUBLE) * (SELECT sum(pow(ab, t) / (factorial(t::INT)::DOUBLE * factorial(t::INT)::DOUBLE)) FROM range({TERMS}) AS r(t)) AS draw FROM z),
+g AS (SELECT a, n, y_h, y_d, y_a, p_h, p_a, (1 - a / 50.0::DOUBLE) * p_d + a / 50.0::DOUBLE * draw AS b FROM k, range(51) AS r(a)), s AS (SELECT *, p_h + b + p_a AS t FROM g),
+v AS (SELECT a, sum(n * y_d * -ln(least(1 - 1e-9, greatest(1e-9, b / t)))) / sum(n * y_d) AS nll, sum(n * ((p_h / t - y_h) * (p_h / t - y_h) + (b / t - y_d) * (b / t - y_d) + (p_a / t - y_a) * (p_a / t - y_a))) / sum(n) AS brier,
+ coalesce(2 * sum(n * y_d) FILTER (b > p_h AND b >= p_a) / nullif(coalesce(sum(n) FILTER (b > p_h AND b >= p_a), 0) + sum(n * y_d), 0), 0) AS f1 FROM s GROUP BY 1),
+w AS (SELECT * FROM v ORDER BY round(nll, 9), a LIMIT 1) SELECT CASE WHEN w.f1 >= o.f1 AND w.brier <= o.brier THEN w.a / 50.0::DOUBLE ELSE 0 END AS alpha, round(w.a / 50.0::DOUBLE, 4) AS tried, w.f1 >= o.f1 AND w.brier <= o.brier AS passed, round(o.f1, 4) AS f1_before, round(w.f1, 4) AS f1_after, round(o.brier, 4) AS brier_before, round(w.brier, 4) AS brier_after FROM w, v o WHERE o.a = 0""")
+def cal_04_overlay(spark, d, goals=GOALS, terms=TERMS):
+    """The mixing weight of 51 with the least loss on draws, kept only if neither the draw F1 nor the Brier score gets worse."""
+    z = scored(spark, d).groupBy("p_h", "p_d", "p_a", "y_h", "y_d", "y_a").agg(F.count("*").alias("n"))
+    ab = goals * c("p_h") / (c("p_h") + c("p_a")) * goals * c("p_a") / (c("p_h") + c("p_a"))
+    series = sum((F.pow("ab", F.lit(float(k))) / float(math.factorial(k)) ** 2 for k in range(terms)), F.lit(0.0))
+    g = z.withColumn("ab", ab).withColumn("draw", math.exp(-goals) * series).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(50))))
+    s = g.withColumn("b", (1 - c("a") / 50.0) * c("p_d") + c("a") / 50.0 * c("draw")).withColumn("t", c("p_h") + c("b") + c("p_a"))
+    gap = lambda p, y: (p / c("t") - y) * (p / c("t") - y)
+    called, draws = (c("b") > c("p_h")) & (c("b") >= c("p_a")), c("n") * c("y_d")
+    nll = F.sum(draws * -F.ln(F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), c("b") / c("t"))))) / F.sum(draws)
+    f1 = F.try_divide(2 * F.sum(F.when(called, draws).otherwise(0)), F.sum(F.when(called, c("n")).otherwise(0)) + F.sum(draws))
+    v = s.groupBy("a").agg(nll.alias("nll"), (F.sum(c("n") * (gap(c("p_h"), c("y_h")) + gap(c("b"), c("y_d")) + gap(c("p_a"), c("y_a")))) / F.sum("n")).alias("brier"), F.coalesce(f1, F.lit(0.0)).alias("f1"))
+    w = v.agg(F.min_by(F.struct("a", "f1", "brier"), F.struct(F.round("nll", 9), "a")).alias("w"), F.max(F.when(c("a") == 0, F.struct("f1", "brier"))).alias("o"))
+    ok, alpha = (c("w.f1") >= c("o.f1")) & (c("w.brier") <= c("o.brier")), c("w.a") / 50.0
+    return w.select(F.when(ok, alpha).otherwise(0.0).alias("alpha"), F.round(alpha, 4).alias("tried"), ok.alias("passed"), *[F.round(f"{t}.{x}", 4).alias(f"{x}_{n}") for x in ("f1", "brier") for t, n in (("o", "before"), ("w", "after"))])
+
+
 @query("cal_07_softmax_meta", f"WITH {P}, z AS (SELECT {IDS_SQL}, exp(1.2::DOUBLE * ln(p_h) + 0.1::DOUBLE) AS a, exp(1.2::DOUBLE * ln(p_d) - 0.1::DOUBLE) AS b, exp(1.2::DOUBLE * ln(p_a)) AS k FROM preds) SELECT {IDS_SQL}, round(a / (a + b + k), 6) AS p_h, round(b / (a + b + k), 6) AS p_d FROM z")
 def cal_07(spark, d):
     e = [F.exp(1.2 * F.ln(f"p_{k}") + b) for k, b in (("h", 0.1), ("d", -0.1), ("a", 0.0))]
@@ -264,15 +293,27 @@ def drf_04(spark, d):
     return k.select("league_id", F.when(c("acc") < 0.30, "critical").when(c("acc") < 0.35, "degraded").otherwise("healthy").alias("status"))
 
 
-@query("sim_02_scenarios", f"WITH {S}, t AS (SELECT league_id, round(avg(home_score), 6) AS lh, round(avg(away_score), 6) AS la FROM settled GROUP BY 1), s(name, k) AS (VALUES ('base', 1.0::DOUBLE), ('red_card', 0.7::DOUBLE), ('storm', 0.85::DOUBLE)), g0 AS (SELECT league_id, name, i, j, exp(-lh * k) * pow(lh * k, i) / factorial(i::INT) * exp(-la * k) * pow(la * k, j) / factorial(j::INT) AS p FROM t, s, range(11) AS a(i), range(11) AS b(j)) SELECT league_id, name, round(sum(p) FILTER (i > j) / sum(p), 6) AS home FROM g0 GROUP BY ALL")
+#: Name, factors and summands of the home and away rates.
+SCENARIOS = [("base", 1.0, 0.0, 1.0, 0.0), ("red_card", 0.7, 0.0, 1.0, 0.25), ("storm", 0.85, 0.0, 0.85, 0.0), ("late_push", 1.0, 0.3, 1.0, 0.1)]
+
+
+@query("sim_02_scenarios", f"""WITH {S}, t AS (SELECT league_id, round(avg(home_score), 6) AS lh, round(avg(away_score), 6) AS la FROM settled GROUP BY 1), s(name, hk, hb, ak, ab) AS (VALUES {', '.join(f"('{n}', " + ', '.join(f'{x}::DOUBLE' for x in v) + ')' for n, *v in SCENARIOS)}),
+r AS (SELECT league_id, name, greatest(0.05, lh * hk + hb) AS lh, greatest(0.05, la * ak + ab) AS la FROM t, s), g AS (SELECT league_id, name, i, j, exp(-lh) * pow(lh, i) / factorial(i::INT) * exp(-la) * pow(la, j) / factorial(j::INT) AS p FROM r, range(11) AS a(i), range(11) AS b(j)),
+k AS (SELECT league_id, name, sum(p) FILTER (i > j) / sum(p) AS home, sum(p) FILTER (i = j) / sum(p) AS draw, sum(p) FILTER (i < j) / sum(p) AS away FROM g GROUP BY ALL)
+SELECT league_id, name, round(k.home, 6) AS home, round(k.draw, 6) AS draw, round(k.away, 6) AS away, round(k.home - b.home + 1e-9, 6) AS home_change, round(k.draw - b.draw + 1e-9, 6) AS draw_change, round(k.away - b.away + 1e-9, 6) AS away_change FROM k JOIN (SELECT * FROM k WHERE name = 'base') b USING (league_id)""".replace("SELECT league_id, name, round(k.home", "SELECT league_id, k.name, round(k.home"))
 def sim_02(spark, d):
+    """Outcome probabilities of a league under each scenario, and what it changes against the base."""
     t = ops.settled(src.matches(spark, d)).groupBy("league_id").agg(r6(F.avg("home_score")).alias("lh"), r6(F.avg("away_score")).alias("la"))
-    s = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("k")) for n, k in (("base", 1.0), ("red_card", 0.7), ("storm", 0.85))]))
-    g = t.withColumn("s", s).select("league_id", "s.name", (c("lh") * c("s.k")).alias("lh"), (c("la") * c("s.k")).alias("la"))
+    s = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), *[F.lit(x).alias(k) for k, x in zip(("hk", "hb", "ak", "ab"), v)]) for n, *v in SCENARIOS]))
+    rate = lambda lam, k, b: F.greatest(F.lit(0.05), c(lam) * c(k) + c(b))
+    g = t.withColumn("s", s).select("league_id", "s.name", rate("lh", "s.hk", "s.hb").alias("lh"), rate("la", "s.ak", "s.ab").alias("la"))
     g = g.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(10)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(10))))
     pmf = lambda lam, k: F.exp(-c(lam)) * F.pow(lam, k) / F.factorial(k)
     g = g.withColumn("p", pmf("lh", "i") * pmf("la", "j"))
-    return g.groupBy("league_id", "name").agg(r6(F.sum(F.when(c("i") > c("j"), c("p"))) / F.sum("p")).alias("home"))
+    part = lambda on: F.sum(F.when(on, c("p"))) / F.sum("p")
+    k = g.groupBy("league_id", "name").agg(part(c("i") > c("j")).alias("home"), part(c("i") == c("j")).alias("draw"), part(c("i") < c("j")).alias("away"))
+    base = lambda x: F.max(F.when(c("name") == "base", c(x))).over(Window.partitionBy("league_id"))
+    return k.select("league_id", "name", *[r6(x).alias(x) for x in ("home", "draw", "away")], *[r6(c(x) - base(x) + 1e-9).alias(f"{x}_change") for x in ("home", "draw", "away")])
 
 
 @query("ent_03_alias_map", "SELECT n_nationkey, CASE n_name WHEN 'UNITED STATES' THEN 'usa' WHEN 'UNITED KINGDOM' THEN 'uk' ELSE lower(n_name) END AS name FROM nation")
@@ -404,13 +445,17 @@ def str_12(spark, d):
     return j.groupBy("match_id").agg(F.count_if(ok).alias("fresh"))
 
 
-@query("siml_02_analog_blend", "WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, label, list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]) AS s FROM q JOIN embeddings ON vec_id <> query_id) SELECT query_id, count(*) FILTER (s >= 0.3) AS analogs, round(sum(s * label) FILTER (s >= 0.3) / nullif(sum(s) FILTER (s >= 0.3), 0), 5) AS weighted, count(*) FILTER (s >= 0.3) = 0 AS novel FROM s GROUP BY 1")
-def siml_02(spark, d, least=0.3):
+@query("siml_02_analog_blend", """WITH q AS (SELECT vec_id AS query_id, label AS base, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, label, list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]) AS s FROM q JOIN embeddings ON vec_id <> query_id),
+k AS (SELECT query_id, count(*) FILTER (s >= 0.7) AS analogs, sum(s * label) FILTER (s >= 0.7) / nullif(sum(s) FILTER (s >= 0.7), 0) AS weighted, 1 - stddev_pop(label) FILTER (s >= 0.7) AS agreement, avg(s) FILTER (s >= 0.7) AS near, max(s) AS best FROM s GROUP BY 1)
+SELECT query_id, analogs, round(coalesce(weighted, base), 5) AS analog, round(0.7 * base + 0.3 * coalesce(weighted, base), 5) AS blend, round(coalesce(agreement * near, 0), 5) AS boost, analogs < 3 OR best < 0.6 AS novel FROM k JOIN q USING (query_id)""")
+def siml_02(spark, d, least=0.7, share=0.3):
+    """A query's own value blended with the similarity-weighted mean of its analogs; without any the value stays."""
     e = src.table(spark, d, "embeddings").select("vec_id", "label", c("embedding").cast("array<double>").alias("e"))
     s = sim.query_pairs(e, e.where("vec_id % 100 = 0"), "vec_id", "e").select("query_id", "label", sim.cosine("e", "q").alias("s"))
-    near = c("s") >= least
-    g = s.groupBy("query_id").agg(F.count_if(near).alias("analogs"), F.sum(F.when(near, c("s") * c("label"))).alias("a"), F.sum(F.when(near, c("s"))).alias("b"))
-    return g.select("query_id", "analogs", F.round(F.try_divide("a", "b"), 5).alias("weighted"), (c("analogs") == 0).alias("novel"))
+    near = lambda x: F.when(c("s") >= least, x)
+    g = s.groupBy("query_id").agg(F.count_if(c("s") >= least).alias("analogs"), F.try_divide(F.sum(near(c("s") * c("label"))), F.sum(near(c("s")))).alias("weighted"), (1 - F.stddev_pop(near(c("label")))).alias("agreement"), F.avg(near(c("s"))).alias("near"), F.max("s").alias("best"))
+    k = g.join(e.select(c("vec_id").alias("query_id"), c("label").alias("base")), "query_id").withColumn("analog", F.coalesce("weighted", "base"))
+    return k.select("query_id", "analogs", F.round("analog", 5).alias("analog"), F.round((1 - share) * c("base") + share * c("analog"), 5).alias("blend"), F.round(F.coalesce(c("agreement") * c("near"), F.lit(0.0)), 5).alias("boost"), ((c("analogs") < 3) | (c("best") < 0.6)).alias("novel"))
 
 
 @query("snk_03_new_ids", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')")
@@ -456,15 +501,17 @@ def aud_10(spark, d):
     return rows.withColumn("row_hash", F.sha2(F.concat_ws("|", "name", "grp", "scope", "disposition"), 256))
 
 
+#: A league's scale of values and its short rest in days; leagues without a pack take the default.
 PACK = {"1-URGENT": (60000.0, 4), "2-HIGH": (100.0, 3), "3-MEDIUM": (30.0, 5)}
+PACK_DEFAULT = (1.0, 4)
 
 
-@query("fn_13_league_pack", f"WITH {M}, k(league_id, scale, rest) AS (VALUES " + ", ".join(f"('{k}', {s}::DOUBLE, {r})" for k, (s, r) in PACK.items()) + ") SELECT match_id, round((match_id % 50000) / scale, 6) AS scaled, match_id % 7 < rest AS short_rest FROM matches JOIN k USING (league_id)")
+@query("fn_13_league_pack", f"WITH {M}, k(league_id, scale, rest) AS (VALUES " + ", ".join(f"('{k}', {s}::DOUBLE, {r})" for k, (s, r) in PACK.items()) + f") SELECT match_id, round((match_id % 50000) / coalesce(scale, {PACK_DEFAULT[0]}::DOUBLE), 6) AS scaled, match_id % 7 < coalesce(rest, {PACK_DEFAULT[1]}) AS short_rest FROM matches LEFT JOIN k USING (league_id)")
 def fn_13(spark, d):
-    """A league's constants come from one small parameter table."""
+    """A league's constants come from one small parameter table; no league is dropped."""
     k = spark.createDataFrame([(n, s, r) for n, (s, r) in PACK.items()], "league_id string, scale double, rest int")
-    j = src.matches(spark, d).join(F.broadcast(k), "league_id")
-    return j.select("match_id", r6(c("match_id") % 50000 / c("scale")).alias("scaled"), (c("match_id") % 7 < c("rest")).alias("short_rest"))
+    j = src.matches(spark, d).join(F.broadcast(k), "league_id", "left")
+    return j.select("match_id", r6(c("match_id") % 50000 / F.coalesce("scale", F.lit(PACK_DEFAULT[0]))).alias("scaled"), (c("match_id") % 7 < F.coalesce("rest", F.lit(PACK_DEFAULT[1]))).alias("short_rest"))
 
 
 @query("fn_16_team_table", "SELECT n_nationkey AS team, round(50 + n_nationkey * 1.5::DOUBLE, 4) AS attack, round(80 - n_nationkey * 0.75::DOUBLE, 4) AS defence, n_nationkey > 12 AS top_half FROM nation")

@@ -55,11 +55,21 @@ def jon_08(spark, d):
     return src.table(spark, d, "events").withColumn("mean_5", r6(F.avg("value").over(w))).where("event_type = 'purchase'").select("event_id", "mean_5")
 
 
-@query("agg_13_week_performance", f"WITH {SCORED}, t AS (SELECT max(match_date) AS t FROM e) SELECT model_version, count(*) AS n, round(avg({HIT}), 6) AS accuracy, round(avg({BRIER}), 6) AS brier FROM e, t WHERE match_date > t - INTERVAL 7 DAY GROUP BY 1")
+BANKROLL = 10_000
+PICK = "CASE WHEN p_h >= p_d AND p_h >= p_a THEN {0}_h WHEN p_d >= p_a THEN {0}_d ELSE {0}_a END"
+
+
+@query("agg_13_week_performance", f"""WITH {SCORED}, {N}, t AS (SELECT max(match_date) AS t FROM e), k AS (SELECT *, {HIT} AS y, {PICK.format('odds')} AS o FROM e JOIN snaps USING ({IDS_SQL}), t WHERE match_date > t - INTERVAL 7 DAY),
+b AS (SELECT *, {BANKROLL} * least(0.05, greatest(0, ((o - 1) * confidence - (1 - confidence)) / (o - 1)) / 4) AS stake FROM k)
+SELECT model_version, count(*) AS n, round(avg(y), 6) AS accuracy, round(avg({BRIER}), 6) AS brier, count(*) FILTER (stake > 0) AS bets, round(sum(stake * (y * o - 1)) + 1e-6, 2) AS roi, round(coalesce(sum(stake * (y * o - 1)) / nullif(count(*) FILTER (stake > 0) * {BANKROLL}, 0) * 100, 0), 4) AS roi_percent FROM b GROUP BY 1""")
 def agg_13(spark, d, days=7):
+    """Accuracy, Brier score, and what quarter-Kelly bets on the called outcome won, over the last days before the latest match."""
     e = scored(spark, d)
     e = e.join(F.broadcast(e.agg(F.max("match_date").alias("t"))), F.lit(True)).where(c("match_date") > c("t") - F.expr(f"INTERVAL {days} DAYS"))
-    return e.groupBy("model_version").agg(F.count("*").alias("n"), r6(F.avg(hit())).alias("accuracy"), r6(F.avg(brier())).alias("brier"))
+    b = e.join(src.snapshots(spark, d).select(*IDS, "odds_h", "odds_d", "odds_a"), IDS).withColumns({"y": hit(), "o": F.expr(PICK.format("odds"))})
+    b = b.withColumn("stake", BANKROLL * F.least(F.lit(0.05), F.greatest(F.lit(0.0), ((c("o") - 1) * c("confidence") - (1 - c("confidence"))) / (c("o") - 1)) / 4))
+    won, bets = F.sum(c("stake") * (c("y") * c("o") - 1)), F.count_if(c("stake") > 0)
+    return b.groupBy("model_version").agg(F.count("*").alias("n"), r6(F.avg("y")).alias("accuracy"), r6(F.avg(brier())).alias("brier"), bets.alias("bets"), F.round(won + 1e-6, 2).alias("roi"), F.round(F.coalesce(F.try_divide(won, bets * BANKROLL) * 100, F.lit(0.0)), 4).alias("roi_percent"))
 
 
 BAND = "CASE WHEN confidence < 0.4 THEN 'low' WHEN confidence < 0.6 THEN 'medium' ELSE 'high' END"
@@ -99,12 +109,18 @@ def agg_29(spark, d):
     return m.agg(r6(F.corr("f", "o")).alias("r"), F.coalesce(F.corr("f", "o") > 0.92, F.lit(False)).alias("redundant"))
 
 
-@query("win_16_xg_trend", f"WITH {T}, k AS (SELECT *, row_number() OVER ({W_TEAM}) AS i FROM team_rows) SELECT match_id, team, round(CASE WHEN count(*) OVER w >= 5 THEN avg(gf) OVER w END, 6) AS mean_10, round(CASE WHEN count(*) OVER w >= 5 THEN stddev_pop(gf) OVER w END, 6) AS std_10, round(CASE WHEN count(*) OVER w >= 5 THEN regr_slope(gf, i) OVER w END, 6) AS trend FROM k WINDOW w AS ({W_TEAM} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)")
-def win_16(spark, d):
-    w = TEAM().rowsBetween(-10, -1)
-    k = rows_of(spark, d).withColumn("i", F.row_number().over(TEAM()))
-    gate = lambda x: r6(F.when(F.count("*").over(w) >= 5, x.over(w)))
-    return k.select("match_id", "team", gate(F.avg("gf")).alias("mean_10"), gate(F.stddev_pop("gf")).alias("std_10"), gate(F.regr_slope("gf", "i")).alias("trend"))
+@query("win_16_xg_trend", f"""WITH {src.SHOTS}, x AS (SELECT team, match_id, round(sum(xg), 6) AS xg FROM shots GROUP BY ALL HAVING round(sum(xg), 6) > 0), k AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY match_id) AS i FROM x),
+v AS (SELECT team, match_id, count(*) OVER w AS n, avg(xg) OVER f AS five, avg(xg) OVER w AS ten, stddev_pop(xg) OVER w AS std, regr_slope(xg, i) OVER f AS slope FROM k WINDOW w AS (PARTITION BY team ORDER BY match_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), f AS (PARTITION BY team ORDER BY match_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))
+SELECT team, match_id, round(coalesce(five, 0), 6) AS mean_5, round(CASE WHEN n >= 5 THEN ten ELSE coalesce(five, 0) END, 6) AS mean_10, round(CASE WHEN n >= 5 THEN std ELSE 1 END, 6) AS consistency, round(CASE WHEN n >= 5 THEN slope ELSE 0 END, 6) AS trend FROM v""")
+def win_16(spark, d, least=5):
+    """Expected goals of the matches before: means of five and ten, their spread, and the slope of the last five in time order."""
+    x = src.shots(spark, d).groupBy("team", "match_id").agg(r6(F.sum("xg")).alias("xg")).where("xg > 0")
+    w = Window.partitionBy("team").orderBy("match_id")
+    five, ten = w.rowsBetween(-5, -1), w.rowsBetween(-10, -1)
+    enough = F.count("*").over(ten) >= least
+    mean = F.coalesce(F.avg("xg").over(five), F.lit(0.0))
+    k = x.withColumn("i", F.row_number().over(w))
+    return k.select("team", "match_id", r6(mean).alias("mean_5"), r6(F.when(enough, F.avg("xg").over(ten)).otherwise(mean)).alias("mean_10"), r6(F.when(enough, F.stddev_pop("xg").over(ten)).otherwise(1.0)).alias("consistency"), r6(F.when(enough, F.regr_slope("xg", "i").over(five)).otherwise(0.0)).alias("trend"))
 
 
 LINEAR = [1.5, 1.3, 1.1, 0.9, 0.7]

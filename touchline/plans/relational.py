@@ -290,16 +290,30 @@ def agg_10(spark, d):
     return src.snapshots(spark, d).groupBy("bookmaker").agg(F.count("*").alias("n"), F.to_date(F.max("captured_at")).alias("last_day"), F.max_by("match_id", F.struct("captured_at", "match_id")).alias("last_match"))
 
 
-@query("agg_11_coverage", "SELECT event_type, count(*) AS total, count(*) FILTER (value > 50) AS usable, count(DISTINCT coalesce(nullif(trim(event_type), ''), CAST(user_id AS VARCHAR))) AS events FROM events GROUP BY 1")
+FIRST_ID = "coalesce(nullif(trim(CASE WHEN event_id % 3 = 0 THEN 'c' || event_id % 50 ELSE ' ' END), ''), nullif(trim(CASE WHEN event_id % 3 = 1 THEN 'p' || event_id % 70 END), ''), nullif(trim('f' || user_id), ''))"
+USABLE = {"total": "TRUE", "coherent": "value > 20", "executable": "value > 20 AND value > 50"}
+STATE = "CASE WHEN total_records = 0 THEN 'EMPTY' WHEN executable_records > 0 THEN 'USABLE' ELSE 'UNUSABLE' END"
+
+
+@query("agg_11_coverage", f"WITH k AS (SELECT event_type, {', '.join(f'count(*) FILTER ({x}) AS {n}_records, count(DISTINCT {FIRST_ID}) FILTER ({x}) AS {n}_events' for n, x in USABLE.items())} FROM events GROUP BY 1) SELECT *, {STATE} AS state FROM k")
 def agg_11(spark, d):
-    first_id = F.coalesce(F.nullif(F.trim("event_type"), F.lit("")), F.col("user_id").cast("string"))
-    return src.table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("total"), F.count_if(F.col("value") > 50).alias("usable"), F.countDistinct(first_id).alias("events"))
+    """Records and different events (first of three ids that isn't blank) in all, coherent, and executable, which are the usable ones."""
+    e = src.table(spark, d, "events").select("event_type", "value", F.expr(FIRST_ID).alias("id"))
+    k = e.groupBy("event_type").agg(*[x for n, on in USABLE.items() for x in (F.count_if(F.expr(on)).alias(f"{n}_records"), F.countDistinct(F.when(F.expr(on), F.col("id"))).alias(f"{n}_events"))])
+    return k.withColumn("state", F.expr(STATE))
 
 
-@query("agg_12_value_bet_summary", f"WITH {M}, {N} SELECT league_id, bookmaker, count(*) AS n, round(avg(odds_h), 6) AS avg_odds FROM snaps JOIN matches USING (match_id) WHERE odds_h > 3 GROUP BY GROUPING SETS ((league_id), (bookmaker))")
+@query("agg_12_value_bet_summary", f"""WITH {M}, {N}, {src.PREDICTIONS}, j AS (SELECT league_id, p_h * odds_h - 1 AS h, p_d * odds_d - 1 AS d, p_a * odds_a - 1 AS a, confidence FROM snaps JOIN preds USING (match_id, snap_no, part_no, supp_no) JOIN matches USING (match_id)),
+v AS (SELECT league_id, confidence, 'h' AS market, h AS edge FROM j UNION ALL SELECT league_id, confidence, 'd', d FROM j UNION ALL SELECT league_id, confidence, 'a', a FROM j)
+SELECT league_id, market, count(*) AS bets, round(avg(edge), 6) AS avg_edge, round(avg(confidence), 6) AS avg_confidence, round(sum(edge), 4) AS total_edge FROM v WHERE edge > 0 GROUP BY GROUPING SETS ((league_id), (market), ())""")
 def agg_12(spark, d):
-    j = src.snapshots(spark, d).where("odds_h > 3").join(src.matches(spark, d).select("match_id", "league_id"), "match_id")
-    return j.groupingSets([[F.col("league_id")], [F.col("bookmaker")]], "league_id", "bookmaker").agg(F.count("*").alias("n"), F.round(F.avg("odds_h"), 6).alias("avg_odds"))
+    """Value bets (a positive edge in any market) by league, by market and in all, in one pass."""
+    ids = ["match_id", "snap_no", "part_no", "supp_no"]
+    j = src.snapshots(spark, d).join(src.predictions(spark, d), ids).join(src.matches(spark, d).select("match_id", "league_id"), "match_id")
+    each = F.array(*[F.struct(F.lit(k).alias("market"), (F.col(f"p_{k}") * F.col(f"odds_{k}") - 1).alias("edge")) for k in "hda"])
+    v = j.select("league_id", "confidence", F.explode(each).alias("s")).select("league_id", "confidence", "s.*").where("edge > 0")
+    g = v.groupingSets([[F.col("league_id")], [F.col("market")], []], "league_id", "market")
+    return g.agg(F.count("*").alias("bets"), F.round(F.avg("edge"), 6).alias("avg_edge"), F.round(F.avg("confidence"), 6).alias("avg_confidence"), F.round(F.sum("edge"), 4).alias("total_edge"))
 
 
 @query("agg_14_h2h_top5", f"WITH {T} SELECT opponent, count(*) AS played, count(*) FILTER (points = 3) AS won FROM team_rows WHERE team = 3 GROUP BY 1 ORDER BY played DESC, opponent LIMIT 5")

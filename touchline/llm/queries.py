@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from touchline.llm import ann, bpe, fingerprint, langid, mixing, simhash, suffix, toxicity, url_rules, warc
+from touchline.llm import ann, bpe, fingerprint, langid, mixing, resampling, simhash, suffix, toxicity, url_rules, warc
 
 QUERIES = {
     "op1_learned_partitions": ann.op1_learned_partitions,
@@ -15,10 +15,12 @@ QUERIES = {
     "op3_warc_archive": warc.op3_warc_archive,
     "op7_url_rules": url_rules.op7_url_rules,
     "op10_simhash_golay": simhash.op10_simhash_golay,
+    "op13_importance_resampling": resampling.op13_importance_resampling,
 }
 
 ORACLE_SQL = {
     "op5_budget_mixing": mixing.ORACLE,
     "op3_warc_archive": warc.ORACLE,
     "op7_url_rules": url_rules.ORACLE,
+    "op13_importance_resampling": resampling.ORACLE,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from touchline.llm import ann, bpe, fingerprint, langid, mixing, resampling, secret_scan, simhash, suffix, toxicity, url_rules, warc
+from touchline.llm import ann, bpe, fingerprint, langid, mixing, periodic, resampling, secret_scan, simhash, suffix, toxicity, url_rules, warc
 
 QUERIES = {
     "op1_learned_partitions": ann.op1_learned_partitions,
@@ -15,6 +15,7 @@ QUERIES = {
     "op3_warc_archive": warc.op3_warc_archive,
     "op7_url_rules": url_rules.op7_url_rules,
     "op10_simhash_golay": simhash.op10_simhash_golay,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
     "op12_blob_ledger": secret_scan.op12_blob_ledger,
     "op13_importance_resampling": resampling.op13_importance_resampling,
 }
@@ -23,6 +24,7 @@ ORACLE_SQL = {
     "op5_budget_mixing": mixing.ORACLE,
     "op3_warc_archive": warc.ORACLE,
     "op7_url_rules": url_rules.ORACLE,
+    "op11_periodic_runs": periodic.ORACLE,
     "op12_blob_ledger": secret_scan.ORACLE,
     "op13_importance_resampling": resampling.ORACLE,
 }

@@ -554,13 +554,6 @@ def snk_01(spark, d):
     return spark.read.parquet(path).select("match_id", "league_id")
 
 
-@query("snk_02_baseline_manifest", f"WITH {S} SELECT league_id, count(*) AS n, sha256('league_id:string,match_id:bigint') AS schema_hash FROM settled GROUP BY 1")
-def snk_02(spark, d):
-    m = ops.settled(src.matches(spark, d)).select("league_id", "match_id")
-    shape = ",".join(f"{n}:{t}" for n, t in m.dtypes)
-    return m.groupBy("league_id").agg(F.count("*").alias("n")).withColumn("schema_hash", F.sha2(F.lit(shape), 256))
-
-
 @query("str_09_clv_pass", f"WITH {S}, {N} SELECT match_id, count(*) AS captured FROM snaps JOIN settled USING (match_id) WHERE is_closing AND captured_at < match_date AND captured_at >= match_date - INTERVAL 10 DAY GROUP BY 1")
 def str_09(spark, d):
     """Due closings, streamed against the static fixtures."""

@@ -286,15 +286,6 @@ def udf_06(spark, d, temperature=1.3, draw=1.1):
     return k.select(*IDS, r6(c("a") / total).alias("p_h"), r6(c("b") / total).alias("p_d"), F.when((c("a") >= c("b")) & (c("a") >= c("g")), "h").when(c("b") >= c("g"), "d").otherwise("a").alias("pick"))
 
 
-@query("udf_09_model_registry", f"WITH {SCORED}, r AS (SELECT league_id, model_version, count(*) AS n, avg(pow(p_h - y_h, 2) + pow(p_d - y_d, 2) + pow(p_a - y_a, 2)) AS brier FROM e GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY league_id ORDER BY round(brier, 9), model_version) AS place FROM r) SELECT league_id, model_version, n, round(brier, 6) AS brier, CASE WHEN place = 1 THEN 'active' ELSE 'archived' END AS stage FROM k")
-def udf_09(spark, d):
-    """Register every version with its score, promote the best of a league, archive the others."""
-    brier = sum((F.pow(c(f"p_{k}") - c(f"y_{k}"), 2) for k in "hda"), F.lit(0.0))
-    r = scored(spark, d).groupBy("league_id", "model_version").agg(F.count("*").alias("n"), F.avg(brier).alias("b"))
-    place = F.row_number().over(Window.partitionBy("league_id").orderBy(F.round("b", 9), "model_version"))
-    return r.select("league_id", "model_version", "n", r6("b").alias("brier"), F.when(place == 1, "active").otherwise("archived").alias("stage"))
-
-
 # --- augmentation
 
 

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from touchline.streaming import live
@@ -36,3 +37,30 @@ def test_repeats_within_the_watermark(spark, tmp_path):
     ticks(spark).unionByName(ticks(spark)).coalesce(1).write.parquet(path)
     got = live.run_once(live.without_repeats(live.event_stream(spark, path), ["id", "price"], "ts", "2 hours"), "append", "r")
     assert got.count() == 60
+
+
+@pytest.mark.parametrize("size", [3, 1000])
+def test_buffer_keeps_the_newest_samples_over_batches_and_a_restart(spark, tmp_path, size):
+    """Late rows, rows with equal times, null values and a key that only the second run sees."""
+    import random
+
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from touchline.streaming import buffers
+
+    rnd = random.Random(size)
+    rows = [(i, rnd.choice("ab") if i < 60 else rnd.choice("abc"), rnd.randrange(40), None if i % 17 == 0 else rnd.random()) for i in range(120)]
+    folder, out, state = (str(tmp_path / x) for x in ("ticks", "out", "state"))
+    frame = spark.createDataFrame(rows, "id long, kind string, at long, value double").withColumn("ts", F.timestamp_seconds("at"))
+    for a, b in ((0, 20), (20, 60), (60, 120)):
+        frame.where(f"id >= {a} and id < {b}").coalesce(2).write.mode("append").parquet(folder)
+        ticks = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        buffers.drain(buffers.buffered(ticks, ["kind"], "value", "ts", "id", size), out, state)
+    got = {r["kind"]: r.asDict() for r in buffers.latest(spark, out, ["kind"]).collect()}
+    for kind in "abc":
+        mine = sorted((at, i, v) for i, k, at, v in rows if k == kind and v is not None)[-size:]
+        want = buffers.statistics(pd.Series([v for _, _, v in mine]))
+        assert {k: got[kind][k] for k in want} == pytest.approx(want)
+        v = sorted(v for _, _, v in mine)
+        assert want["p95"] == v[int(len(v) * 0.95)] and want["n"] == min(size, len(v))

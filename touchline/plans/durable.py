@@ -13,6 +13,7 @@ from touchline.plans.registry import query
 from touchline.sources import adapters as src
 from touchline.sources import manifest, published
 from touchline.sources.scratch import scratch
+from touchline.streaming import buffers
 
 c = lambda name: F.col(name)
 
@@ -169,3 +170,27 @@ def udf_09(spark, d):
         pass
     k = registry.catalogue()
     return k.select(c("scope").alias("league_id"), F.substring_index("model_id", "/", -1).alias("model_version"), c("metrics")["n"].cast("long").alias("n"), F.round(c("metrics")["brier"], 6).alias("brier"), c("status").alias("stage"), "entry")
+
+
+# --- STR-08: bounded buffers over the event stream
+
+
+def _buffer_sql(size: int) -> str:
+    quantiles = ", ".join(f"round(list_sort(list(value))[least(count(*), CAST(floor(count(*) * {q}::DOUBLE) AS BIGINT) + 1)], 6) AS p{int(q * 100)}" for q in buffers.QUANTILES)
+    return f"""WITH k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE value IS NOT NULL)
+SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS least, round(max(value), 6) AS most, {quantiles} FROM k WHERE r <= {size} GROUP BY 1"""
+
+
+@query("str_08_sliding_buffers", _buffer_sql(buffers.SCRAPER_SAMPLES))
+def str_08(spark, d, size=buffers.SCRAPER_SAMPLES, files=2):
+    """The newest 500 samples of each kind of event. Half of the files are drained in a micro-batch each, the query ends, and one that starts from its checkpoint
+    drains the rest; rows are dealt to the files regardless of time, so most are late."""
+    folder, out, state = scratch(spark, "ticks"), scratch(spark, "buffers"), scratch(spark, "buffers-state")
+    e = src.table(spark, d, "events").select("event_id", "event_type", "ts", "value")
+    half = F.pmod(F.xxhash64("event_id"), F.lit(2)) == 0
+    for part in (half, ~half):
+        e.where(part).repartition(files).write.mode("append").parquet(folder)
+        ticks = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        buffers.drain(buffers.buffered(ticks, ["event_type"], "value", "ts", "event_id", size), out, state)
+    stats = buffers.latest(spark, out, ["event_type"])
+    return stats.select("event_type", "n", *[F.round(n, 6).alias(n) for n, _ in buffers.STATS if n != "n"])

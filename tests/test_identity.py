@@ -1,7 +1,12 @@
 """Resolvers against plain replays of their rules."""
 
+import re
+import unicodedata
 from difflib import SequenceMatcher
 
+from pyspark.sql import functions as F
+
+from touchline.functions import text as tx
 from touchline.operators import identity as ident
 from touchline.plans import identity as plan
 from touchline.plans.registry import QUERIES
@@ -66,3 +71,84 @@ def test_index(spark):
     given = spark.createDataFrame([("L", n) for n in ("Man Utd", "Man United", "Leeds United", "Ath Madrid", "Twin", "Le United", "United", "FC")], "league string, name string")
     got = {r["name"]: (r["id"], r["tier"]) for r in ident.by_index(given, teams, aliases).collect()}
     assert got == {"Man Utd": (None, "none"), "Man United": (1, "prefix"), "Leeds United": (2, "exact"), "Ath Madrid": (4, "alias"), "Twin": (None, "ambiguous"), "Le United": (None, "none"), "United": (None, "none"), "FC": (None, "none")}
+
+
+NAMES = ["Beşiktaş JK", "MFK Ružomberok", "Śląsk Wrocław", "İstanbul Başakşehir", "ﬁnland FC", "Cafe\u0301 CF", "Straße AFC", "Ｗｉｄｅ 1907", "½ Côte", "Брест", "Ǆ Ⅷ ①", "Ωmega ℌ", "", " ", None, "Nottm Forest & Co", "F.C. København", "𝔄jax", "a\u0308\u0323b"]
+
+
+def test_names_are_decomposed_in_full(spark):
+    def plain(name):
+        text = "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c)).lower()
+        return re.sub("[^a-z0-9]+", " ", text).strip()
+
+    df = spark.createDataFrame([(n,) for n in NAMES], "name string").select("name", tx.normalised(F.col("name")).alias("got"))
+    assert {r["name"]: r["got"] for r in df.collect()} == {n: None if n is None else plain(n) for n in NAMES}
+    assert plain("Beşiktaş") == "besiktas"
+
+
+def test_club_keys(spark):
+    want = {"Chelsea FC": "chelsea", "A.F.C. Bournemouth": "bournemouth", "CF Real": "real", "C.F. Os Belenenses": "osbelenenses", "AFC": "afc", "Leeds Football Club": "leeds", "Football Club": "footballclub", "Sunderland A.F.C.": "sunderland", "Roma SC": "roma", "FC Basel": "fcbasel", "Boca Soccerclub": "boca", "A F C": "", "Straße F C": "strasse", "Alfa": "alfa", "": ""}
+    df = spark.createDataFrame([(n,) for n in want], "name string").select("name", tx.club_key(F.col("name")).alias("got"))
+    assert {r["name"]: r["got"] for r in df.collect()} == want
+
+
+def test_alias_of_two_teams_decides_nothing(spark):
+    teams = spark.createDataFrame([(1, "L", "Manchester City"), (2, "L", "Leeds United")], "id long, league string, name string")
+    given = spark.createDataFrame([("L", "The Citizens")], "league string, name string")
+    aliases = spark.createDataFrame([("L", "the citizens", "manchester city"), ("L", "the citizens", "leeds united"), ("L", "the citizens", "nobody")], "league string, key string, target string")
+    assert [(r["id"], r["tier"]) for r in ident.by_tiers(given, teams, aliases).collect()] == [(None, "none")]
+    assert [(r["id"], r["tier"]) for r in ident.by_tiers(given, teams, aliases.where("target <> 'leeds united'")).collect()] == [(1, "alias")]
+
+
+def similarity(a, b):
+    return SequenceMatcher(None, a.lower().strip(), b.lower().strip()).ratio()
+
+
+def test_close_pairs_are_those_of_all_pairs_and_few_reach_the_matcher(spark):
+    """On sf0.01, and on short names over few letters, where most bigrams are shared."""
+    import random
+
+    sf = SF.replace("0.001", "0.01")
+    teams, given = plan.teams(spark, sf).select("league", "id", "name"), plan.given(spark, sf).select("league", "name").distinct()
+    rnd = random.Random(1)
+    word = lambda: "".join(rnd.choice("abc é") for _ in range(rnd.randint(0, 9)))
+    t2 = spark.createDataFrame([(99, 1000 + i, word()) for i in range(60)], "league int, id long, name string")
+    g2 = spark.createDataFrame([(99, word()) for _ in range(60)], "league int, name string").distinct()
+    teams, given = teams.unionByName(t2), given.unionByName(g2)
+    by_league = {}
+    for r in teams.collect():
+        by_league.setdefault(r["league"], set()).add((r["id"], r["name"]))
+    every = [(g["league"], g["name"], i, n) for g in given.collect() for i, n in by_league.get(g["league"], ())]
+    ratio = {p: round(similarity(p[1], p[3]), 4) for p in every}
+    for least in (0.8, ident.SURE - ident.BAND):
+        got = {(r["league"], r["name"], r["id"], r["other"]): r["score"] for r in ident.close_pairs(given, teams, least).collect()}
+        assert got == {p: s for p, s in ratio.items() if s >= least}
+    pairs = spark.createDataFrame([(p[1], p[3]) for p in every], "x string, y string")
+    far = pairs.select(ident.bound(ident.bare(F.col("x")), ident.bare(F.col("y"))).alias("bound"), "x", "y")
+    assert all(r["bound"] >= similarity(r["x"], r["y"]) - 1e-9 for r in far.collect())
+    old = [p for p in every if p[0] != 99]
+    reached = far.where(F.col("bound") >= ident.SURE - ident.BAND).join(given.where("league <> 99").select(F.col("name").alias("x")).distinct(), "x").count()
+    assert reached < 0.05 * len(old)
+
+
+def test_fixtures_reconciled_equal_all_pairs(spark):
+    given, fixtures = plan.fixture_names(spark, SF)
+    extra = spark.createDataFrame([(-1, "nowhere", "a", "b", "1995-01-01 12:00:00"), (-2, "L", "Leeds United", "York City", "2024-05-05 15:00:00"), (-3, "L", "Leeds Utd", "York", "2024-05-05 16:30:00"), (-4, "L", "leeds united", "york city", "2024-05-05 16:31:00")], "record long, league string, home string, away string, kickoff string").withColumn("kickoff", F.to_timestamp("kickoff"))
+    more = spark.createDataFrame([(1_000_001, "L", "Leeds United", "York City", "2024-05-05 15:00:00"), (1_000_002, "M", "Leeds United", "York City", "2024-05-05 15:00:00")], "fixture long, league string, home string, away string, kickoff string").withColumn("kickoff", F.to_timestamp("kickoff"))
+    given, fixtures = given.unionByName(extra), fixtures.unionByName(more)
+    rows = [(r["fixture"], r["league"], r["home"], r["away"], r["kickoff"]) for r in fixtures.collect()]
+    got = {r["record"]: (r["status"], r["fixture"], r["review"], r["score"]) for r in ident.fixtures_reconciled(given, fixtures).collect()}
+    for g in given.collect():
+        near = []
+        for f, league, home, away, kickoff in rows:
+            gap = abs((kickoff - g["kickoff"]).total_seconds()) / 60
+            if league == g["league"] and gap <= 90:
+                near.append((-round(round(similarity(g["home"], home), 4) * 0.4 + round(similarity(g["away"], away), 4) * 0.4 + max(0.0, 1 - gap / 90) * 0.2, 4), f))
+        near.sort()
+        status, score, f = "UNKNOWN", 0.0, None
+        if near:
+            score, f = -near[0][0], near[0][1]
+            lead = score + near[1][0] if len(near) > 1 else 1.0
+            status = "CONFLICTING" if lead < 0.03 else "VERIFIED" if score >= 0.94 else "REQUIRES_REVIEW" if score >= 0.68 else "UNKNOWN"
+        assert got[g["record"]] == (status, f if status == "VERIFIED" else None, f if status == "REQUIRES_REVIEW" else None, score), g
+    assert got[-2][0] == "VERIFIED" and got[-3][0] == "UNKNOWN" and got[-4][3] == 0.0 and got[-1] == ("UNKNOWN", None, None, 0.0)

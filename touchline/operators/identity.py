@@ -97,27 +97,127 @@ def by_tiers(given: DataFrame, teams: DataFrame, aliases: DataFrame, fuzzy: bool
     around = asked.join(keys.select("league", "id", runs(F.col("key")).alias("key")), ["league", "key"])
     held = unique(inside.unionByName(around), "league", "name").where("n = 1").select("league", "name", F.col("id").alias("held_id"))
     target = unique(t, "league", "key").where("n = 1").select("league", F.col("key").alias("target"), F.col("id").alias("alias_id"))
-    audited = aliases.select("league", "key", "target").distinct().join(target, ["league", "target"]).drop("target")
+    # a key that stands for several teams decides nothing
+    meant = aliases.select("league", "key", "target").distinct().join(target, ["league", "target"])
+    audited = unique(meant.withColumnRenamed("alias_id", "id"), "league", "key").where("n = 1").select("league", "key", F.col("id").alias("alias_id"))
     out = out.join(held, ["league", "name"], "left").join(audited, ["league", "key"], "left")
     order = [("exact", "exact_id"), ("affix", "affix_id"), ("key", "key_id"), ("containment", "held_id"), ("alias", "alias_id")]
     tier = F.coalesce(*[F.when(F.col(i).isNotNull(), F.lit(n)) for n, i in order], F.lit("none"))
     out = out.select("league", "name", F.coalesce(*[F.col(i) for _, i in order]).alias("id"), tier.alias("tier"))
     if not fuzzy:
         return out
-    rest = reconciled(out.where("id is null").select("league", "name"), teams).where("status = 'VERIFIED'")
-    rest = rest.select("league", "name", F.col("team").alias("sure"))
+    rest = sure(out.where("id is null").select("league", "name"), teams)
     out = out.join(rest, ["league", "name"], "left")
     return out.select("league", "name", F.coalesce("id", "sure").alias("id"), F.when(F.col("sure").isNotNull(), "fuzzy").otherwise(F.col("tier")).alias("tier"))
 
 
+def bare(name: Column) -> Column:
+    """What the matcher compares."""
+    return F.trim(F.lower(name))
+
+
+def bound(a: Column, b: Column) -> Column:
+    """At least the matcher's ratio of two ``bare`` names, in columns. The matched letters are a common part of both letter bags and, as
+    matches don't cross, a common subsequence: at most half of both lengths less the edit distance."""
+    total = F.length(a) + F.length(b)
+    alphabet = "abcdefghijklmnopqrstuvwxyz0123456789 "
+    count = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
+    known = sum((F.least(count(a, c), count(b, c)) for c in alphabet), F.lit(0))
+    other = lambda x: F.length(F.translate(x, alphabet, ""))
+    bags = 2 * (known + F.least(other(a), other(b)))
+    return F.when(total == 0, 1.0).otherwise(F.least(bags, total - F.levenshtein(a, b)) / total)
+
+
+def rated(pairs: DataFrame, least: float) -> DataFrame:
+    """``pairs`` (x, y and more) with ``score``, the matcher's ratio: computed once for each different pair of names
+    whose bound reaches ``least``; below that null."""
+    names = pairs.select(bare(F.col("x")).alias("a"), bare(F.col("y")).alias("b")).distinct()
+    survivors = names.where(bound(F.col("a"), F.col("b")) >= least - 1e-4)
+    scores = survivors.withColumn("score", ratio("a", "b"))
+    keyed = pairs.withColumns({"a": bare(F.col("x")), "b": bare(F.col("y"))})
+    return keyed.join(scores, ["a", "b"], "left").drop("a", "b")
+
+
+def bigrams(name: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1))), lambda i: F.substring(name, i, F.lit(2))))
+
+
+def close_pairs(given: DataFrame, teams: DataFrame, least: float) -> DataFrame:
+    """league, name, id, other, score of the pairs with a ratio of at least ``least`` (0.8 or more), without laying out all pairs. If
+    m letters are matched, a name of n letters has at most 2 (n - m) + (k - m) bigrams that its partner of k lacks. With m at least least (n + k) / 2 and k at
+    least n least / (2 - least), that is a share of n: of any more bigrams of the name the partner has one. So each
+    name looks up that many of its bigrams, those with the fewest teams, among the bigrams of the league's teams."""
+    share = 2 - 1.5 * least + (1 - 1.5 * least) * least / (2 - least)
+    t = teams.select("league", "id", F.col("name").alias("other")).distinct().withColumn("b", bare(F.col("other")))
+    every = F.lit("")  # a key of all teams, for names with too few bigrams (short ones, as a rule) to be sure of one
+    index = t.select("league", "id", "other", F.explode(F.array_append(bigrams(F.col("b")), every)).alias("gram"), F.length("b").alias("k"))
+    rarity = index.groupBy("league", "gram").agg(F.count("*").alias("teams"))
+    g = given.select("league", "name").distinct().withColumn("a", bare(F.col("name")))
+    needed = F.floor(F.length("a") * share + 1e-9) + 1
+    own = F.when(F.size(bigrams(F.col("a"))) < needed, F.array(every)).otherwise(bigrams(F.col("a")))
+    asked = g.select("league", "name", F.length("a").alias("n"), F.explode(own).alias("gram")).join(rarity, ["league", "gram"], "left")
+    place = F.row_number().over(Window.partitionBy("league", "name").orderBy(F.coalesce("teams", F.lit(0)), "gram"))
+    asked = asked.withColumn("place", place).where((F.col("place") <= F.floor(F.col("n") * share + 1e-9) + 1) & F.col("teams").isNotNull())
+    met = asked.select("league", "name", "n", "gram").join(index, ["league", "gram"]).where(2 * F.least("n", "k") >= least * (F.col("n") + F.col("k")) - 1e-9)
+    pairs = met.select("league", F.col("name").alias("x"), "id", F.col("other").alias("y")).distinct()
+    return rated(pairs, least).where(F.col("score") >= least).select("league", F.col("x").alias("name"), "id", F.col("y").alias("other"), "score")
+
+
+def sure(given: DataFrame, teams: DataFrame) -> DataFrame:
+    """league, name, sure: the team of a sure similarity that no other comes near. Pairs further from it than the band don't matter, so only
+    ``close_pairs`` are compared."""
+    w = Window.partitionBy("league", "name").orderBy(F.desc("score"), "id")
+    k = close_pairs(given, teams, SURE - BAND).withColumns({"next": F.lead("score").over(w), "place": F.row_number().over(w)})
+    k = k.where((F.col("place") == 1) & (F.col("score") >= SURE) & (F.col("next").isNull() | (F.col("score") - F.col("next") >= BAND)))
+    return k.select("league", "name", F.col("id").alias("sure"))
+
+
+def judged(score: Column, second: Column) -> Column:
+    """The decision on the best score and the second: null scores are no candidates."""
+    return F.when(score.isNull(), "UNKNOWN").when(score - second < BAND, "CONFLICTING").when(score >= SURE, "VERIFIED").when(score >= REVIEW, "REQUIRES_REVIEW").otherwise("UNKNOWN")
+
+
 def reconciled(given: DataFrame, teams: DataFrame) -> DataFrame:
     """league, name, status, team (if verified), score: the most similar team of the league, unless the second
-    is within the band; names of a league without teams are unknown with a score of zero."""
-    t = teams.select("league", F.col("name").alias("other"), "id").distinct()
-    g = given.select("league", "name").distinct()
-    w = Window.partitionBy("league", "name").orderBy(F.desc("score"), "id")
-    k = g.join(t, "league").withColumn("score", ratio("name", "other"))
-    k = k.withColumns({"next": F.lead("score").over(w), "place": F.row_number().over(w)}).where("place = 1").select("league", "name", "id", "score", "next")
-    status = F.when(F.col("score").isNull(), "UNKNOWN").when(F.col("score") - F.col("next") < BAND, "CONFLICTING").when(F.col("score") >= SURE, "VERIFIED").when(F.col("score") >= REVIEW, "REQUIRES_REVIEW").otherwise("UNKNOWN")
-    out = g.join(k, ["league", "name"], "left").withColumn("status", status)
-    return out.select("league", "name", "status", F.when(F.col("status") == "VERIFIED", F.col("id")).alias("team"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    is within the band; names of a league without teams are unknown with a score of zero. The matcher sees the pairs whose bound
+    could matter for a decision, and all pairs of those names only for which none of them reaches the review floor."""
+    t = teams.select("league", F.col("name").alias("y"), "id").distinct()
+    pairs = given.select("league", F.col("name").alias("x")).distinct().join(t, "league")
+    w = Window.partitionBy("league", "x").orderBy(F.desc("score"), "id")
+
+    def best(scored: DataFrame) -> DataFrame:
+        k = scored.where("score is not null").withColumns({"next": F.lead("score").over(w), "place": F.row_number().over(w)})
+        return k.where("place = 1").select("league", "x", "id", "score", "next")
+
+    decided = best(rated(pairs, REVIEW - BAND)).where(F.col("score") >= REVIEW)
+    rest = pairs.join(decided, ["league", "x"], "left_anti")
+    k = decided.unionByName(best(rated(rest, 0.0))).withColumnRenamed("x", "name").withColumn("status", judged(F.col("score"), F.col("next")))
+    out = given.select("league", "name").distinct().join(k, ["league", "name"], "left")
+    return out.select("league", "name", F.coalesce("status", F.lit("UNKNOWN")).alias("status"), F.when(F.col("status") == "VERIFIED", F.col("id")).alias("team"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+#: Minutes between kickoffs of one fixture at most, and the shares of home name, away name and time in its score.
+TOLERANCE, SHARES = 90, (0.4, 0.4, 0.2)
+
+
+def fixtures_reconciled(given: DataFrame, fixtures: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+    """Provider records to canonical fixtures by names and kickoff. ``given``: record, league, home, away, kickoff; ``fixtures``: fixture instead of
+    record. Returns record, status, fixture (if verified), review (the candidate to look at), score, reason.
+
+    Candidates share the league and a bucket of the tolerance's width, own or neighbouring. The matcher runs once for each different pair of
+    names among them; ties in score go to the smaller fixture."""
+    width = tolerance * 60
+    bucket = F.floor(F.unix_timestamp("kickoff") / width)
+    g = given.select("record", "league", F.col("home").alias("home"), F.col("away").alias("away"), F.unix_timestamp("kickoff").alias("t1"), F.explode(F.array(*[bucket + k for k in (-1, 0, 1)])).alias("bucket"))
+    f = fixtures.select("fixture", "league", F.col("home").alias("h2"), F.col("away").alias("a2"), F.unix_timestamp("kickoff").alias("t2"), bucket.alias("bucket"))
+    gap = F.abs(F.col("t1") - F.col("t2")) / 60
+    p = g.join(f, ["league", "bucket"]).withColumn("gap", gap).where(F.col("gap") <= tolerance).drop("bucket", "t1", "t2")
+    for side, other in (("home", "h2"), ("away", "a2")):
+        p = rated(p.withColumnsRenamed({side: "x", other: "y"}), 0.0).drop("x", "y").withColumnRenamed("score", f"s_{side}")
+    score = F.round(F.col("s_home") * SHARES[0] + F.col("s_away") * SHARES[1] + F.greatest(F.lit(0.0), 1 - F.col("gap") / tolerance) * SHARES[2], 4)
+    w = Window.partitionBy("record").orderBy(F.desc("score"), "fixture")
+    k = p.withColumn("score", score).withColumns({"next": F.lead("score").over(w), "place": F.row_number().over(w)}).where("place = 1").withColumn("status", judged(F.col("score"), F.col("next")))
+    out = given.select("record").join(k.select("record", "fixture", "score", "status"), "record", "left")
+    status = F.coalesce("status", F.lit("UNKNOWN"))
+    reason = F.when(F.col("fixture").isNull(), "no_candidate").when(status == "CONFLICTING", "ambiguous_candidate").when(status == "VERIFIED", "matched_by_identity_and_kickoff").when(status == "REQUIRES_REVIEW", "below_auto_accept_threshold_but_reviewable").otherwise("below_auto_accept_threshold")
+    return out.select("record", status.alias("status"), F.when(status == "VERIFIED", F.col("fixture")).alias("fixture"), F.when(status == "REQUIRES_REVIEW", F.col("fixture")).alias("review"), F.coalesce("score", F.lit(0.0)).alias("score"), reason.alias("reason"))

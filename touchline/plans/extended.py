@@ -338,24 +338,6 @@ def ent_03(spark, d):
     return src.table(spark, d, "nation").select("n_nationkey", F.coalesce(F.try_element_at(aliases, c("n_name")), F.lower("n_name")).alias("name"))
 
 
-RECON = "abs(date_diff('day', a.match_date, b.match_date))"
-
-
-@query("ent_07_reconcile", f"WITH {M}, p AS (SELECT a.match_id, b.match_id AS other, 0.4::DOUBLE * (a.home_id = b.home_id)::INT + 0.4::DOUBLE * (a.away_id = b.away_id)::INT + 0.2::DOUBLE * (1 - {RECON} / 3.0::DOUBLE) AS score FROM matches a JOIN matches b ON a.league_id = b.league_id AND a.match_id <> b.match_id AND a.home_id = b.home_id AND {RECON} <= 3), k AS (SELECT *, lead(score) OVER w AS next, row_number() OVER w AS rn FROM p WINDOW w AS (PARTITION BY match_id ORDER BY round(score, 9) DESC, other)) SELECT match_id, other, CASE WHEN score - next < 0.03 THEN 'CONFLICTING' WHEN score >= 0.94 THEN 'VERIFIED' WHEN score >= 0.68 THEN 'REVIEW' ELSE 'UNMATCHED' END AS status FROM k WHERE rn = 1")
-def ent_07(spark, d, days=3):
-    """Candidates by league, home team and time bucket; the best one with its lead over the second."""
-    m = src.matches(spark, d).withColumn("day", F.unix_date(F.to_date("match_date")))
-    a = m.select("league_id", "home_id", "match_id", c("away_id").alias("x"), c("day").alias("d1"), F.explode(F.array(*[F.floor(c("day") / days) + k for k in (-1, 0, 1)])).alias("bucket"))
-    b = m.select("league_id", "home_id", c("match_id").alias("other"), c("away_id").alias("y"), c("day").alias("d2"), F.floor(c("day") / days).alias("bucket"))
-    gap = F.abs(c("d1") - c("d2"))
-    p = a.join(b, ["league_id", "home_id", "bucket"]).where((c("match_id") != c("other")) & (gap <= days))
-    p = p.withColumn("score", 0.4 + 0.4 * (c("x") == c("y")).cast("int") + 0.2 * (1 - gap / 3.0))
-    w = Window.partitionBy("match_id").orderBy(F.desc(F.round("score", 9)), "other")
-    k = p.withColumns({"next": F.lead("score").over(w), "rn": F.row_number().over(w)}).where("rn = 1")
-    status = F.when(c("score") - c("next") < 0.03, "CONFLICTING").when(c("score") >= 0.94, "VERIFIED").when(c("score") >= 0.68, "REVIEW").otherwise("UNMATCHED")
-    return k.select("match_id", "other", status.alias("status"))
-
-
 @query("ent_10_json_hash", "SELECT s_suppkey, sha256('{\"name\":\"' || s_name || '\",\"nation\":' || s_nationkey || '}') AS hash FROM supplier")
 def ent_10(spark, d):
     return src.table(spark, d, "supplier").select("s_suppkey", F.sha2(F.to_json(F.struct(c("s_name").alias("name"), c("s_nationkey").alias("nation"))), 256).alias("hash"))

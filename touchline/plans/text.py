@@ -9,6 +9,7 @@ from touchline.functions import text as tx
 from touchline.operators import similarity as sim
 from touchline.plans.registry import query
 from touchline.sources import adapters as src
+from touchline.sources import html as markup
 
 #: Names with letters beyond Latin-1, ligatures, marks of their own, and club designators.
 FOREIGN = ("Beşiktaş JK", "MFK Ružomberok", "Śląsk Wrocław", "İstanbul Başakşehir", "FK Čukarički", "Győri ETO", "ﬁnland FC", "Cafe\u0301 CF", "Mönchengladbach", "Straße AFC", "A.F.C. Ｗｉｄｅ", "½ Côte d’Azur 1907", "Брест", "Chelsea Football Club", "Ǆ Ajax", "C.F. São Ⅷ")
@@ -144,3 +145,21 @@ def src_16(spark, d):
     k = F.col("o_orderkey")
     raw = F.when(k % 3 == 0, F.concat(F.lit("€"), (k % 90).cast("string"), F.lit("m"))).when(k % 3 == 1, F.concat(F.lit("€"), (k % 900).cast("string"), F.lit("k"))).otherwise("-")
     return src.table(spark, d, "orders").select("o_orderkey", valuation(raw).alias("value"))
+
+
+# the pages' lists become tables, with cells and rows left open and cells that span rows and columns
+LISTS = (("<ul>", '<table id="links"><thead><tr><th>mark<th colspan="2">link</thead>'), ("</ul>", "</table>"), ("<li>", '<tr><td rowspan="2">*<td>'), ("</li>", "<!-- </tr> --><tr><td> next &amp; <i>more </i>"))
+
+
+@query("src_11_html_tables", """WITH l AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<ul>(.*?)</ul>', 1), '(?s)<li>(.*?)</li>', 1) AS items FROM pages WHERE contains(html, '<ul>')),
+i AS (SELECT page_id, unnest(items) AS item, generate_subscripts(items, 1) AS n FROM l),
+x AS (SELECT page_id, n, trim(regexp_replace(item, '(?s)<[^>]*>', '', 'g')) AS text FROM i)
+SELECT page_id, 0 AS row, unnest([0, 1, 2]) AS col, unnest(['mark', 'link', 'link']) AS text, TRUE AS header FROM l
+UNION ALL SELECT page_id, (2 * n - 1)::INT, unnest([0, 1]), unnest(['*', text]), FALSE FROM x
+UNION ALL SELECT page_id, (2 * n)::INT, unnest([0, 1]), unnest(['*', 'next &more']), FALSE FROM x""")
+def src_11_tables(spark, d):
+    """Every cell of every table of the pages; ``link`` texts have no entities or marks inside."""
+    p = src.table(spark, d, "pages").select("page_id", "html")
+    for old, new in LISTS:
+        p = p.withColumn("html", F.replace("html", F.lit(old), F.lit(new)))
+    return markup.tables(p).select("page_id", "row", F.col("column").alias("col"), "text", "header")

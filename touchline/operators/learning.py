@@ -20,27 +20,6 @@ def normal(seed: int, *key: str) -> Column:
     return F.sqrt(-2 * F.ln(F.greatest(a, F.lit(1e-12)))) * F.cos(2 * F.pi() * b)
 
 
-def stacked(train: DataFrame, test: DataFrame, features: list[str], label: str, key: str, seed: int = 3) -> DataFrame:
-    """Random forest and multinomial regression as members, fitted on one half of ``train``;
-    a multinomial meta model on their probabilities over the other half; probabilities for ``test``."""
-    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    put = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
-    half = uniform(seed, key) < 0.5
-    base = put.transform(train)
-    members = [RandomForestClassifier(featuresCol="_x", labelCol=label, numTrees=20, maxDepth=5, seed=seed).fit(base.where(half)), LogisticRegression(featuresCol="_x", labelCol=label, regParam=0.01).fit(base.where(half))]
-
-    def views(df: DataFrame) -> DataFrame:
-        for i, m in enumerate(members):
-            df = m.setProbabilityCol(f"_p{i}").setRawPredictionCol(f"_r{i}").setPredictionCol(f"_c{i}").transform(df)
-        return VectorAssembler(inputCols=[f"_p{i}" for i in range(len(members))], outputCol="_meta").transform(df)
-
-    meta = LogisticRegression(featuresCol="_meta", labelCol=label, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c", regParam=0.01).fit(views(base.where(~half)))
-    return meta.transform(views(put.transform(test))).select(key, vector_to_array("_p").alias("p"))
-
-
 def isotonic(rows: DataFrame, p: str, y: str, out: str) -> DataFrame:
     """Calibrated ``p`` by isotonic regression on ``y``."""
     from pyspark.ml.feature import VectorAssembler
@@ -123,18 +102,54 @@ def mixup(rows: DataFrame, key: str, columns: list[str], shape: float = 0.2, see
     return dealt.select(key, *mixed)
 
 
-def smote(rows: DataFrame, key: str, vector: str, cells: int = 64, k: int = 5, seed: int = 11) -> DataFrame:
-    """A synthetic row for each row, on the way to one of its k nearest in its own cell (the sign
-    pattern of the first coordinates); a window bounds the neighbours looked at to a cell's order."""
-    sign = F.expr(f"aggregate(transform(slice({vector}, 1, 6), x -> if(x > 0, 1, 0)), 0, (s, b) -> 2 * s + b) % {cells}")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    w = Window.partitionBy("_cell").orderBy(F.col(vector)[6], key).rowsBetween(-k, k)
-    near = rows.withColumn("_cell", sign).withColumn("_near", F.collect_list(F.struct(F.col(key).alias("k"), F.col(vector).alias("v"))).over(w))
-    ranked = F.slice(F.array_sort(F.transform(F.filter("_near", lambda n: n["k"] != F.col(key)), lambda n: F.struct(dot(n["v"], F.col(vector)).alias("d"), n["k"].alias("k"), n["v"].alias("v")))), 1, k)
-    pick = near.withColumn("_nn", ranked).where(F.size("_nn") > 0)
-    other = F.element_at("_nn", (F.floor(uniform(seed, key) * F.size("_nn")) + 1).cast("int"))["v"]
-    step = uniform(seed + 1, key)
-    return pick.withColumns({"_o": other, "_s": step}).select(key, F.zip_with(F.col(vector), F.col("_o"), lambda x, y: x + F.col("_s") * (y - x)).alias(vector))
+#: Tries of a Gamma draw (each fails in less than 5 of 100), and samples of a row.
+GAMMA_TRIES, SAMPLES = 12, 200
+INTERVAL = "mean array<double>, variance array<double>, ci_lower array<double>, ci_upper array<double>"
+
+
+def mixed_bits(x: np.ndarray) -> np.ndarray:
+    """Uniform numbers in (0, 1) from counters."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53 + 2.0**-54
+
+
+def gamma_draws(keys: np.ndarray, shape: np.ndarray, samples: int) -> np.ndarray:
+    """(rows, samples, classes) of Gamma(shape) by rejection (a cube of a normal under a bound); shapes below one are drawn one higher and
+    taken down by a power of a uniform. All numbers follow from the row's key, the sample and the try."""
+    classes = shape.shape[1]
+    count = np.arange(samples * classes, dtype=np.uint64).reshape(1, samples, classes) * np.uint64(4 * GAMMA_TRIES)
+    number = lambda t, part: mixed_bits((keys[:, None, None] + count + np.uint64(4 * t + part + 1)) * np.uint64(0x9E3779B97F4A7C15))
+    lifted = np.where(shape < 1, shape + 1, shape)[:, None, :]
+    d = lifted - 1 / 3
+    c = 1 / np.sqrt(9 * d)
+    out, done = np.broadcast_to(d, (len(keys), samples, classes)).copy(), np.zeros((len(keys), samples, classes), bool)
+    for t in range(GAMMA_TRIES):
+        z = np.sqrt(-2 * np.log(number(t, 0))) * np.cos(2 * np.pi * number(t, 1))
+        v = (1 + c * z) ** 3
+        ok = ~done & (v > 0) & (np.log(number(t, 2)) < 0.5 * z * z + d - d * v + d * np.log(np.maximum(v, 1e-300)))
+        out[ok] = (d * v)[ok]
+        done |= ok
+        if done.all():
+            break
+    return np.where(shape[:, None, :] < 1, out * number(0, 3) ** (1 / np.maximum(shape, 1e-9))[:, None, :], out)
+
+
+def dirichlet_intervals(key: Column, *alpha: Column, samples: int = SAMPLES) -> Column:
+    """Sample mean and variance and the 95 % bounds of each class under a Dirichlet, from draws that follow from the row's key, so a
+    repeated task has the same; 128 rows at a time."""
+    @F.pandas_udf(INTERVAL)
+    def run(seed: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series) -> pd.DataFrame:
+        shapes, keys = np.column_stack((a, b, c)).astype(float), seed.to_numpy(np.int64).view(np.uint64)
+        parts = []
+        for at in range(0, len(shapes), 128):
+            g = np.maximum(gamma_draws(keys[at : at + 128], shapes[at : at + 128], samples), 1e-300)
+            p = g / g.sum(axis=2, keepdims=True)
+            low, high = np.quantile(p, (0.025, 0.975), axis=1)
+            parts.append(pd.DataFrame({"mean": list(p.mean(axis=1)), "variance": list(p.var(axis=1, ddof=1)), "ci_lower": list(low), "ci_upper": list(high)}))
+        return pd.concat(parts) if parts else pd.DataFrame({k: [] for k in ("mean", "variance", "ci_lower", "ci_upper")})
+
+    return run(key, *alpha)
 
 
 def dropout_passes(key: Column, *logits: Column, passes: int = 50, keep: float = 0.8) -> Column:

@@ -462,13 +462,6 @@ def snk_03(spark, d):
     return src.table(spark, d, "orders").select(c("o_orderkey").alias("id")).join(have, "id", "left_anti")
 
 
-@query("unc_02_dirichlet", f"WITH {P}, k AS (SELECT {IDS_SQL}, 20 * p_h AS a, 20 * p_d AS b, 20 * p_a AS g FROM preds) SELECT {IDS_SQL}, round((a * (20 - a) + b * (20 - b) + g * (20 - g)) / (20 * 20 * 21.0::DOUBLE), 8) AS variance FROM k")
-def unc_02(spark, d, total=20.0):
-    """Sum of the variances of a Dirichlet with the given concentration, in closed form."""
-    parts = sum((c(f"p_{k}") * total * (total - c(f"p_{k}") * total) for k in "hda"), F.lit(0.0))
-    return src.predictions(spark, d).select(*IDS, F.round(parts / (total * total * (total + 1)), 8).alias("variance"))
-
-
 @query("siml_03_outliers", "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, list_distance(e, embedding::DOUBLE[]) AS d FROM q JOIN embeddings ON vec_id <> query_id) SELECT query_id, round(min(d), 5) AS nearest, round(avg(d), 5) AS mean, (min(d) - avg(d)) / stddev_pop(d) > 2 AS outlier FROM s GROUP BY 1")
 def siml_03(spark, d):
     e = src.table(spark, d, "embeddings").select("vec_id", c("embedding").cast("array<double>").alias("e"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,22 +26,24 @@ def proportional(*odds: Column) -> list[Column]:
     return [F.when(whole, (1 / o) / total) for o in odds]
 
 
-def power(odds: list[Column], steps: int = 60) -> list[Column]:
-    """De-vigging by p ** (1/k): k by bisection in [0.1, 10] so that the sum is 1, then
-    renormalised. The bisection is an aggregate over a sequence, inside the expression."""
-    p = [1 / o for o in odds]
-    at = lambda k: sum((F.pow(x, 1 / k) for x in p), F.lit(0.0))
-    low, high = 0.1, 10.0
-
-    def halve(lo: Column, step: Column) -> Column:
-        # the interval's width is known from the step, so its lower end is all the state; the sum grows with k
-        width = (high - low) / F.pow(F.lit(2.0), step)
-        return lo + F.when(at(lo + width) > 1, 0.0).otherwise(width)
-
-    k = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(low), halve)
-    raw = [F.pow(x, 1 / k) for x in p]
-    total = sum(raw, F.lit(0.0))
-    return [r / total for r in raw]
+#: The range of the exponent 1 / k, and Newton steps: from the left of the root they only go up to it, and double the digits.
+EXPONENT, STEPS = (0.1, 10.0), 8
+
+
+def power(df: DataFrame, odds: list[str], names: list[str], steps: int = STEPS) -> DataFrame:
+    """``df`` with de-vigged probabilities p ** t under ``names``: t such that they add up to 1, then renormalised. The sum of exp(t ln p) is convex and
+    falls with t, so a step from where it is over 1 stays there, and one from the other side leads there. A step is a projection of its own, in
+    generated code, that reads the one before."""
+    logs = [-F.ln(F.col(o)) for o in odds]
+    out = df.withColumn("_t", F.lit(1.0))
+    for _ in range(steps):
+        powers = [F.exp(F.col("_t") * x) for x in logs]
+        out = out.withColumns({"_sum": sum(powers, F.lit(0.0)), "_slope": sum((p * x for p, x in zip(powers, logs)), F.lit(0.0))})
+        out = out.withColumn("_t", clamp(F.col("_t") - (F.col("_sum") - 1) / F.col("_slope"), *EXPONENT))
+    raw = {f"_r{i}": F.exp(F.col("_t") * x) for i, x in enumerate(logs)}
+    out = out.withColumns(raw)
+    total = sum((F.col(r) for r in raw), F.lit(0.0))
+    return out.withColumns({n: F.col(r) / total for n, r in zip(names, raw)}).drop("_t", "_sum", "_slope", *raw)
 
 
 def ev(p: Column, o: Column) -> Column:

@@ -130,9 +130,16 @@ def evl_07(spark, d):
     )
 
 
-@query("evl_08_confusion", f"WITH {SCORED} SELECT {CALLED} AS called, count(*) FILTER (y_h = 1) AS h, count(*) FILTER (y_d = 1) AS d, count(*) FILTER (y_a = 1) AS a FROM e GROUP BY 1")
+LOSS = "-ln(greatest(1e-15, p_h * y_h + p_d * y_d + p_a * y_a))"
+
+
+@query("evl_08_confusion", f"WITH {SCORED}, n AS (SELECT model_version, count(*)::DOUBLE AS n, avg({LOSS}) AS loss FROM e GROUP BY 1), k AS (SELECT model_version, {CALLED} AS called, count(*) AS rows, count(*) FILTER (y_h = 1) AS h, count(*) FILTER (y_d = 1) AS d, count(*) FILTER (y_a = 1) AS a FROM e GROUP BY ALL) SELECT model_version, called, h, d, a, round(rows / n, 6) AS called_share, round(sum(h) OVER v / n, 6) AS h_share, round(sum(d) OVER v / n, 6) AS d_share, round(sum(a) OVER v / n, 6) AS a_share, round(loss, 6) AS log_loss FROM k JOIN n USING (model_version) WINDOW v AS (PARTITION BY model_version)")
 def evl_08(spark, d):
-    return scored(spark, d).groupBy(called().alias("called")).agg(*[F.count_if(F.col(f"y_{k}") == 1).alias(k) for k in "hda"])
+    """By version: the confusion matrix, how often each class is called and comes, and the log loss. At most three rows a version are windowed."""
+    k = scored(spark, d).groupBy("model_version", called().alias("called")).agg(F.count("*").alias("rows"), *[F.count_if(F.col(f"y_{k}") == 1).alias(k) for k in "hda"], F.sum(log_loss()).alias("loss"))
+    v = Window.partitionBy("model_version")
+    n = F.sum("rows").over(v)
+    return k.select("model_version", "called", "h", "d", "a", r6(F.col("rows") / n).alias("called_share"), *[r6(F.sum(x).over(v) / n).alias(f"{x}_share") for x in "hda"], r6(F.sum("loss").over(v) / n).alias("log_loss"))
 
 
 @query("evl_10_simplex", f"WITH {P} SELECT model_version, count(*) FILTER (least(p_h, p_d, p_a) >= 0 AND abs(p_h + p_d + p_a - 1) <= 1e-6) AS ok, count(*) AS n FROM preds GROUP BY 1")

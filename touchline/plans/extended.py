@@ -384,10 +384,12 @@ def fn_01(spark, d):
     return src.table(spark, d, "part").select("p_partkey", F.expr("regexp_replace(lower(p_name), '^(the|fc|afc) | (fc|afc|cf)$', '')").alias("bare"), F.size(F.array_distinct(F.split(name, " "))).cast("long").alias("words"))
 
 
-@query("fn_04_season_phase", f"WITH {M} SELECT match_id, CASE WHEN month(match_date) IN (8, 9, 10) THEN 'early' WHEN month(match_date) IN (11, 12, 1, 2) THEN 'mid' WHEN month(match_date) IN (3, 4, 5) THEN 'late' ELSE 'off' END AS phase FROM matches")
+@query("fn_04_season_phase", f"WITH {M}, k AS (SELECT match_id, month(match_date) AS m FROM matches) SELECT match_id, CASE WHEN m IN (8, 9, 10) THEN 0 WHEN m IN (11, 12, 1) THEN 1 WHEN m IN (2, 3, 4) THEN 2 ELSE 3 END::BIGINT AS by_season, ((m - 1) // 3)::BIGINT AS by_quarter, round((m - 1) / 11.0::DOUBLE, 6) AS by_year FROM k")
 def fn_04(spark, d):
+    """Three definitions that don't agree: thirds of the season and its end, quarters of the year, the share of the year that is gone."""
     m = F.month("match_date")
-    return src.matches(spark, d).select("match_id", F.when(m.isin(8, 9, 10), "early").when(m.isin(11, 12, 1, 2), "mid").when(m.isin(3, 4, 5), "late").otherwise("off").alias("phase"))
+    season = F.when(m.isin(8, 9, 10), 0).when(m.isin(11, 12, 1), 1).when(m.isin(2, 3, 4), 2).otherwise(3)
+    return src.matches(spark, d).select("match_id", season.cast("long").alias("by_season"), F.floor((m - 1) / 3).alias("by_quarter"), F.round((m - 1) / 11.0, 6).alias("by_year"))
 
 
 @query("fn_05_math", "SELECT o_orderkey, round(1 / (1 + exp(-(o_orderkey % 9 - 4) / 2.0::DOUBLE)), 6) AS logistic, round(exp(-2.0::DOUBLE) * pow(2, o_orderkey % 6) / factorial((o_orderkey % 6)::INT), 6) AS poisson FROM orders")

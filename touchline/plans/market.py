@@ -19,13 +19,36 @@ TOTAL = "(1 / odds_h + 1 / odds_d + 1 / odds_a)"
 BOTH = f"{N}, {P}, j AS (SELECT * FROM snaps JOIN preds USING ({IDS_SQL}))"
 
 
+c = lambda name: F.col(name)
+
+
 def r6(c):
     return F.round(c, 6)
 
 
 def joined(spark, d):
-    """Odds and predictions of one line item; the key is unique, so no rows multiply."""
-    return src.snapshots(spark, d).join(src.predictions(spark, d), IDS)
+    """Odds and predictions of each line item."""
+    return src.quoted(spark, d)
+
+
+AT_SQL = "{'t': captured_at, 'a': snap_no, 'b': part_no, 'c': supp_no}"
+
+
+def at():
+    """The order of captures."""
+    return F.struct("captured_at", "snap_no", "part_no", "supp_no")
+
+
+def outcomes(df, *columns):
+    """A row for each of the three outcomes, from one scan: ``outcome`` and, of each of ``columns`` (as p for p_h, p_d, p_a), its value."""
+    one = lambda k: F.struct(F.lit(k).alias("outcome"), *[F.col(f"{x}_{k}").alias(x) for x in columns])
+    rest = [x for x in df.columns if x not in {f"{x}_{k}" for x in columns for k in "hda"}]
+    return df.select(*rest, F.explode(F.array(*map(one, "hda"))).alias("_o")).select(*rest, "_o.*")
+
+
+def outcomes_sql(frm, *columns):
+    """The same as SQL over ``frm``."""
+    return " UNION ALL ".join(f"SELECT *, '{k}' AS outcome, " + ", ".join(f"{x}_{k} AS {x}" for x in columns) + f" FROM {frm}" for k in "hda")
 
 
 @query("mkt_01_price_filter", f"WITH {N} SELECT {IDS_SQL} FROM snaps WHERE odds_h > 1.5 AND isfinite(odds_h)")
@@ -60,16 +83,36 @@ FROM (SELECT *, pow(1 / odds_h, 2 / (lo + hi)) + pow(1 / odds_d, 2 / (lo + hi))
 def mkt_05(spark, d):
     """Each different price triple once; equal markets have equal probabilities."""
     g = src.snapshots(spark, d).select("odds_h", "odds_d", "odds_a").distinct()
-    return g.select("odds_h", "odds_d", "odds_a", *[F.round(p, 5).alias(f"p_{k}") for k, p in zip("hda", mk.power([H(), D(), A()]))])
+    p = mk.power(g, ["odds_h", "odds_d", "odds_a"], ["p_h", "p_d", "p_a"])
+    return p.select("odds_h", "odds_d", "odds_a", *[F.round(f"p_{k}", 5).alias(f"p_{k}") for k in "hda"])
 
 
-@query("mkt_06_feature_pack", f"""WITH {BOTH}, o AS (SELECT *, first_value(odds_h) OVER (PARTITION BY match_id, bookmaker ORDER BY captured_at, snap_no, part_no, supp_no) AS opening FROM j)
-SELECT {IDS_SQL}, round(p_h * odds_h - 1, 6) AS ev_h, round(p_h - 1 / odds_h / {TOTAL}, 6) AS edge_h, round(ln(odds_h / opening), 6) AS drift_h, round(greatest(p_h * odds_h, p_d * odds_d, p_a * odds_a) - 1, 6) AS max_ev FROM o""")
+def _pack_sql() -> str:
+    each = lambda f: ", ".join(f(k) for k in "hda")
+    fair = lambda o, k: f"1 / {o}odds_{k} / (1 / {o}odds_h + 1 / {o}odds_d + 1 / {o}odds_a)"
+    seen = "PARTITION BY match_id, bookmaker"
+    first = ", ".join(f"first_value(odds_{k}) OVER ({seen} ORDER BY captured_at, snap_no, part_no, supp_no) AS open_{k}" for k in "hda")
+    return f"""WITH {BOTH}, o AS (SELECT *, {first}, max({{'at': {AT_SQL}, 'odds_h': odds_h, 'odds_d': odds_d, 'odds_a': odds_a}}) FILTER (is_closing) OVER ({seen}) AS c FROM j),
+k AS (SELECT *, {each(lambda k: f"{fair('', k)} AS q_{k}, p_{k} * odds_{k} - 1 AS ev_{k}, p_{k} - {fair('', k)} AS edge_{k}, ln(odds_{k} / open_{k}) AS drift_{k}, p_{k} - {fair('c.', k)} AS clv_{k}")} FROM o)
+SELECT {IDS_SQL}, {each(lambda k: ", ".join(f"round({x}_{k} + 1e-9, 6) AS {n}_{k}" for x, n in (("q", "prob"), ("ev", "ev"), ("edge", "edge"), ("drift", "drift"), ("clv", "clv"))))},
+ round(greatest(ev_h, ev_d, ev_a), 6) AS max_ev, round(greatest(edge_h, edge_d, edge_a), 6) AS max_edge, round(greatest(abs(drift_h), abs(drift_d), abs(drift_a)), 6) AS max_abs_drift FROM k"""
+
+
+@query("mkt_06_feature_pack", _pack_sql())
 def mkt_06(spark, d):
-    w = Window.partitionBy("match_id", "bookmaker").orderBy("captured_at", "snap_no", "part_no", "supp_no")
-    j = joined(spark, d).withColumn("opening", F.first("odds_h").over(w))
-    ev = [mk.ev(F.col(f"p_{k}"), o) for k, o in zip("hda", (H(), D(), A()))]
-    return j.select(*IDS, r6(ev[0]).alias("ev_h"), r6(F.col("p_h") - mk.proportional(H(), D(), A())[0]).alias("edge_h"), r6(F.ln(H() / F.col("opening"))).alias("drift_h"), r6(F.greatest(*ev)).alias("max_ev"))
+    """All three outcomes; what a match's bookmaker never closed has no closing value. One shuffle. 1e-9 decides halves, which the engines round differently."""
+    seen = Window.partitionBy("match_id", "bookmaker")
+    j = joined(spark, d).withColumn("_odds", F.struct("odds_h", "odds_d", "odds_a"))
+    first = F.first("_odds").over(seen.orderBy("captured_at", "snap_no", "part_no", "supp_no"))
+    j = j.withColumns({"o": first, "c": F.max(F.when(F.col("is_closing"), F.struct(at().alias("at"), "odds_h", "odds_d", "odds_a"))).over(seen)})
+    now, closing = mk.proportional(H(), D(), A()), mk.proportional(*[F.col(f"c.odds_{k}") for k in "hda"])
+    cols = {}
+    for i, k in enumerate("hda"):
+        p, o = F.col(f"p_{k}"), F.col(f"odds_{k}")
+        cols |= {f"prob_{k}": now[i], f"ev_{k}": mk.ev(p, o), f"edge_{k}": p - now[i], f"drift_{k}": F.ln(o / F.col(f"o.odds_{k}")), f"clv_{k}": p - closing[i]}
+    j = j.withColumns(cols)
+    most = lambda name, f=lambda x: x: r6(F.greatest(*[f(F.col(f"{name}_{k}")) for k in "hda"]))
+    return j.select(*IDS, *[r6(F.col(x) + 1e-9).alias(x) for x in cols], most("ev").alias("max_ev"), most("edge").alias("max_edge"), most("drift", F.abs).alias("max_abs_drift"))
 
 
 @query("mkt_07_efficiency", f"WITH {N} SELECT bookmaker, count(*) AS n, round(avg({TOTAL} - 1), 6) AS mean_margin, round(avg(({TOTAL} - 1 < 0.04)::INT), 6) AS sharp_share FROM snaps GROUP BY 1")
@@ -130,10 +173,16 @@ def mkt_14(spark, d):
     return joined(spark, d).select(*IDS, F.round((F.col("p_h") - 1 / H()) * (H() - 1) * (F.col("part_no") % 10) / 10.0, 4).alias("edge"))
 
 
-@query("mkt_15_value_bets", f"WITH {BOTH} SELECT match_id, count(*) AS bets, round(max(p_h - 1 / odds_h), 6) AS best_edge, arg_max(bookmaker, {{'e': p_h - 1 / odds_h, 'b': -bookmaker}}) AS book FROM j WHERE odds_h BETWEEN 1.5 AND 10 AND p_h - 1 / odds_h > 0.042 GROUP BY 1")
+EDGE_SQL = "round((p - 1 / odds) * (odds - 1), 4)"
+
+
+@query("mkt_15_value_bets", f"WITH {BOTH}, o AS ({outcomes_sql('j', 'p', 'odds')}), e AS (SELECT *, {EDGE_SQL} AS edge FROM o WHERE odds BETWEEN 1.5 AND 10), b AS (SELECT match_id, outcome, count(*) AS bets, max({{'e': edge, 'b': -bookmaker, 'o': odds, 'p': p}}) AS best FROM e WHERE edge > 0.042 GROUP BY ALL) SELECT match_id, outcome, bets, round(best.e, 4) AS edge, -best.b AS bookmaker, round(best.o, 6) AS odds, round(1 / best.o, 4) AS implied, round(least(0.05, greatest(0, ((best.o - 1) * best.p - (1 - best.p)) / (best.o - 1)) / 4), 6) AS stake FROM b")
 def mkt_15(spark, d):
-    e = F.col("p_h") - 1 / H()
-    return joined(spark, d).where(H().between(1.5, 10) & (e > 0.042)).groupBy("match_id").agg(F.count("*").alias("bets"), r6(F.max(e)).alias("best_edge"), F.max_by("bookmaker", F.struct(e, -F.col("bookmaker"))).alias("book"))
+    """The best bet on each outcome of a match over all bookmakers, and its quarter-Kelly stake; ties to the first bookmaker."""
+    o = outcomes(joined(spark, d), "p", "odds").where(c("odds").between(1.5, 10))
+    e = o.withColumn("edge", F.round((c("p") - 1 / c("odds")) * (c("odds") - 1), 4)).where("edge > 0.042")
+    b = e.groupBy("match_id", "outcome").agg(F.count("*").alias("bets"), F.max(F.struct(c("edge").alias("e"), (-c("bookmaker")).alias("b"), c("odds").alias("o"), c("p").alias("p"))).alias("best"))
+    return b.select("match_id", "outcome", "bets", F.round("best.e", 4).alias("edge"), (-c("best.b")).alias("bookmaker"), r6(c("best.o")).alias("odds"), F.round(1 / c("best.o"), 4).alias("implied"), r6(mk.kelly(c("best.p"), c("best.o"), 0.25, 0.05)).alias("stake"))
 
 
 @query("mkt_16_compare_books", f"WITH {BOTH} SELECT {IDS_SQL}, row_number() OVER (PARTITION BY match_id ORDER BY p_h - 1 / odds_h DESC, bookmaker, snap_no, part_no, supp_no) AS place FROM j")
@@ -158,9 +207,17 @@ def mkt_18(spark, d):
     return k.groupBy("model_version").agg(F.count("*").alias("n"), r6(F.when(enough, F.avg("clv"))).alias("mean_clv"), r6(F.when(enough, F.avg((F.col("clv") > 0).cast("int")))).alias("positive_rate"))
 
 
-@query("mkt_19_price_windows", f"WITH {P} SELECT {IDS_SQL}, round(1 / p_h, 6) AS break_even, round(1.05::DOUBLE / p_h, 6) AS for_5_pct FROM preds")
+#: Fixed value: the least edge of a bet worth taking.
+LEAST_EDGE = 0.042
+
+
+@query("mkt_19_price_windows", f"WITH {BOTH}, o AS ({outcomes_sql('j', 'p', 'odds')}), k AS (SELECT *, {TOTAL} - 1 / odds AS others, p - {LEAST_EDGE}::DOUBLE AS fair FROM o), x AS (SELECT *, CASE WHEN fair > 0 AND fair < 1 THEN (1 - fair) / (fair * others) END AS keeps FROM k) SELECT {IDS_SQL}, outcome, round(1 / p, 3) AS break_even, round(1.05::DOUBLE / p, 3) AS for_5_pct, round(CASE WHEN keeps > 1 THEN keeps END, 3) AS keeps_edge FROM x")
 def mkt_19(spark, d):
-    return src.predictions(spark, d).select(*IDS, r6(1 / F.col("p_h")).alias("break_even"), r6(1.05 / F.col("p_h")).alias("for_5_pct"))
+    """Prices of no gain, of a gain of 5 %, and the lowest at which the fair probability still leaves the edge while the other two prices stay."""
+    j = joined(spark, d).withColumn("total", 1 + mk.margin(H(), D(), A()))
+    o = outcomes(j, "p", "odds").withColumn("fair", c("p") - LEAST_EDGE)
+    keeps = F.when((c("fair") > 0) & (c("fair") < 1), (1 - c("fair")) / (c("fair") * (c("total") - 1 / c("odds"))))
+    return o.select(*IDS, "outcome", F.round(1 / c("p"), 3).alias("break_even"), F.round(1.05 / c("p"), 3).alias("for_5_pct"), F.round(F.when(keeps > 1, keeps), 3).alias("keeps_edge"))
 
 
 @query("mkt_20_portfolio", f"""WITH {M}, {BOTH}, b AS (SELECT match_id, league_id, CAST(match_date AS DATE) AS day, max(p_h - 1 / odds_h) AS edge, max(least(0.05, greatest(0, ((odds_h - 1) * p_h - (1 - p_h)) / (odds_h - 1)) / 4)) AS stake FROM j JOIN matches USING (match_id) GROUP BY ALL HAVING max(p_h - 1 / odds_h) > 0.042),
@@ -194,19 +251,30 @@ def mkt_23(spark, d):
     return r.groupBy("book").agg(r6(F.avg("ret")).alias("roi"), F.round((F.avg("ret") - 0.02 / 252) / F.stddev_samp("ret") * F.sqrt(F.lit(252.0)), 4).alias("sharpe"))
 
 
-@query("mkt_25_movement", f"WITH {N} SELECT match_id, bookmaker, round(arg_min(odds_h, {{'t': captured_at, 'a': snap_no, 'b': part_no, 'c': supp_no}}), 6) AS opening, round(arg_max(odds_h, {{'t': captured_at, 'a': snap_no, 'b': part_no, 'c': supp_no}}), 6) AS latest, count(*) AS n, date_diff('hour', min(captured_at), max(captured_at)) AS hours FROM snaps GROUP BY ALL HAVING count(*) >= 2")
+#: Neighbouring matches as one event, so that bookmakers have several captures of it.
+EVENT = "match_id // 32"
+MOVES = f"o AS ({outcomes_sql('snaps', 'odds')}), g AS (SELECT {EVENT} AS event, bookmaker, outcome, arg_min(odds, {AT_SQL}) AS opening, arg_max(odds, {AT_SQL}) AS latest, count(*) AS n, (epoch(arg_max(captured_at, {AT_SQL})) - epoch(arg_min(captured_at, {AT_SQL}))) / 3600.0::DOUBLE AS hours FROM o GROUP BY ALL HAVING count(*) >= 2), v AS (SELECT *, latest - opening AS change, (latest - opening) / opening * 100 AS pct FROM g)"
+
+
+def moves(spark, d):
+    """Opening and latest price of each bookmaker and outcome of an event, with two captures at least."""
+    o = outcomes(src.snapshots(spark, d).withColumn("event", F.floor(c("match_id") / 32)), "odds")
+    seconds = lambda x: F.unix_timestamp(x)
+    g = o.groupBy("event", "bookmaker", "outcome").agg(F.min_by("odds", at()).alias("opening"), F.max_by("odds", at()).alias("latest"), F.count("*").alias("n"), ((seconds(F.max("captured_at")) - seconds(F.min("captured_at"))) / 3600.0).alias("hours"))
+    return g.where("n >= 2").withColumns({"change": c("latest") - c("opening"), "pct": (c("latest") - c("opening")) / c("opening") * 100})
+
+
+@query("mkt_25_movement", f"WITH {N}, {MOVES} SELECT event, bookmaker, outcome, round(opening, 6) AS opening, round(latest, 6) AS latest, round(change, 6) AS change, round(pct, 6) AS pct, n, round(hours, 6) AS hours FROM v")
 def mkt_25(spark, d):
-    at = F.struct("captured_at", "snap_no", "part_no", "supp_no")
-    g = src.snapshots(spark, d).groupBy("match_id", "bookmaker").agg(r6(F.min_by("odds_h", at)).alias("opening"), r6(F.max_by("odds_h", at)).alias("latest"), F.count("*").alias("n"), F.timestamp_diff("HOUR", F.min("captured_at"), F.max("captured_at")).alias("hours"))
-    return g.where("n >= 2")
+    return moves(spark, d).select("event", "bookmaker", "outcome", *[r6(x).alias(x) for x in ("opening", "latest", "change", "pct", "hours")], "n")
 
 
-@query("mkt_26_steam", f"WITH {N}, g AS (SELECT match_id, bookmaker, arg_max(odds_h, {{'t': captured_at, 'a': snap_no, 'b': part_no, 'c': supp_no}}) / arg_min(odds_h, {{'t': captured_at, 'a': snap_no, 'b': part_no, 'c': supp_no}}) - 1 AS pct FROM snaps GROUP BY ALL) SELECT match_id, sign(pct)::INT AS direction, count(*) AS books, CASE WHEN avg(abs(pct)) > 0.05 THEN 'high' ELSE 'medium' END AS severity FROM g WHERE abs(pct) > 0.03 GROUP BY ALL HAVING count(*) >= 2")
-def mkt_26(spark, d, books=2):
-    at = F.struct("captured_at", "snap_no", "part_no", "supp_no")
-    g = src.snapshots(spark, d).groupBy("match_id", "bookmaker").agg((F.max_by("odds_h", at) / F.min_by("odds_h", at) - 1).alias("pct")).where("abs(pct) > 0.03")
-    s = g.groupBy("match_id", F.signum("pct").cast("int").alias("direction")).agg(F.count("*").alias("books"), F.when(F.avg(F.abs("pct")) > 0.05, "high").otherwise("medium").alias("severity"))
-    return s.where(F.col("books") >= books)
+@query("mkt_26_steam", f"WITH {N}, {MOVES}, s AS (SELECT event, outcome, count(*) AS books, avg(pct) AS mean, min(pct) AS low, max(pct) AS high FROM v WHERE abs(pct) > 3 GROUP BY ALL) SELECT event, outcome, CASE WHEN mean > 0 THEN 'up' ELSE 'down' END AS direction, round(mean, 2) AS avg_change, books, CASE WHEN abs(mean) > 5 THEN 'high' ELSE 'medium' END AS severity FROM s WHERE books >= 3 AND low * high > 0")
+def mkt_26(spark, d, books=3):
+    """Three bookmakers or more that moved an outcome by over 3 %, all one way."""
+    s = moves(spark, d).where("abs(pct) > 3").groupBy("event", "outcome").agg(F.count("*").alias("books"), F.avg("pct").alias("mean"), F.min("pct").alias("low"), F.max("pct").alias("high"))
+    s = s.where((c("books") >= books) & (c("low") * c("high") > 0))
+    return s.select("event", "outcome", F.when(c("mean") > 0, "up").otherwise("down").alias("direction"), F.round("mean", 2).alias("avg_change"), "books", F.when(F.abs("mean") > 5, "high").otherwise("medium").alias("severity"))
 
 
 @query("mkt_27_snapshot_class", f"WITH {M}, {N} SELECT {IDS_SQL}, CASE WHEN captured_at >= match_date THEN 'rejected' WHEN is_closing THEN CASE WHEN row_number() OVER (PARTITION BY match_id, captured_at < match_date, is_closing ORDER BY captured_at DESC, snap_no DESC, part_no DESC, supp_no DESC) = 1 THEN 'closing' ELSE 'superseded' END WHEN row_number() OVER (PARTITION BY match_id, captured_at < match_date ORDER BY captured_at, snap_no, part_no, supp_no) = 1 THEN 'opening' ELSE 'intermediate' END AS class FROM snaps JOIN matches USING (match_id)")

@@ -322,23 +322,41 @@ def agg_14(spark, d, team=3):
     return rows.groupBy("opponent").agg(F.count("*").alias("played"), F.count_if(F.col("points") == 3).alias("won")).orderBy(F.desc("played"), "opponent").limit(5)
 
 
-@query("agg_17_exact_percentiles", "WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, round(max(value) FILTER (rn = CAST(floor(n * 0.5) AS BIGINT) + 1), 6) AS p50, round(max(value) FILTER (rn = CAST(floor(n * 0.95) AS BIGINT) + 1), 6) AS p95, round(min(value), 6) AS low, round(max(value), 6) AS high FROM s GROUP BY 1")
+_AT = lambda q: f"max(value) FILTER (rn = least(n, CAST(floor(n * {q}::DOUBLE) AS BIGINT) + 1))"
+
+
+@query("agg_17_exact_percentiles", f"WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, round({_AT(0.5)}, 6) AS p50, round({_AT(0.95)}, 6) AS p95, round({_AT(0.99)}, 6) AS p99, round(min(value), 6) AS low, round(max(value), 6) AS high, round(avg(value), 6) AS mean, count(*) AS n FROM s GROUP BY 1")
 def agg_17(spark, d):
-    """Exact index percentiles by ranks: rows spread by key and value order, no list of a whole key."""
+    """Exact index percentiles without sorting a key in one task: values are counted in ranges between approximate quantiles of all, the counts
+    tell the range and the place in it of each wanted rank, and only those ranges are ranked."""
+    e = src.table(spark, d, "events").select("event_type", "value").where("value is not null")
+    cuts = sorted(set(e.approxQuantile("value", [i / 64 for i in range(1, 64)], 0.001)))
+    part = F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda n, x: n + (F.col("value") > x).cast("int")) if cuts else F.lit(0)
+    e = e.withColumn("part", part)
+    # a row for each key and range
+    n = e.groupBy("event_type", "part").agg(F.count("*").alias("rows"), F.sum("value").alias("total"), F.min("value").alias("low"), F.max("value").alias("high"))
     w = Window.partitionBy("event_type")
-    s = src.table(spark, d, "events").select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("rn"), F.count("*").over(w).alias("n"))
-    at = lambda q: F.round(F.max(F.when(F.col("rn") == F.floor(F.col("n") * q) + 1, F.col("value"))), 6)
-    return s.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.round(F.min("value"), 6).alias("low"), F.round(F.max("value"), 6).alias("high"))
+    n = n.withColumns({"before": F.sum("rows").over(w.orderBy("part")) - F.col("rows"), "n": F.sum("rows").over(w), "mean": F.sum("total").over(w) / F.sum("rows").over(w), "least": F.min("low").over(w), "most": F.max("high").over(w)})
+    wanted = F.explode(F.array(*[F.struct(F.lit(f"p{int(q * 100)}").alias("name"), F.least(F.col("n"), F.floor(F.col("n") * q) + 1).alias("rank")) for q in (0.5, 0.95, 0.99)]))
+    asked = n.select("*", wanted.alias("q")).where((F.col("q.rank") > F.col("before")) & (F.col("q.rank") <= F.col("before") + F.col("rows")))
+    asked = asked.select("event_type", "part", "n", "mean", "least", "most", "q.name", (F.col("q.rank") - F.col("before")).alias("place"))
+    ranked = e.join(asked.select("event_type", "part").distinct(), ["event_type", "part"]).withColumn("place", F.row_number().over(Window.partitionBy("event_type", "part").orderBy("value")).cast("long"))
+    found = asked.join(ranked, ["event_type", "part", "place"])
+    at = lambda q: F.round(F.max(F.when(F.col("name") == q, F.col("value"))), 6).alias(q)
+    return found.groupBy("event_type").agg(at("p50"), at("p95"), at("p99"), F.round(F.min("least"), 6).alias("low"), F.round(F.max("most"), 6).alias("high"), F.round(F.max("mean"), 6).alias("mean"), F.max("n").alias("n"))
 
 
-@query("agg_18_best_price", f"WITH {N} SELECT match_id, round(max(odds_h), 6) AS best_h, arg_max(bookmaker, {{'o': odds_h, 'b': -bookmaker}}) AS book_h FROM snaps GROUP BY 1")
+@query("agg_18_best_price", f"WITH {N} SELECT match_id, " + ", ".join(f"round(max(odds_{k}), 6) AS best_{k}, arg_max(bookmaker, {{'o': odds_{k}, 'b': -bookmaker}}) AS book_{k}" for k in "hda") + " FROM snaps GROUP BY 1")
 def agg_18(spark, d):
-    return src.snapshots(spark, d).groupBy("match_id").agg(F.round(F.max("odds_h"), 6).alias("best_h"), F.max_by("bookmaker", F.struct("odds_h", -F.col("bookmaker"))).alias("book_h"))
+    """The best price of each outcome and its bookmaker, the first of equal ones."""
+    best = [x for k in "hda" for x in (F.round(F.max(f"odds_{k}"), 6).alias(f"best_{k}"), F.max_by("bookmaker", F.struct(f"odds_{k}", -F.col("bookmaker"))).alias(f"book_{k}"))]
+    return src.snapshots(spark, d).groupBy("match_id").agg(*best)
 
 
-@query("agg_19_best_vs_mean", f"WITH {N} SELECT match_id, round(avg(odds_h), 6) AS mean_h, round((max(odds_h) / avg(odds_h) - 1) * 100, 4) AS advantage_pct FROM snaps GROUP BY 1")
+@query("agg_19_best_vs_mean", f"WITH {N} SELECT match_id, " + ", ".join(f"round(avg(odds_{k}), 6) AS mean_{k}, round((max(odds_{k}) / avg(odds_{k}) - 1) * 100, 4) AS advantage_{k}" for k in "hda") + " FROM snaps GROUP BY 1")
 def agg_19(spark, d):
-    return src.snapshots(spark, d).groupBy("match_id").agg(F.round(F.avg("odds_h"), 6).alias("mean_h"), F.round((F.max("odds_h") / F.avg("odds_h") - 1) * 100, 4).alias("advantage_pct"))
+    means = [x for k in "hda" for x in (F.round(F.avg(f"odds_{k}"), 6).alias(f"mean_{k}"), F.round((F.max(f"odds_{k}") / F.avg(f"odds_{k}") - 1) * 100, 4).alias(f"advantage_{k}"))]
+    return src.snapshots(spark, d).groupBy("match_id").agg(*means)
 
 
 @query("agg_22_high_quality_rate", f"WITH {SH} SELECT match_id, round(count(*) FILTER (xg > 0.3)::DOUBLE / count(*), 6) AS rate FROM shots GROUP BY 1")
@@ -346,15 +364,20 @@ def agg_22(spark, d):
     return src.shots(spark, d).groupBy("match_id").agg(F.round(F.count_if(F.col("xg") > 0.3) / F.count("*"), 6).alias("rate"))
 
 
-@query("agg_23_possession_tempo", f"WITH {SH} SELECT match_id, round(count(*) FILTER (team = 0)::DOUBLE / count(*), 6) AS possession, round(count(*)::DOUBLE / (max(minute) + 1), 6) AS tempo FROM shots GROUP BY 1")
+@query("agg_23_possession_tempo", f"WITH {SH} SELECT match_id, round(count(*) FILTER (team = 0)::DOUBLE / count(*), 6) AS possession, round(count(*)::DOUBLE / (max(minute) + 1), 6) AS tempo, round(coalesce(sum(xg) FILTER (event_type IN ('click', 'purchase')) / nullif(count(*) FILTER (event_type IN ('click', 'purchase')), 0), 0), 6) AS xg_per_shot FROM shots GROUP BY 1")
 def agg_23(spark, d):
-    return src.shots(spark, d).groupBy("match_id").agg(F.round(F.count_if(F.col("team") == 0) / F.count("*"), 6).alias("possession"), F.round(F.count("*") / (F.max("minute") + 1), 6).alias("tempo"))
+    """Shots are the clicks and purchases among the events."""
+    shot = F.col("event_type").isin("click", "purchase")
+    per_shot = F.coalesce(F.try_divide(F.sum(F.when(shot, F.col("xg"))), F.count_if(shot)), F.lit(0.0))
+    return src.shots(spark, d).groupBy("match_id").agg(F.round(F.count_if(F.col("team") == 0) / F.count("*"), 6).alias("possession"), F.round(F.count("*") / (F.max("minute") + 1), 6).alias("tempo"), F.round(per_shot, 6).alias("xg_per_shot"))
 
 
-@query("agg_24_heat_map", f"WITH {SH}, g AS (SELECT match_id, x // 10 AS gx, y // 10 AS gy, sum(CASE WHEN team = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS v FROM shots GROUP BY ALL) SELECT match_id, gx, gy, round(coalesce(v / nullif(max(abs(v)) OVER (PARTITION BY match_id), 0), 0), 6) AS value FROM g")
+@query("agg_24_heat_map", f"WITH {SH}, g AS (SELECT match_id, x // 10 AS gx, y // 10 AS gy, sum(CASE WHEN event_type IN ('click', 'purchase') THEN 10 ELSE 1 END * CASE WHEN team = 0 THEN 1 ELSE -1 END) AS v FROM shots GROUP BY ALL) SELECT match_id, gx, gy, round(coalesce(v::DOUBLE / nullif(max(abs(v)) OVER (PARTITION BY match_id), 0), 0), 6) AS value FROM g")
 def agg_24(spark, d):
-    g = src.shots(spark, d).groupBy("match_id", F.floor(F.col("x") / 10).alias("gx"), F.floor(F.col("y") / 10).alias("gy")).agg(F.sum(F.when(F.col("team") == 0, 1.0).otherwise(-1.0)).alias("v"))
-    return g.select("match_id", "gx", "gy", F.round(F.coalesce(F.try_divide("v", F.max(F.abs("v")).over(Window.partitionBy("match_id"))), F.lit(0.0)), 6).alias("value"))
+    """Shots count 1 for the home and -1 for the away side, passes a tenth of that (in tenths, so the sums are exact)."""
+    weight = F.when(F.col("event_type").isin("click", "purchase"), 10).otherwise(1) * F.when(F.col("team") == 0, 1).otherwise(-1)
+    g = src.shots(spark, d).groupBy("match_id", F.floor(F.col("x") / 10).alias("gx"), F.floor(F.col("y") / 10).alias("gy")).agg(F.sum(weight).alias("v"))
+    return g.select("match_id", "gx", "gy", F.round(F.coalesce(F.try_divide(F.col("v"), F.max(F.abs("v")).over(Window.partitionBy("match_id"))), F.lit(0.0)), 6).alias("value"))
 
 
 @query("agg_25_danger_zones", f"WITH {SH}, z AS (SELECT x // 24 AS zx, y // 20 AS zy, count(*) AS n, round(sum(xg), 4) AS xg FROM shots GROUP BY ALL), a AS (SELECT gx AS zx, gy AS zy, coalesce(n, 0) AS n, coalesce(xg, 0) AS xg FROM range(5) AS p(gx), range(4) AS q(gy) LEFT JOIN z ON z.zx = gx AND z.zy = gy) SELECT *, row_number() OVER (ORDER BY xg DESC, zx, zy) <= 3 AS hot FROM a")
@@ -376,13 +399,17 @@ def agg_27(spark, d):
     return src.predictions(spark, d).where(ok).groupBy("match_id").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("p_h", "p_d", "p_a")])
 
 
-@query("agg_28_correlations", "SELECT 'quantity' AS a, 'price' AS b, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem UNION ALL SELECT 'quantity', 'discount', round(corr(l_quantity, l_discount), 6) FROM lineitem UNION ALL SELECT 'price', 'discount', round(corr(l_extendedprice, l_discount), 6) FROM lineitem")
-def agg_28(spark, d):
-    """All pairs in one scan: a correlation each, unpivoted."""
-    c = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount"}
-    pairs = [("quantity", "price"), ("quantity", "discount"), ("price", "discount")]
-    one = src.table(spark, d, "lineitem").agg(*[F.round(F.corr(c[a], c[b]), 6).alias(f"{a}_{b}") for a, b in pairs])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}_{b}").alias("r")) for a, b in pairs])).alias("e")).select("e.*")
+CORRELATED = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "CASE WHEN l_linenumber = 1 THEN l_discount END", "tax": "l_tax", "charge": "l_extendedprice * (1 - l_discount)", "rare": "CASE WHEN l_orderkey = 1 THEN l_tax END"}
+CORR_PAIRS = [(a, b) for i, a in enumerate(CORRELATED) for b in list(CORRELATED)[i + 1 :]]
+
+
+@query("agg_28_correlations", "WITH f AS (SELECT " + ", ".join(f"{x} AS {n}" for n, x in CORRELATED.items()) + " FROM lineitem), p AS (" + " UNION ALL ".join(f"SELECT '{a}' AS source, '{b}' AS target, corr({a}, {b}) AS r, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n FROM f" for a, b in CORR_PAIRS) + ") SELECT source, target, round(abs(r), 6) AS confidence FROM p WHERE n >= 50 AND abs(r) >= 0.35")
+def agg_28(spark, d, least=50, threshold=0.35):
+    """Edges between columns that correlate, over the rows where both are there, if there are enough: all pairs in one scan."""
+    f = src.table(spark, d, "lineitem").select(*[F.expr(x).alias(n) for n, x in CORRELATED.items()])
+    one = f.agg(*[x for a, b in CORR_PAIRS for x in (F.corr(a, b).alias(f"r_{a}_{b}"), F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"n_{a}_{b}"))])
+    e = one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("source"), F.lit(b).alias("target"), F.col(f"r_{a}_{b}").alias("r"), F.col(f"n_{a}_{b}").alias("n")) for a, b in CORR_PAIRS])).alias("e")).select("e.*")
+    return e.where((F.col("n") >= least) & (F.abs("r") >= threshold)).select("source", "target", F.round(F.abs("r"), 6).alias("confidence"))
 
 
 @query("agg_30_feature_evidence", " UNION ALL ".join(f"SELECT '{c}' AS feature, round(count({c})::DOUBLE / count(*), 6) AS coverage, round(stddev_pop({c}), 4) AS spread, round(min({c}), 4) AS low, round(max({c}), 4) AS high, max({c}) > min({c}) AS variable FROM lineitem" for c in ("l_quantity", "l_discount", "l_tax")))
@@ -391,13 +418,17 @@ def agg_30(spark, d):
     return li.groupBy("feature").agg(F.round(F.count("v") / F.count("*"), 6).alias("coverage"), F.round(F.stddev_pop("v"), 4).alias("spread"), F.round(F.min("v"), 4).alias("low"), F.round(F.max("v"), 4).alias("high"), (F.max("v") > F.min("v")).alias("variable"))
 
 
-@query("agg_31_upcoming_coverage", f"WITH {T}, h AS (SELECT DISTINCT team FROM team_rows WHERE team % 3 > 0) SELECT league_id, count(*) AS fixtures, count(*) FILTER (home_id IN (SELECT team FROM h) AND away_id IN (SELECT team FROM h)) AS covered FROM matches WHERE status = 'scheduled' GROUP BY 1")
+@query("agg_31_upcoming_coverage", f"WITH {T}, h AS (SELECT DISTINCT team FROM team_rows WHERE team % 3 > 0), u AS (SELECT * FROM matches WHERE status = 'scheduled'), m AS (SELECT league_id, string_agg(CAST(team AS VARCHAR), ',' ORDER BY team) AS missing, count(*) AS n_missing FROM (SELECT DISTINCT league_id, unnest([home_id, away_id]) AS team FROM u) WHERE team NOT IN (SELECT team FROM h) GROUP BY 1) SELECT league_id, count(*) AS fixtures, count(*) FILTER (home_id IN (SELECT team FROM h) AND away_id IN (SELECT team FROM h)) AS covered, any_value(coalesce(n_missing, 0)) AS n_missing, any_value(coalesce(missing, '')) AS missing FROM u LEFT JOIN m USING (league_id) GROUP BY 1")
 def agg_31(spark, d):
+    """Scheduled fixtures whose sides both have history, and the teams of the league that have none."""
     h = ops.team_rows(ops.settled(src.matches(spark, d))).where("team % 3 > 0").select("team").distinct()
     m = src.matches(spark, d).where("status = 'scheduled'")
     for side in ("home", "away"):
         m = m.join(h.select(F.col("team").alias(f"{side}_id"), F.lit(True).alias(f"{side}_known")), f"{side}_id", "left")
-    return m.groupBy("league_id").agg(F.count("*").alias("fixtures"), F.count_if(F.coalesce(F.col("home_known") & F.col("away_known"), F.lit(False))).alias("covered"))
+    unknown = lambda side: F.when(F.col(f"{side}_known").isNull(), F.col(f"{side}_id"))
+    # the teams of a league, each once in a task's partial set
+    g = m.groupBy("league_id").agg(F.count("*").alias("fixtures"), F.count_if(F.coalesce(F.col("home_known") & F.col("away_known"), F.lit(False))).alias("covered"), F.array_sort(F.array_union(F.collect_set(unknown("home")), F.collect_set(unknown("away")))).alias("teams"))
+    return g.select("league_id", "fixtures", "covered", F.size("teams").cast("long").alias("n_missing"), F.array_join(F.transform("teams", lambda x: x.cast("string")), ",").alias("missing"))
 
 
 @query("agg_32_reference_counts", f"WITH {T} SELECT team, opponent, count(*) AS n FROM team_rows GROUP BY ALL")

@@ -64,56 +64,75 @@ def win_04(spark, d):
     return ops.settled(src.matches(spark, d)).select("match_id", F.count("*").over(w).alias("n"), F.count_if(low_wins()).over(w).alias("low_wins"), F.count_if(F.col("home_score") == F.col("away_score")).over(w).alias("draws"))
 
 
-@query("win_05_venue_record", f"WITH {T} SELECT match_id, team, round(coalesce(avg((points = 3)::INT) OVER w, 0.46), 6) AS win_rate, round(coalesce(avg((points = 1)::INT) OVER w, 0.26), 6) AS draw_rate, round(coalesce(avg((points = 0)::INT) OVER w, 0.28), 6) AS loss_rate FROM team_rows WHERE is_home WINDOW w AS ({W_SIDE} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)")
+@query("win_05_venue_record", f"WITH {T} SELECT match_id, team, round(coalesce(avg((points = 3)::INT) OVER w, 0.46), 6) AS win_rate, round(coalesce(avg((points = 1)::INT) OVER w, 0.26), 6) AS draw_rate, round(coalesce(avg((points = 0)::INT) OVER w, 0.28), 6) AS loss_rate, round(coalesce(avg((points = 3)::INT - (points = 0)::INT) OVER w, 0.18), 6) AS strength FROM team_rows WHERE is_home WINDOW w AS ({W_SIDE} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)")
 def win_05(spark, d):
+    """A home side's last ten at home: rates, and wins less losses a match."""
     w = SIDE().rowsBetween(-10, -1)
-    rate = lambda v, default: r6(F.coalesce(F.avg((F.col("points") == v).cast("int")).over(w), F.lit(default)))
-    return rows_of(spark, d).where("is_home").select("match_id", "team", rate(3, 0.46).alias("win_rate"), rate(1, 0.26).alias("draw_rate"), rate(0, 0.28).alias("loss_rate"))
+    is_ = lambda v: (F.col("points") == v).cast("int")
+    mean = lambda x, default: r6(F.coalesce(F.avg(x).over(w), F.lit(default)))
+    return rows_of(spark, d).where("is_home").select("match_id", "team", mean(is_(3), 0.46).alias("win_rate"), mean(is_(1), 0.26).alias("draw_rate"), mean(is_(0), 0.28).alias("loss_rate"), mean(is_(3) - is_(0), 0.18).alias("strength"))
 
 
-def rolling(parity):
+#: The eight statistics of a team's match that are rolled.
+ROLLED = {"gf": "gf", "ga": "ga", "gd": "gf - ga", "total": "gf + ga", "points": "points", "won": "CAST(points = 3 AS INT)", "clean": "CAST(ga = 0 AS INT)", "both": "CAST(gf > 0 AND ga > 0 AS INT)"}
+SIZES = (3, 5, 10)
+
+
+def rolling(spark, d, parity):
     last = 0 if parity else -1
+    k = rows_of(spark, d).select("league_id", "match_date", "match_id", "team", *[F.expr(x).alias(f"v_{n}") for n, x in ROLLED.items()])
     cols = []
-    for n in (3, 5, 10):
-        w = TEAM().rowsBetween(last - n + 1, last)
-        cols += [r6(F.avg("gf").over(w)).alias(f"avg_{n}"), r6(F.coalesce(F.stddev_samp("gf").over(w), F.lit(0.0))).alias(f"std_{n}"), F.max("gf").over(w).alias(f"max_{n}"), F.min("gf").over(w).alias(f"min_{n}")]
-    return cols
+    for size in SIZES:
+        w = TEAM().rowsBetween(last - size + 1, last)
+        for n in ROLLED:
+            v = F.col(f"v_{n}")
+            cols += [r6(F.avg(v).over(w)).alias(f"{n}_avg_{size}"), r6(F.coalesce(F.stddev_samp(v).over(w), F.lit(0.0))).alias(f"{n}_std_{size}"), F.max(v).over(w).alias(f"{n}_max_{size}"), F.min(v).over(w).alias(f"{n}_min_{size}")]
+    return k.select("match_id", "team", *cols)
 
 
 def rolling_sql(parity):
     frame = lambda n: f"({W_TEAM} ROWS BETWEEN {n - 1 if parity else n} PRECEDING AND {'CURRENT ROW' if parity else '1 PRECEDING'})"
-    cols = ", ".join(f"round(avg(gf) OVER w{n}, 6) AS avg_{n}, round(coalesce(stddev_samp(gf) OVER w{n}, 0), 6) AS std_{n}, max(gf) OVER w{n} AS max_{n}, min(gf) OVER w{n} AS min_{n}" for n in (3, 5, 10))
-    return f"WITH {T} SELECT match_id, team, {cols} FROM team_rows WINDOW " + ", ".join(f"w{n} AS {frame(n)}" for n in (3, 5, 10))
+    cols = ", ".join(f"round(avg({x}) OVER w{s}, 6) AS {n}_avg_{s}, round(coalesce(stddev_samp({x}) OVER w{s}, 0), 6) AS {n}_std_{s}, max({x}) OVER w{s} AS {n}_max_{s}, min({x}) OVER w{s} AS {n}_min_{s}" for s in SIZES for n, x in ROLLED.items())
+    return f"WITH {T} SELECT match_id, team, {cols} FROM team_rows WINDOW " + ", ".join(f"w{n} AS {frame(n)}" for n in SIZES)
 
 
 @query("win_06_rolling", rolling_sql(False))
 def win_06(spark, d):
-    return rows_of(spark, d).select("match_id", "team", *rolling(False))
+    return rolling(spark, d, False)
 
 
 @query("win_06_rolling_parity", rolling_sql(True))
 def win_06_parity(spark, d):
-    return rows_of(spark, d).select("match_id", "team", *rolling(True))
+    return rolling(spark, d, True)
 
 
-@query("win_07_points_trend", f"WITH {T}, k AS (SELECT *, row_number() OVER ({W_TEAM}) AS i FROM team_rows) SELECT match_id, team, round(avg(points) OVER w, 6) AS mean_5, round(CASE WHEN count(*) OVER w >= 2 THEN regr_slope(points, i) OVER w ELSE 0 END, 6) AS slope_5 FROM k WINDOW w AS ({W_TEAM} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
+@query("win_07_points_trend", f"WITH {T}, k AS (SELECT *, row_number() OVER ({W_TEAM}) AS i FROM team_rows) SELECT match_id, team, " + ", ".join(f"round(avg(points) OVER w{n}, 6) AS mean_{n}" for n in SIZES) + f", round(CASE WHEN count(*) OVER w5 >= 2 THEN regr_slope(points, i) OVER w5 ELSE 0 END, 6) AS slope_5 FROM k WINDOW " + ", ".join(f"w{n} AS ({W_TEAM} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in SIZES))
 def win_07(spark, d):
-    """The reference includes the current match here."""
-    w = TEAM().rowsBetween(-4, 0)
+    """The reference includes the current match here; points are each side's own."""
+    w = {n: TEAM().rowsBetween(1 - n, 0) for n in SIZES}
     k = rows_of(spark, d).withColumn("i", F.row_number().over(TEAM()))
-    return k.select("match_id", "team", r6(F.avg("points").over(w)).alias("mean_5"), r6(F.when(F.count("*").over(w) >= 2, F.regr_slope("points", "i").over(w)).otherwise(0.0)).alias("slope_5"))
+    slope = F.when(F.count("*").over(w[5]) >= 2, F.regr_slope("points", "i").over(w[5])).otherwise(0.0)
+    return k.select("match_id", "team", *[r6(F.avg("points").over(w[n])).alias(f"mean_{n}") for n in SIZES], r6(slope).alias("slope_5"))
+
+
+H2H = {"home": "home_score > away_score", "draw": "home_score = away_score", "away": "home_score < away_score"}
 
 
-@query("win_08_h2h_all", f"WITH {S} SELECT match_id, count(*) OVER w AS n, count(*) FILTER (home_score > away_score) OVER w AS home_results, round(avg(home_score + away_score) OVER w, 6) AS avg_goals FROM settled WINDOW w AS ({PAIR} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+@query("win_08_h2h_all", f"WITH {S} SELECT match_id, count(*) OVER w AS n, " + ", ".join(f"count(*) FILTER ({x}) OVER w AS {n}_results, round(coalesce(avg(({x})::INT) OVER w, 0), 6) AS {n}_pct" for n, x in H2H.items()) + f", round(avg(home_score + away_score) OVER w, 6) AS avg_goals FROM settled WINDOW w AS ({PAIR} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def win_08(spark, d):
+    """All earlier meetings of a pair: results as they were for the home side of the day, whichever that was."""
     w = pair_window(Window.unboundedPreceding, -1)
-    return ops.settled(src.matches(spark, d)).select("match_id", F.count("*").over(w).alias("n"), F.count_if(F.col("home_score") > F.col("away_score")).over(w).alias("home_results"), r6(F.avg(F.col("home_score") + F.col("away_score")).over(w)).alias("avg_goals"))
+    each = [x for n, e in H2H.items() for x in (F.count_if(F.expr(e)).over(w).alias(f"{n}_results"), r6(F.coalesce(F.avg(F.expr(e).cast("int")).over(w), F.lit(0.0))).alias(f"{n}_pct"))]
+    return ops.settled(src.matches(spark, d)).select("match_id", F.count("*").over(w).alias("n"), *each, r6(F.avg(F.col("home_score") + F.col("away_score")).over(w)).alias("avg_goals"))
 
 
-@query("win_09_rest", f"WITH {T} SELECT match_id, team, coalesce(date_diff('day', lag(match_date) OVER w, match_date), 7) AS rest_days FROM team_rows WINDOW w AS ({W_TEAM})")
+@query("win_09_rest", f"WITH {T}, r AS (SELECT match_id, is_home, coalesce(date_diff('day', lag(match_date) OVER w, match_date), 7) AS rest FROM team_rows WINDOW w AS ({W_TEAM})) SELECT match_id, max(rest) FILTER (is_home) AS home_rest, max(rest) FILTER (NOT is_home) AS away_rest, max(rest) FILTER (is_home) - max(rest) FILTER (NOT is_home) AS rest_advantage FROM r GROUP BY 1")
 def win_09(spark, d):
-    rest = F.datediff("match_date", F.lag("match_date").over(TEAM()))
-    return rows_of(spark, d).select("match_id", "team", F.coalesce(rest, F.lit(7)).cast("long").alias("rest_days"))
+    """Days since each side's last match (7 before the first), and the home side's less the away side's."""
+    rest = F.coalesce(F.datediff("match_date", F.lag("match_date").over(TEAM())), F.lit(7)).cast("long")
+    r = rows_of(spark, d).select("match_id", "is_home", rest.alias("rest"))
+    g = r.groupBy("match_id").agg(F.max(F.when(F.col("is_home"), F.col("rest"))).alias("home_rest"), F.max(F.when(~F.col("is_home"), F.col("rest"))).alias("away_rest"))
+    return g.withColumn("rest_advantage", F.col("home_rest") - F.col("away_rest"))
 
 
 @query("win_10_congestion", f"WITH {T} SELECT match_id, team, " + ", ".join(f"count(*) OVER (PARTITION BY league_id, team ORDER BY match_date RANGE BETWEEN INTERVAL {n - 1} DAY PRECEDING AND CURRENT ROW) AS in_{n}" for n in (7, 14, 30)) + " FROM team_rows")
@@ -209,17 +228,23 @@ def win_21(spark, d):
     return k.select("match_id", "team", F.round(F.coalesce(lagged("won", ALPHA), F.lit(0.5)), 4).alias("win_rate"), F.round(F.coalesce(lagged("drawn", ALPHA), F.lit(0.333)), 4).alias("draw_rate"), F.round(F.coalesce(lagged("points", ALPHA), F.lit(1.0)), 4).alias("ppg"))
 
 
-@query("win_23_last5_totals", f"WITH {T} SELECT match_id, team, CAST(sum(points) OVER w AS BIGINT) AS points_5, CAST(sum(gf) OVER w AS BIGINT) AS gf_5, CAST(sum(ga) OVER w AS BIGINT) AS ga_5, round(avg(points) OVER w, 6) AS ppg_5 FROM team_rows WINDOW w AS ({W_TEAM} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")
+@query("win_23_last5_totals", f"WITH {T} SELECT match_id, team, " + ", ".join(f"CAST(sum({x}) OVER w AS BIGINT) AS {n}_5" for n, x in (("points", "points"), ("gf", "gf"), ("ga", "ga"), ("won", "(points = 3)::INT"), ("drawn", "(points = 1)::INT"), ("lost", "(points = 0)::INT"), ("gd", "gf - ga"))) + f", round(avg(points) OVER w, 6) AS ppg_5 FROM team_rows WINDOW w AS ({W_TEAM} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")
 def win_23(spark, d):
+    """The last five: points, goals, wins, draws, losses. Goals stand for expected goals, of which these tables have none by match."""
     w = TEAM().rowsBetween(-5, -1)
-    return rows_of(spark, d).select("match_id", "team", F.sum("points").over(w).alias("points_5"), F.sum("gf").over(w).alias("gf_5"), F.sum("ga").over(w).alias("ga_5"), r6(F.avg("points").over(w)).alias("ppg_5"))
+    is_ = lambda v: (F.col("points") == v).cast("int")
+    sums = {"points": F.col("points"), "gf": F.col("gf"), "ga": F.col("ga"), "won": is_(3), "drawn": is_(1), "lost": is_(0), "gd": F.col("gf") - F.col("ga")}
+    return rows_of(spark, d).select("match_id", "team", *[F.sum(x).over(w).alias(f"{n}_5") for n, x in sums.items()], r6(F.avg("points").over(w)).alias("ppg_5"))
 
 
-@query("win_24_h2h_dominance", f"WITH {S} SELECT match_id, round(coalesce((count(*) FILTER ({LOW_WINS}) OVER w - count(*) FILTER (NOT {LOW_WINS} AND home_score <> away_score) OVER w) / nullif(count(*) OVER w, 0)::DOUBLE, 0), 6) AS dominance FROM settled WINDOW w AS ({PAIR} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)")
+@query("win_24_h2h_dominance", f"WITH {S}, k AS (SELECT match_id, count(*) OVER w AS n, count(*) FILTER ({LOW_WINS}) OVER w AS low, count(*) FILTER (NOT {LOW_WINS} AND home_score <> away_score) OVER w AS high, avg(home_score + away_score) OVER w AS goals FROM settled WINDOW w AS ({PAIR} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) SELECT match_id, n, low AS low_wins, high AS high_wins, n - low - high AS draws, round(goals, 6) AS avg_goals, low - high AS difference, round(coalesce((low - high) / nullif(n, 0)::DOUBLE, 0), 6) AS ratio FROM k")
 def win_24(spark, d):
+    """The last ten meetings of a pair, and how far its lower id leads: as a difference of wins, and a match."""
     w, low = pair_window(-10, -1), low_wins()
     high = ~low & (F.col("home_score") != F.col("away_score"))
-    return ops.settled(src.matches(spark, d)).select("match_id", r6(F.coalesce(F.try_divide(F.count_if(low).over(w) - F.count_if(high).over(w), F.count("*").over(w)), F.lit(0.0))).alias("dominance"))
+    k = ops.settled(src.matches(spark, d)).select("match_id", F.count("*").over(w).alias("n"), F.count_if(low).over(w).alias("low_wins"), F.count_if(high).over(w).alias("high_wins"), r6(F.avg(F.col("home_score") + F.col("away_score")).over(w)).alias("avg_goals"))
+    lead = F.col("low_wins") - F.col("high_wins")
+    return k.withColumns({"draws": F.col("n") - F.col("low_wins") - F.col("high_wins"), "difference": lead, "ratio": r6(F.coalesce(F.try_divide(lead, F.col("n")), F.lit(0.0)))})
 
 
 @query("win_27_training_rows", f"WITH {T}, h AS (SELECT match_id, team, count(*) OVER w AS n, avg(points) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS form FROM team_rows WINDOW w AS ({W_TEAM})), k AS (SELECT match_id, team, n - 1 AS seen, form FROM h) SELECT m.match_id, round(a.form, 6) AS home_form, round(b.form, 6) AS away_form FROM settled m JOIN k a ON a.match_id = m.match_id AND a.team = home_id JOIN k b ON b.match_id = m.match_id AND b.team = away_id WHERE a.seen >= 5 AND b.seen >= 5")

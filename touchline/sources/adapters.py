@@ -45,6 +45,18 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("confidence", F.greatest("p_h", "p_d", "p_a"))
 
 
+def quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``snapshots`` and ``predictions`` of the same line items side by side, from one scan."""
+    h, d, a = F.col("l_partkey") % 7 + 1, F.col("l_suppkey") % 5 + 1, F.col("l_linenumber") % 6 + 1
+    s = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("match_id"), F.col("l_linenumber").cast("long").alias("snap_no"), F.col("l_partkey").alias("part_no"), F.col("l_suppkey").alias("supp_no"), (F.col("l_suppkey") % 6).alias("bookmaker"),
+        (F.lit(1.2) + (F.col("l_partkey") % 400) / 100.0).alias("odds_h"), (F.lit(2.5) + (F.col("l_suppkey") % 30) / 10.0).alias("odds_d"), (F.lit(1.3) + ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % 500) / 100.0).alias("odds_a"),
+        F.col("l_shipdate").alias("captured_at"), (F.col("l_returnflag") == "R").alias("is_closing"), F.col("l_linestatus").alias("model_version"),
+        (h / (h + d + a)).alias("p_h"), (d / (h + d + a)).alias("p_d"), (a / (h + d + a)).alias("p_a"), F.col("l_shipdate").alias("created_at"),
+    )
+    return s.withColumn("confidence", F.greatest("p_h", "p_d", "p_a"))
+
+
 def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """match_id, minute, seq, team, xg, x, y, event_type from the event table."""
     e = table(spark, sf_dir, "events")

@@ -16,7 +16,7 @@ IDS_SQL = "match_id, snap_no, part_no, supp_no"
 # columns are made when a query is, since that needs a session
 H, D, A = (lambda: F.col("odds_h")), (lambda: F.col("odds_d")), (lambda: F.col("odds_a"))
 TOTAL = "(1 / odds_h + 1 / odds_d + 1 / odds_a)"
-BOTH = f"{N}, {P}, j AS (SELECT * FROM snaps JOIN preds USING ({IDS_SQL}))"
+BOTH = src.QUOTED
 
 
 c = lambda name: F.col(name)

@@ -82,5 +82,10 @@ PREDICTIONS = """weights AS (SELECT *, l_partkey % 7 + 1 AS wh, l_suppkey % 5 +
 preds AS (SELECT l_orderkey AS match_id, CAST(l_linenumber AS BIGINT) AS snap_no, l_partkey AS part_no, l_suppkey AS supp_no, l_linestatus AS model_version,
   CAST(wh AS DOUBLE) / (wh + wd + wa) AS p_h, CAST(wd AS DOUBLE) / (wh + wd + wa) AS p_d, CAST(wa AS DOUBLE) / (wh + wd + wa) AS p_a, l_shipdate AS created_at,
   CAST(greatest(wh, wd, wa) AS DOUBLE) / (wh + wd + wa) AS confidence FROM weights)"""
+QUOTED = """j AS (SELECT *, greatest(p_h, p_d, p_a) AS confidence FROM (
+  SELECT l_orderkey AS match_id, CAST(l_linenumber AS BIGINT) AS snap_no, l_partkey AS part_no, l_suppkey AS supp_no, l_suppkey % 6 AS bookmaker,
+    1.2::DOUBLE + (l_partkey % 400) / 100.0::DOUBLE AS odds_h, 2.5::DOUBLE + (l_suppkey % 30) / 10.0::DOUBLE AS odds_d, 1.3::DOUBLE + ((l_partkey * 7 + l_linenumber) % 500) / 100.0::DOUBLE AS odds_a,
+    l_shipdate AS captured_at, l_returnflag = 'R' AS is_closing, l_linestatus AS model_version, CAST(wh AS DOUBLE) / (wh + wd + wa) AS p_h, CAST(wd AS DOUBLE) / (wh + wd + wa) AS p_d, CAST(wa AS DOUBLE) / (wh + wd + wa) AS p_a, l_shipdate AS created_at
+  FROM (SELECT *, l_partkey % 7 + 1 AS wh, l_suppkey % 5 + 1 AS wd, l_linenumber % 6 + 1 AS wa FROM lineitem)))"""
 SHOTS = """shots AS (SELECT event_id % 97 AS match_id, event_id * 7 % 95 AS minute, event_id AS seq, user_id % 2 AS team,
   (event_id % 50) / 100.0::DOUBLE AS xg, event_id * 13 % 120 AS x, event_id * 29 % 80 AS y, event_type FROM events)"""

@@ -43,14 +43,72 @@ def test_one_class_or_no_labels(spark):
     assert m.score(docs.limit(0), m.fit(docs, labels)).count() == 0
 
 
-def test_label_model_discounts_copies_and_finds_accuracies():
+def made(n=6000):
+    """Votes of three copies of one voter, another one and noise; the class; labels with errors."""
     rng = np.random.default_rng(0)
-    y = rng.random(4000) < 0.3
-    one = np.where(y, rng.random(4000) < 0.8, rng.random(4000) < 0.05)
-    two = np.where(y, rng.random(4000) < 0.6, rng.random(4000) < 0.1)
-    noise = rng.random(4000) < 0.4
-    label = y ^ (rng.random(4000) < 0.05)
-    posterior, found = m.label_model(np.column_stack((one, one, one, two, noise)).astype(np.int8), label.astype(np.int8))
-    assert ((posterior > 0.5) == y).mean() > 0.94
-    assert found["weight"][0] < 0.4 and found["weight"][3] > 0.7
-    assert abs(found["fires_if_toxic"][0] - 0.8) < 0.1 and abs(found["fires_if_clean"][4] - 0.4) < 0.05
+    y = rng.random(n) < 0.3
+    one = np.where(y, rng.random(n) < 0.8, rng.random(n) < 0.02)
+    two = np.where(y, rng.random(n) < 0.6, rng.random(n) < 0.03)
+    noise = rng.random(n) < 0.4
+    return np.column_stack((one, one, one, two, noise)).astype(np.int8), y, y ^ (rng.random(n) < 0.05)
+
+
+def halves(label, labelled=3000):
+    start, check = np.full(len(label), np.nan), np.full(len(label), np.nan)
+    start[: labelled // 2], check[labelled // 2 : labelled] = label[: labelled // 2], label[labelled // 2 : labelled]
+    return start, check
+
+
+def test_label_model_discounts_copies_and_finds_accuracies():
+    votes, y, label = made()
+    posterior, found = m.label_model(votes, *halves(label))
+    assert ((posterior > 0.5) == y).mean() > 0.9
+    assert found["weight"][0] < 0.4 and found["weight"][3] > 1.5 * found["weight"][0]
+    assert abs(found["fires_if_toxic"][0] - 0.8) < 0.2 and abs(found["fires_if_clean"][4] - 0.4) < 0.05
+
+
+def test_posteriors_follow_from_votes_alone():
+    """Rows with equal votes have equal posteriors whatever their labels, and rows without labels have the same; labels of the checking half choose
+    the round only."""
+    votes, _, label = made()
+    start, check = halves(label)
+    posterior, found = m.label_model(votes, start, check)
+    for pattern in np.unique(votes, axis=0):
+        assert len(np.unique(posterior[(votes == pattern).all(axis=1)])) == 1
+    assert ((posterior >= 0.5) != label)[:3000].sum() > 50  # labels that the votes contradict are overruled
+    assert found["agreement"] == ((posterior >= 0.5) == label)[1500:3000].mean()
+
+
+def plain_label_model(votes, start, check, rounds=30):
+    """The same rules, row by row and pair by pair."""
+    n, k = votes.shape
+    q = {i: float(start[i]) for i in range(n) if not np.isnan(start[i])}
+    share, best, loss = sum(q.values()) / len(q), None, np.inf
+    for _ in range(rounds):
+        total = sum(q.values())
+        a = [(sum(q[i] * votes[i][j] for i in q) + 1) / (total + 2) for j in range(k)]
+        b = [(sum((1 - q[i]) * votes[i][j] for i in q) + 1) / (len(q) - total + 2) for j in range(k)]
+        seen = [[sum(q[i] * (votes[i][x] - a[x]) * (votes[i][y] - a[y]) + (1 - q[i]) * (votes[i][x] - b[x]) * (votes[i][y] - b[y]) for i in q) for y in range(k)] for x in range(k)]
+        rho = [[1.0 if x == y else seen[x][y] / (seen[x][x] * seen[y][y]) ** 0.5 for y in range(k)] for x in range(k)]
+        weight = [1 / sum(r for r in row if r >= 0.1) for row in rho]
+        z = [np.log(share / (1 - share)) + sum(weight[j] * np.log(a[j] / b[j]) for j in range(k) if votes[i][j]) for i in range(n)]
+        p = [1 / (1 + np.exp(-x)) for x in z]
+        now = -np.mean([np.log((p[i] if check[i] else 1 - p[i]) + 1e-9) for i in range(n) if not np.isnan(check[i])])
+        if now >= loss - 1e-6:
+            break
+        best, loss, q, share = p, now, dict(enumerate(p)), sum(p) / n
+    return best
+
+
+def test_label_model_equals_plain():
+    votes, _, label = made(400)
+    start, check = halves(label, 300)
+    assert np.allclose(m.label_model(votes, start, check)[0], plain_label_model(votes.tolist(), start, check))
+
+
+def test_label_ties_and_conflicts(spark):
+    """Labels that repeat or contradict each other, on rows that repeat: toxic if any says so, and one training row."""
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (None, "d"), (3, "e")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (1, 1), (2, 0), (2, None), (None, 1)], "doc_id long, toxic int")
+    rows = {(r["doc_id"], r["text"], r["toxic"]) for r in m.training_rows(docs, labels, __import__("pyspark.sql.functions", fromlist=["lit"]).lit(True), 10).collect()}
+    assert rows == {(1, "a", 1), (2, "c", 0), (3, "e", None)}

@@ -1,24 +1,20 @@
 """Toxicity through weak supervision.
 
-Voters say ``toxic`` or abstain. Lexicon voters fire on a word or a word's beginning that the
-training rows associate with toxicity (any language), pattern voters on a regular expression
-over the text. A generative label model explains their votes by a hidden class: each voter j
-fires with probability a_j on toxic and b_j on clean documents. Expectation-maximisation
-estimates these; the given label takes part as one more voter whose accuracy is estimated
-like the others'. Voters that agree beyond what the class explains are correlated: their
-conditional correlations are estimated too, and a voter's evidence is divided by the sum of
-its correlations, so that five voters on one word count once. (The given label is no
-function of the text and keeps its whole weight; its accuracy starts from LABEL_PRIOR
-pseudo-rows that are right.) The posteriors are the
-training labels of a logistic regression over words and word beginnings, which scores every
-document, whole.
-
-Training rows: labelled rows that ``trainable`` admits; the ``max_rows`` with the smallest
-hash of doc_id (a documented bound, MAX_ROWS). Voters, features and the vote matrix are
-bounded by it; counting over the rows' texts is a Spark aggregation.
-
-Defined results: null and empty texts get the score of no evidence; with no training rows of
-both classes every score is the share of toxic rows (0.0 without any); a doc_id with
+Voters say ``toxic`` or abstain. Lexicon voters fire on a word or a word's beginning that one half of the labelled rows associates
+with toxicity (any language) and the other half confirms; pattern voters on a regular expression over the text. A generative label model explains the votes by a
+hidden class: voter j fires with probability a_j on toxic and b_j on clean documents, and what doesn't fire says nothing. The first half's labels start these, so
+that the hidden class is toxicity and not something else; the posteriors of all rows, labelled or not, then follow from
+the votes alone, and expectation-maximisation goes on with them as long as they agree better with the other half's labels, which take no other part
+(``agreement``). Voters that agree beyond what the class explains are correlated: their conditional correlations are estimated too, and a voter's
+evidence is divided by the sum of its correlations, so that five voters on one word count once. The posteriors, not the
+labels, are what a logistic regression over words and word beginnings is trained on; it scores every document, whole.
+
+Training rows: of the labelled rows that ``trainable`` admits, and of the admitted documents without a label, the ``max_rows`` each with
+the smallest hash of doc_id (a documented bound, MAX_ROWS). Voters, features and the vote matrix are bounded by it; counting over
+the rows' texts is a Spark aggregation.
+
+Defined results: null and empty texts get the score of no evidence; where one of the two classes has no training row, every
+score is the share of toxic ones (0.0 without any); a doc_id with
 conflicting labels is toxic if any row says so; repeated rows get equal scores; an empty
 table gives no rows; other columns are ignored.
 """
@@ -37,8 +33,7 @@ from pyspark.sql import functions as F
 from touchline.llm.common import written
 
 MAX_ROWS, VOTERS, FEATURES, TRAINING_PARTS = 12_000, 240, 6000, 96
-LABEL_PRIOR = 200
-LEAST_DOCS, BEGINNINGS, SEVERAL = 4, (3, 4, 5, 6), 3
+LEAST_DOCS, CONFIRMED, BEGINNINGS, SEVERAL = 4, 1.5, (3, 4, 5, 6), 3
 WORD = re.compile(r"[^\W\d_]+")
 #: Pattern voters; their accuracies are estimated, so a useless one does no harm.
 PATTERNS = {
@@ -64,42 +59,48 @@ def features_of(text: str) -> set[str]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """feature, and in how many toxic and clean rows it is: of the half that chooses voters, and of both."""
     for b in batches:
-        sums: tuple[Counter, Counter] = (Counter(), Counter())
-        for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-            sums[1 if toxic else 0].update(features_of(text or ""))
+        sums: tuple[Counter, ...] = (Counter(), Counter(), Counter(), Counter())
+        for text, toxic, chooses in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), b.column("chooses").to_pylist(), strict=True):
+            found = features_of(text or "")
+            sums[0 if toxic else 1].update(found)
+            if chooses:
+                sums[2 if toxic else 3].update(found)
         names = list(sums[0].keys() | sums[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([sums[1][x] for x in names], pa.int64()), pa.array([sums[0][x] for x in names], pa.int64())], ["feature", "toxic", "clean"])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([c[x] for x in names], pa.int64()) for c in sums]], ["feature", "toxic", "clean", "half_toxic", "half_clean"])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, trainable: Column, max_rows: int) -> DataFrame:
-    """doc_id, text, toxic of at most max_rows documents."""
-    marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(trainable)
-    chosen = marks.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(max_rows).select(F.col("doc_id").alias("id"), "toxic")
-    # at most max_rows short rows are broadcast; of rows with one doc_id the smallest text counts
+    """doc_id, text, toxic (null without a label), chooses (whether the row is in the half that chooses voters) of at most twice max_rows documents."""
+    marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    few = lambda df: df.where(trainable).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(max_rows).select(F.col("doc_id").alias("id"), "toxic")
+    rest = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().join(marks.select("doc_id"), "doc_id", "left_anti")
+    chosen = few(marks).unionByName(few(rest.withColumn("toxic", F.lit(None).cast(marks.schema["toxic"].dataType))))
+    # at most 2 max_rows short rows are broadcast; of rows with one doc_id the smallest text counts
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
-    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).withColumn("chooses", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(2)) == 0)
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, dict]:
-    """(posterior of toxic, what was estimated) from a 0/1 matrix of votes and the given labels."""
-    n = len(votes)
-    every = np.column_stack((votes, given)).astype(np.float64)
-    q = np.clip(given.astype(np.float64), 0.02, 0.98)
-    weight = a = b = np.ones(every.shape[1])
-    trust = np.append(np.zeros(votes.shape[1]), LABEL_PRIOR)
+def label_model(votes: np.ndarray, start: np.ndarray, check: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, dict]:
+    """(posterior of toxic, what was estimated) from a 0/1 matrix of votes. ``start`` and ``check`` have labels of some rows and NaN for the
+    others: the first give the first estimates, the second tell when to stop."""
+    every = votes.astype(np.float64)
+    known, judged = ~np.isnan(start), ~np.isnan(check)
+    q, among = start[known].astype(np.float64), every[known]
+    share, best = float(np.clip(q.mean(), 1e-3, 1 - 1e-3)), None
     for _ in range(rounds):
-        prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
-        a = (q @ every + 1 + trust) / (q.sum() + 2 + trust)
-        b = ((1 - q) @ every + 1) / ((1 - q).sum() + 2 + trust)
-        weight = np.append(1 / _correlations(every[:, :-1], q, a[:-1], b[:-1]).sum(axis=1), 1.0)
-        fires, rests = np.log(a / b) * weight, np.log((1 - a) / (1 - b)) * weight
-        fresh = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + every @ (fires - rests) + rests.sum(), -30, 30)))
-        moved = np.abs(fresh - q).max(initial=0)
-        q = fresh
-        if moved < 1e-4:
+        a = (q @ among + 1) / (q.sum() + 2)
+        b = ((1 - q) @ among + 1) / ((1 - q).sum() + 2)
+        weight = 1 / _correlations(among, q, a, b).sum(axis=1)
+        posterior = 1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + every @ (np.log(a / b) * weight), -30, 30)))
+        right = float(-np.log(np.where(check[judged] > 0, posterior[judged], 1 - posterior[judged]) + 1e-9).mean()) if judged.any() else np.inf
+        if best and right >= best[2]["loss"] - 1e-6:
             break
-    return q, {"fires_if_toxic": a, "fires_if_clean": b, "weight": weight, "rows": n}
+        agreement = float(((posterior >= 0.5) == (check > 0))[judged].mean()) if judged.any() else None
+        best = posterior, share, {"fires_if_toxic": a, "fires_if_clean": b, "weight": weight, "loss": right, "agreement": agreement, "rows": len(every)}
+        q, among, share = posterior, every, float(np.clip(posterior.mean(), 1e-3, 1 - 1e-3))
+    return best[0], best[2] | {"share": best[1]}
 
 
 def _correlations(every: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -132,26 +133,33 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, max
     """The model: weights by feature, pattern weights, intercept and the label model's estimates."""
     rows = training_rows(docs, labels, F.lit(True) if trainable is None else trainable, max_rows)
     rows = written(rows.repartition(TRAINING_PARTS, "doc_id"), "training")  # read three times; small parts, as each row is much work
-    totals = {r["toxic"] > 0: r["count"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect()}
-    pos, neg = totals.get(True, 0), totals.get(False, 0)
-    if not pos or not neg:
+    marked = rows.where("toxic is not null").withColumn("toxic", (F.col("toxic") > 0).cast("int"))
+    totals = {(r["toxic"], r["chooses"]): r["count"] for r in marked.groupBy("toxic", "chooses").count().collect()}
+    half_pos, half_neg = totals.get((1, True), 0), totals.get((0, True), 0)
+    pos, neg = half_pos + totals.get((1, False), 0), half_neg + totals.get((0, False), 0)
+    if not half_pos or not half_neg:
         return {"weights": {}, "patterns": {}, "intercept": None, "share": pos / max(pos + neg, 1), "voters": []}
-    counted = rows.select("text", F.col("toxic").cast("int")).mapInArrow(_counted, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    odds = F.log((F.col("toxic") + 0.5) / (pos + 1.0)) - F.log((F.col("clean") + 0.5) / (neg + 1.0))
-    gain = F.abs(odds) * F.sqrt(F.col("toxic") + F.col("clean") * (pos / neg))
-    ranked = counted.where(F.col("toxic") + F.col("clean") >= LEAST_DOCS).select("feature", odds.alias("odds"), gain.alias("gain"), "toxic").orderBy(F.desc("gain"), "feature").limit(FEATURES).collect()
-    lexicon = [r["feature"] for r in ranked if r["odds"] > 1.5 and r["toxic"] >= LEAST_DOCS][:VOTERS]
+    counted = marked.select("text", "toxic", "chooses").mapInArrow(_counted, "feature string, toxic long, clean long, half_toxic long, half_clean long").groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "half_toxic", "half_clean")])
+    odds = lambda t, c, p, n: F.log((F.col(t) + 0.5) / (p + 1.0)) - F.log((F.col(c) + 0.5) / (n + 1.0))
+    rated = lambda t, c, p, n: counted.where(F.col(t) + F.col(c) >= LEAST_DOCS).withColumn("odds", odds(t, c, p, n)).withColumn("gain", F.abs("odds") * F.sqrt(F.col(t) + F.col(c) * (p / n)))
+    voters = rated("half_toxic", "half_clean", half_pos, half_neg).where(f"odds > 1.5 and half_toxic >= {LEAST_DOCS}").orderBy(F.desc("gain"), "feature").limit(VOTERS)
+    # confirmed by the other half: odds there of more than CONFIRMED as well
+    other = odds("other_toxic", "other_clean", pos - half_pos, neg - half_neg)
+    voters = voters.withColumns({"other_toxic": F.col("toxic") - F.col("half_toxic"), "other_clean": F.col("clean") - F.col("half_clean")}).where(other > CONFIRMED)
+    lexicon = [r["feature"] for r in voters.select("feature").collect()]
+    best = rated("toxic", "clean", pos, neg).orderBy(F.desc("gain"), "feature").limit(FEATURES).select("feature").collect()
+    ranked = list({r["feature"]: r for r in [*best, *voters.select("feature").collect()]}.values())
     place = {r["feature"]: i for i, r in enumerate(ranked)}
 
     def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("toxic"), pa.array([sorted(place[x] for x in features_of(t) & place.keys()) for t in texts], pa.list_(pa.int32())), pa.array([[i for i, p in enumerate(PATTERNS.values()) if p.search(t)] for t in texts], pa.list_(pa.int32()))],
-                ["doc_id", "toxic", "features", "patterns"],
+                [b.column("doc_id"), b.column("toxic"), pa.array([sorted(place[x] for x in features_of(t) & place.keys()) for t in texts], pa.list_(pa.int32())), pa.array([[i for i, p in enumerate(PATTERNS.values()) if p.search(t)] for t in texts], pa.list_(pa.int32())), b.column("chooses")],
+                ["doc_id", "toxic", "features", "patterns", "chooses"],
             )
 
-    sample = rows.select("doc_id", F.col("toxic").cast("int"), "text").mapInArrow(matrix, "doc_id long, toxic int, features array<int>, patterns array<int>").toPandas().sort_values("doc_id")  # max_rows rows of indices
+    sample = rows.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"), "text", "chooses").mapInArrow(matrix, "doc_id long, toxic int, features array<int>, patterns array<int>, chooses boolean").toPandas().sort_values("doc_id")  # 2 max_rows rows of indices
     n, width = len(sample), len(ranked) + len(PATTERNS)
     each = [np.concatenate((np.asarray(f, np.int64), np.asarray(p, np.int64) + len(ranked))) for f, p in zip(sample["features"], sample["patterns"], strict=True)]
     at, cols = np.repeat(np.arange(n), [len(x) for x in each]), np.concatenate(each)
@@ -162,7 +170,9 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, max
     votes = np.zeros((n, len(lexicon) + len(PATTERNS)), np.int8)
     voted = voter_of[cols] >= 0
     votes[at[voted], voter_of[cols[voted]]] = 1
-    posterior, estimated = label_model(votes, (sample["toxic"].to_numpy() > 0).astype(np.int8))
+    given, chooses = sample["toxic"].to_numpy(float), sample["chooses"].to_numpy(bool)
+    posterior, estimated = label_model(votes, np.where(chooses, given, np.nan), np.where(chooses, np.nan, given))
+    estimated |= {"posterior": posterior, "given": given}
     w, intercept = logistic(at, cols, n, width, posterior)
     return {
         "weights": {r["feature"]: float(w[i]) for i, r in enumerate(ranked) if w[i]}, "patterns": {k: float(w[len(ranked) + i]) for i, k in enumerate(PATTERNS)},

@@ -81,7 +81,7 @@ def test_posteriors_follow_from_votes_alone():
 
 def plain_label_model(votes, start, check, rounds=30):
     """The same rules, row by row and pair by pair."""
-    n, k = votes.shape
+    n, k = len(votes), len(votes[0])
     q = {i: float(start[i]) for i in range(n) if not np.isnan(start[i])}
     share, best, loss = sum(q.values()) / len(q), None, np.inf
     for _ in range(rounds):

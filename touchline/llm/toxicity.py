@@ -4,10 +4,11 @@ Voters say ``toxic`` or abstain. Lexicon voters fire on a word or a word's begin
 with toxicity (any language) and the other half confirms; pattern voters on a regular expression over the text. A generative label model explains the votes by a
 hidden class: voter j fires with probability a_j on toxic and b_j on clean documents, and what doesn't fire says nothing. The first half's labels start these, so
 that the hidden class is toxicity and not something else; the posteriors of all rows, labelled or not, then follow from
-the votes alone, and expectation-maximisation goes on with them as long as they agree better with the other half's labels, which take no other part
+the votes alone, and expectation-maximisation goes on with them as long as they agree better with the other half's labels
 (``agreement``). Voters that agree beyond what the class explains are correlated: their conditional correlations are estimated too, and a voter's
 evidence is divided by the sum of its correlations, so that five voters on one word count once. The posteriors, not the
-labels, are what a logistic regression over words and word beginnings is trained on; it scores every document, whole.
+labels, are what a logistic regression over words and word beginnings is trained on; two numbers, a slope and a shift of its
+evidence, are set on the checking half. It scores every document, whole.
 
 Training rows: of the labelled rows that ``trainable`` admits, and of the admitted documents without a label, the ``max_rows`` each with
 the smallest hash of doc_id (a documented bound, MAX_ROWS). Voters, features and the vote matrix are bounded by it; counting over
@@ -129,6 +130,16 @@ def logistic(rows: np.ndarray, cols: np.ndarray, n: int, width: int, target: np.
     return w[:-1], float(w[-1])
 
 
+def calibrated(z: np.ndarray, given: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """Slope and shift of the evidence that fit the labels best (a ridge of 1e-3 keeps the slope finite)."""
+    x, theta = np.column_stack((z, np.ones(len(z)))), np.array([1.0, 0.0])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        theta = theta - np.clip(np.linalg.solve(hessian, x.T @ (p - given) + 1e-3 * (theta - [1.0, 0.0])), -1, 1)
+    return float(theta[0]), float(theta[1])
+
+
 def fit(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, max_rows: int = MAX_ROWS) -> dict:
     """The model: weights by feature, pattern weights, intercept and the label model's estimates."""
     rows = training_rows(docs, labels, F.lit(True) if trainable is None else trainable, max_rows)
@@ -173,7 +184,11 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, max
     given, chooses = sample["toxic"].to_numpy(float), sample["chooses"].to_numpy(bool)
     posterior, estimated = label_model(votes, np.where(chooses, given, np.nan), np.where(chooses, np.nan, given))
     estimated |= {"posterior": posterior, "given": given}
+    checked = ~chooses & ~np.isnan(given)
     w, intercept = logistic(at, cols, n, width, posterior)
+    # where toxic rows have no voter their posterior is low, so the scores are low by a margin that the checking half tells
+    slope, shift = calibrated((np.bincount(at, w[cols], n) + intercept)[checked], given[checked] > 0) if checked.any() else (1.0, 0.0)
+    w, intercept = w * slope, intercept * slope + shift
     return {
         "weights": {r["feature"]: float(w[i]) for i, r in enumerate(ranked) if w[i]}, "patterns": {k: float(w[len(ranked) + i]) for i, k in enumerate(PATTERNS)},
         "intercept": intercept, "share": pos / (pos + neg), "voters": [*lexicon, *PATTERNS], "label_model": estimated,

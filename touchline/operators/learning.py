@@ -30,8 +30,10 @@ def isotonic(rows: DataFrame, p: str, y: str, out: str) -> DataFrame:
     return model.transform(x).drop("_v", "_y")
 
 
-def perturbed(rows: DataFrame, key: str, columns: list[str], spread: float = 0.05, seed: int = 5) -> DataFrame:
-    """Gaussian noise of ``spread`` standard deviations of each column."""
+def perturbed(rows: DataFrame, key: str, columns: list[str], spread: float = 0.05, seed: int = 5, binary: tuple[str, ...] = (), flips: float = 0.1) -> DataFrame:
+    """Gaussian noise of ``spread`` standard deviations of each column; each value of the ``binary`` columns (0 or 1) is turned over with probability ``flips``, keyed by row."""
+    turned = {b: F.when(F.pmod(F.xxhash64(F.lit(seed), F.lit(b), F.col(key)), F.lit(1 << 40)) / F.lit(float(1 << 40)) < flips, 1 - F.col(b)).otherwise(F.col(b)) for b in binary}
+    rows = rows.withColumns(turned) if turned else rows
     stats = rows.agg(*[F.stddev_pop(c).alias(f"_{c}") for c in columns])
     noisy = {c: F.col(c) + normal(seed + i, key) * F.col(f"_{c}") * spread for i, c in enumerate(columns)}
     return rows.join(F.broadcast(stats), F.lit(True)).withColumns(noisy).drop(*[f"_{c}" for c in columns])

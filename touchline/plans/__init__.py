@@ -1 +1,3 @@
-"""See the modules of this package."""
+"""Registered queries; importing any of them registers all."""
+
+from touchline.plans import registry  # noqa: F401

@@ -60,6 +60,13 @@ def aug_01(spark, d):
     return lr.perturbed(ops.settled(src.matches(spark, d)).select("match_id", F.col("home_score").cast("double").alias("h"), F.col("away_score").cast("double").alias("a")), "match_id", ["h", "a"])
 
 
+@query("aug_01_flipped")
+def aug_01_flipped(spark, d):
+    """Noise on the scores, and one in ten of the binary indicators turned over."""
+    m = ops.settled(src.matches(spark, d)).select("match_id", F.col("home_score").cast("double").alias("h"), F.col("away_score").cast("double").alias("a"), (F.col("home_score") > F.col("away_score")).cast("int").alias("won"))
+    return lr.perturbed(m, "match_id", ["h", "a"], binary=("won",))
+
+
 @query("aug_03_smote")
 def aug_03(spark, d):
     e = src.table(spark, d, "embeddings").where("label = 1").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))

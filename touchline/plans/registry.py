@@ -21,5 +21,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-for _module in ("relational", "timeline", "market", "evaluation", "ratings", "text", "identity", "integrity", "live", "extended", "models", "scenarios", "durable", "decisions"):
+for _module in ("relational", "timeline", "market", "evaluation", "ratings", "text", "identity", "integrity", "live", "extended", "models", "scenarios", "durable", "decisions", "monitoring", "records"):
     import_module(f"touchline.plans.{_module}")

@@ -39,6 +39,48 @@ def test_pieces_longer_than_the_window(machine):
         assert machine.encode([t])[0] == expect(t)
 
 
+def whole_digests(text):
+    ids = expect(text)
+    return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(LIBRARY.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("pieces", [1, 3, 50, 1 << 16])
+def test_digests_in_blocks(machine, monkeypatch, pieces):
+    monkeypatch.setattr(m, "PIECES", pieces)
+    texts = ["", "one  two\n", *long_texts(), "é漢🙂 " * 40, "<|endoftext|>", "a<|endoftext|>" * 5, "word " * 300 + "z" * 6000 + " end"]
+    assert machine.digests(texts) == [whole_digests(t) for t in texts]
+    assert machine.digests([]) == []
+
+
+def test_memory_of_a_long_text(machine):
+    import tracemalloc
+
+    def peak(n):
+        text = "some words of a text that goes on, and on. " * n
+        tracemalloc.start()
+        machine.digests([text])
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return top
+
+    few, many = peak(20_000), peak(80_000)
+    assert many < few * 1.2 and many < 16_000_000
+
+
+def test_other_settings_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(PATH, encoding="utf-8"))
+    m.supported(spec)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": spec["model"] | {"dropout": 0.1}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}):
+        with pytest.raises(ValueError):
+            m.supported(spec | change)
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps(spec | {"normalizer": {"type": "NFC"}}))
+    with pytest.raises(ValueError):
+        m.Transducer(str(path))
+
+
 def test_stream_equals_whole(machine):
     rnd = random.Random(2)
     raw = "".join(rnd.choice("thereinonatsion") for _ in range(5000)).encode()

@@ -19,6 +19,9 @@ Windows of a batch are merged together: in every step each window's best-ranked
 merged, in numpy over all of them, with the ranks in a hash table. Results of short pieces
 are kept in a bounded cache.
 
+Digests take a text's pieces in blocks, over the ends of texts, and keep no ids: beside the text there are a block of
+pieces, the window of a long one, two digests and the decoder. Files with settings that this doesn't follow are refused.
+
 Decoding is an incremental state machine from token bytes to text: it holds at most three
 bytes of an unfinished character; bytes that form none become U+FFFD, one for each maximal
 ill-formed part.
@@ -33,6 +36,7 @@ import codecs
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +49,8 @@ from touchline.llm.common import small_batches
 CHUNK = 256
 #: Pieces of at most this many characters are kept in the cache of at most CACHE pieces.
 CACHED_CHARS, CACHE = 48, 200_000
+#: Pieces that are in memory at a time, and characters of a long piece that are read at a time.
+PIECES, CHARS = 1 << 16, 4096
 DEFAULT_FILE = "byte_bpe_50k.json"
 
 
@@ -64,6 +70,7 @@ class Transducer:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        supported(spec)
         letters = byte_letters()
         ids = spec["model"]["vocab"]
         raw = lambda s: bytes(letters[c] for c in s)
@@ -223,7 +230,7 @@ class Transducer:
             self.cache = {p: self.cache[p] for p in met & self.cache.keys()}
         new = [p for p in met if p not in self.cache and len(p) <= CACHED_CHARS]
         for p, tokens in zip(new, self.long_pieces([p.encode("utf-8", "replace") for p in new]), strict=True):
-            self.cache[p] = (",".join(map(str, tokens)), len(tokens), b"".join(map(self.token_bytes.__getitem__, tokens)))
+            self.cache[p] = self._part(tokens)
 
     def split(self, text: str) -> Iterator[tuple[str, bool]]:
         """Stretches of the text, and whether each is a special token."""
@@ -241,15 +248,56 @@ class Transducer:
         return [[int(i) for part, _, _ in parts for i in part.split(",")] for parts in self._parts(texts)]
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """(n_tokens, SHA-256 of the comma-joined ids, SHA-256 of the decoded text) of each."""
-        out = []
-        for parts in self._parts(texts):
-            ids = hashlib.sha256(",".join([p[0] for p in parts]).encode()).hexdigest()
-            decoded = hashlib.sha256()
-            for text in decode_stream([p[2] for p in parts]):
-                decoded.update(text.encode())
-            out.append((sum([p[1] for p in parts]), ids, decoded.hexdigest()))
-        return out
+        """(n_tokens, SHA-256 of the comma-joined ids, SHA-256 of the decoded text) of each. Beside the texts there is one block of pieces in memory,
+        and two digests and a decoder a text; a piece too long for the cache goes through ``stream``."""
+        sinks = [Sink() for _ in texts]
+        for block in self._blocks(texts):
+            self.learn([pieces for _, special, pieces in block if special is None])
+            for i, special, pieces in block:
+                if special is not None:
+                    sinks[i].feed([(str(self.special[special]), 1, special.encode())])
+                    continue
+                parts = list(map(self.cache.get, pieces))
+                if all(parts):
+                    sinks[i].feed(parts)
+                    continue
+                for piece, part in zip(pieces, parts, strict=True):
+                    if part:
+                        sinks[i].feed([part])
+                        continue
+                    for tokens in self.stream(piece[at : at + CHARS].encode("utf-8", "replace") for at in range(0, len(piece), CHARS)):
+                        sinks[i].feed([self._part(tokens)])
+        return [sink.done() for sink in sinks]
+
+    def _blocks(self, texts: list[str]) -> Iterator[list[tuple[int, str | None, list[str]]]]:
+        """Blocks of at most PIECES pieces, over the ends of texts: (text, special token or None, pieces)."""
+        block: list[tuple[int, str | None, list[str]]] = []
+        room = PIECES
+        for i, text in enumerate(texts):
+            for s, special in self.split(text):
+                if special:
+                    block.append((i, s, []))
+                    room -= 1
+                elif len(s) <= room:  # no more pieces than characters
+                    block.append((i, None, self.pieces.findall(s)))
+                    room -= len(block[-1][2])
+                else:
+                    found = (m.group() for m in self.pieces.finditer(s))
+                    while pieces := list(islice(found, room)):
+                        block.append((i, None, pieces))
+                        room -= len(pieces)
+                        if room <= 0:
+                            yield block
+                            block, room = [], PIECES
+                if room <= 0:
+                    yield block
+                    block, room = [], PIECES
+        if block:
+            yield block
+
+    def _part(self, tokens: list[int]) -> tuple[str, int, bytes]:
+        """Ids as text, their number and bytes."""
+        return ",".join(map(str, tokens)), len(tokens), b"".join(map(self.token_bytes.__getitem__, tokens))
 
     def _parts(self, texts: list[str]) -> Iterator[list[tuple[str, int, bytes]]]:
         """(ids as text, number of ids, their bytes) of each piece of each text."""
@@ -266,13 +314,47 @@ class Transducer:
             yield parts
 
     def _long(self, piece: str) -> tuple[str, int, bytes]:
-        tokens = self.long_pieces([piece.encode("utf-8", "replace")])[0]
-        return ",".join(map(str, tokens)), len(tokens), b"".join(map(self.token_bytes.__getitem__, tokens))
+        return self._part(self.long_pieces([piece.encode("utf-8", "replace")])[0])
 
     def decode(self, ids: Iterable[int]) -> str:
         return "".join(decode_stream([self.token_bytes[i] for i in ids]))
 
 
+class Sink:
+    """The two digests of one text's tokens as they come, and the decoder between them."""
+
+    def __init__(self):
+        self.n, self.ids, self.text = 0, hashlib.sha256(), hashlib.sha256()
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, parts: list[tuple[str, int, bytes]]) -> None:
+        """``parts`` of (ids as text, their number, their bytes), none of them empty."""
+        if not parts:
+            return
+        if self.n:
+            self.ids.update(b",")
+        self.ids.update(",".join([p[0] for p in parts]).encode())
+        self.text.update(self.machine.decode(b"".join([p[2] for p in parts])).encode())
+        self.n += sum([p[1] for p in parts])
+
+    def done(self) -> tuple[int, str, str]:
+        self.text.update(self.machine.decode(b"", final=True).encode())
+        return self.n, self.ids.hexdigest(), self.text.hexdigest()
+
+
+def supported(spec: dict) -> None:
+    """Raises ValueError for a tokenizer file whose settings this transducer would not follow."""
+    model, pre, decoder = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+    wrong = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    wrong += ["normalizer"] if spec.get("normalizer") else []
+    wrong += ["model"] if model.get("type", "BPE") != "BPE" else []
+    wrong += ["pre_tokenizer"] if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) else []
+    wrong += ["decoder"] if decoder.get("type") != "ByteLevel" else []
+    wrong += [f"added token {t['content']}" for t in spec["added_tokens"] if any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))]
+    if wrong:
+        raise ValueError(f"unsupported settings of the tokenizer file: {', '.join(wrong)}")
+
+
 def sufficient_lookahead(rules: list[tuple[int, int, int]], size: dict[int, int]) -> int:
     """See the module. taken[t]: the most that rules so far with t on the left need;
     formed[t]: what t's right part needs up to the rule that forms t."""
@@ -329,8 +411,8 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256; ids aren't kept, so a text of any length
-    passes with its pieces alone in memory."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256; neither ids nor all pieces of a text are kept, so
+    beside the text memory doesn't depend on its length."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

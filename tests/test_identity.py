@@ -152,3 +152,20 @@ def test_fixtures_reconciled_equal_all_pairs(spark):
             status = "CONFLICTING" if lead < 0.03 else "VERIFIED" if score >= 0.94 else "REQUIRES_REVIEW" if score >= 0.68 else "UNKNOWN"
         assert got[g["record"]] == (status, f if status == "VERIFIED" else None, f if status == "REQUIRES_REVIEW" else None, score), g
     assert got[-2][0] == "VERIFIED" and got[-3][0] == "UNKNOWN" and got[-4][3] == 0.0 and got[-1] == ("UNKNOWN", None, None, 0.0)
+
+
+def test_teams_of_one_name_are_met_once(spark):
+    """2,000 teams with three names: what the decisions say is as with two a name, and no step makes rows by team and given name."""
+    many = spark.range(2000).select((F.col("id") + 1).alias("id"), F.lit("L").alias("league"), F.element_at(F.array(*map(F.lit, ("Leeds United", "Leeds United North", "Zenith"))), (F.col("id") % 3 + 1).cast("int")).alias("name"))
+    teams = many.unionByName(spark.createDataFrame([(9000, "L", "Wolverhampton Wanderers")], "id long, league string, name string"))
+    given = spark.createDataFrame([("L", n) for n in ("Leeds United", "Zenit", "Wolverhamptn Wanderers", "Wolverhampton", "Leed Unit")], "league string, name string")
+    none = spark.createDataFrame([], "league string, key string, target string, alias string")
+    rows = {r["id"]: r["name"] for r in teams.collect()}
+    got = {r["name"]: (r["status"], r["team"], r["score"]) for r in ident.reconciled(given, teams).collect()}
+    assert got == {r["name"]: decision(r["name"], rows.items()) for r in given.collect()}
+    tiers = {r["name"]: (r["id"], r["tier"]) for r in ident.by_tiers(given, teams, none).collect()}
+    assert tiers == {"Leeds United": (None, "none"), "Zenit": (None, "none"), "Wolverhamptn Wanderers": (9000, "fuzzy"), "Wolverhampton": (9000, "containment"), "Leed Unit": (None, "none")}
+    index = {r["name"]: (r["id"], r["tier"]) for r in ident.by_index(given, teams, none).collect()}
+    assert index == {"Leeds United": (None, "ambiguous"), "Zenit": (None, "none"), "Wolverhamptn Wanderers": (None, "none"), "Wolverhampton": (None, "none"), "Leed Unit": (None, "ambiguous")}
+    names = ident.named(teams)
+    assert sorted((r["name"], r["id"], r["teams"]) for r in names.collect()) == [("Leeds United", 1, 667), ("Leeds United North", 2, 667), ("Wolverhampton Wanderers", 9000, 1), ("Zenith", 3, 666)]

@@ -32,6 +32,21 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column], n: int = 1) ->
     return rows.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
+def newest_before(rows: DataFrame, keys: list[str], days: int, values: list[str], out: str, n: int = 5) -> DataFrame:
+    """``rows`` with ``out``: the newest n rows of the key (structs of match_date, match_id and ``values``, newest first) strictly before each row's match_date
+    and at most ``days`` before it; empty if there are none. The n newest of each date are gathered first, then those of the n dates before,
+    so no frame holds more than n * n rows, however dense the matches are."""
+    dated = latest(rows.where(F.col("match_date").isNotNull()), [*keys, "match_date"], [F.desc("match_id")], n)
+    dated = dated.groupBy(*keys, "match_date").agg(F.sort_array(F.collect_list(F.struct("match_date", "match_id", *values)), asc=False).alias("_own"))
+    earlier = F.flatten(F.collect_list("_own").over(Window.partitionBy(*keys).orderBy("match_date").rowsBetween(-n, -1)))
+    since = F.col("match_date") - F.make_dt_interval(F.lit(days))
+    near = F.slice(F.sort_array(F.filter(earlier, lambda x: x["match_date"] >= since), asc=False), 1, n)
+    found = dated.select(*[F.col(k).alias(f"_{k}") for k in (*keys, "match_date")], near.alias(out))
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("match_date") == F.col("_match_date")]
+    joined = rows.join(found, on, "left").drop(*[f"_{k}" for k in (*keys, "match_date")])
+    return joined.withColumn(out, F.coalesce(out, F.array().cast(found.schema[out].dataType)))
+
+
 def latest_with_ties(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
     """All rows at the key's greatest ``by``."""
     return rows.withColumn("_rank", F.rank().over(Window.partitionBy(*keys).orderBy(F.desc(by)))).where("_rank = 1").drop("_rank")

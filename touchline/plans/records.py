@@ -204,12 +204,9 @@ _MET = "SELECT {cols} FROM (SELECT * FROM team_rows b WHERE b.league_id = a.leag
 @query("win_37_recent_and_met", f"""WITH {T}, k AS (SELECT a.match_id, a.team, ({_LAST5.format(cols="{'gf': coalesce(sum(gf), 0), 'ga': coalesce(sum(ga), 0), 'p': coalesce(sum(points), 0), 'c': count(*) FILTER (ga = 0), 'n': count(*)}")}) AS r, ({_MET.format(cols="{'w': count(*) FILTER (is_home AND gf > ga), 'g': coalesce(sum(gf + ga), 0) / greatest(count(*), 1)::DOUBLE, 'n': count(*)}")}) AS h FROM team_rows a)
 SELECT match_id, team, CAST(r.gf AS BIGINT) AS scored, CAST(r.ga AS BIGINT) AS conceded, CAST(r.p AS BIGINT) AS points, r.c AS clean_sheets, r.n AS matches, h.w AS h2h_home_wins, {up_sql('h.g')} AS h2h_goals, h.n AS h2h_matches FROM k""")
 def win_37_both(spark, d):
-    """The newest five matches at the same venue within 60 days, and the newest five meetings within 730: a range frame in days, then a slice. A frame holds what one
-    team, or one pair, played in that time."""
-    day = F.unix_date(F.to_date("match_date"))
-    frame = lambda keys, days: Window.partitionBy("league_id", "team", *keys).orderBy(day).rangeBetween(-days, -1)
-    newest = lambda w: F.slice(F.sort_array(F.collect_list(F.struct("match_date", "match_id", "gf", "ga", "points", "is_home")).over(w), asc=False), 1, 5)
-    k = rows_of(spark, d).withColumns({"r": newest(frame(["is_home"], 60)), "h": newest(frame(["opponent"], 730))})
+    """The newest five matches at the same venue within 60 days, and the newest five meetings within 730."""
+    k = ops.newest_before(rows_of(spark, d), ["league_id", "team", "is_home"], 60, ["gf", "ga", "points"], "r")
+    k = ops.newest_before(k, ["league_id", "team", "opponent"], 730, ["gf", "ga", "is_home"], "h")
     total = lambda xs, f: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + f(x).cast("long"))
     of = lambda name: total("r", lambda x: x[name])
     return k.select("match_id", "team", of("gf").alias("scored"), of("ga").alias("conceded"), of("points").alias("points"), total("r", lambda x: x["ga"] == 0).alias("clean_sheets"), F.size("r").cast("long").alias("matches"),
@@ -236,9 +233,7 @@ def siml_03_novel(spark, d):
     """Queries against the rows of their own label: fewer than ten make everything novel; else the nearest is compared with the mean distance in deviations."""
     e = src.table(spark, d, "embeddings").select("vec_id", c("embedding").cast("array<double>").alias("e"), "label")
     queries = e.where("vec_id % 100 = 0")
-    far = F.sqrt(F.aggregate(F.zip_with("e", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    pairs = sim.query_pairs(e, queries, "vec_id", "e").select("query_id", "vec_id", far.alias("d")).join(e.select("vec_id", "label"), "vec_id").join(queries.select(c("vec_id").alias("query_id"), c("label").alias("own")), "query_id").where("label = own")
-    s = pairs.groupBy("query_id").agg(F.count("*").alias("n"), F.min("d").alias("nearest"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("sd"))
+    s = sim.gathered(sim.scored(e, queries, "vec_id", "e", sim.distances, sim.spread_alike, sim.SPREAD, "label"))
     s = queries.select(c("vec_id").alias("query_id")).join(s, "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     z = F.coalesce(F.try_divide(c("nearest") - c("mean"), c("sd")), F.lit(0.0))
     return s.select("query_id", "n", F.round("nearest", 5).alias("nearest"), ((c("n") < 10) | (z > 2)).alias("novel"))

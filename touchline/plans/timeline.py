@@ -303,9 +303,7 @@ def win_36(spark, d):
 
 @query("win_37_last5_in_60_days", f"WITH {T} SELECT a.match_id, a.team, (SELECT round(avg(gf), 6) FROM (SELECT gf FROM team_rows b WHERE b.league_id = a.league_id AND b.team = a.team AND b.is_home = a.is_home AND b.match_date < a.match_date AND b.match_date >= a.match_date - INTERVAL 60 DAY ORDER BY b.match_date DESC, b.match_id DESC LIMIT 5)) AS gf_avg FROM team_rows a")
 def win_37(spark, d):
-    """A range frame for the days, then the newest five of what it holds (at most 60 days of one team's matches)."""
-    day = Window.partitionBy("league_id", "team", "is_home").orderBy(F.unix_date(F.to_date("match_date"))).rangeBetween(-60, -1)
-    held = F.collect_list(F.struct("match_date", "match_id", "gf")).over(day)
-    five = F.slice(F.reverse(F.array_sort(held)), 1, 5)
-    mean = F.aggregate(five, F.lit(0.0), lambda s, x: s + x["gf"]) / F.size(five)
-    return rows_of(spark, d).withColumn("v", F.when(F.size(held) > 0, mean)).select("match_id", "team", r6("v").alias("gf_avg"))
+    """The newest five matches of the 60 days before."""
+    k = ops.newest_before(rows_of(spark, d).select("match_id", "league_id", "team", "is_home", "match_date", "gf"), ["league_id", "team", "is_home"], 60, ["gf"], "five")
+    mean = F.aggregate("five", F.lit(0.0), lambda s, x: s + x["gf"]) / F.size("five")
+    return k.withColumn("v", F.when(F.size("five") > 0, mean)).select("match_id", "team", r6("v").alias("gf_avg"))

@@ -45,3 +45,20 @@ def test_scored_blocks_equal_all_pairs(spark, monkeypatch):
         d = np.array([far[i, j] for j in others(i) if j % 3 == i % 3])
         assert got[i]["n"] == len(d)
         assert np.allclose([got[i]["nearest"], got[i]["mean"], got[i]["sd"]], [d.min(), d.mean(), d.std()])
+
+
+def test_tasks_grow_with_the_ledger(spark, monkeypatch):
+    from touchline.plans.registry import ORACLE_SQL, QUERIES
+
+    monkeypatch.setattr(ops, "TASK_ROWS", 500)
+    for name in ("aud_01_structural", "mkt_27_snapshot_class"):
+        df = QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert name in ORACLE_SQL and "REPARTITION_BY_NUM" in df._jdf.queryExecution().toString()
+    assert ops.tasks(spark.range(6001)) == 13
+
+
+def test_movement_shuffles_a_row_a_snapshot(spark):
+    from touchline.plans.market import moves
+
+    plan = moves(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Aggregate [")  # the outcomes are laid out above the aggregation

@@ -32,6 +32,15 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column], n: int = 1) ->
     return rows.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
+#: Rows that a task sorts or groups, where the number of tasks grows with the table.
+TASK_ROWS = 500_000
+
+
+def tasks(rows: DataFrame) -> int:
+    """As many tasks as TASK_ROWS rows each ask for, the session's number at least."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
+
+
 def newest_before(rows: DataFrame, keys: list[str], days: int, values: list[str], out: str, n: int = 5) -> DataFrame:
     """``rows`` with ``out``: the newest n rows of the key (structs of match_date, match_id and ``values``, newest first) strictly before each row's match_date
     and at most ``days`` before it; empty if there are none. The n newest of each date are gathered first, then those of the n dates before,

@@ -24,19 +24,26 @@ v AS (SELECT 'not_two_rows' AS counter, (SELECT count(*) FROM settled JOIN c USI
  UNION ALL SELECT 'date_mismatch', (SELECT count(*) FROM j WHERE day <> match_date) UNION ALL SELECT 'league_mismatch', (SELECT count(*) FROM j WHERE league <> league_id) UNION ALL SELECT 'self_play', (SELECT count(*) FROM matches WHERE home_id = away_id))
 SELECT counter, value, CASE WHEN value = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM v UNION ALL SELECT 'all', CAST(sum(value) AS BIGINT), CASE WHEN sum(value) = 0 THEN 'PASS' ELSE 'FAIL' END FROM v""")
 def aud_01(spark, d):
-    """Nine counters of a ledger of team rows against matches and teams, and their total. The ledger meets matches once; pairs and matches are counted in the same partitioning."""
+    """Nine counters of a ledger of team rows against matches and teams, and their total. The ledger meets matches once, for what is counted by row, without groups;
+    pairs are counted from ids alone and then meet the settled matches. Tasks grow in number with the ledger, not in memory."""
     src.table(spark, d, "lineitem").createOrReplaceTempView("lineitem")
     n = spark.sql(LEDGER)
     m = src.matches(spark, d)
-    done = ops.settled(m).select("match_id", F.lit(True).alias("done"))
+    tasks = ops.tasks(n)
+    dealt = lambda df: df.repartition(tasks, "match_id")
     known = m.select(F.col("home_id").alias("team"), F.lit(True).alias("known")).distinct()
-    j = n.join(m.select("match_id", "home_id", "away_id", "match_date", "league_id"), "match_id", "left").join(done, "match_id", "left").join(known, "team", "left")
+    j = dealt(n).join(dealt(m.select("match_id", "home_id", "away_id", "match_date", "league_id")), "match_id", "left").join(known, "team", "left")
     flags = {"orphan_match": F.col("home_id").isNull(), "orphan_team": F.col("known").isNull(), "team_not_in_match": (F.col("team") != F.col("home_id")) & (F.col("team") != F.col("away_id")), "date_mismatch": F.col("day") != F.col("match_date"), "league_mismatch": F.col("league") != F.col("league_id")}
-    pairs = j.groupBy("match_id", "team").agg(F.count("*").alias("n"), F.max("done").alias("done"), *[F.count_if(x).alias(k) for k, x in flags.items()])
-    each = pairs.groupBy("match_id").agg(F.sum("n").alias("n"), F.count("*").alias("d"), F.max("done").alias("done"), F.count_if(F.col("n") > 1).alias("pairs"), *[F.sum(k).alias(k) for k in flags])
-    own = each.agg(F.count_if(F.col("done") & ((F.col("n") != 2) | (F.col("d") != 2))).alias("not_two_rows"), F.count_if(F.col("n") == 1).alias("partial"), F.sum("pairs").alias("duplicate_pair"), *[F.sum(k).alias(k) for k in flags])
+    by_row = j.agg(*[F.count_if(x).alias(k) for k, x in flags.items()])
+    pairs = dealt(n.select("match_id", "team")).groupBy("match_id", "team").agg(F.count("*").alias("n"))
+    each = pairs.groupBy("match_id").agg(F.sum("n").alias("n"), F.count("*").alias("d"), F.count_if(F.col("n") > 1).alias("pairs"))
+    counted = each.agg(F.count_if(F.col("n") == 1).alias("partial"), F.sum("pairs").alias("duplicate_pair"))
+    odd = each.where("n <> 2 or d <> 2").join(ops.settled(m).select("match_id"), "match_id").agg(F.count("*").alias("not_two_rows"))
     self_play = m.agg(F.count_if(F.col("home_id") == F.col("away_id")).alias("self_play"))
-    both = own.join(F.broadcast(self_play), F.lit(True)).select(*[F.coalesce(k, F.lit(0)).alias(k) for k in COUNTERS])
+    both = by_row
+    for one in (counted, odd, self_play):
+        both = both.join(F.broadcast(one), F.lit(True))
+    both = both.select(*[F.coalesce(k, F.lit(0)).alias(k) for k in COUNTERS])
     both = both.withColumn("all", sum((F.col(k) for k in COUNTERS), F.lit(0)))
     rows = both.select(F.explode(F.array(*[F.struct(F.lit(k).alias("counter"), F.col(k).cast("long").alias("value")) for k in (*COUNTERS, "all")])).alias("s")).select("s.*")
     return rows.withColumn("status", F.when(F.col("value") == 0, "PASS").otherwise("FAIL"))

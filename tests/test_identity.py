@@ -169,3 +169,15 @@ def test_teams_of_one_name_are_met_once(spark):
     assert index == {"Leeds United": (None, "ambiguous"), "Zenit": (None, "none"), "Wolverhamptn Wanderers": (None, "none"), "Wolverhampton": (None, "none"), "Leed Unit": (None, "ambiguous")}
     names = ident.named(teams)
     assert sorted((r["name"], r["id"], r["teams"]) for r in names.collect()) == [("Leeds United", 1, 667), ("Leeds United North", 2, 667), ("Wolverhampton Wanderers", 9000, 1), ("Zenith", 3, 666)]
+
+
+def test_equal_fixtures_and_records_are_met_once(spark):
+    """3,000 records and fixtures that are alike: each is one question and one candidate, and equal fixtures are in conflict."""
+    fixtures = spark.range(3000).select(F.col("id").alias("fixture"), F.lit("L").alias("league"), F.element_at(F.array(F.lit("Leeds"), F.lit("York"), F.lit("Hull")), F.when(F.col("id") == 7, 2).when(F.col("id") == 9, 3).otherwise(1)).alias("home"), F.lit("Derby").alias("away"), F.expr("timestamp'2020-01-01 12:00:00'").alias("kickoff"))
+    given = fixtures.select(F.col("fixture").alias("record"), "league", F.upper("home").alias("home"), "away", F.expr("kickoff + interval 45 minutes").alias("kickoff"))
+    given = given.unionByName(given.limit(1).withColumns({"record": F.lit(-1).cast("long"), "kickoff": F.expr("kickoff + interval 1 day")}))
+    got = {r["record"]: (r["status"], r["fixture"], r["review"], r["score"], r["reason"]) for r in ident.fixtures_reconciled(given, fixtures).collect()}
+    assert got[7] == ("REQUIRES_REVIEW", None, 7, 0.9, "below_auto_accept_threshold_but_reviewable") and got[9][2:4] == (9, 0.9)
+    assert got[-1] == ("UNKNOWN", None, None, 0.0, "no_candidate")
+    assert {v for k, v in got.items() if k not in (7, 9, -1)} == {("CONFLICTING", None, None, 0.9, "ambiguous_candidate")} and len(got) == 3001
+    assert ident.best_two(90)

@@ -62,3 +62,12 @@ def test_movement_shuffles_a_row_a_snapshot(spark):
 
     plan = moves(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("Aggregate [")  # the outcomes are laid out above the aggregation
+
+
+def test_gamma_tries_draw_only_for_what_failed(monkeypatch):
+    from touchline.operators import learning as lr
+
+    drawn, plain = [], lr.mixed_bits
+    monkeypatch.setattr(lr, "mixed_bits", lambda x: drawn.append(x.size) or plain(x))
+    lr.gamma_draws(np.arange(64, dtype=np.uint64), np.full((64, 3), 2.5), 100)
+    assert sum(drawn) < 1.2 * 3 * 64 * 3 * 100

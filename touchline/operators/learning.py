@@ -121,20 +121,24 @@ def gamma_draws(keys: np.ndarray, shape: np.ndarray, samples: int) -> np.ndarray
     taken down by a power of a uniform. All numbers follow from the row's key, the sample and the try."""
     classes = shape.shape[1]
     count = np.arange(samples * classes, dtype=np.uint64).reshape(1, samples, classes) * np.uint64(4 * GAMMA_TRIES)
-    number = lambda t, part: mixed_bits((keys[:, None, None] + count + np.uint64(4 * t + part + 1)) * np.uint64(0x9E3779B97F4A7C15))
-    lifted = np.where(shape < 1, shape + 1, shape)[:, None, :]
-    d = lifted - 1 / 3
-    c = 1 / np.sqrt(9 * d)
-    out, done = np.broadcast_to(d, (len(keys), samples, classes)).copy(), np.zeros((len(keys), samples, classes), bool)
-    for t in range(GAMMA_TRIES):
-        z = np.sqrt(-2 * np.log(number(t, 0))) * np.cos(2 * np.pi * number(t, 1))
-        v = (1 + c * z) ** 3
-        ok = ~done & (v > 0) & (np.log(number(t, 2)) < 0.5 * z * z + d - d * v + d * np.log(np.maximum(v, 1e-300)))
-        out[ok] = (d * v)[ok]
-        done |= ok
-        if done.all():
+    base = (keys[:, None, None] + count).ravel()
+    number = lambda at, t, part: mixed_bits((base[at] + np.uint64(4 * t + part + 1)) * np.uint64(0x9E3779B97F4A7C15))
+    every = lambda x: np.broadcast_to(x[:, None, :], (len(keys), samples, classes)).ravel()
+    lifted = np.where(shape < 1, shape + 1, shape)
+    d, c = every(lifted - 1 / 3), every(1 / np.sqrt(9 * (lifted - 1 / 3)))
+    out, left = d.copy(), np.arange(len(d))
+    for t in range(GAMMA_TRIES):  # each try draws for those alone that failed so far
+        at = slice(None) if t == 0 else left
+        z = np.sqrt(-2 * np.log(number(at, t, 0))) * np.cos(2 * np.pi * number(at, t, 1))
+        v = (1 + c[at] * z) ** 3
+        ok = (v > 0) & (np.log(number(at, t, 2)) < 0.5 * z * z + d[at] - d[at] * v + d[at] * np.log(np.maximum(v, 1e-300)))
+        out[left[ok]] = (d[at] * v)[ok]
+        left = left[~ok]
+        if not len(left):
             break
-    return np.where(shape[:, None, :] < 1, out * number(0, 3) ** (1 / np.maximum(shape, 1e-9))[:, None, :], out)
+    low = np.flatnonzero(every(shape) < 1)
+    out[low] *= number(low, 0, 3) ** (1 / np.maximum(every(shape)[low], 1e-9))
+    return out.reshape(len(keys), samples, classes)
 
 
 def dirichlet_intervals(key: Column, *alpha: Column, samples: int = SAMPLES) -> Column:

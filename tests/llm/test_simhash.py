@@ -181,3 +181,17 @@ def test_null_ids_and_one_id_with_two_texts(spark):
     want = [(None, a), (None, b), (4, c), (9, d), (9, e), (None, None)]
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept) == sorted((str(i), str(t)) for i, t in want)
     assert m.one_of_each(spark, spark.createDataFrame([(None, a, "y"), (None, a, "x")], schema)).count() == 1
+
+
+def test_joins_of_the_links_are_not_broadcast(spark, monkeypatch):
+    texts = [f"alpha {i % 9} beta gamma {i % 9} delta" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plans, kept = [], {k: getattr(m, k) for k in ("written", "checkpointed")}
+    planned = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(m, "written", lambda df, label: planned(df) or kept["written"](df, label))
+    monkeypatch.setattr(m, "checkpointed", lambda df: planned(df) or kept["checkpointed"](df))
+    found = m.near_duplicates(docs)
+    planned(found)
+    assert found.count() == 60
+    assert sum("SortMergeJoin" in p for p in plans) >= 3
+    assert not any("Broadcast" in p for p in plans)

@@ -250,17 +250,22 @@ def near_links(classes: DataFrame) -> DataFrame:
     what all pairs of at most MAX_BITS differing bits connect."""
     keyed = classes.select("fp").mapInArrow(_keys, "key long, fp long")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    sized = keyed.join(sizes, "key")
+    sized = merged(keyed, sizes, "key")
     few = sized.where(F.col("n") <= HOT_KEY).select("key", "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links, "a long, b long")
     # midpoints are the same whatever the key, so hot keys' members meet by midpoint alone
     flips = F.array(F.lit(0).cast("long"), *[F.expr(f"shiftleft(1L, {i})") for i in range(64)])
     hot = sized.where(F.col("n") > HOT_KEY).select("fp").distinct()
     mids = hot.select("fp", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))).alias("mid"))
     best = mids.groupBy("mid").agg(F.min("fp").alias("b"))
-    far = mids.join(best, "mid").where("fp <> b").select(F.col("fp").alias("a"), "b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
+    far = merged(mids, best, "mid").where("fp <> b").select(F.col("fp").alias("a"), "b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
     return few.unionByName(far).distinct()
 
 
+def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join that sorts both sides in tasks: their sizes follow the corpus, and a broadcast table is built whole in the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root (the component's smallest node) of every node in a link. Each round, every
     node tells its neighbours and its root's the smallest root it has heard of, and labels
@@ -268,14 +273,14 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = checkpointed(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
     while True:
-        heard = edges.join(labels, edges.b == labels.node).select(F.col("a").alias("node"), "root")
+        heard = merged(edges, labels, edges.b == labels.node).select(F.col("a").alias("node"), "root")
         own = labels.select("node", "root")
         # what a node hears it also passes to the node that its label names
         nearest = heard.unionByName(own).groupBy("node").agg(F.min("root").alias("seen"))
-        passed = labels.join(nearest, "node").select(F.col("root").alias("node"), F.col("seen").alias("seen"))
+        passed = merged(labels, nearest, "node").select(F.col("root").alias("node"), F.col("seen").alias("seen"))
         best = nearest.unionByName(passed).groupBy("node").agg(F.min("seen").alias("seen"))
-        jumped = best.alias("x").join(best.select(F.col("node").alias("k"), F.col("seen").alias("further")), F.col("seen") == F.col("k"), "left")
-        fresh = checkpointed(jumped.select("node", F.least("seen", "further").alias("root")).join(labels.select("node", F.col("root").alias("was")), "node"))
+        jumped = merged(best.alias("x"), best.select(F.col("node").alias("k"), F.col("seen").alias("further")), F.col("seen") == F.col("k"), "left")
+        fresh = checkpointed(merged(jumped.select("node", F.least("seen", "further").alias("root")), labels.select("node", F.col("root").alias("was")), "node"))
         changed = fresh.where("root <> was").limit(1).count()
         labels = fresh.select("node", "root")
         if not changed:
@@ -288,10 +293,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     marked = written(fingerprints(docs), "simhash")
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     roots = components(near_links(classes))
-    grouped = classes.join(roots, classes.fp == roots.node, "left").withColumn("component", F.coalesce("root", "fp"))
+    grouped = merged(classes, roots, classes.fp == roots.node, "left").withColumn("component", F.coalesce("root", "fp"))
     least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    labelled = grouped.join(least, "component").select("fp", "component_id", F.col("root").isNotNull().cast("int").alias("linked"))
-    return marked.join(labelled, "fp").select("doc_id", "fp", "component_id", "linked")
+    labelled = merged(grouped, least, "component").select("fp", "component_id", F.col("root").isNotNull().cast("int").alias("linked"))
+    return merged(marked, labelled, "fp").select("doc_id", "fp", "component_id", "linked")
 
 
 def op10_simhash_golay(spark, sf_dir):

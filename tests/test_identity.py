@@ -181,3 +181,15 @@ def test_equal_fixtures_and_records_are_met_once(spark):
     assert got[-1] == ("UNKNOWN", None, None, 0.0, "no_candidate")
     assert {v for k, v in got.items() if k not in (7, 9, -1)} == {("CONFLICTING", None, None, 0.9, "ambiguous_candidate")} and len(got) == 3001
     assert ident.best_two(90)
+
+
+def test_keys_are_made_once_a_different_name(spark):
+    teams = spark.createDataFrame([(i, "L", f"Club {i % 3} Town") for i in range(9)], "id long, league string, name string")
+    given = spark.createDataFrame([("L", f"club {i % 4} town") for i in range(40)], "league string, name string")
+    aliases = spark.createDataFrame([("L", "club 0 town", "the club")], "league string, key string, alias string")
+    index = ident.by_index(given, teams, aliases)
+    tiers = ident.by_tiers(given, teams, aliases.withColumnRenamed("alias", "target"), fuzzy=False)
+    for found in (index, tiers):
+        assert found.count() == 4
+        # accents are taken off when a key is made: no filter on keys may stand before the different names
+        assert "translate(" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -98,3 +98,10 @@ def test_dropout_draws_follow_the_key(spark):
     e = np.exp([1.0, 0.0, -1.0])
     assert whole["mean"] == pytest.approx(e / e.sum()) and whole["epistemic"] == pytest.approx(0, abs=1e-12)
     assert all(u["ci_lower"][0] <= u["mean"][0] <= u["ci_upper"][0] for u in one.values())
+
+
+def test_calibrated_rows_stay_in_all_partitions(spark):
+    long = cal.long_form(forecasts(spark, 600), "league", {k: (f"p_{k}", f"y_{k}") for k in "hda"})
+    out = cal.applied(long, cal.fitted(long), ["id"])
+    # Spark joins partitions of other shuffles up to one for each core
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()

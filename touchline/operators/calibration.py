@@ -81,6 +81,8 @@ def applied(long: DataFrame, maps: DataFrame, keys: list[str]) -> DataFrame:
     from pyspark.sql import Window
 
     j = long.withColumn("bin", bin_of(F.col("p"))).join(maps, ["grp", "cls", "bin"], "left").withColumn("q", F.coalesce("calibrated", "p"))
+    # windows over the keys sort a partition in memory: Spark would join small ones up to its advisory size or one for each core
+    j = j.repartition(int(long.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     total = F.sum("q").over(Window.partitionBy(*keys))
     return j.withColumn("q", F.when(total > 0, F.col("q") / total).otherwise(F.col("p")))
 

@@ -71,3 +71,26 @@ def test_gamma_tries_draw_only_for_what_failed(monkeypatch):
     monkeypatch.setattr(lr, "mixed_bits", lambda x: drawn.append(x.size) or plain(x))
     lr.gamma_draws(np.arange(64, dtype=np.uint64), np.full((64, 3), 2.5), 100)
     assert sum(drawn) < 1.2 * 3 * 64 * 3 * 100
+
+
+def test_gamma_draws_stay_in_blocks(monkeypatch):
+    from touchline.operators import learning as lr
+
+    drawn, plain = [], lr.mixed_bits
+    monkeypatch.setattr(lr, "mixed_bits", lambda x: drawn.append(x.size) or plain(x))
+    lr.gamma_draws(np.arange(512, dtype=np.uint64), np.full((512, 3), 2.5), 200)
+    assert max(drawn) <= 3 * 19_200 and sum(drawn) < 1.1 * 3 * 512 * 3 * 200
+    assert len([x for x in drawn if x < 3 * 19_200]) < 12  # later tries of all blocks together
+
+
+def test_interval_draws_are_dealt_to_tasks(spark, monkeypatch):
+    """One row group of a file is one task; the ids alone go to as many tasks as the rows ask for."""
+    from touchline.plans.registry import QUERIES
+
+    monkeypatch.setattr(ops, "TASK_ROWS", 500)
+    df = QUERIES["unc_02_intervals"](spark, "/root/testdata/sf0.001")
+    counts = sorted(r["count"] for r in df.groupBy(F.spark_partition_id().alias("task")).count().collect())
+    assert sum(counts) == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert len(counts) >= sum(counts) // 500 and counts[-1] < 750
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_suppkey:bigint,l_linenumber:int>" in plan

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,48 @@ def test_dirichlet_draws_have_the_right_moments(spark):
             assert all(0 <= i["ci_lower"][k] <= i["mean"][k] <= i["ci_upper"][k] <= 1 for _, i in one)
 
 
+def plain_gamma(key, place, shape):
+    """One draw by the scalar rule, from the same counters."""
+    def number(t, part):
+        x = (key + place * 4 * lr.GAMMA_TRIES + 4 * t + part + 1) * 0x9E3779B97F4A7C15 % 2**64
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return ((x ^ x >> 31) >> 11) / 2**53 + 2.0**-54
+
+    d = (shape + 1 if shape < 1 else shape) - 1 / 3
+    out = d
+    for t in range(lr.GAMMA_TRIES):
+        z = math.sqrt(-2 * math.log(number(t, 0))) * math.cos(2 * math.pi * number(t, 1))
+        v = (1 + z / math.sqrt(9 * d)) ** 3
+        if v > 0 and math.log(number(t, 2)) < 0.5 * z * z + d - d * v + d * math.log(v):
+            out = d * v
+            break
+    return max(out * number(0, 3) ** (1 / max(shape, 1e-9)) if shape < 1 else out, 1e-300)
+
+
+@pytest.mark.parametrize("block,call,tries", [(130, 400, 12), (19_200, 307_200, 12), (130, 400, 1)])
+def test_intervals_equal_plain_draws(spark, monkeypatch, block, call, tries):
+    """Blocks and calls that end within the rows, shapes below one, draws that no try gave, a row without numbers."""
+    monkeypatch.setattr(lr, "BLOCK_DRAWS", block)
+    monkeypatch.setattr(lr, "CALL_DRAWS", call)
+    monkeypatch.setattr(lr, "GAMMA_TRIES", tries)
+    rnd, samples = random.Random(4), 20
+    rows = [(rnd.getrandbits(64), [rnd.choice((0.02, 0.4, 1.0, 3.5, 30.0)) for _ in range(3)]) for _ in range(23)]
+    drawn = lr.gamma_draws(np.array([k for k, _ in rows], np.uint64), np.array([a for _, a in rows]), samples)
+    want = np.array([[[plain_gamma(k, s * 3 + c, a[c]) for s in range(samples)] for c in range(3)] for k, a in rows])
+    assert drawn.shape == (23, 3, samples) and np.allclose(drawn, want, rtol=1e-9, atol=0)
+    bounds = np.quantile(want / want.sum(axis=1, keepdims=True), (0.025, 0.975), axis=2)
+    if tries == 12:  # the workers have the module's own number of tries
+        signed = lambda k: k - 2**64 if k >= 2**63 else k
+        df = spark.createDataFrame([(i, signed(k), *a) for i, (k, a) in enumerate(rows)] + [(99, 1, None, 1.0, 1.0)], "id int, k long, a double, b double, c double").repartition(3)
+        found = df.select("id", lr.dirichlet_intervals(F.col("k"), F.col("a"), F.col("b"), F.col("c"), samples=samples, moments=False).alias("i"))
+        assert found.schema["i"].dataType.names == ["ci_lower", "ci_upper"]
+        got = {r["id"]: r["i"] for r in found.collect()}
+        assert all(math.isnan(x) for side in got.pop(99) for x in side)
+        assert len(got) == 23 and all(np.allclose([got[i]["ci_lower"], got[i]["ci_upper"]], bounds[:, i], rtol=1e-9, atol=1e-12) for i in got)
+        assert df.limit(0).select(lr.dirichlet_intervals(F.col("k"), F.col("a"), F.col("b"), F.col("c")).alias("i")).count() == 0
+
+
 def test_sampled_weights_beat_the_grid(spark):
     """Four members of different worth; the score from the sums is the one over the rows, the search repeats by seed."""
     y = [(F.col("id") % 3 == k).cast("double") for k in range(3)]

@@ -86,9 +86,9 @@ ALPHA_SQL = "SELECT *, p_h * (5 + part_no % 41) AS a1, p_d * (5 + part_no % 41)
 IDS = ["match_id", "snap_no", "part_no", "supp_no"]
 
 
-def evidence(spark, d):
+def evidence(spark, d, tasks=None):
     total = (5 + F.col("part_no") % 41).cast("double")
-    return src.predictions(spark, d).select(*IDS, *[(F.col(p) * total).alias(a) for p, a in (("p_h", "a1"), ("p_d", "a2"), ("p_a", "a3"))], total.alias("a0"))
+    return src.predictions(spark, d, tasks).select(*IDS, *[(F.col(p) * total).alias(a) for p, a in (("p_h", "a1"), ("p_d", "a2"), ("p_a", "a3"))], total.alias("a0"))
 
 
 @query("unc_02_dirichlet", f"""WITH {src.PREDICTIONS}, k AS ({ALPHA_SQL}), v AS (SELECT *, (a1 * (a0 - a1) + a2 * (a0 - a2) + a3 * (a0 - a3)) / (a0 * a0 * (a0 + 1)) AS e, -(a1 / a0 * ln(a1 / a0 + 1e-8) + a2 / a0 * ln(a2 / a0 + 1e-8) + a3 / a0 * ln(a3 / a0 + 1e-8)) AS h FROM k)
@@ -103,9 +103,9 @@ def unc_02(spark, d, threshold=0.15):
 
 @query("unc_02_intervals")
 def unc_02_intervals(spark, d):
-    """95 % bounds of each outcome by keyed draws."""
-    e = evidence(spark, d)
-    drawn = e.select(*IDS, lr.dirichlet_intervals(F.xxhash64(F.lit(29), *IDS), F.col("a1"), F.col("a2"), F.col("a3")).alias("i"))
+    """95 % bounds of each outcome by keyed draws; the ids alone are dealt to tasks first, since a row's draws take far longer than its move."""
+    e = evidence(spark, d, ops.tasks(src.table(spark, d, "lineitem")))
+    drawn = e.select(*IDS, lr.dirichlet_intervals(F.xxhash64(F.lit(29), *IDS), F.col("a1"), F.col("a2"), F.col("a3"), moments=False).alias("i"))
     return drawn.select(*IDS, *[F.col(f"i.{side}")[k].alias(f"{side}_{name}") for side in ("ci_lower", "ci_upper") for k, name in enumerate(("home", "draw", "away"))])
 
 
